@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noticegrid.functions.text import let
 from noticegrid.functions.fixed import EN_DATE, FI_DATE, FI_RANGE, ISO_DATE, KNOWN_ZONE, MONTHS
 
 
@@ -122,12 +123,13 @@ def dates_in_label(label: Column, timezone: str) -> Column:
         at = _at(day, _part(m, EN_DATE, 4), _part(m, EN_DATE, 5), literal_zone)
         return entry(day, at, F.trim(label), literal_zone)
 
-    fi = F.transform(_matches(label, FI_DATE), finnish)
     # A short range such as 18.2.-11.3.2026 takes its year from the end, unless that reverses it.
     start = _day(_part(label, FI_RANGE, 5), _part(label, FI_RANGE, 2), _part(label, FI_RANGE, 1))
     end = _day(_part(label, FI_RANGE, 5), _part(label, FI_RANGE, 4), _part(label, FI_RANGE, 3))
     opening = entry(start, F.lit(None).cast("timestamp_ntz"), _part(label, FI_RANGE, 0), F.lit(timezone))
-    fi = F.when((F.size(fi) == 1) & (start <= end), F.array_prepend(fi, opening)).otherwise(fi)
-    iso_dates = F.transform(_matches(label, ISO_DATE), iso)
-    en_dates = F.transform(_matches(label, EN_DATE), english)
-    return F.when(F.size(fi) > 0, fi).when(F.size(iso_dates) > 0, iso_dates).otherwise(en_dates)
+    with_start = let(F.transform(_matches(label, FI_DATE), finnish), lambda fi: F.when(
+        (F.size(fi) == 1) & (start <= end), F.array_prepend(fi, opening)).otherwise(fi))
+    # Label without a digit has no date; this keeps the patterns off most texts.
+    return F.when(label.rlike(r"\d"), let(with_start, lambda fi: F.when(F.size(fi) > 0, fi).otherwise(
+        let(F.transform(_matches(label, ISO_DATE), iso), lambda found: F.when(F.size(found) > 0, found).otherwise(
+            F.transform(_matches(label, EN_DATE), english)))))).otherwise(F.array())

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from noticegrid.functions import fixed
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def canonical_json(columns: dict[str, Column]) -> Column:
     """JSON text with sorted keys, compact, nulls kept, non-ASCII as is."""
     return F.to_json(F.struct(*(columns[k].alias(k) for k in sorted(columns))), {"ignoreNullFields": "false"})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noticegrid.functions.text import let
+
 # Fixed value: the RFC 4122 URL namespace.
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 TRACKING = ("fbclid", "gclid")
@@ -51,8 +53,9 @@ def _pairs(url: Column) -> Column:
 
 
 def _join_query(pairs: Column) -> Column:
-    text = F.array_join(F.transform(pairs, lambda p: F.concat(_form_encode(p["k"]), F.lit("="), _form_encode(p["v"]))), "&")
-    return F.when(F.length(text) > 0, F.concat(F.lit("?"), text)).otherwise(F.lit(""))
+    parts = F.transform(pairs, lambda p: F.concat(_form_encode(p["k"]), F.lit("="), _form_encode(p["v"])))
+    # A leading empty part puts the separator in front only when there is anything to separate.
+    return F.regexp_replace(F.array_join(F.array_prepend(parts, F.lit("")), "&"), "^&", "?")
 
 
 def canonical_url(url: Column) -> Column:
@@ -115,7 +118,10 @@ def resolve(href: Column, base: Column) -> Column:
 def document_url(href: Column, base: Column | None = None) -> Column:
     """Address of a linked document: order and blank values kept, tracking and fragment dropped."""
     url = F.trim(href) if base is None else F.when(base.isNull() | (base == ""), F.trim(href)).otherwise(resolve(href, base))
-    url = F.replace(url, F.lit("&amp;"), F.lit("&"))
+    return let(F.replace(url, F.lit("&amp;"), F.lit("&")), _document_form)
+
+
+def _document_form(url: Column) -> Column:
     path = F.regexp_extract(url, _URL, 3)
     pairs = F.filter(
         _pairs(url), lambda p: ~F.lower(p["k"]).startswith("utm_") & ~F.lower(p["k"]).isin(*TRACKING)

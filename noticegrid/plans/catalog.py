@@ -1,8 +1,8 @@
 """Importing this module registers every query."""
 
 from noticegrid.plans import (  # noqa: F401
-    registry_queries,
+    normalise_queries, registry_queries,
 )
-from noticegrid.plans.registry import ORACLES, QUERIES
+from noticegrid.plans.registry import QUERIES, oracles
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["QUERIES", "oracles"]

@@ -21,7 +21,7 @@ def query(name: str, oracle: str | None = None):
             raise ValueError(f"Duplicate query name {name}")
         QUERIES[name] = lambda spark, path: fn(Inputs(spark, path))
         if oracle is not None:
-            ORACLES[name] = with_views(oracle)
+            ORACLES[name] = oracle
         return fn
 
     return add
@@ -40,3 +40,8 @@ def with_views(sql: str) -> str:
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:].strip()}"
     return f"WITH {ctes}\n{body}"
+
+
+def oracles() -> dict[str, str]:
+    """Complete oracle texts; shared relations may be registered in any order."""
+    return {name: with_views(sql) for name, sql in ORACLES.items()}

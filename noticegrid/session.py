@@ -36,6 +36,7 @@ def local_session(cpus: str = "*", app: str = "noticegrid", **conf: str) -> Spar
     builder = (
         SparkSession.builder.master(f"local[{cpus}]").appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", conf.pop("driver_memory", "8g"))
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.files.maxPartitionBytes", "64m")

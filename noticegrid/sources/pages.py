@@ -20,17 +20,22 @@ def rule_record(df: DataFrame, config: dict, *, title, url, body, date_label, st
     Nothing is inferred: a scheme has no dates, a future deadline alone does not open a round.
     """
     kind = F.lit(config.get("record_kind", "call")) if kind is None else kind
+    labels = {
+        "_kind": kind, "_found": F.when(kind == "call", dates.dates_in_label(date_label, config.get("timezone", ZONE))),
+        "_state": codes.status_word(F.coalesce(status_label, F.lit(""))),
+        "_labelled": F.length(F.trim(F.coalesce(status_label, F.lit("")))) > 0,
+    }
+    # Staged as columns so that each label is parsed once.
+    df = df.withColumns(labels)
+    kind, labelled = F.col("_kind"), F.col("_labelled")
     call = kind == "call"
-    found = F.when(call, dates.dates_in_label(date_label, config.get("timezone", ZONE)))
     none = F.array().cast("array<struct<due_on:date,due_at:timestamp_ntz,original:string,timezone:string>>")
-    found = F.coalesce(found, none)
+    found = F.coalesce("_found", none)
     period = (F.size(found) == 2) & F.lit(bool(config.get("date_is_period")))
     start = F.when(period, F.element_at(found, 1)["due_on"])
     start = start if opens is None else F.coalesce(F.when(call, opens), start)
     ends = F.when(F.size(found) > 0, F.slice(found, -1, 1)).otherwise(none)
-    labelled = F.length(F.trim(F.coalesce(status_label, F.lit("")))) > 0
-    state = F.when(start.isNotNull() & (F.size(ends) > 0) & ~labelled, "open").otherwise(
-        codes.status_word(F.coalesce(status_label, F.lit(""))))
+    state = F.when(start.isNotNull() & (F.size(ends) > 0) & ~labelled, "open").otherwise(F.col("_state"))
     model = F.when(F.size(ends) > 0, "single-stage").otherwise("unknown")
     if config.get("deadline_model"):
         model = F.lit(config["deadline_model"])
