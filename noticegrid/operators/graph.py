@@ -42,13 +42,7 @@ def reach(roots: DataFrame, links: DataFrame, max_depth: int = 4, max_documents:
     aggregation, and is written out, so that neither lineage nor lost executors repeat earlier levels.
     """
     links = links.select("document_id", "target_id", "role")
-    order = Window.partitionBy("opportunity_id").orderBy("document_id")
-    seen = materialise(
-        roots.select("opportunity_id", "document_id").distinct()
-        .withColumn("position", F.row_number().over(order))
-        .select(
-            "opportunity_id", "document_id", F.lit(0).alias("depth"), F.lit(None).cast(links.schema["document_id"].dataType).alias("parent_id"),
-            F.lit("call_content").alias("role"), F.lit(None).cast("string").alias("limitation"), "position"))
+    seen = materialise(_placed_roots(roots, links, max_documents))
     frontier, levels = seen, [seen]
     for depth in range(1, max_depth + 2):
         level = materialise(_next_level(frontier, links, _union(levels), depth, max_depth, max_documents))
@@ -59,6 +53,18 @@ def reach(roots: DataFrame, links: DataFrame, max_depth: int = 4, max_documents:
     return _union(levels)
 
 
+def _placed_roots(roots: DataFrame, links: DataFrame, max_documents: int) -> DataFrame:
+    """Roots in document order. Only positions up to the cap matter, so later roots share one place."""
+    keys = ["opportunity_id", "document_id"]
+    distinct = roots.select(*keys).distinct()
+    order = Window.partitionBy("opportunity_id").orderBy("document_id")
+    leading = distinct.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= max_documents + 1)
+    return distinct.join(leading, keys, "left").select(
+        *keys, F.lit(0).alias("depth"), F.lit(None).cast(links.schema["document_id"].dataType).alias("parent_id"),
+        F.lit("call_content").alias("role"), F.lit(None).cast("string").alias("limitation"),
+        F.coalesce("position", F.lit(max_documents + 2)).alias("position"))
+
+
 def _union(levels: list[DataFrame]) -> DataFrame:
     result = levels[0]
     for level in levels[1:]:
@@ -74,17 +80,19 @@ def _next_level(frontier, links, seen, depth, max_depth, max_documents) -> DataF
     first = candidates.groupBy("opportunity_id", "document_id").agg(
         F.min(F.struct("parent_position", "parent_id", "role")).alias("_p"))
     fresh = first.join(seen.select("opportunity_id", "document_id"), ["opportunity_id", "document_id"], "left_anti")
-    counts = seen.groupBy("opportunity_id").agg(F.max("position").alias("_base"))
+    counts = seen.groupBy("opportunity_id").agg(
+        F.max("position").alias("_base"), F.max(F.coalesce(F.col("limitation") == DOCUMENT_LIMIT, F.lit(False))).alias("_marked"))
     order = Window.partitionBy("opportunity_id").orderBy("_p.parent_position", "document_id")
     # No notice keeps more than the cap and its marker, so the rank filter also limits the shuffle.
     ranked = fresh.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_documents + 1)
     placed = ranked.join(counts, "opportunity_id").withColumn("position", F.col("_base") + F.col("_rank"))
-    # The marker is written once: a notice that is already over the cap adds nothing.
     limitation = F.when(F.col("position") > max_documents, DOCUMENT_LIMIT)
     if depth > max_depth:
         limitation = F.coalesce(limitation, F.lit(DEPTH_LIMIT))
+    # The marker is the first document over the cap, and is written once per notice.
+    marker = ~F.col("_marked") & (F.col("position") == F.greatest("_base", F.lit(max_documents)) + 1)
     return placed.filter(
-        (F.col("position") <= max_documents + 1) & (F.col("_base") <= max_documents)
+        (F.col("position") <= max_documents) | marker
     ).select(
         "opportunity_id", "document_id", F.lit(depth).alias("depth"), F.col("_p.parent_id").alias("parent_id"),
         F.col("_p.role").alias("role"), limitation.alias("limitation"), F.col("position").cast("int").alias("position"))
