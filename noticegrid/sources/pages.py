@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from noticegrid.functions import codes, dates, fixed, html, text, urls
 from noticegrid.functions.record import record
 from noticegrid.operators.predicates import listed
+from noticegrid.sources.landed import fail_unless
 
 ZONE = "Europe/Helsinki"
 MAIN_LENGTH = 100
@@ -191,8 +192,9 @@ def configured_pages(pages: DataFrame, entries: DataFrame, config: dict) -> Data
     ``entries`` holds address, optional title and record kind; the page side is reduced by the join
     before any HTML is parsed.
     """
-    wanted = entries.select(
-        urls.canonical_url(F.col("url")).alias("_key"), F.col("title").alias("_named"), F.col("record_kind").alias("_kind"))
+    wanted = entries.groupBy(urls.canonical_url(F.col("url")).alias("_key")).agg(
+        F.min("title").alias("_named"), F.min("record_kind").alias("_kind"), F.count(F.lit(1)).alias("_n"))
+    wanted = wanted.withColumn("_kind", fail_unless(F.col("_n") == 1, F.col("_kind"), "Duplicate configured scheme URL")).drop("_n")
     rows = pages.withColumn("_key", urls.canonical_url(F.col("url"))).join(wanted, "_key")
     selectors = {"h1": "h1"}
     for name in ("date_selector", "status_selector", "open_date_selector", "rolling_selector"):
