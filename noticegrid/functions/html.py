@@ -210,7 +210,10 @@ CARD = "array<struct<position:int,href:string,title:string,text:string,date_labe
 
 
 def cards(column: Column, config: dict) -> Column:
-    """Catalogue cards of a page in page order, by the selectors of a source's configuration."""
+    """Catalogue cards of a page in page order, by the selectors of a source's configuration.
+
+    A card without a link keeps an empty address; the caller decides what that means.
+    """
 
     def label(card, key):
         node = first(card, config[key]) if config.get(key) else None
@@ -221,12 +224,11 @@ def cards(column: Column, config: dict) -> Column:
         rows = []
         for position, card in enumerate(select(main, config["card_selector"]) if main else []):
             link = card if config.get("link_is_card") else first(card, config["link_selector"])
-            if link is None or not link.attrs.get("href"):
-                continue
+            href = link.attrs.get("href", "") if link is not None else ""
             named = first(card, config["title_selector"]) if config.get("title_selector") else link
             title = text(named, " ") if named is not None else ""
             labels = [label(card, k) for k in ("date_selector", "status_selector", "open_date_selector")]
-            rows.append((position, link.attrs["href"], title, semantic(card), *labels))
+            rows.append((position, href, title, semantic(card), *labels))
         return rows
 
     return _series(one, column, CARD)

@@ -22,14 +22,16 @@ def policy_links(parts: DataFrame, links: str = "links", base: str = "url", *key
     Pictures count only when they show information such as a calendar, and are then required.
     Links to the document itself and malformed addresses are left out.
     """
-    rows = parts.select(*keys, F.col(base).alias("_base"), F.explode(links).alias("l"))
-    rows = rows.select(
-        *keys, "_base", F.col("l.position").alias("position"), F.col("l.image").alias("mandatory"),
-        F.left(link_label(F.col("l")), F.lit(1000)).alias("title"), F.col("l.label").alias("_label"),
-        F.col("l.href").alias("_href"),
-    ).filter(~F.col("mandatory") | F.concat_ws(" ", "_label", "_href").rlike(fixed.INFORMATION))
-    rows = rows.withColumn("target_url", urls.document_url(F.col("_href"), F.col("_base")))
-    rows = rows.filter(F.col("target_url").isNotNull() & ~F.col("target_url").eqNullSafe(urls.document_url(F.col("_base"))))
+    own = urls.document_url(F.col(base))
+    # Addresses are resolved inside the array: a filter on a column made after the explode would be
+    # pushed below it and resolve every address again.
+    resolved = F.transform(links, lambda li: F.struct(
+        li["position"].alias("position"), li["image"].alias("mandatory"),
+        F.left(link_label(li), F.lit(1000)).alias("title"),
+        (~li["image"] | F.concat_ws(" ", li["label"], li["href"]).rlike(fixed.INFORMATION)).alias("wanted"),
+        urls.document_url(li["href"], F.col(base)).alias("target_url")))
+    rows = parts.select(*keys, own.alias("_own"), F.explode(resolved).alias("l")).select(*keys, "_own", "l.*")
+    rows = rows.filter(F.col("wanted") & F.col("target_url").isNotNull() & ~F.col("target_url").eqNullSafe(F.col("_own")))
     policy = link_policy(F.col("target_url"), F.col("title"), F.col("mandatory"))
     return rows.withColumn("_p", policy).select(
         *keys, "position", "target_url", "title", F.col("_p.role").alias("role"), F.col("_p.follow").alias("follow"))

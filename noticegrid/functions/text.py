@@ -46,12 +46,13 @@ def eligibility_excerpt(text: Column) -> Column:
 
 def rule_themes(text: Column) -> Column:
     """Names of the themes with any keyword in the folded text."""
-    folded = fold(text)
-    hits = [
-        F.when(_any(folded.contains(w.replace("ß", "ss")) for w in words), F.lit(theme))
-        for theme, words in fixed.THEMES.items()
-    ]
-    return F.array_compact(F.array(*hits))
+
+    def hits(folded):
+        return F.array_compact(F.array(*(
+            F.when(_any(folded.contains(w.replace("ß", "ss")) for w in words), F.lit(theme))
+            for theme, words in fixed.THEMES.items())))
+
+    return let(fold(text), hits)
 
 
 def _any(conditions) -> Column:

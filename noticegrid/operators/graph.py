@@ -37,22 +37,38 @@ def reach(roots: DataFrame, links: DataFrame, max_depth: int = 4, max_documents:
     ``position``, the order of reach: (depth, parent's position, target).
 
     A document one level below ``max_depth`` is recorded as ``depth_limit`` and not expanded. Beyond
-    ``max_documents`` one further document per notice is recorded as ``document_limit``. Each level
-    joins the frontier with the links, drops what the notice has seen, keeps the earliest parent by
-    aggregation, and is written out, so that neither lineage nor lost executors repeat earlier levels.
+    ``max_documents`` one further document per notice is recorded as ``document_limit``. Each level is
+    one join with the links and one shuffle by notice, and is written out, so that neither lineage
+    nor lost executors repeat earlier levels. The work per notice is bounded: it keeps at most
+    ``max_documents`` + 1 rows, and of a document's links only the leading ones can matter.
     """
-    links = links.select("document_id", "target_id", "role")
-    seen = materialise(_placed_roots(roots, links, max_documents))
-    frontier, levels = seen, [seen]
+    links = materialise(_leading_links(links, 2 * (max_documents + 1)))
+    placed = materialise(_placed_roots(roots, links, max_documents))
+    full = placed.filter(F.col("position") > max_documents).select("opportunity_id").distinct()
+    start = placed.join(full, "opportunity_id", "left_anti")
+    levels, frontier = [placed, _markers_of_full(placed.join(full, "opportunity_id", "left_semi"), links)], start
+    seen = [start]
     for depth in range(1, max_depth + 2):
-        level = materialise(_next_level(frontier, links, _union(levels), depth, max_depth, max_documents))
+        level = materialise(_next_level(frontier, links, _union(seen), depth, max_depth, max_documents))
         if not level.head(1):
             break
         levels.append(level)
+        seen.append(level)
         frontier = level.filter("limitation IS NULL")
     return _union(levels)
 
 
+def _leading_links(links: DataFrame, count: int) -> DataFrame:
+    """First ``count`` distinct targets per document, in target order.
+
+    New documents are taken in that order after skipping those already seen. A notice that can still
+    take one has seen at most half of ``count``, so the rest of a longer list is never reached.
+    """
+    distinct = links.groupBy("document_id", "target_id").agg(F.min("role").alias("role"))
+    order = Window.partitionBy("document_id").orderBy("target_id")
+    return distinct.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= count).drop("_n")
+
+
 def _placed_roots(roots: DataFrame, links: DataFrame, max_documents: int) -> DataFrame:
     """Roots in document order. Only positions up to the cap matter, so later roots share one place."""
     keys = ["opportunity_id", "document_id"]
@@ -65,6 +81,22 @@ def _placed_roots(roots: DataFrame, links: DataFrame, max_documents: int) -> Dat
         F.coalesce("position", F.lit(max_documents + 2)).alias("position"))
 
 
+def _steps(frontier: DataFrame, links: DataFrame) -> DataFrame:
+    step = frontier.select("opportunity_id", F.col("document_id").alias("parent_id"), F.col("position").alias("place"))
+    return step.join(links.withColumnRenamed("document_id", "parent_id"), "parent_id").select(
+        "opportunity_id", F.col("target_id").alias("document_id"), "parent_id", "place", "role")
+
+
+def _markers_of_full(full: DataFrame, links: DataFrame) -> DataFrame:
+    """The one marker of notices whose roots alone exceed the cap; found by aggregation, not by rank."""
+    keys = ["opportunity_id", "document_id"]
+    fresh = _steps(full, links).join(full.select(*keys), keys, "left_anti")
+    first = fresh.groupBy("opportunity_id").agg(F.min(F.struct("place", "document_id", "parent_id", "role")).alias("m"))
+    return first.select(
+        "opportunity_id", "m.document_id", F.lit(1).alias("depth"), "m.parent_id", "m.role",
+        F.lit(DOCUMENT_LIMIT).alias("limitation"), (F.col("m.place") + 1).alias("position"))
+
+
 def _union(levels: list[DataFrame]) -> DataFrame:
     result = levels[0]
     for level in levels[1:]:
@@ -73,29 +105,30 @@ def _union(levels: list[DataFrame]) -> DataFrame:
 
 
 def _next_level(frontier, links, seen, depth, max_depth, max_documents) -> DataFrame:
-    step = frontier.select("opportunity_id", F.col("document_id").alias("parent_id"), F.col("position").alias("parent_position"))
-    candidates = step.join(links.withColumnRenamed("document_id", "parent_id"), "parent_id").select(
-        "opportunity_id", F.col("target_id").alias("document_id"), "parent_id", "parent_position", "role")
-    # Earliest parent wins; several links from one parent to one target keep the smallest role.
-    first = candidates.groupBy("opportunity_id", "document_id").agg(
-        F.min(F.struct("parent_position", "parent_id", "role")).alias("_p"))
-    fresh = first.join(seen.select("opportunity_id", "document_id"), ["opportunity_id", "document_id"], "left_anti")
-    counts = seen.groupBy("opportunity_id").agg(
-        F.max("position").alias("_base"), F.max(F.coalesce(F.col("limitation") == DOCUMENT_LIMIT, F.lit(False))).alias("_marked"))
-    order = Window.partitionBy("opportunity_id").orderBy("_p.parent_position", "document_id")
-    # No notice keeps more than the cap and its marker, so the rank filter also limits the shuffle.
-    ranked = fresh.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_documents + 1)
-    placed = ranked.join(counts, "opportunity_id").withColumn("position", F.col("_base") + F.col("_rank"))
-    limitation = F.when(F.col("position") > max_documents, DOCUMENT_LIMIT)
+    new = _steps(frontier, links).withColumn("fresh", F.lit(1)).withColumn("marked", F.lit(False))
+    old = seen.select(
+        "opportunity_id", "document_id", "parent_id", F.col("position").alias("place"), "role", F.lit(0).alias("fresh"),
+        F.coalesce(F.col("limitation") == DOCUMENT_LIMIT, F.lit(False)).alias("marked"))
+    # Partitioned by notice once: the dedupe and both windows below need no further shuffle.
+    rows = new.unionByName(old).repartition("opportunity_id")
+    # A seen document stays seen; of several parents the earliest wins, then the smallest role.
+    best = rows.groupBy("opportunity_id", "document_id").agg(
+        F.min(F.struct("fresh", "place", "parent_id", "role")).alias("b"), F.max("marked").alias("marked"))
+    notice = Window.partitionBy("opportunity_id")
+    order = notice.orderBy("b.fresh", "b.place", "document_id")
+    known = F.col("b.fresh") == 0
+    placed = best.select(
+        "*", F.row_number().over(order).alias("n"),
+        F.max("marked").over(notice).alias("over")).filter(~known)
+    # Positions of a notice under its cap are dense, so the running number is the position.
+    position = F.col("n")
+    limitation = F.when(position > max_documents, DOCUMENT_LIMIT)
     if depth > max_depth:
         limitation = F.coalesce(limitation, F.lit(DEPTH_LIMIT))
-    # The marker is the first document over the cap, and is written once per notice.
-    marker = ~F.col("_marked") & (F.col("position") == F.greatest("_base", F.lit(max_documents)) + 1)
-    return placed.filter(
-        (F.col("position") <= max_documents) | marker
-    ).select(
-        "opportunity_id", "document_id", F.lit(depth).alias("depth"), F.col("_p.parent_id").alias("parent_id"),
-        F.col("_p.role").alias("role"), limitation.alias("limitation"), F.col("position").cast("int").alias("position"))
+    keep = (position <= max_documents) | (~F.col("over") & (position == max_documents + 1))
+    return placed.filter(keep).select(
+        "opportunity_id", "document_id", F.lit(depth).alias("depth"), F.col("b.parent_id").alias("parent_id"),
+        F.col("b.role").alias("role"), limitation.alias("limitation"), position.alias("position"))
 
 
 def refresh_bridge(old: DataFrame, reached: DataFrame, as_of: str) -> DataFrame:

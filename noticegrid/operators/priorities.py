@@ -81,7 +81,9 @@ def directory(view: DataFrame, groups: list[dict], measures: dict | None = None)
     groups x tasks rows however large the registry is. Groups without notices keep zero counts.
     """
     measures = measures or MEASURES
-    flags = view.select(
+    # Reaches the notice scan through the view's outer joins, so other notices are not joined at all.
+    member = reduce(Column.__or__, (group_predicate(g) for g in groups))
+    flags = view.filter(member).select(
         F.explode(membership_array(groups)).alias("priority_id"),
         *(F.coalesce(cond(), F.lit(False)).alias(name) for name, cond in measures.items()),
     )

@@ -57,12 +57,12 @@ def _(r):
 
 @query("b03_clean_html", page_text("html", "script,style,noscript").replace("AS txt", "AS text"))
 def _(r):
-    return r.pages.select("page_id", html.clean_html(F.col("html")).alias("text"))
+    return r.spread("pages").select("page_id", html.clean_html(F.col("html")).alias("text"))
 
 
 @query("b04_semantic_text", page_text("html", "script,style,noscript,nav,footer,form").replace("AS txt", "AS text"))
 def _(r):
-    return r.pages.select("page_id", html.semantic_text(F.col("html")).alias("text"))
+    return r.spread("pages").select("page_id", html.semantic_text(F.col("html")).alias("text"))
 
 
 @query("b05_language_fallback", """
@@ -98,8 +98,8 @@ FROM (SELECT page_id, url, unnest(string_split(html, '<a ')) AS piece, generate_
 SELECT a.page_id, a.position, lower(u.scheme) || '://' || u.host || a.href AS target_url FROM ox_anchors a JOIN ox_page_urls u ON u.page_id = a.page_id
 UNION ALL SELECT page_id, -1, document FROM ox_page_ids""")
 def _(r):
-    raw = r.pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("position", "href"))
-    own = r.pages.select("page_id", F.lit(-1).alias("position"), urls.document_url(F.col("url")).alias("target_url"))
+    raw = r.spread("pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("position", "href"))
+    own = r.spread("pages").select("page_id", F.lit(-1).alias("position"), urls.document_url(F.col("url")).alias("target_url"))
     return raw.select(
         "page_id", "position", urls.document_url(F.col("href"), F.col("url")).alias("target_url")
     ).unionByName(own).withColumn("position", F.col("position").cast("bigint"))
@@ -141,7 +141,7 @@ def _(r):
         .when(key == 1, F.date_format(day, "'Call closes:' d MMMM yyyy', 17.00 CEST'"))
         .when(key == 2, F.date_format(day, "yyyy-MM-dd' 23:00: CET'"))
         .otherwise(F.concat_ws(" - ", F.date_format(day, "d.M.yyyy"), F.date_format(F.date_add(day.cast("date"), 10), "d.M.yyyy"))))
-    found = r.orders.select(F.col("o_orderkey").alias("id"), F.posexplode(dates.dates_in_label(label, "Europe/Helsinki")).alias("position", "d"))
+    found = r.spread("orders").select(F.col("o_orderkey").alias("id"), F.posexplode(dates.dates_in_label(label, "Europe/Helsinki")).alias("position", "d"))
     return found.select("id", F.col("position").cast("int").alias("position"), "d.due_on", "d.due_at")
 
 
@@ -232,7 +232,7 @@ FROM (SELECT doc_id, unnest(string_split(replace(text, ' the ', ' who can apply
   generate_subscripts(string_split(replace(text, ' the ', ' who can apply '), chr(10)), 1) AS pos FROM documents) GROUP BY doc_id""")
 def _(r):
     body = F.replace(F.col("text"), F.lit(" the "), F.lit(" who can apply "))
-    return r.documents.select("doc_id", text.eligibility_excerpt(body).alias("excerpt"))
+    return r.spread("documents").select("doc_id", text.eligibility_excerpt(body).alias("excerpt"))
 
 
 def _theme_sql():
@@ -250,7 +250,7 @@ def _(r):
     body = F.col("text")
     for fragment, word in (("tion", "innovation"), ("ther", "water"), ("sch", "energia")):
         body = F.replace(body, F.lit(fragment), F.lit(word))
-    return r.documents.select("doc_id", F.explode(text.rule_themes(body)).alias("theme"))
+    return r.spread("documents").select("doc_id", F.explode(text.rule_themes(body)).alias("theme"))
 
 
 @query("b30_safe_cell", r"""
@@ -324,7 +324,7 @@ SELECT page_id, position, CASE WHEN regexp_matches(target_url, '(?i)\\.(pdf|docx
   (regexp_matches(target_url, '(?i)\\.(pdf|docx?|zip)($|[?#])') OR regexp_matches(title || ' ' || target_url, '{_RELEVANT}') OR regexp_matches(title || ' ' || target_url, '{_INFORMATION}'))
     AND NOT regexp_matches(title || ' ' || target_url, '{_NAVIGATION}') AS follow FROM l""")
 def _(r):
-    raw = r.pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">[^<]*</a>'), 0)).alias("position", "a"))
+    raw = r.spread("pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">[^<]*</a>'), 0)).alias("position", "a"))
     href = F.regexp_extract("a", 'href="([^"]*)"', 1)
     target = F.concat(urls.document_url(href, F.col("url")), F.when(F.col("position") % 3 == 0, ".pdf").otherwise(""))
     label = _decorate(F.trim(F.regexp_extract("a", ">([^<]*)<", 1)), F.col("position"))
@@ -346,7 +346,7 @@ def _(r):
     # The test pages keep their links in the navigation block, which documents leave out; it is renamed here.
     body = F.replace(F.replace(F.replace(F.replace("html", F.lit("<nav>"), F.lit("<div>")), F.lit("</nav>"), F.lit("</div>")),
                                F.lit("<article"), F.lit("<section")), F.lit("</article>"), F.lit("</section>"))
-    parts = r.pages.select("page_id", "url", html.document_part(body).alias("p"))
+    parts = r.spread("pages").select("page_id", "url", html.document_part(body).alias("p"))
     rows = links.policy_links(parts.select("page_id", "url", "p.links"), "links", "url", "page_id")
     return rows.groupBy("page_id", "target_url").agg(F.count(F.lit(1)).alias("links"))
 

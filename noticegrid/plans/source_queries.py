@@ -209,7 +209,7 @@ SELECT DISTINCT a.page_id, CASE WHEN rtrim(a.href, '/') = '' THEN lower(u.scheme
   arg_min(a.label, a.position) AS title FROM ox_anchors a JOIN ox_page_urls u ON u.page_id = a.page_id
 WHERE a.label <> '' AND NOT starts_with(lower(a.label), 'the') GROUP BY ALL""")
 def _(r):
-    cards = pages.catalogue_cards(r.pages, CATALOGUE)
+    cards = pages.catalogue_cards(r.spread("pages"), CATALOGUE)
     return cards.groupBy("page_id", "target").agg(F.min_by("title", "position").alias("title"))
 
 
@@ -218,7 +218,7 @@ WITH c AS (SELECT lower(u.scheme) || '://' || u.host || rtrim(a.href, '/') AS ta
   FROM ox_anchors a JOIN ox_page_urls u ON u.page_id = a.page_id WHERE a.label <> '' AND NOT starts_with(lower(a.label), 'the'))
 SELECT target AS external_id, arg_min(label, page_id) AS title, COUNT(*) AS listings, COUNT(DISTINCT label) > 1 AS conflict, 'unknown' AS source_status FROM c WHERE rn = 1 GROUP BY target""")
 def _(r):
-    cards = pages.distinct_cards(pages.catalogue_cards(r.pages, CATALOGUE))
+    cards = pages.distinct_cards(pages.catalogue_cards(r.spread("pages"), CATALOGUE))
     return pages.catalogue_records(cards, CATALOGUE).select("external_id", "title", "listings", "conflict", "source_status")
 
 
@@ -244,7 +244,7 @@ FROM (SELECT page_id, string_agg(piece, chr(10) ORDER BY pos) FILTER (WHERE piec
   FROM (SELECT page_id, unnest(string_split_regex(art, '<[^<>]*>')) AS p, generate_subscripts(string_split_regex(art, '<[^<>]*>'), 1) AS pos FROM (
     SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>.*</article>'), '(?s)<!--.*?-->', '<i>', 'g') AS art FROM pages))) GROUP BY page_id)""")
 def _(r):
-    return pages.watched_pages(r.pages).select("page_id", "text_hash", "reason")
+    return pages.watched_pages(r.spread("pages")).select("page_id", "text_hash", "reason")
 
 
 # --- A08, A10, A11, A12 ---------------------------------------------------------------------
@@ -317,14 +317,14 @@ def _(r):
 @query("j08_streamed_page_changes", """
 SELECT source_id, event_id, CASE WHEN previous_hash IS NULL THEN 'source_discovered' WHEN previous_hash <> text_hash THEN 'source_changed' ELSE 'same' END AS kind FROM ox_page_changes""")
 def _(r):
-    landing, out, state = (shared_dir(r.spark, p) for p in ("observed", "changes", "state"))
+    landing, out, last, state = (shared_dir(r.spark, p) for p in ("observed", "changes", "last", "state"))
     rows = r.fx_observations
     at = F.unix_micros(F.col("observed_at").cast("timestamp_ltz"))
     middle = rows.agg(F.percentile_approx(at, 0.5).alias("m")).first().m
     for part in (at <= middle, at > middle):
         rows.filter(part).write.mode("append").parquet(landing)
-        feed.consume(watch.watch_changes(r.spark.readStream.schema(rows.schema).parquet(landing)), out, state)
-    return r.spark.read.schema(watch.OUTPUT).parquet(out)
+        watch.detect_changes(r.spark.readStream.schema(rows.schema).parquet(landing), out, last, state)
+    return r.spark.read.schema(watch.OUTPUT).parquet(out).select("source_id", "event_id", "kind")
 
 
 SHARED["ox_runs"] = """

@@ -136,16 +136,20 @@ def post_calls(posts: DataFrame, taxonomy: DataFrame, config: dict) -> DataFrame
 # --- catalogues -----------------------------------------------------------------------------
 def catalogue_cards(pages: DataFrame, config: dict) -> DataFrame:
     """Kept cards: absolute address, title, texts. ``page_id`` and ``position`` give listing order."""
-    rows = pages.select("page_id", F.col("url").alias("listing_url"), F.explode(html.cards(F.col("html"), config)).alias("c"))
-    rows = rows.select(
-        "page_id", "listing_url", F.col("c.position").alias("position"), F.col("c.title").alias("title"),
-        F.col("c.text").alias("text"), F.col("c.date_label").alias("date_label"),
-        F.col("c.status_label").alias("status_label"), F.col("c.open_label").alias("open_label"),
-        urls.canonical_url(urls.resolve(F.col("c.href"), F.col("listing_url"))).alias("target"))
+    found = pages.select("page_id", F.col("url").alias("listing_url"), html.cards(F.col("html"), config).alias("_cards"))
+    # Addresses are resolved inside the array, so that the filters below do not resolve them again.
+    fields = ("position", "title", "text", "date_label", "status_label", "open_label")
+    resolved = F.transform("_cards", lambda c: F.struct(
+        *(c[f].alias(f) for f in fields), (F.length(c["href"]) > 0).alias("linked"),
+        urls.canonical_url(urls.resolve(c["href"], F.col("listing_url"))).alias("target")))
+    checked = fail_unless(F.size("_cards") > 0, resolved, "Funder cards missing; parser review required")
+    rows = found.select("page_id", "listing_url", F.explode(checked).alias("c")).select("page_id", "listing_url", "c.*")
+    if not config.get("skip_cards_without_link"):
+        rows = rows.withColumn("linked", fail_unless(F.col("linked"), F.col("linked"), "Funder card link missing"))
     keep = listed(
         F.col("target"), F.col("title"), include_url=config.get("include_url"),
         include_title=config.get("include_title"), exclude_title=config.get("exclude_title"))
-    return rows.filter((F.length("title") > 0) & F.col("target").isNotNull() & keep)
+    return rows.filter(F.col("linked") & (F.length("title") > 0) & F.col("target").isNotNull() & keep).drop("linked")
 
 
 def distinct_cards(cards: DataFrame) -> DataFrame:
