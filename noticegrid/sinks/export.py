@@ -81,12 +81,12 @@ def write_contents(blobs: DataFrame, path: str) -> DataFrame:
     named = content_files(blobs)
 
     def write(rows):
-        import os
+        store, root = _store(path)
         for sub in ("originals", "texts"):
-            os.makedirs(os.path.join(path, sub), exist_ok=True)
+            store.create_dir(f"{root}/{sub}")
         for row in rows:
-            _put(os.path.join(path, row.original_file), bytes(row.original))
-            _put(os.path.join(path, row.text_file), row.text.encode("utf-8"))
+            _put(store, f"{root}/{row.original_file}", bytes(row.original))
+            _put(store, f"{root}/{row.text_file}", row.text.encode("utf-8"))
 
     named.select("original", "text", "original_file", "text_file").foreachPartition(write)
     index = named.drop("original", "text")
@@ -94,14 +94,21 @@ def write_contents(blobs: DataFrame, path: str) -> DataFrame:
     return index
 
 
-def _put(name: str, data: bytes) -> None:
-    import os
+def _store(path: str):
+    """(file system, root) of a folder that every executor reaches: a mounted path or a URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _put(store, name: str, data: bytes) -> None:
+    """Write beside the target and move into place, so a lost task leaves no half file under the name."""
     import uuid
 
     part = f"{name}.{uuid.uuid4().hex}.part"
-    with open(part, "wb") as stream:
+    with store.open_output_stream(part) as stream:
         stream.write(data)
-    os.replace(part, name)
+    store.move(part, name)
 
 
 def issue_text(error: Column, limitation: Column) -> Column:
@@ -153,24 +160,24 @@ def write_indexes(fragments: DataFrame, path: str, partitions: int | None = None
     rows = fragments.withColumn("heading", html_escape(F.col("title"))).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
     def write(index, it):
-        import os
-        os.makedirs(path, exist_ok=True)
+        store, root = _store(path)
+        store.create_dir(root)
         current, stream, target = None, None, None
 
         def close():
             if stream:
-                stream.write(FOOT)
+                stream.write(FOOT.encode("utf-8"))
                 stream.close()
-                os.replace(target + ".part", target)
+                store.move(target + ".part", target)
 
         for row in it:
             if row.opportunity_id != current:
                 close()
                 current = row.opportunity_id
-                target = os.path.join(path, f"{current}.{index:05d}.html")
-                stream = open(target + ".part", "w", encoding="utf-8")
-                stream.write(HEAD.format(row.heading))
-            stream.write(row.fragment)
+                target = f"{root}/{current}.{index:05d}.html"
+                stream = store.open_output_stream(target + ".part")
+                stream.write(HEAD.format(row.heading).encode("utf-8"))
+            stream.write(row.fragment.encode("utf-8"))
         close()
         return iter(())
 
