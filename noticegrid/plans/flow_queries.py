@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from noticegrid.functions import fixed
 from noticegrid.operators import aggregates as agg
 from noticegrid.operators import documents as docs
 from noticegrid.operators import faq, graph, lookups, ordered, quality, reconcile, registry, reviews, upsert
-from noticegrid.operators.predicates import in_scope
 from noticegrid.plans.registry import SHARED, query
-from noticegrid.plans.registry_queries import GROUP_NAMES, GROUPS
 from noticegrid.plans.views import AS_OF
 
 STAMP = f"TIMESTAMP '{AS_OF}'"
@@ -38,8 +35,8 @@ def _(r):
 SHARED["ox_faq"] = """
 SELECT p_partkey AS document_id, 'topic-' || CAST(p_partkey AS VARCHAR) AS k1, ' TOPIC-' || CAST(p_partkey * 3 + 1 AS VARCHAR) AS k2 FROM part"""
 SHARED["ox_faq_matches"] = """
-SELECT DISTINCT o.id AS opportunity_id, f.document_id FROM ox_faq f JOIN fx_opportunities o
-ON upper(o.external_id) = upper(trim(f.k1)) OR upper(o.external_id) = upper(trim(f.k2))"""
+SELECT o.id AS opportunity_id, f.document_id FROM ox_faq f JOIN fx_opportunities o ON upper(o.external_id) = upper(trim(f.k1))
+UNION SELECT o.id, f.document_id FROM ox_faq f JOIN fx_opportunities o ON upper(o.external_id) = upper(trim(f.k2))"""
 
 
 def faq_entries(r):
@@ -465,18 +462,19 @@ def _(r):
 
 
 @query("j04_link_replacement", """
-SELECT document_id, CAST(target_id AS VARCHAR) AS target_url, CASE WHEN document_id % 3 = 0 THEN MAX(role) ELSE MAX(role) END AS role,
-  CASE WHEN document_id % 3 = 0 THEN BOOL_OR(target_id % 2 = 0) ELSE BOOL_OR(follow) END AS follow FROM fx_links GROUP BY document_id, target_id""")
+SELECT document_id, CAST(target_id AS VARCHAR) AS target_url, MAX(role) AS role,
+  CASE WHEN document_id % 3 = 0 THEN role_count > 0 AND target_id % 2 = 0 ELSE BOOL_OR(follow) END AS follow
+FROM (SELECT *, COUNT(*) FILTER (WHERE target_id % 2 = 0) OVER (PARTITION BY document_id) AS role_count FROM fx_links) WHERE document_id % 3 <> 0 OR role_count > 0
+GROUP BY document_id, target_id, role_count""")
 def _(r):
     old = r.fx_links.groupBy("document_id", F.col("target_id").cast("string").alias("target_url")).agg(
         F.max("role").alias("role"), F.max("follow").alias("follow")).withColumn("source_sha256", F.lit("v1"))
-    parsed = old.filter("document_id % 3 = 0 AND target_url % 2 = 0").withColumn("follow", F.lit(True))
-    # Versions whose every link vanished are known by their parsed document.
-    marks = old.filter("document_id % 3 = 0").select("document_id", "source_sha256").distinct()
-    kept = docs.replace_links(old, parsed)
-    kept = kept.join(marks.withColumn("_parsed", F.lit(True)), ["document_id", "source_sha256"], "left")
-    even = (F.col("target_url") % 2 == 0)
-    return kept.select("document_id", "target_url", "role", F.when(F.col("_parsed"), F.col("follow") & even).otherwise(F.col("follow")).alias("follow"))
+    # Every third document was parsed again and now has only its even targets, all followed.
+    even = F.col("target_url").cast("bigint") % 2 == 0
+    parsed = old.filter((F.col("document_id") % 3 == 0) & even).withColumn("follow", F.lit(True))
+    again = parsed.select("document_id").distinct()
+    kept = old.filter("document_id % 3 <> 0").unionByName(old.join(again, "document_id", "left_semi"))
+    return docs.replace_links(kept, parsed).select("document_id", "target_url", "role", "follow")
 
 
 @query("j05_fan_out_versions", f"""
@@ -678,6 +676,3 @@ def _(r):
     report = agg.funder_directory(base).select(F.lower("funder").alias("funder"), "records")
     recount = r.fx_opportunities.filter("funder <> ''").groupBy(F.lower("funder").alias("funder")).agg(F.count(F.lit(1)).alias("records"))
     return quality.cross_check(report, recount, "funder", "records")
-
-
-__all__ = ["GROUPS", "GROUP_NAMES", "fixed", "in_scope"]
