@@ -10,6 +10,9 @@ from noticegrid.operators import faq, graph, lookups, ordered, quality, reconcil
 from noticegrid.plans.registry import SHARED, query
 from noticegrid.plans.views import AS_OF
 
+# Above any reach in the test graph (out-degree 3, depth 5, at most 7 roots), so that these queries
+# show plain reachability; i03 shows the cap.
+UNCAPPED = 5000
 STAMP = f"TIMESTAMP '{AS_OF}'"
 
 SHARED["ox_flow_links"] = "SELECT document_id, target_id, role FROM fx_links WHERE follow"
@@ -335,7 +338,7 @@ def roots(r):
 
 @query("i02_bounded_reach", "SELECT opportunity_id, document_id, depth, CASE WHEN depth = 5 THEN 'depth_limit' END AS limitation FROM ox_reach")
 def _(r):
-    return graph.reach(roots(r), followed(r), 4, 250).select("opportunity_id", "document_id", "depth", "limitation")
+    return graph.reach(roots(r), followed(r), 4, UNCAPPED).select("opportunity_id", "document_id", "depth", "limitation")
 
 
 @query("i03_document_cap", """
@@ -359,7 +362,7 @@ SELECT COALESCE(o.opportunity_id, n.opportunity_id) AS opportunity_id, COALESCE(
 FROM fx_opportunity_documents o FULL OUTER JOIN ox_reach n ON n.opportunity_id = o.opportunity_id AND n.document_id = o.document_id""")
 def _(r):
     old = old_bridge(r)
-    return graph.refresh_bridge(old, graph.reach(roots(r), followed(r), 4, 250), r.as_of).select(
+    return graph.refresh_bridge(old, graph.reach(roots(r), followed(r), 4, UNCAPPED), r.as_of).select(
         "opportunity_id", "document_id", "depth", "is_root", "active", "first_seen_at")
 
 
@@ -372,7 +375,7 @@ FROM fx_opportunity_documents o FULL OUTER JOIN (SELECT * FROM ox_reach WHERE op
 def _(r):
     changed = r.fx_documents.filter("parser = 'Brand#7'").select(F.col("id").alias("document_id"))
     affected = lookups.affected_notices(changed, None, r.fx_opportunity_documents, shared=False)
-    return graph.refresh_notices(affected, old_bridge(r), followed(r), r.as_of).select("opportunity_id", "document_id", "active")
+    return graph.refresh_notices(affected, old_bridge(r), followed(r), r.as_of, 4, UNCAPPED).select("opportunity_id", "document_id", "active")
 
 
 # --- upsert ---------------------------------------------------------------------------------

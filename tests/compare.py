@@ -46,14 +46,15 @@ def types(table):
 def check(spark, con, name, fn, sql, path):
     """A list of differences; empty when both engines agree."""
     got = fn(spark, path).toArrow()
-    want = con.execute(sql).to_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     problems = []
     (gn, gr), (wn, wr) = rows(got), rows(want)
     if gn != wn:
         problems.append(f"columns {gn} <> {wn}")
     elif gr != wr:
-        extra = [r for r in gr if r not in set(wr)][:2]
-        missing = [r for r in wr if r not in set(gr)][:2]
+        got_set, want_set = set(gr), set(wr)
+        extra = [r for r in gr if r not in want_set][:2]
+        missing = [r for r in wr if r not in got_set][:2]
         problems.append(f"rows {len(gr)} <> {len(wr)}; spark only {extra}; duckdb only {missing}")
     if not problems and types(got) != types(want):
         gt, wt = types(got), types(want)
