@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,6 +190,12 @@ def pending_of_current(notices: DataFrame, bridge: DataFrame, documents: DataFra
     return pending.agg(F.count(F.lit(1)).alias("current_or_unknown_pending_documents"))
 
 
+def one_row(*counters: DataFrame) -> DataFrame:
+    """One-row counter tables side by side."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), counters)
+    return stacked.agg(*(F.max(c).alias(c) for c in stacked.columns))
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     parts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n") for name, t in tables.items()]
     result = parts[0]

@@ -50,10 +50,10 @@ def document_version(documents: DataFrame, versions: DataFrame, blobs: DataFrame
     wanted = F.coalesce(F.lit(sha256), F.col("current_sha256")) if sha256 else F.col("current_sha256")
     history = versions.filter(F.col("document_id") == document)
     chosen = doc.withColumn("sha256", wanted).join(history.select("sha256"), "sha256", "left_semi")
-    counted = history.agg(F.count(F.lit(1)).alias("versions"))
-    edges = links.filter(F.col("document_id") == document).agg(
+    counted = history.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("versions"))
+    edges = links.filter(F.col("document_id") == document).groupBy(F.col("document_id").alias("id")).agg(
         F.count(F.lit(1)).alias("links"), F.count(F.when(F.col("follow"), 1)).alias("followed"))
-    return chosen.join(blobs, "sha256").join(F.broadcast(counted)).join(F.broadcast(edges))
+    return chosen.join(blobs, "sha256").join(counted, "id").join(edges, "id", "left").fillna(0, ["links", "followed"])
 
 
 def current_links(links: DataFrame, documents: DataFrame) -> DataFrame:

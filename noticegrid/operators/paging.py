@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from noticegrid.functions.codes import status_rank
 from noticegrid.operators.registry import (
@@ -41,16 +42,14 @@ def change_page(changes: DataFrame, after_id: int = 0, through_id: int | None =
     if through_id is None:
         through_id = changes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first().m
     rows = changes.filter((F.col("id") > after_id) & (F.col("id") <= through_id)).orderBy("id").limit(limit + 1)
-    # limit + 1 rows at most.
-    facts = rows.agg(F.count(F.lit(1)).alias("_n"), F.sort_array(F.collect_list("id")).alias("_ids"))
-    return (
-        rows.join(F.broadcast(facts))
-        .filter(F.col("id") <= F.element_at(F.slice("_ids", 1, limit), -1))
-        .withColumn("through_id", F.lit(through_id).cast("bigint"))
-        .withColumn("has_more", F.col("_n") > limit)
-        .withColumn("next_after_id", F.element_at(F.slice("_ids", 1, limit), -1))
-        .drop("_n", "_ids")
-    )
+    # limit + 1 rows at most, so one window over them is bounded.
+    page = Window.partitionBy(F.lit(0))
+    rows = rows.withColumn("_rank", F.row_number().over(page.orderBy("id")))
+    return rows.select(
+        *changes.columns, "_rank", F.lit(through_id).cast("bigint").alias("through_id"),
+        (F.count(F.lit(1)).over(page) > limit).alias("has_more"),
+        F.max(F.when(F.col("_rank") <= limit, F.col("id"))).over(page).alias("next_after_id"),
+    ).filter(F.col("_rank") <= limit).drop("_rank")
 
 
 def latest(df: DataFrame, stamp: str, key: str, limit: int = 50) -> DataFrame:

@@ -450,7 +450,7 @@ SELECT (SELECT COUNT(DISTINCT d.id) FROM fx_documents d JOIN fx_opportunity_docu
   COUNT(*) FILTER (WHERE state = 'pending' AND error LIKE 'RATE_LIMIT|%') AS rate_limit_deferred_documents FROM fx_documents""")
 def _(r):
     pending = agg.pending_of_current(base(r), r.fx_opportunity_documents, r.fx_documents)
-    return agg.content_gaps(r.fx_documents).join(F.broadcast(pending))
+    return agg.one_row(agg.content_gaps(r.fx_documents), pending)
 
 
 @query("e13_table_counts", " UNION ALL ".join(
