@@ -24,18 +24,23 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 def slices(batches: Iterable[pa.RecordBatch], chars: int = SLICE_CHARS, rows: int = 1_000) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) in lists of at most ``rows`` texts and about ``chars`` characters."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        start, size = 0, 0
-        out: list[str] = []
-        for i in range(len(ids)):
-            text = texts[i].as_py()
-            if out and (size + len(text) > chars or len(out) >= rows):
-                yield ids[start:i], out
-                start, size, out = i, 0, []
-            out.append(text)
-            size += len(text)
-        if out:
-            yield ids[start:], out
+        ids, start = batch.column(0).to_pylist(), 0
+        for texts in text_slices((x.as_py() for x in batch.column(1)), chars, rows):
+            yield ids[start:start + len(texts)], texts
+            start += len(texts)
+
+
+def text_slices(texts: Iterable[str], chars: int = SLICE_CHARS, rows: int = 1_000) -> Iterator[list[str]]:
+    """The texts of one batch in lists of at most ``rows`` texts and about ``chars`` characters."""
+    out, size = [], 0
+    for text in texts:
+        if out and (size + len(text) > chars or len(out) >= rows):
+            yield out
+            out, size = [], 0
+        out.append(text)
+        size += len(text)
+    if out:
+        yield out
 
 
 def per_slice(docs: DataFrame, make: Callable[[], Callable[[list, list[str]], dict]], schema: str) -> DataFrame:
