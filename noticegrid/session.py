@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import pathlib
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +26,25 @@ SQL_CONF = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package as a zip that Spark itself distributes, once an application."""
+    context = spark.sparkContext
+    if getattr(context, "_noticegrid_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="noticegrid-")  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "noticegrid.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent).as_posix())
+    context.addPyFile(path)
+    context._noticegrid_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings to a session created elsewhere (driver, notebook, test)."""
+    """Apply the SQL settings to a session created elsewhere (driver, notebook, test); ship the package."""
+    ship(spark)
     for key, value in SQL_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
