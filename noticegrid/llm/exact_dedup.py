@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from noticegrid.session import materialise
 
 SHARD_KEYS = 50_000
-TASK_ROWS = 200_000
+TASK_ROWS = 20_000
 WHITE = " \t\n\x0b\x0c\r"
 PILOT_LOAD = 4  # keys to a bucket of the perfect hash
 SHARD_SCHEMA = "shard bigint, keys bigint, index binary"

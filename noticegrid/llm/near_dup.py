@@ -242,3 +242,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, coo
     return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )
+
+
+def group_representatives(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: the least id of each component.
+
+    A row with a null id stays. Where several rows share an id, they stay if one of them does.
+    """
+    rows = materialise(near_duplicates(docs, **options).select("doc_id", "kept"))
+    gone = rows.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"))
+    return keyed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")

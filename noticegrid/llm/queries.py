@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticegrid.llm import exact_dedup, near_dup, packing, repetition, token_counts
+from noticegrid.llm import exact_dedup, mixing, near_dup, packing, repetition, token_counts
 from noticegrid.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,48 @@ FROM prints
 """
 
 
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_mixing"] = r"""
+WITH rows AS (
+    SELECT doc_id, source, coalesce('=' || source, '') AS key,
+           CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
+           CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place
+    FROM documents
+), totals AS (
+    SELECT key, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS docs FROM rows GROUP BY key
+), ends AS (
+    SELECT max(tokens) AS most, min(tokens) AS least FROM totals WHERE tokens > 0
+), chosen AS (
+    SELECT coalesce(min(k), 1024) AS k
+    FROM ends, range(0, 1025) AS grid(k)
+    WHERE pow(CAST(most AS DOUBLE) / least, 1 - k / 1024.0) <= 2.0
+), given AS (
+    SELECT key, tokens, docs, k,
+           CASE WHEN tokens > 0 THEN CAST(floor(tokens * pow(CAST(most AS DOUBLE) / tokens, 1 - k / 1024.0) + 1e-6) AS BIGINT) ELSE 0 END AS given
+    FROM totals, ends, chosen
+), plan AS (
+    SELECT *, CASE WHEN tokens = 0 THEN 1 ELSE given // tokens END AS whole,
+           CASE WHEN tokens = 0 THEN 0 ELSE given % tokens END AS part,
+           CAST(ceil(docs / 1000.0) AS BIGINT) AS blocks
+    FROM given
+), placed AS (
+    SELECT r.*, p.* EXCLUDE (key), ((place >> 28) * blocks) >> 32 AS block,
+           CAST(coalesce(sum(n_tokens) OVER (
+               PARTITION BY r.key ORDER BY place, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+    FROM rows r JOIN plan p ON r.key = p.key
+), copied AS (
+    SELECT *, whole + CASE WHEN n_tokens > 0 AND before + n_tokens <= part THEN 1 ELSE 0 END AS copies FROM placed
+)
+SELECT doc_id, source, n_tokens, k / 1024.0::DOUBLE AS exponent, pass, block,
+       CAST(pass * tokens + before AS DOUBLE) / CAST(greatest(given, 1) AS DOUBLE) AS mix_order
+FROM copied, LATERAL (SELECT unnest(range(0, copies)) AS pass)
+"""
+
+
 @query
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
