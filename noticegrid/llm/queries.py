@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticegrid.llm import exact_dedup, mixing, near_dup, packing, repetition, token_counts
+from noticegrid.llm import exact_dedup, mixing, near_dup, packing, quality_trees, repetition, token_counts, toxicity
 from noticegrid.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ FROM prints
 """
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -89,6 +94,11 @@ FROM copied, LATERAL (SELECT unnest(range(0, copies)) AS pass)
 """
 
 
+@query
+def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_trees.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
