@@ -7,12 +7,14 @@ Documents with equal shingle sets are one class. Each class posts itself under e
 * skip: a class with fewer pairs that anyone else has cannot reach that number and leaves;
 * prefix: of a class with m shared pairs the m - least_matches + 1 rarest are enough to meet every
   partner, which leaves the pairs of common passages out;
-* count: agreements of the signatures are counted where two classes meet, and only those at the
-  threshold are confirmed on the full sets.
-
-Meetings are not spelled out within a bucket. First every class meets the pivot of each of its
-buckets, and the confirmed links contract to components. Only buckets that still hold different
-components are looked through, block against block, and only for pairs of different components.
+* count: agreements of the signatures are counted where a class meets the pivot of a bucket, the
+  class whose pairs are shared most, and those at the threshold are confirmed on the full sets.
+
+The confirmed links contract to components, so the meetings within a bucket are never spelled out.
+What is left is an exact pass over the full sets of the remaining classes: shingles are ordered from
+rare to common, the same skip and prefix rules hold for them, and only meetings of different
+components whose places in the order still allow the similarity are confirmed. A bucket is compared
+block against block.
 """
 
 from __future__ import annotations
@@ -64,16 +66,20 @@ def prints(docs: DataFrame, size: int, count: int = COORDINATES) -> DataFrame:
 
 
 def postings(classes: DataFrame, matches: int) -> DataFrame:
-    """``cid, token``: the prefix of each class that can reach ``matches`` agreements."""
+    """``cid, token, central``: the prefix of each class that can reach ``matches`` agreements.
+
+    ``central`` is the number of classes met under all of a class's pairs, so the original of a
+    group of edited copies has the largest.
+    """
     tokens = classes.select("cid", F.posexplode("sig").alias("k", "v")).select(
         "cid", F.expr("shiftleft(cast(k as bigint), 32) | (cast(v as bigint) & 4294967295L)").alias("token")
     )
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = Window.partitionBy("cid")  # at most one row a coordinate
-    ranked = tokens.join(shared, "token").withColumns(
-        {"m": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("df", "token"))}
-    )
-    return ranked.filter(F.col("rank") <= F.col("m") - matches + 1).select("cid", "token")
+    ranked = tokens.join(shared, "token").withColumns({
+        "m": F.count(F.lit(1)).over(own), "central": F.sum("df").over(own), "rank": F.row_number().over(own.orderBy("df", "token")),
+    })
+    return ranked.filter(F.col("rank") <= F.col("m") - matches + 1).select("cid", "token", "central")
 
 
 def near_sizes(a: str, b: str, num: int, den: int):
@@ -82,48 +88,63 @@ def near_sizes(a: str, b: str, num: int, den: int):
 
 
 def pivot_pairs(posted: DataFrame, classes: DataFrame, matches: int, num: int, den: int) -> DataFrame:
-    """``a, b``: for each class the pivots worth confirming, at most two.
-
-    A bucket's pivot is its class with the least hashed id, so one class is the pivot of most buckets
-    of a group of near copies.
-    """
-    pivots = posted.groupBy("token").agg(F.min(F.struct(F.xxhash64("cid").alias("p"), F.col("cid").alias("b"))).alias("pivot"))
-    met = posted.join(pivots, "token").select(F.col("cid").alias("a"), F.col("pivot.b").alias("b"), F.col("pivot.p").alias("p")).filter("a <> b").distinct()
+    """``a, b``: for each class the pivots worth confirming, two at most."""
+    rank = F.struct("central", (-F.col("cid")).alias("minus"))
+    pivots = posted.groupBy("token").agg(F.max(rank).alias("pivot"))
+    met = posted.join(pivots, "token").select(
+        F.col("cid").alias("a"), (-F.col("pivot.minus")).alias("b"), F.col("pivot.central").alias("central")
+    ).filter("a <> b").distinct()
     one = classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     two = classes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     counted = met.join(one, "a").join(two, "b").filter(near_sizes("n_a", "n_b", num, den)).withColumn("hits", F.expr(HITS)).filter(F.col("hits") >= matches)
     likely = F.col("hits") * den >= num * F.size("sig_a")
     chosen = counted.groupBy("a").agg(
-        F.min(F.when(likely, F.struct("p", "b"))).alias("first"), F.max(F.struct("hits", "b")).alias("best")
+        F.max(F.when(likely, F.struct("central", "b"))).alias("first"), F.max(F.struct("hits", "b")).alias("best")
     )
     return chosen.select("a", F.explode(F.array("first.b", "best.b")).alias("b")).filter("b is not null").distinct()
 
 
-def block_pairs(posted: DataFrame, classes: DataFrame, labels: DataFrame, matches: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """``a, b``: meetings of different components with enough agreements.
+def set_postings(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``item, cid, n, rest``: prefixes of the full sets, from rare to common shingles.
+
+    ``rest`` counts the shingles from this one on. Two sets that first meet at a shingle have at most
+    the smaller rest in common, and a similar pair meets in both prefixes.
+    """
+    items = sets.select("cid", "n", F.explode("items").alias("item"))
+    shared = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = Window.partitionBy("cid")  # the shingles of one text
+    ranked = items.join(shared, "item").withColumns({
+        "shared": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("df", "item")),
+    })
+    rest = F.col("shared") - F.col("rank") + 1
+    return ranked.select("item", "cid", "n", rest.alias("rest")).filter(F.col("rest") * den >= F.col("n") * num)
+
+
+def block_pairs(posted: DataFrame, labels: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """``a, b``: meetings of different components under ``item`` that may be similar.
 
     A bucket of m classes is ceil(m / block) blocks; each pair of blocks is compared by itself.
     """
-    labelled = posted.join(labels, posted["cid"] == labels["id"], "left").select("token", "cid", F.coalesce("component", "cid").alias("comp"))
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
-    left = labelled.join(mixed.select("token", "m"), "token").join(classes.select("cid", "n", "sig"), "cid")
+    labelled = posted.join(labels, posted["cid"] == labels["id"], "left").select("item", "cid", "n", "rest", F.coalesce("component", "cid").alias("comp"))
+    mixed = labelled.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
+    left = labelled.join(mixed.select("item", "m"), "item")
     blocks = left.withColumn("nb", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "n", "sig",
+        "item", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "n", "rest",
     )
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(parts):
         for table in whole_groups(parts):
-            found = meetings(table, matches, num, den)
+            found = meetings(table, num, den)
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=arrow)
 
-    return dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(compare, "a bigint, b bigint").distinct()
+    return dealt.repartition("item", "i", "j").sortWithinPartitions("item", "i", "j").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def whole_groups(parts, rows: int = 20_000):
-    """Tables of sorted (token, i, j) groups, never a part of one; a group has two blocks at most."""
+    """Tables of sorted (item, i, j) groups, never a part of one; a group has two blocks at most."""
     held, size = [], 0
     for batch in parts:
         if not batch.num_rows:
@@ -143,7 +164,7 @@ def whole_groups(parts, rows: int = 20_000):
 
 
 def group_starts(table: pa.Table) -> np.ndarray:
-    keys = [table.column(c).to_numpy() for c in ("token", "i", "j")]
+    keys = [table.column(c).to_numpy() for c in ("item", "i", "j")]
     fresh = np.ones(table.num_rows, bool)
     fresh[1:] = False
     for key in keys:
@@ -151,13 +172,11 @@ def group_starts(table: pa.Table) -> np.ndarray:
     return fresh
 
 
-def meetings(table: pa.Table, matches: int, num: int, den: int) -> np.ndarray:
-    """Pairs of a table of whole groups: row r meets row r + d of its group, one d after the other."""
+def meetings(table: pa.Table, num: int, den: int) -> np.ndarray:
+    """Distinct pairs of a table of whole groups: row r meets row r + d of its group, one d after the other."""
     group = np.cumsum(group_starts(table))
-    cid, comp, n, own = (table.column(c).to_numpy() for c in ("cid", "comp", "n", "own"))
+    cid, comp, n, rest, own = (table.column(c).to_numpy() for c in ("cid", "comp", "n", "rest", "own"))
     across = table.column("i").to_numpy() != table.column("j").to_numpy()
-    sig = table.column("sig").combine_chunks()
-    sig = sig.flatten().to_numpy().reshape(len(cid), -1)
     out = []
     rows, d = np.arange(len(cid)), 0
     while True:
@@ -167,13 +186,11 @@ def meetings(table: pa.Table, matches: int, num: int, den: int) -> np.ndarray:
         if not len(rows):
             break
         a, b = rows, rows + d
-        good = (comp[a] != comp[b]) & (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num)
-        good &= ~across[a] | (own[a] != own[b])
-        a, b = a[good], b[good]
-        hit = (sig[a] == sig[b]).sum(axis=1) >= matches
-        a, b = cid[a[hit]], cid[b[hit]]
+        good = (comp[a] != comp[b]) & (np.minimum(rest[a], rest[b]) * (num + den) >= num * (n[a] + n[b]))
+        good &= (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num) & (~across[a] | (own[a] != own[b]))
+        a, b = cid[a[good]], cid[b[good]]
         out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -230,7 +247,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, coo
     able = materialise(classes.join(posted.select("cid").distinct(), "cid", "left_semi"))
     sets = materialise(full_sets(docs, able, shingle))
     links = materialise(confirmed(pivot_pairs(posted, able, matches, num, den), sets, num, den))
-    more = materialise(confirmed(block_pairs(posted, able, components(links), matches, num, den), sets, num, den))
+    more = materialise(confirmed(block_pairs(set_postings(sets, num, den), components(links), num, den), sets, num, den))
     labels = components(links.union(more))
     reach = labels.join(classes, labels["id"] == classes["cid"]).groupBy("component").agg(F.min("min_id").alias("component_id"))
     linked = labels.join(reach, "component").select(F.col("id").alias("cid"), "component_id")
