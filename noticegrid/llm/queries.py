@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticegrid.llm import exact_dedup, mixing, near_dup, packing, quality_trees, repetition, token_counts, toxicity
+from noticegrid.llm import exact_dedup, license_scan, mixing, near_dup, packing, quality_trees, repetition, secret_scan, token_counts, toxicity
 from noticegrid.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -94,6 +99,11 @@ FROM copied, LATERAL (SELECT unnest(range(0, copies)) AS pass)
 """
 
 
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
