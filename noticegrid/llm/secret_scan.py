@@ -44,6 +44,20 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in RUN.finditer(text)]
 
 
+def label_of(text: str, start: int, end: int, spans: list[tuple[int, int, int]]) -> float | None:
+    """1 for a candidate that overlaps a fixed finding, 0 for one of a known harmless shape, else None.
+
+    Harmless shapes are mail addresses, numbers with their marks, and words with few digits. What is
+    neither teaches nothing; the network decides on it.
+    """
+    if any(s < end and start < e for s, _, e in spans):
+        return 1.0
+    body = text[start:end]
+    digits = sum(map(str.isdigit, body))
+    mail = "@" in text[max(0, start - 1):start] + text[end:end + 1]
+    return 0.0 if mail or not re.search("[A-Za-z]", body) or 6 * digits < len(body) else None
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in spans)
 
@@ -109,15 +123,18 @@ class Network:
 
 
 def fit_network(codes: np.ndarray, y: np.ndarray, *, epochs: int = 12, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Network:
-    """Adam on the log loss."""
+    """Adam on the log loss; every third window is seen without its surroundings, so that the
+    candidate itself must tell."""
     net, rng, step = Network(seed), np.random.default_rng(seed), 0
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net.params()]
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(order), batch):
             rows, step = order[at:at + batch], step + 1
+            seen, bare = codes[rows], np.flatnonzero(rng.random(len(rows)) < 1 / 3)
+            seen[bare, :LEFT] = seen[bare, -RIGHT:] = 0
             lift = (1 - 0.9**step) / np.sqrt(1 - 0.99**step)
-            for p, (m, s), g in zip(net.params(), moments, net.gradients(codes[rows], y[rows])):
+            for p, (m, s), g in zip(net.params(), moments, net.gradients(seen, y[rows])):
                 m[...] = 0.9 * m + 0.1 * g
                 s[...] = 0.99 * s + 0.01 * g**2
                 p -= rate * m / lift / (np.sqrt(s) + 1e-8)
@@ -125,12 +142,12 @@ def fit_network(codes: np.ndarray, y: np.ndarray, *, epochs: int = 12, batch: in
 
 
 def calibrate(margins: np.ndarray, y: np.ndarray, recall: float) -> float:
-    """The largest margin that still finds ``recall`` of the positives, kept on the side where the
-    calibrated probability of a finding is one half at least; infinite without positives."""
+    """The threshold on held-out findings: even odds by the calibrated curve, or lower where that
+    would find less than ``recall`` of the positives; infinite without positives."""
     found = np.sort(margins[y > 0])
     if not len(found):
         return float("inf")
-    return max(float(found[int(np.floor((1 - recall) * len(found)))]), _even_odds(margins, y))
+    return min(float(found[int(np.floor((1 - recall) * len(found)))]), _even_odds(margins, y))
 
 
 def _even_odds(margins: np.ndarray, y: np.ndarray, steps: int = 200) -> float:
@@ -152,8 +169,7 @@ def codes_of(parts: list[bytes]) -> np.ndarray:
 
 
 def labelled_candidates(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """``window, label``: candidates of the ``sample_docs`` documents least by a hash of the id; the
-    label is 1 where a finding of the fixed patterns overlaps the candidate."""
+    """``window, label``: labelled candidates of the ``sample_docs`` documents least by a hash of the id."""
     some = (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
@@ -165,9 +181,10 @@ def labelled_candidates(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Data
             for text in texts:
                 spans = base_spans(text)
                 for start, end in candidates(text):
-                    label = float(any(s < end and start < e for s, _, e in spans))
-                    out["window"].append(windows(text, start, end)[0])
-                    out["label"].append(label)
+                    label = label_of(text, start, end, spans)
+                    if label is not None:
+                        out["window"].append(windows(text, start, end)[0])
+                        out["label"].append(label)
             return out
 
         return work
