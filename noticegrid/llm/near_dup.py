@@ -33,6 +33,7 @@ from noticegrid.session import materialise
 
 COORDINATES = 32
 BLOCK = 500  # classes of one side of a block pair
+CELLS = 64
 HITS = "aggregate(zip_with(sig_a, sig_b, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)"
 
 
@@ -120,17 +121,17 @@ def set_postings(sets: DataFrame, num: int, den: int) -> DataFrame:
     return ranked.select("item", "cid", "n", rest.alias("rest")).filter(F.col("rest") * den >= F.col("n") * num)
 
 
-def block_pairs(posted: DataFrame, labels: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
+def block_pairs(posted: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """``a, b``: meetings of different components under ``item`` that may be similar.
 
     A bucket of m classes is ceil(m / block) blocks; each pair of blocks is compared by itself.
     """
     labelled = posted.join(labels, posted["cid"] == labels["id"], "left").select("item", "cid", "n", "rest", F.coalesce("component", "cid").alias("comp"))
     mixed = labelled.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
-    left = labelled.join(mixed.select("item", "m"), "item")
+    left = labelled.join(mixed.select("item", "m"), "item").join(sets.select("cid", "histogram"), "cid")
     blocks = left.withColumn("nb", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "item", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "n", "rest",
+        "item", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "n", "rest", "histogram",
     )
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -173,10 +174,15 @@ def group_starts(table: pa.Table) -> np.ndarray:
 
 
 def meetings(table: pa.Table, num: int, den: int) -> np.ndarray:
-    """Distinct pairs of a table of whole groups: row r meets row r + d of its group, one d after the other."""
+    """Distinct pairs of a table of whole groups: row r meets row r + d of its group, one d after the other.
+
+    Two bounds on what a pair has in common must allow the similarity: the smaller rest, and the sum
+    over hash cells of the smaller count.
+    """
     group = np.cumsum(group_starts(table))
     cid, comp, n, rest, own = (table.column(c).to_numpy() for c in ("cid", "comp", "n", "rest", "own"))
     across = table.column("i").to_numpy() != table.column("j").to_numpy()
+    cells = table.column("histogram").combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
     out = []
     rows, d = np.arange(len(cid)), 0
     while True:
@@ -188,18 +194,29 @@ def meetings(table: pa.Table, num: int, den: int) -> np.ndarray:
         a, b = rows, rows + d
         good = (comp[a] != comp[b]) & (np.minimum(rest[a], rest[b]) * (num + den) >= num * (n[a] + n[b]))
         good &= (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num) & (~across[a] | (own[a] != own[b]))
+        a, b = a[good], b[good]
+        good = np.minimum(cells[a], cells[b]).sum(axis=1, dtype=np.int64) * (num + den) >= num * (n[a] + n[b])
         a, b = cid[a[good]], cid[b[good]]
         out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
+def histogram(items: np.ndarray) -> np.ndarray:
+    """Counts by hash cell; where one would overflow, all are the largest number, which bounds nothing."""
+    counts = np.bincount((items >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS)
+    return np.full(CELLS, 2**15 - 1, np.int16) if counts.max() >= 2**15 - 1 else counts.astype(np.int16)
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``cid, n, items`` of the classes in ``wanted`` (``cid, min_id, digest``), from one text of each."""
+    """``cid, n, items, histogram`` of the classes in ``wanted`` (``cid, min_id, digest``), from one text of each.
+
+    The histogram counts the items of each of ``CELLS`` hash cells.
+    """
     key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-(2**63)))
     texts = docs.select(key("doc_id").alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = texts.join(wanted.select(key("min_id").alias("key"), "cid", "digest"), "key").select("cid", "text", "digest")
-    schema = "cid bigint, n bigint, items array<bigint>"
-    arrow = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64()))])
+    schema = "cid bigint, n bigint, items array<bigint>, histogram array<smallint>"
+    arrow = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64())), ("histogram", pa.list_(pa.int16()))])
 
     def run(parts):
         known = shingles.WordHashes()
@@ -210,7 +227,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 for text in texts:
                     found = shingles.shingle_set(text, size, known)
                     if shingles.digest(found) == digests[row]:  # ids may repeat
-                        kept.append((ids[row], len(found), found.view(np.int64)))
+                        kept.append((ids[row], len(found), found.view(np.int64), histogram(found)))
                     row += 1
                 if kept:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), arrow.types)], schema=arrow)
@@ -247,7 +264,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, coo
     able = materialise(classes.join(posted.select("cid").distinct(), "cid", "left_semi"))
     sets = materialise(full_sets(docs, able, shingle))
     links = materialise(confirmed(pivot_pairs(posted, able, matches, num, den), sets, num, den))
-    more = materialise(confirmed(block_pairs(set_postings(sets, num, den), components(links), num, den), sets, num, den))
+    more = materialise(confirmed(block_pairs(set_postings(sets, num, den), sets, components(links), num, den), sets, num, den))
     labels = components(links.union(more))
     reach = labels.join(classes, labels["id"] == classes["cid"]).groupBy("component").agg(F.min("min_id").alias("component_id"))
     linked = labels.join(reach, "component").select(F.col("id").alias("cid"), "component_id")
