@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticegrid.llm import batches, factors, labelled
+from noticegrid.session import materialise
 
 BUCKETS = 1 << 20
 TERMS = 512  # hashed terms that enter the model
@@ -61,38 +62,38 @@ def ragged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(lists) if lists else np.zeros(0)).astype(np.int64), sizes
 
 
-def choose(index: np.ndarray, sizes: np.ndarray, y: np.ndarray, count: int, least: int) -> np.ndarray:
-    """The ``count`` buckets whose presence tells most of the label (chi-squared), in ascending order."""
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    n, used = len(y), np.unique(index)
-    place = np.searchsorted(used, index)
-    seen = np.bincount(place, minlength=len(used)).astype(float)
-    hits = np.bincount(place, y[row], len(used))
-    share = y.mean() if n else 0.0
-    spread = seen * (1 - seen / max(n, 1)) * share * (1 - share)
-    chi = np.where((seen >= least) & (spread > 0), (hits - seen * share) ** 2 / np.maximum(spread, 1e-12), -1.0)
-    best = np.argsort(-chi, kind="stable")[:count]
-    return np.sort(used[best[chi[best] >= 0]])
+def choose(found: DataFrame, count: int, least: int) -> np.ndarray:
+    """The ``count`` buckets whose presence tells most of the label (chi-squared), in ascending order.
+
+    ``found`` has ``label, b`` for each document; all sums are made by Spark, ``count`` rows come back.
+    """
+    total = found.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("share")).first()
+    if not total.n:
+        return np.zeros(0, np.int64)
+    seen = found.select("label", F.explode("b").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("seen"), F.sum("label").alias("hits"))
+    spread = F.col("seen") * (1 - F.col("seen") / total.n) * (total.share * (1 - total.share))
+    chi = F.pow(F.col("hits") - F.col("seen") * total.share, F.lit(2.0)) / spread
+    best = seen.filter((F.col("seen") >= least) & (spread > 0)).orderBy(chi.desc(), "b").limit(count)
+    return np.sort(np.array([r.b for r in best.select("b").collect()], np.int64))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, learn, rows: int = labelled.SAMPLE_ROWS, count: int = TERMS):
     """(chosen buckets, machine) from at most ``rows`` labelled documents."""
     some = labelled.sample(docs, labels, label, learn, rows)
-    truth = some.select("doc_id", "label").distinct()
 
     def make():
         known = Buckets()
         return lambda ids, texts: {"doc_id": ids, "b": [sorted({known[t] for t in terms(x)}) for x in texts]}
 
-    found = batches.per_slice(some, make, "doc_id bigint, b array<int>").join(truth, "doc_id").orderBy("doc_id").toArrow()
-    y = found.column("label").to_numpy()
-    index, sizes = ragged([np.array(b, np.int64) for b in found.column("b").to_pylist()])
-    chosen = choose(index, sizes, y, count, LEAST_ROWS)
-    place = np.minimum(np.searchsorted(chosen, index), max(0, len(chosen) - 1))
-    inside = chosen[place] == index if len(chosen) else np.zeros(len(index), bool)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    kept = np.bincount(row[inside], minlength=len(sizes))
-    return chosen, factors.fit(place[inside], kept, y, len(chosen))
+    truth = some.select("doc_id", "label").distinct()
+    found = materialise(batches.per_slice(some, make, "doc_id bigint, b array<int>").join(truth, "doc_id"))
+    chosen = choose(found, count, LEAST_ROWS)
+    own = F.array_intersect("b", F.array(*(F.lit(int(b)) for b in chosen)) if len(chosen) else F.array().cast("array<int>"))
+    table = found.select("doc_id", own.alias("b"), "label").orderBy("doc_id").toArrow()
+    lists = table.column("b").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy()) if len(table) else np.zeros(0, np.int64)
+    index = np.searchsorted(chosen, lists.flatten().to_numpy()) if len(table) else np.zeros(0, np.int64)
+    return chosen, factors.fit(index, sizes.astype(np.int64), table.column("label").to_numpy(), len(chosen))
 
 
 def toxicity(
