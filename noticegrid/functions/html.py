@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -18,41 +20,54 @@ HIDDEN = {"script", "style", "template", "rt", "rp"}
 SEMANTIC_DROP = "script,style,noscript,nav,footer,form,.people-list"
 WATCH_DROP = "script,style,nav,footer,form,noscript"
 LINK_DROP = "script,style,nav,footer,header,form,noscript"
+BLOCKS = ("p", "li", "dd")
+LABEL_LENGTH, CONTEXT_LENGTH = 80, 1000  # longest label that needs its block, and longest block
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "items", "parent")
+    __slots__ = ("tag", "attrs", "items", "parent", "gone")
 
     def __init__(self, tag, attrs=(), parent=None):
         self.tag, self.attrs, self.items, self.parent = tag, {k: v or "" for k, v in attrs}, [], parent
+        self.gone = False  # dropped with all below it
 
     def walk(self):
-        for item in self.items:
-            if isinstance(item, Node):
-                yield item
-                yield from item.walk()
+        """Elements below this one in document order; pages may nest to any depth."""
+        rest = [iter(self.items)]
+        while rest:
+            for item in rest[-1]:
+                if isinstance(item, Node) and not item.gone:
+                    yield item
+                    rest.append(iter(item.items))
+                    break
+            else:
+                rest.pop()
 
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("")
+        self.open = Counter()
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, attrs, self.at)
         self.at.items.append(node)
         if tag not in VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.at.items.append(Node(tag, attrs, self.at))
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node is not self.root and node.tag != tag:
-            node = node.parent
-        if node is not self.root:
-            self.at = node.parent
+        if not self.open[tag]:
+            return  # closes nothing; looking for it would climb the whole tree
+        while self.at.tag != tag:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        self.open[tag] -= 1
+        self.at = self.at.parent
 
     def handle_data(self, data):
         if self.at.items and isinstance(self.at.items[-1], str):
@@ -74,8 +89,24 @@ def parse(html: str) -> Node:
 _SIMPLE = re.compile(r"""([#.]?)([\w-]+)|\[([\w-]+)(?:=["']?([^"'\]]*)["']?)?\]""")
 
 
-def _fits(node: Node, simple: str) -> bool:
-    for mark, name, attr, value in _SIMPLE.findall(simple):
+@lru_cache(maxsize=1000)
+def _compiled(selector: str) -> tuple:
+    """Alternatives of a selector: each a tuple of (is a direct child, conditions) from left to right."""
+    out = []
+    for part in selector.split(","):
+        steps, child = [], False
+        for word in part.replace(">", " > ").split():
+            if word == ">":
+                child = True
+            else:
+                steps.append((child, tuple(_SIMPLE.findall(word))))
+                child = False
+        out.append(tuple(steps))
+    return tuple(out)
+
+
+def _fits(node: Node, conditions: tuple) -> bool:
+    for mark, name, attr, value in conditions:
         if mark == "." and name not in node.attrs.get("class", "").split():
             return False
         if mark == "#" and node.attrs.get("id") != name:
@@ -87,36 +118,60 @@ def _fits(node: Node, simple: str) -> bool:
     return True
 
 
-def _chain(node: Node, steps: list[str]) -> bool:
-    """Whether ``node`` ends the chain of descendant (space) and child (>) steps."""
-    if not _fits(node, steps[-1]):
-        return False
-    rest = steps[:-1]
-    if not rest:
-        return True
-    if rest[-1] == ">":
-        return node.parent is not None and _chain(node.parent, rest[:-1])
-    up = node.parent
-    while up is not None:
-        if _chain(up, rest):
-            return True
+def _advance(node: Node, chains: tuple, own: tuple, above: tuple) -> tuple:
+    """Which leading steps of each chain end at ``node``: one bit a step. ``own`` are its parent's
+    bits, ``above`` those of the parent and all its ancestors together."""
+    out = []
+    for steps, parent, ancestors in zip(chains, own, above):
+        bits = 0
+        for k, (child, conditions) in enumerate(steps):
+            before = k == 0 or (parent if child else ancestors) >> (k - 1) & 1
+            if before and _fits(node, conditions):
+                bits |= 1 << k
+        out.append(bits)
+    return tuple(out)
+
+
+def matches(node: Node, selector: str):
+    """Elements below ``node`` that a selector finds, in document order, in one pass.
+
+    Ancestors of ``node`` count for descendant and child steps.
+    """
+    chains = _compiled(selector)
+    wanted = [1 << (len(steps) - 1) for steps in chains]
+    line, up = [], node
+    while up is not None and up.tag:
+        line.append(up)
         up = up.parent
-    return False
+    own = above = (0,) * len(chains)
+    for one in reversed(line):
+        own = _advance(one, chains, own, above)
+        above = tuple(a | o for a, o in zip(above, own))
+    rest = [(iter(node.items), own, above)]
+    while rest:
+        items, own, above = rest[-1]
+        for item in items:
+            if isinstance(item, Node) and not item.gone:
+                bits = _advance(item, chains, own, above)
+                rest.append((iter(item.items), bits, tuple(a | o for a, o in zip(above, bits))))
+                if any(b & w for b, w in zip(bits, wanted)):
+                    yield item
+                break
+        else:
+            rest.pop()
 
 
 def select(node: Node, selector: str) -> list[Node]:
-    chains = [part.replace(">", " > ").split() for part in selector.split(",")]
-    return [n for n in node.walk() if any(_chain(n, steps) for steps in chains)]
+    return list(matches(node, selector))
 
 
 def first(node: Node, selector: str) -> Node | None:
-    found = select(node, selector)
-    return found[0] if found else None
+    return next(matches(node, selector), None)
 
 
 def drop(node: Node, selector: str) -> Node:
     for n in select(node, selector):
-        n.parent.items = [i for i in n.parent.items if i is not n]
+        n.gone = True
     return node
 
 
@@ -129,12 +184,18 @@ def show_templates(node: Node) -> Node:
 
 
 def texts(node: Node):
-    for item in node.items:
-        if isinstance(item, Node):
-            if item.tag not in HIDDEN:
-                yield from texts(item)
-        elif item and item.strip():
-            yield item.strip()
+    """Stripped texts below an element in document order, without hidden parts."""
+    rest = [iter(node.items)]
+    while rest:
+        for item in rest[-1]:
+            if isinstance(item, Node):
+                if item.tag not in HIDDEN and not item.gone:
+                    rest.append(iter(item.items))
+                    break
+            elif item and (plain := item.strip()):
+                yield plain
+        else:
+            rest.pop()
 
 
 def text(node: Node, glue: str = "\n") -> str:
@@ -239,37 +300,57 @@ PART = f"struct<title:string,text:string,links:array<{LINK}>>"
 FLAT = f"struct<text:string,links:array<{LINK}>>"
 
 
-def _context(link: Node, label: str) -> str | None:
-    """Text of the link's own paragraph or list item, for a short label in a short block."""
-    block = link.parent
-    while block is not None and block.tag not in ("p", "li", "dd"):
-        block = block.parent
-    if block is None or len(label) > 80 or len(select(block, "a[href]")) > 2:
-        return None
-    around = text(block, " ")
-    return around if len(around) <= 1000 else None
-
-
-def _readable(body: Node, links: list) -> str:
-    """Readable text of an element; its raw links and pictures are added to ``links``."""
+def _block_texts(links: list[Node]) -> dict[Node, str | None]:
+    """For each link the text of its own paragraph or list item; null in blocks of more than two links."""
+    if not links:
+        return {}
+    root = links[0]
+    while root.parent is not None:
+        root = root.parent
+    block, order, count = {root: None}, [], Counter()  # block: the nearest one at or above a node
+    for node in root.walk():
+        inside = block[node.parent]
+        if node.tag == "a" and "href" in node.attrs and inside is not None:
+            count[inside] += 1
+        block[node] = node if node.tag in BLOCKS else inside
+        if block[node] is node:
+            order.append(node)
+    for node in reversed(order):  # what a block holds, the block around it holds too
+        count[block[node.parent]] += count[node]
+    around = {}
+    for link in links:
+        own = block[link.parent]
+        if own is not None and count[own] <= 2 and own not in around:
+            around[own] = text(own, " ")
+    return {link: around.get(block[link.parent]) for link in links}
+
+
+def _readable(body: Node, links: list, context_length: int = CONTEXT_LENGTH) -> str:
+    """Readable text of an element; its raw links and pictures are added to ``links``.
+
+    A link with a short label keeps the text of its block, if that is no longer than ``context_length``.
+    """
     drop(show_templates(body), LINK_DROP)
-    for link in select(body, "a[href]"):
-        label = text(link, " ")
-        links.append((len(links), link.attrs["href"], label, _context(link, label), False))
+    found = select(body, "a[href]")
+    around = _block_texts(found)
+    for link in found:
+        label, context = text(link, " "), around[link]
+        keep = context is not None and len(label) <= LABEL_LENGTH and len(context) <= context_length
+        links.append((len(links), link.attrs["href"], label, context if keep else None, False))
     for picture in select(body, "img[src]"):
         links.append((len(links), picture.attrs["src"], picture.attrs.get("alt", ""), None, True))
     return text(body)
 
 
-def document_part(column: Column) -> Column:
-    """Title, readable text and raw links of an HTML document."""
+def document_part(column: Column, title_length: int = 1000) -> Column:
+    """Title (at most ``title_length`` characters), readable text and raw links of an HTML document."""
 
     def one(value):
         root = parse(value)
         named = first(root, "title")
         body = first(root, "main, article, #main-content, #content") or first(root, "body") or root
         links = []
-        return (text(named, " ")[:1000] if named else "", _readable(body, links), links)
+        return (text(named, " ")[:title_length] if named else "", _readable(body, links), links)
 
     @F.pandas_udf(PART)
     def apply(values: pd.Series) -> pd.DataFrame:
@@ -278,63 +359,81 @@ def document_part(column: Column) -> Column:
     return apply(column)
 
 
-_URL_IN_TEXT = re.compile(r'https?://[^\s<>"\x27]+')
-
-
-def _flatten(value, path, lines, links):
-    if isinstance(value, dict):
-        for key, names in (("url", ("text", "title")), ("href", ("text",))):
-            if isinstance(value.get(key), str):
-                label = next((value[n] for n in names if n in value), path)
-                links.append((len(links), value[key], str(label), None, False))
-        for key, child in value.items():
-            _flatten(child, f"{path}.{key}".lstrip("."), lines, links)
-    elif isinstance(value, list):
-        if not value:
-            lines.append(f"{path}: []")
-        for i, child in enumerate(value):
-            _flatten(child, f"{path}[{i}]", lines, links)
-    elif isinstance(value, str):
-        if value.lstrip()[:1] in ("{", "["):
-            try:
-                return _flatten(json.loads(value), path, lines, links)
-            except (ValueError, RecursionError):
-                pass
-        for url in _URL_IN_TEXT.findall(value):
-            links.append((len(links), url.rstrip(".,);"), path, None, False))
-        lines.append(f"{path}: {_readable(parse(value), links) if '<' in value else value}")
-    else:
-        lines.append(f"{path}: {json.dumps(value, ensure_ascii=False)}")
+_ADDRESS = re.compile(r"https?://[^\s<>\"']+")
+_LABEL_KEYS = {"url": ("text", "title"), "href": ("text",)}  # address key: keys of its label
+
+
+def _inner(value: str):
+    """The JSON that a string holds, or None."""
+    if value.lstrip()[:1] not in ("{", "["):
+        return None
+    try:
+        return json.loads(value)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _named_addresses(path: str, entry: dict):
+    for key, labels in _LABEL_KEYS.items():
+        if isinstance(entry.get(key), str):
+            yield entry[key], str(next((entry[k] for k in labels if k in entry), path))
+
+
+def _listed(document) -> tuple[str, list]:
+    """Lines and links of a decoded JSON document. Open values wait on a stack, the next one on top."""
+    lines, links = [], []
+    waiting = [("", document)]
+    while waiting:
+        path, value = waiting.pop()
+        if isinstance(value, str) and (held := _inner(value)) is not None:
+            value = held
+        below = []
+        if isinstance(value, dict):
+            links += [(len(links) + i, href, label, None, False) for i, (href, label) in enumerate(_named_addresses(path, value))]
+            below = [(f"{path}.{key}" if path else key, child) for key, child in value.items()]
+        elif isinstance(value, list) and value:
+            below = [(f"{path}[{place}]", child) for place, child in enumerate(value)]
+        elif isinstance(value, str):
+            links += [(len(links) + i, href.rstrip(".,);"), path, None, False) for i, href in enumerate(_ADDRESS.findall(value))]
+            lines.append(f"{path}: " + (_readable(parse(value), links) if "<" in value else value))
+        else:
+            lines.append(f"{path}: " + json.dumps(value, ensure_ascii=False))
+        waiting += reversed(below)
+    return "\n".join(lines), links
 
 
 def json_lines(column: Column) -> Column:
-    """``path: value`` lines of a JSON text at any depth, and the addresses found in it."""
+    """``path: value`` lines of a JSON text at any depth, and the addresses found in it.
+
+    A text that is no JSON is one line without a path.
+    """
+
+    def one(value):
+        try:
+            return _listed(json.loads(value))
+        except (ValueError, RecursionError):
+            return value, []
 
     @F.pandas_udf(FLAT)
     def apply(values: pd.Series) -> pd.DataFrame:
-        rows = []
-        for value in values:
-            lines, links = [], []
-            _flatten(json.loads(value), "", lines, links)
-            rows.append(("\n".join(lines), links))
-        return pd.DataFrame(rows, columns=["text", "links"])
+        return pd.DataFrame([(None, None) if v is None else one(v) for v in values], columns=["text", "links"])
 
     return apply(column)
 
 
+# Stand-ins for the two escapes that could end a string early, from the private use area.
+_BACKSLASH, _QUOTE = "\ue000", "\ue001"
+
+
 def json_references(column: Column) -> Column:
-    """Every key and scalar of a JSON text, as strings: what a notice may refer to."""
+    """Every key and scalar of a JSON text, as strings: what a notice may refer to.
 
-    def visit(value, out):
-        if isinstance(value, dict):
-            out.update(value)
-            for child in value.values():
-                visit(child, out)
-        elif isinstance(value, list):
-            for child in value:
-                visit(child, out)
-        elif value is not None:
-            out.add(str(value))
-        return out
-
-    return _series(lambda v: sorted(visit(json.loads(v), set())), column, "array<string>")
+    Built-in functions alone: once escaped quotes are out of the way, the text falls into quoted
+    strings and bare words at any depth. Nulls count for nothing; truth values are capitalised.
+    """
+    plain = F.replace(F.replace(column, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    words = F.array_distinct(F.regexp_extract_all(plain, F.lit('"[^"]*"|[^\\s\\[\\]{},:"]+'), 0))
+    words = F.transform(words, lambda w: F.when(w == "true", '"True"').when(w == "false", '"False"').otherwise(w))
+    kept = F.filter(words, lambda w: w != "null")
+    joined = F.replace(F.replace(F.array_join(kept, ","), F.lit(_BACKSLASH), F.lit("\\\\")), F.lit(_QUOTE), F.lit('\\"'))
+    return F.array_sort(F.array_distinct(F.from_json(F.concat(F.lit("["), joined, F.lit("]")), "array<string>")))
