@@ -49,10 +49,18 @@ def region_scope(national: Column, areas: Column, named: str = "Pirkanmaa", name
 
 
 def first_value(metadata: Column, key: str, default: str = "") -> Column:
-    """First element of a multi-valued metadata field."""
+    """First element of a multi-valued metadata field; readers turn a plain string into a list of one."""
     return F.coalesce(F.try_element_at(F.try_element_at(metadata, F.lit(key)), F.lit(1)), F.lit(default))
 
 
+def listed_values(raw: Column) -> Column:
+    """Metadata read as name to raw JSON text, with every value as a list of strings."""
+    def values(_, value):
+        return F.when(F.ltrim(value).startswith("["), F.from_json(value, "array<string>")).otherwise(F.array(value))
+
+    return F.transform_values(raw, values)
+
+
 def typed_identity(kind: Column, identifier: Column, call_id: Column) -> Column:
     """Struct (external_id, programme, problem) of a search-API topic or cascade call."""
     problem = (
@@ -113,13 +121,17 @@ def response_issue(url: Column, media_type: Column, final_url: Column) -> Column
 
 
 def media_type(body: Column, declared: Column) -> Column:
-    """Media type by signature, else as declared. Archives are recognised, not opened."""
+    """Media type by signature, else as declared.
+
+    An archive is not opened; the names of its parts stand plainly in it and tell the Office kinds.
+    """
+    raw = F.decode(body, "ISO-8859-1")
+    office = F.lit(None).cast("string")
+    for part, kind in reversed(fixed.OFFICE_PARTS.items()):
+        office = F.when(raw.contains(part), kind).otherwise(office)
     return (
         F.when(F.hex(F.substring(body, 1, 5)) == "255044462D", "application/pdf")
-        .when(
-            (F.hex(F.substring(body, 1, 4)) == "504B0304") & declared.isin("", "application/octet-stream"),
-            "application/zip",
-        )
+        .when(F.hex(F.substring(body, 1, 4)) == "504B0304", F.coalesce(office, declared))
         .otherwise(declared)
     )
 

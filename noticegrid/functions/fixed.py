@@ -169,3 +169,10 @@ LABELS = {
         "technical_assistance": "Valmistelun tuki", "other": "Muu / tarkistettava"},
 }
 STATUS_RANK = ("open", "rolling", "forthcoming", "unknown", "closed", "cancelled")
+
+# Parts of Office archives and their media types.
+OFFICE_PARTS = {
+    "word/document.xml": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "xl/workbook.xml": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "ppt/presentation.xml": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+}

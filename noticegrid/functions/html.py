@@ -9,6 +9,7 @@ import json
 import re
 from collections import Counter
 from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -230,6 +231,11 @@ def clean_html(column: Column) -> Column:
     return F.coalesce(_series(one, column, "string"), F.lit(""))
 
 
+def unescaped(column: Column) -> Column:
+    """Text with its entities decoded; JVM side unless there is one."""
+    return F.when(column.contains("&"), _series(unescape, F.when(column.contains("&"), column), "string")).otherwise(column)
+
+
 def semantic_text(column: Column, selector: str | None = None) -> Column:
     """Text without executable and navigation parts, with accordions; null if the part is missing."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,14 +24,29 @@ def digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+# What full case folding does beyond lower case, from the character database: one character for
+# one, and the ligatures and the like that become several.
+_FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x1E960)) if not c.lower() == c.casefold() and c.lower() == c}
+_SINGLE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+_SEVERAL = {c: f for c, f in _FOLDS.items() if len(f) > 1 and c != "ß"}
+
+
 def fold(text: Column) -> Column:
-    """Case folding for search: lower case, with sharp s as ss."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding for search: lower case, sharp s as ss, final sigma as sigma, ligatures apart."""
+    lower = F.replace(F.translate(F.lower(text), "".join(_SINGLE), "".join(_SINGLE.values())), F.lit("ß"), F.lit("ss"))
+
+    def apart(folded):
+        whole = folded
+        for one, several in _SEVERAL.items():
+            whole = F.replace(whole, F.lit(one), F.lit(several))
+        return F.when(folded.rlike("[" + "".join(_SEVERAL) + "]"), whole).otherwise(folded)  # rare characters
+
+    return let(lower, apart)
 
 
 def contains_folded(text: Column, needle: str) -> Column:
     """Literal, case-insensitive substring; no character is a wildcard."""
-    return F.contains(fold(text), F.lit(needle.lower().replace("ß", "ss")))
+    return F.contains(fold(text), F.lit(needle.casefold()))
 
 
 def translated(value: Column) -> Column:
@@ -88,10 +105,19 @@ def extraction_quality(text: Column, title: Column, is_html: Column) -> Column:
     return F.struct(status.alias("status"), flags.alias("flags"))
 
 
+# Every entity, named or numeric, that stands for white space alone.
+_BLANKS = [c for c in range(0x3001) if chr(c).isspace()]
+BLANK_ENTITY = "&(?:" + "|".join(
+    [rf"(?:{'|'.join(sorted({n.rstrip(';') for n, v in html5.items() if v.isspace()}))});"]
+    + [r"#0*(?:" + "|".join(map(str, _BLANKS)) + r")(?:;|(?![0-9]))"]
+    + [r"#[xX]0*(?:" + "|".join(f"(?i:{c:x})" for c in _BLANKS) + r")(?:;|(?![0-9a-fA-F]))"]
+) + ")"
+
+
 def published_text(value: Column) -> Column:
     """True when something is left after tags and blank entities are removed."""
     bare = F.regexp_replace(value, "<[^>]*>", "")
-    bare = F.regexp_replace(bare, r"(?i)&(nbsp|ensp|emsp|thinsp|#160|#xa0|#32|#x20|#9|#10|#13);", " ")
+    bare = F.regexp_replace(bare, BLANK_ENTITY, " ")
     return F.length(F.regexp_replace(bare, r"(?U)\s", "")) > 0
 
 

@@ -29,7 +29,7 @@ def root_documents(notices: DataFrame, section_source: str = "haeavustuksia", pa
         "opportunity_id", urls.document_id(F.col("r.url")).alias("document_id"), "r.*")
 
 
-def reach(roots: DataFrame, links: DataFrame, max_depth: int = 4, max_documents: int = 250) -> DataFrame:
+def reach(roots: DataFrame, links: DataFrame, max_depth: int = 4, max_documents: int | None = 250) -> DataFrame:
     """Documents reached from each notice's roots over followed links, breadth first.
 
     ``roots``: (opportunity_id, document_id). ``links``: (document_id, target_id, role), already cut
@@ -37,11 +37,14 @@ def reach(roots: DataFrame, links: DataFrame, max_depth: int = 4, max_documents:
     ``position``, the order of reach: (depth, parent's position, target).
 
     A document one level below ``max_depth`` is recorded as ``depth_limit`` and not expanded. Beyond
-    ``max_documents`` one further document per notice is recorded as ``document_limit``. Each level is
+    ``max_documents`` one further document per notice is recorded as ``document_limit``; None is no
+    limit. Each level is
     one join with the links and one shuffle by notice, and is written out, so that neither lineage
     nor lost executors repeat earlier levels. The work per notice is bounded: it keeps at most
     ``max_documents`` + 1 rows, and of a document's links only the leading ones can matter.
     """
+    if max_documents is None:
+        return _reach_all(roots, links, max_depth)
     links = materialise(_leading_links(links, 2 * (max_documents + 1)))
     placed = materialise(_placed_roots(roots, links, max_documents))
     full = placed.filter(F.col("position") > max_documents).select("opportunity_id").distinct()
@@ -58,6 +61,36 @@ def reach(roots: DataFrame, links: DataFrame, max_depth: int = 4, max_documents:
     return _union(levels)
 
 
+def _reach_all(roots: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:
+    """``reach`` without a limit on documents: a level shuffles only its own new rows.
+
+    Positions count a notice's documents level by level; a level's offset is the largest so far.
+    """
+    keys = ["opportunity_id", "document_id"]
+    links = materialise(links.groupBy("document_id", "target_id").agg(F.min("role").alias("role")))
+    none = F.lit(None)
+    order = Window.partitionBy("opportunity_id")
+    level = materialise(roots.select(*keys).distinct().select(
+        *keys, F.lit(0).alias("depth"), none.cast(links.schema["document_id"].dataType).alias("parent_id"),
+        F.lit("call_content").alias("role"), none.cast("string").alias("limitation"),
+        F.row_number().over(order.orderBy("document_id")).alias("position")))
+    levels = [level]
+    for depth in range(1, max_depth + 2):
+        # Several parents of a document become one row before the shuffle; the earliest parent wins.
+        new = _steps(level, links).groupBy(*keys).agg(F.min(F.struct("place", "parent_id", "role")).alias("b"))
+        new = new.join(_union(levels).select(*keys), keys, "left_anti")
+        ends = levels[-1].groupBy("opportunity_id").agg(F.max("position").alias("_end"))
+        ranked = new.join(ends, "opportunity_id").withColumn("n", F.row_number().over(order.orderBy("b.place", "document_id")))
+        limitation = F.lit(DEPTH_LIMIT) if depth > max_depth else none.cast("string")
+        level = materialise(ranked.select(
+            *keys, F.lit(depth).alias("depth"), F.col("b.parent_id").alias("parent_id"), F.col("b.role").alias("role"),
+            limitation.alias("limitation"), (F.col("_end") + F.col("n")).alias("position")))
+        if not level.head(1):
+            break
+        levels.append(level)
+    return _union(levels)
+
+
 def _leading_links(links: DataFrame, count: int) -> DataFrame:
     """First ``count`` distinct targets per document, in target order.
 

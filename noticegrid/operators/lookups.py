@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticegrid.session import broadcast_if_small
-
 
 def code_labels(rows: DataFrame, codes: DataFrame, code: str, label: str, out: str) -> DataFrame:
     """Label of a code, or the code itself where the list has none."""
     table = codes.select(F.col(code).alias("_code"), F.col(label).alias("_label"))
-    return rows.join(broadcast_if_small(table), rows[out] == F.col("_code"), "left").withColumn(
+    return rows.join(table, rows[out] == F.col("_code"), "left").withColumn(
         out, F.coalesce("_label", F.col(out).cast("string"))).drop("_code", "_label")
 
 
@@ -42,7 +40,7 @@ def evidence(items: DataFrame, notice) -> DataFrame:
 
 
 def document_version(documents: DataFrame, versions: DataFrame, blobs: DataFrame, links: DataFrame, document, sha256=None) -> DataFrame:
-    """Text of one document version with its links; the version must be in the document's history.
+    """Text of one document version with that version's links; it must be in the document's history.
 
     ``sha256`` defaults to the current version. All inputs are cut to one document first.
     """
@@ -51,9 +49,10 @@ def document_version(documents: DataFrame, versions: DataFrame, blobs: DataFrame
     history = versions.filter(F.col("document_id") == document)
     chosen = doc.withColumn("sha256", wanted).join(history.select("sha256"), "sha256", "left_semi")
     counted = history.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("versions"))
-    edges = links.filter(F.col("document_id") == document).groupBy(F.col("document_id").alias("id")).agg(
-        F.count(F.lit(1)).alias("links"), F.count(F.when(F.col("follow"), 1)).alias("followed"))
-    return chosen.join(blobs, "sha256").join(counted, "id").join(edges, "id", "left").fillna(0, ["links", "followed"])
+    edges = links.filter(F.col("document_id") == document).groupBy(
+        F.col("document_id").alias("id"), F.col("source_sha256").alias("sha256")
+    ).agg(F.count(F.lit(1)).alias("links"), F.count(F.when(F.col("follow"), 1)).alias("followed"))
+    return chosen.join(blobs, "sha256").join(counted, "id").join(edges, ["id", "sha256"], "left").fillna(0, ["links", "followed"])
 
 
 def current_links(links: DataFrame, documents: DataFrame) -> DataFrame:

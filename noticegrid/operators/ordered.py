@@ -36,9 +36,9 @@ def final_stage(stages: DataFrame, key: str, due_on: str = "due_on", due_at: str
     return stages.groupBy(key).agg(F.max_by(F.struct(due_on, due_at), rank).alias("_d")).select(key, "_d.*")
 
 
-def page_changes(observations: DataFrame, order: tuple[str, ...] = ("observed_at", "event_id"), **skew) -> DataFrame:
+def page_changes(observations: DataFrame, order: tuple[str, ...] = ("observed_at", "event_id"), partitions: int | None = None) -> DataFrame:
     """Each observation against the previous one of its source: discovered, changed or same."""
-    rows = previous_in_group(observations, "source_id", list(order), "text_hash", "previous_hash", **skew)
+    rows = previous_in_group(observations, "source_id", list(order), "text_hash", "previous_hash", partitions=partitions)
     kind = F.when(F.col("previous_hash").isNull(), "source_discovered").when(
         F.col("previous_hash") != F.col("text_hash"), "source_changed").otherwise("same")
     return rows.withColumn("kind", kind)

@@ -24,7 +24,7 @@ def title_text(q: str) -> Column:
 
 
 def funder_is(name: str) -> Column:
-    return fold(F.col("funder")) == name.lower().replace("ß", "ss")
+    return fold(F.col("funder")) == name.casefold()
 
 
 def utc_naive(value: str) -> str:

@@ -10,9 +10,6 @@ from noticegrid.operators import faq, graph, lookups, ordered, quality, reconcil
 from noticegrid.plans.registry import SHARED, query
 from noticegrid.plans.views import AS_OF
 
-# Above any reach in the test graph (out-degree 3, depth 5, at most 7 roots), so that these queries
-# show plain reachability; i03 shows the cap.
-UNCAPPED = 5000
 STAMP = f"TIMESTAMP '{AS_OF}'"
 
 SHARED["ox_flow_links"] = "SELECT document_id, target_id, role FROM fx_links WHERE follow"
@@ -143,14 +140,17 @@ def _(r):
 
 @query("d18_document_version", """
 WITH v AS (SELECT MIN(id) AS id FROM ox_current_docs WHERE current_sha256 IS NOT NULL)
-SELECT d.id, d.current_sha256 AS sha256, b.copies, (SELECT COUNT(*) FROM fx_links l, v WHERE l.document_id = v.id) AS links,
-  (SELECT COUNT(*) FROM fx_links l, v WHERE l.document_id = v.id AND l.follow) AS followed, CAST(1 AS BIGINT) AS versions
+SELECT d.id, d.current_sha256 AS sha256, b.copies, (SELECT COUNT(*) FROM fx_links l, v WHERE l.document_id = v.id AND l.role <> 'attachment') AS links,
+  (SELECT COUNT(*) FROM fx_links l, v WHERE l.document_id = v.id AND l.role <> 'attachment' AND l.follow) AS followed, CAST(1 AS BIGINT) AS versions
 FROM ox_current_docs d JOIN v ON v.id = d.id JOIN fx_blobs b ON b.sha256 = d.current_sha256""")
 def _(r):
     current = current_docs(r)
     key = current.filter("current_sha256 IS NOT NULL").agg(F.min("id").alias("k")).first().k
     versions = current.filter("current_sha256 IS NOT NULL").select(F.col("id").alias("document_id"), F.col("current_sha256").alias("sha256"))
-    return lookups.document_version(current, versions, r.fx_blobs, r.fx_links, key).select(
+    # Attachments were linked by an earlier version only.
+    links = r.fx_links.join(versions, "document_id").withColumn(
+        "source_sha256", F.when(F.col("role") == "attachment", "earlier").otherwise(F.col("sha256"))).drop("sha256")
+    return lookups.document_version(current, versions, r.fx_blobs, links, key).select(
         "id", "sha256", "copies", "links", "followed", "versions")
 
 
@@ -201,8 +201,8 @@ def _(r):
 
 @query("f04_page_changes_split", f"SELECT source_id, event_id, {_CHANGE_KIND} AS kind FROM ox_page_changes")
 def _(r):
-    # The same answer by the path taken for sources too large for one task.
-    return ordered.page_changes(r.fx_observations, max_group_rows=0, partitions=16).select("source_id", "event_id", "kind")
+    # The same answer whatever the number of ranges.
+    return ordered.page_changes(r.fx_observations, partitions=16).select("source_id", "event_id", "kind")
 
 
 @query("f05_one_link_per_target", """
@@ -218,9 +218,10 @@ def _(r):
 
 @query("f06_repeated_cards", """
 SELECT address, MIN(doc_id) AS first, COUNT(*) AS listings, COUNT(DISTINCT text) > 1 AS conflict
-FROM (SELECT doc_id, text, left(text, 12) AS address FROM documents) GROUP BY address""")
+FROM (SELECT doc_id, concat(lang, source) AS text, sha256(text) AS address FROM documents) GROUP BY address""")
 def _(r):
-    cards = r.documents.select("doc_id", F.left("text", F.lit(12)).alias("address"), F.sha2("text", 256).alias("content"))
+    # A text's digest stands for the card's address, its language and source for the content.
+    cards = r.documents.select("doc_id", F.sha2("text", 256).alias("address"), F.concat("lang", "source").alias("content"))
     return ordered.repeated_cards(cards, "address", "doc_id", "content")
 
 
@@ -238,9 +239,9 @@ def _(r):
 
 
 @query("f09_repeated_identifiers", """
-SELECT id, doc_id, 'Duplicate identifier across pages' AS reason FROM (SELECT left(text, 12) AS id, doc_id, MIN(doc_id) OVER (PARTITION BY left(text, 12)) AS f FROM documents) WHERE doc_id <> f""")
+SELECT id, doc_id, 'Duplicate identifier across pages' AS reason FROM (SELECT sha256(text) AS id, doc_id, MIN(doc_id) OVER (PARTITION BY sha256(text)) AS f FROM documents) WHERE doc_id <> f""")
 def _(r):
-    rows = r.documents.select(F.left("text", F.lit(12)).alias("id"), "doc_id")
+    rows = r.documents.select(F.sha2("text", 256).alias("id"), "doc_id")
     return ordered.split_repeats(rows, "id", "doc_id")[1].withColumn("reason", F.lit("Duplicate identifier across pages"))
 
 
@@ -259,11 +260,11 @@ def _(r):
 # --- sets -----------------------------------------------------------------------------------
 @query("h01_union_streams", """
 SELECT CAST(id AS VARCHAR) AS external_id, title, CAST(NULL AS VARCHAR) AS lang FROM fx_opportunities
-UNION ALL SELECT CAST(doc_id AS VARCHAR), left(text, 20), lang FROM documents UNION ALL SELECT CAST(page_id AS VARCHAR), url, NULL FROM pages""")
+UNION ALL SELECT CAST(doc_id AS VARCHAR), text, lang FROM documents UNION ALL SELECT CAST(page_id AS VARCHAR), url, NULL FROM pages""")
 def _(r):
     return reconcile.union_streams(
         r.fx_opportunities.select(F.col("id").cast("string").alias("external_id"), "title"),
-        r.documents.select(F.col("doc_id").cast("string").alias("external_id"), F.left("text", F.lit(20)).alias("title"), "lang"),
+        r.documents.select(F.col("doc_id").cast("string").alias("external_id"), F.col("text").alias("title"), "lang"),
         r.pages.select(F.col("page_id").cast("string").alias("external_id"), F.col("url").alias("title"))).select("external_id", "title", "lang")
 
 
@@ -282,12 +283,13 @@ def _(r):
 
 
 @query("h03_topic_set_equality", """
-SELECT CASE WHEN COUNT(*) = 0 THEN true ELSE false END AS equal FROM (SELECT DISTINCT upper(external_id) AS k FROM fx_opportunities
-  EXCEPT SELECT DISTINCT upper(external_id) FROM fx_opportunities WHERE id % 2 = 0 OR id % 2 = 1)""")
+SELECT side, COUNT(*) AS topics FROM (
+  SELECT 'left' AS side, external_id FROM fx_opportunities WHERE id % 11 = 0 UNION ALL SELECT 'right', external_id FROM fx_opportunities WHERE id % 13 = 0 AND id % 11 <> 0) GROUP BY side""")
 def _(r):
-    manifest = r.fx_opportunities.select(F.lower("external_id").alias("topic_id"))
-    a, b = manifest.select(F.upper("topic_id").alias("k")).distinct(), r.fx_opportunities.select(F.upper("external_id").alias("k")).distinct()
-    return reconcile.differences(a, b).agg((F.count(F.lit(1)) == 0).alias("equal"))
+    # The manifest writes topics in lower case; each side lacks some of the other's.
+    manifest = r.fx_opportunities.filter("id % 13 <> 0 OR id % 11 = 0").select(F.lower("external_id").alias("topic_id"))
+    held = r.fx_opportunities.filter("id % 11 <> 0").select(F.upper("external_id").alias("k")).distinct()
+    return reconcile.differences(manifest.select(F.upper("topic_id").alias("k")).distinct(), held).groupBy("side").agg(F.count(F.lit(1)).alias("topics"))
 
 
 @query("h04_transfer_differences", """
@@ -338,7 +340,7 @@ def roots(r):
 
 @query("i02_bounded_reach", "SELECT opportunity_id, document_id, depth, CASE WHEN depth = 5 THEN 'depth_limit' END AS limitation FROM ox_reach")
 def _(r):
-    return graph.reach(roots(r), followed(r), 4, UNCAPPED).select("opportunity_id", "document_id", "depth", "limitation")
+    return graph.reach(roots(r), followed(r), 4, None).select("opportunity_id", "document_id", "depth", "limitation")
 
 
 @query("i03_document_cap", """
@@ -362,7 +364,7 @@ SELECT COALESCE(o.opportunity_id, n.opportunity_id) AS opportunity_id, COALESCE(
 FROM fx_opportunity_documents o FULL OUTER JOIN ox_reach n ON n.opportunity_id = o.opportunity_id AND n.document_id = o.document_id""")
 def _(r):
     old = old_bridge(r)
-    return graph.refresh_bridge(old, graph.reach(roots(r), followed(r), 4, UNCAPPED), r.as_of).select(
+    return graph.refresh_bridge(old, graph.reach(roots(r), followed(r), 4, None), r.as_of).select(
         "opportunity_id", "document_id", "depth", "is_root", "active", "first_seen_at")
 
 
@@ -375,7 +377,7 @@ FROM fx_opportunity_documents o FULL OUTER JOIN (SELECT * FROM ox_reach WHERE op
 def _(r):
     changed = r.fx_documents.filter("parser = 'Brand#7'").select(F.col("id").alias("document_id"))
     affected = lookups.affected_notices(changed, None, r.fx_opportunity_documents, shared=False)
-    return graph.refresh_notices(affected, old_bridge(r), followed(r), r.as_of, 4, UNCAPPED).select("opportunity_id", "document_id", "active")
+    return graph.refresh_notices(affected, old_bridge(r), followed(r), r.as_of, 4, None).select("opportunity_id", "document_id", "active")
 
 
 # --- upsert ---------------------------------------------------------------------------------

@@ -57,22 +57,22 @@ def _(r):
 
 @query("b03_clean_html", page_text("html", "script,style,noscript").replace("AS txt", "AS text"))
 def _(r):
-    return r.spread("pages").select("page_id", html.clean_html(F.col("html")).alias("text"))
+    return r.pages.select("page_id", html.clean_html(F.col("html")).alias("text"))
 
 
 @query("b04_semantic_text", page_text("html", "script,style,noscript,nav,footer,form").replace("AS txt", "AS text"))
 def _(r):
-    return r.spread("pages").select("page_id", html.semantic_text(F.col("html")).alias("text"))
+    return r.pages.select("page_id", html.semantic_text(F.col("html")).alias("text"))
 
 
 @query("b05_language_fallback", """
-SELECT doc_id, CASE WHEN lang = 'fr' THEN left(text, 20) WHEN lang = 'en' THEN left(text, 30) WHEN lang = 'de' THEN left(text, 40) ELSE '' END AS text FROM documents""")
+SELECT doc_id, CASE WHEN lang IN ('fr', 'en', 'de') THEN text ELSE '' END AS text FROM documents""")
 def _(r):
     d = F.col("lang")
     # fi from French rows, en from English ones, sv from German ones: each falls through to the next.
     value = F.struct(
-        F.when(d == "fr", F.left("text", F.lit(20))).otherwise("").alias("fi"),
-        F.when(d == "en", F.left("text", F.lit(30))).alias("en"), F.when(d == "de", F.left("text", F.lit(40))).alias("sv"))
+        F.when(d == "fr", F.col("text")).otherwise("").alias("fi"),
+        F.when(d == "en", F.col("text")).alias("en"), F.when(d == "de", F.col("text")).alias("sv"))
     return r.documents.withColumn("v", value).select("doc_id", text.translated(F.col("v")).alias("text"))
 
 
@@ -98,8 +98,8 @@ FROM (SELECT page_id, url, unnest(string_split(html, '<a ')) AS piece, generate_
 SELECT a.page_id, a.position, lower(u.scheme) || '://' || u.host || a.href AS target_url FROM ox_anchors a JOIN ox_page_urls u ON u.page_id = a.page_id
 UNION ALL SELECT page_id, -1, document FROM ox_page_ids""")
 def _(r):
-    raw = r.spread("pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("position", "href"))
-    own = r.spread("pages").select("page_id", F.lit(-1).alias("position"), urls.document_url(F.col("url")).alias("target_url"))
+    raw = r.pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("position", "href"))
+    own = r.pages.select("page_id", F.lit(-1).alias("position"), urls.document_url(F.col("url")).alias("target_url"))
     return raw.select(
         "page_id", "position", urls.document_url(F.col("href"), F.col("url")).alias("target_url")
     ).unionByName(own).withColumn("position", F.col("position").cast("bigint"))
@@ -141,7 +141,7 @@ def _(r):
         .when(key == 1, F.date_format(day, "'Call closes:' d MMMM yyyy', 17.00 CEST'"))
         .when(key == 2, F.date_format(day, "yyyy-MM-dd' 23:00: CET'"))
         .otherwise(F.concat_ws(" - ", F.date_format(day, "d.M.yyyy"), F.date_format(F.date_add(day.cast("date"), 10), "d.M.yyyy"))))
-    found = r.spread("orders").select(F.col("o_orderkey").alias("id"), F.posexplode(dates.dates_in_label(label, "Europe/Helsinki")).alias("position", "d"))
+    found = r.orders.select(F.col("o_orderkey").alias("id"), F.posexplode(dates.dates_in_label(label, "Europe/Helsinki")).alias("position", "d"))
     return found.select("id", F.col("position").cast("int").alias("position"), "d.due_on", "d.due_at")
 
 
@@ -192,19 +192,14 @@ def _(r):
 
 
 @query("b18_typed_identity", """
-SELECT id, CASE WHEN id % 50 = 0 THEN '' WHEN id % 7 = 0 THEN 'cascade:' || id ELSE external_id END AS external_id,
+SELECT id, CASE WHEN id % 7 = 0 AND id % 31 <> 0 THEN 'cascade:' || id WHEN id % 50 = 0 THEN '' ELSE external_id END AS external_id,
   CASE WHEN id % 50 = 0 THEN 'EU cascade funding' ELSE split_part(external_id, '-', 1) END AS programme,
   CASE WHEN id % 31 = 0 THEN 'Not a supported funding topic type' WHEN id % 7 <> 0 AND id % 50 = 0 THEN 'Missing or unsupported funding topic identifier' END AS problem
-FROM (SELECT id, external_id FROM fx_opportunities) o WHERE NOT (id % 50 = 0 AND id % 7 = 0)""")
+FROM fx_opportunities""")
 def _(r):
-    kind = F.when(F.col("id") % 31 == 0, F.when(F.col("id") % 7 == 0, "8").otherwise("2")).when(F.col("id") % 7 == 0, "8").otherwise("1")
-    kind = F.when((F.col("id") % 31 == 0) & (F.col("id") % 7 == 0), "80").otherwise(kind)
+    kind = F.when(F.col("id") % 31 == 0, "2").when(F.col("id") % 7 == 0, "8").otherwise("1")
     identifier = F.when(F.col("id") % 50 == 0, "").otherwise(F.col("external_id"))
-    rows = r.fx_opportunities.filter(~((F.col("id") % 50 == 0) & (F.col("id") % 7 == 0)))
-    # Cascade rows of another type still show the identity they would have had.
-    out = rows.withColumn("t", codes.typed_identity(kind, identifier, F.col("id").cast("string")))
-    shown = F.when((F.col("id") % 7 == 0), F.concat(F.lit("cascade:"), F.col("id"))).otherwise(F.col("t.external_id"))
-    return out.select("id", shown.alias("external_id"), F.col("t.programme").alias("programme"), F.col("t.problem").alias("problem"))
+    return r.fx_opportunities.select("id", codes.typed_identity(kind, identifier, F.col("id").cast("string")).alias("t")).select("id", "t.*")
 
 
 @query("b20_dated_kinds", """
@@ -232,7 +227,7 @@ FROM (SELECT doc_id, unnest(string_split(replace(text, ' the ', ' who can apply
   generate_subscripts(string_split(replace(text, ' the ', ' who can apply '), chr(10)), 1) AS pos FROM documents) GROUP BY doc_id""")
 def _(r):
     body = F.replace(F.col("text"), F.lit(" the "), F.lit(" who can apply "))
-    return r.spread("documents").select("doc_id", text.eligibility_excerpt(body).alias("excerpt"))
+    return r.documents.select("doc_id", text.eligibility_excerpt(body).alias("excerpt"))
 
 
 def _theme_sql():
@@ -250,14 +245,14 @@ def _(r):
     body = F.col("text")
     for fragment, word in (("tion", "innovation"), ("ther", "water"), ("sch", "energia")):
         body = F.replace(body, F.lit(fragment), F.lit(word))
-    return r.spread("documents").select("doc_id", F.explode(text.rule_themes(body)).alias("theme"))
+    return r.documents.select("doc_id", F.explode(text.rule_themes(body)).alias("theme"))
 
 
 @query("b30_safe_cell", r"""
 SELECT doc_id, CASE WHEN regexp_matches(cell, '^\s*[=+\-@]') THEN '''' || cell ELSE cell END AS cell FROM (
-  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' || left(text, 40) WHEN 1 THEN '  @' || left(text, 40) WHEN 2 THEN chr(9) || '-' || left(text, 40) ELSE text END AS cell FROM documents)""")
+  SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '=' || text WHEN 1 THEN '  @' || text WHEN 2 THEN chr(9) || '-' || text ELSE text END AS cell FROM documents)""")
 def _(r):
-    head, k = F.left("text", F.lit(40)), F.col("doc_id") % 4
+    head, k = F.col("text"), F.col("doc_id") % 4
     cell = F.when(k == 0, F.concat(F.lit("="), head)).when(k == 1, F.concat(F.lit("  @"), head)).when(
         k == 2, F.concat(F.lit("\t-"), head)).otherwise(F.col("text"))
     return r.documents.select("doc_id", codes.safe_cell(cell).alias("cell"))
@@ -297,10 +292,10 @@ def _(r):
 
 
 @query("b34_media_type", """
-SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/zip' WHEN 2 THEN 'application/vnd.ms-excel' ELSE 'text/plain' END AS media_type FROM documents""")
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'application/octet-stream' WHEN 2 THEN 'application/vnd.openxmlformats-officedocument.spreadsheetml.sheet' ELSE 'text/plain' END AS media_type FROM documents""")
 def _(r):
     k = F.col("doc_id") % 4
-    head = F.when(k == 0, F.lit("%PDF-1.7 ")).when(k.isin(1, 2), F.lit("PK\x03\x04")).otherwise("")
+    head = F.when(k == 0, F.lit("%PDF-1.7 ")).when(k == 1, F.lit("PK\x03\x04")).when(k == 2, F.lit("PK\x03\x04 xl/workbook.xml")).otherwise("")
     declared = F.when(k == 2, "application/vnd.ms-excel").when(k == 3, "text/plain").otherwise("application/octet-stream")
     return r.documents.select("doc_id", codes.media_type(F.encode(F.concat(head, "text"), "UTF-8"), declared).alias("media_type"))
 
@@ -324,7 +319,7 @@ SELECT page_id, position, CASE WHEN regexp_matches(target_url, '(?i)\\.(pdf|docx
   (regexp_matches(target_url, '(?i)\\.(pdf|docx?|zip)($|[?#])') OR regexp_matches(title || ' ' || target_url, '{_RELEVANT}') OR regexp_matches(title || ' ' || target_url, '{_INFORMATION}'))
     AND NOT regexp_matches(title || ' ' || target_url, '{_NAVIGATION}') AS follow FROM l""")
 def _(r):
-    raw = r.spread("pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">[^<]*</a>'), 0)).alias("position", "a"))
+    raw = r.pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">[^<]*</a>'), 0)).alias("position", "a"))
     href = F.regexp_extract("a", 'href="([^"]*)"', 1)
     target = F.concat(urls.document_url(href, F.col("url")), F.when(F.col("position") % 3 == 0, ".pdf").otherwise(""))
     label = _decorate(F.trim(F.regexp_extract("a", ">([^<]*)<", 1)), F.col("position"))
@@ -346,7 +341,7 @@ def _(r):
     # The test pages keep their links in the navigation block, which documents leave out; it is renamed here.
     body = F.replace(F.replace(F.replace(F.replace("html", F.lit("<nav>"), F.lit("<div>")), F.lit("</nav>"), F.lit("</div>")),
                                F.lit("<article"), F.lit("<section")), F.lit("</article>"), F.lit("</section>"))
-    parts = r.spread("pages").select("page_id", "url", html.document_part(body).alias("p"))
+    parts = r.pages.select("page_id", "url", html.document_part(body).alias("p"))
     rows = links.policy_links(parts.select("page_id", "url", "p.links"), "links", "url", "page_id")
     return rows.groupBy("page_id", "target_url").agg(F.count(F.lit(1)).alias("links"))
 

@@ -209,7 +209,7 @@ SELECT DISTINCT a.page_id, CASE WHEN rtrim(a.href, '/') = '' THEN lower(u.scheme
   arg_min(a.label, a.position) AS title FROM ox_anchors a JOIN ox_page_urls u ON u.page_id = a.page_id
 WHERE a.label <> '' AND NOT starts_with(lower(a.label), 'the') GROUP BY ALL""")
 def _(r):
-    cards = pages.catalogue_cards(r.spread("pages"), CATALOGUE)
+    cards = pages.catalogue_cards(r.pages, CATALOGUE)
     return cards.groupBy("page_id", "target").agg(F.min_by("title", "position").alias("title"))
 
 
@@ -218,7 +218,7 @@ WITH c AS (SELECT lower(u.scheme) || '://' || u.host || rtrim(a.href, '/') AS ta
   FROM ox_anchors a JOIN ox_page_urls u ON u.page_id = a.page_id WHERE a.label <> '' AND NOT starts_with(lower(a.label), 'the'))
 SELECT target AS external_id, arg_min(label, page_id) AS title, COUNT(*) AS listings, COUNT(DISTINCT label) > 1 AS conflict, 'unknown' AS source_status FROM c WHERE rn = 1 GROUP BY target""")
 def _(r):
-    cards = pages.distinct_cards(pages.catalogue_cards(r.spread("pages"), CATALOGUE))
+    cards = pages.distinct_cards(pages.catalogue_cards(r.pages, CATALOGUE))
     return pages.catalogue_records(cards, CATALOGUE).select("external_id", "title", "listings", "conflict", "source_status")
 
 
@@ -244,7 +244,7 @@ FROM (SELECT page_id, string_agg(piece, chr(10) ORDER BY pos) FILTER (WHERE piec
   FROM (SELECT page_id, unnest(string_split_regex(art, '<[^<>]*>')) AS p, generate_subscripts(string_split_regex(art, '<[^<>]*>'), 1) AS pos FROM (
     SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>.*</article>'), '(?s)<!--.*?-->', '<i>', 'g') AS art FROM pages))) GROUP BY page_id)""")
 def _(r):
-    return pages.watched_pages(r.spread("pages")).select("page_id", "text_hash", "reason")
+    return pages.watched_pages(r.pages).select("page_id", "text_hash", "reason")
 
 
 # --- A08, A10, A11, A12 ---------------------------------------------------------------------
@@ -343,13 +343,17 @@ def _(r):
     return feed.silence_windows(runs(r))
 
 
-@query("j09_silence_stream")
+@query("j09_silence_stream", """
+WITH w AS (SELECT evaluated_at, COUNT(DISTINCT source_id) AS successful_sources FROM (
+  SELECT date_trunc('hour', finished_at)::TIMESTAMP + CAST(s AS INT) * INTERVAL '1' HOUR AS evaluated_at, source_id FROM ox_runs, range(1, 37) g(s) WHERE status = 'success') GROUP BY evaluated_at)
+SELECT * FROM w WHERE evaluated_at <= (SELECT MAX(finished_at) FROM ox_runs WHERE status = 'success') - INTERVAL '1' HOUR""")
 def _(r):
     landing, out, state = (shared_dir(r.spark, p) for p in ("runs", "silence", "state"))
     rows = runs(r).select(F.col("finished_at").cast("timestamp_ltz").alias("finished_at"), F.col("source_id").cast("string").alias("source_id"), "status")
     rows.write.parquet(landing)
     feed.consume(feed.silence_stream(r.spark.readStream.schema(rows.schema).parquet(landing)), out, state)
-    return r.spark.read.schema("evaluated_at timestamp_ltz, successful_sources bigint").parquet(out)
+    return r.spark.read.schema("evaluated_at timestamp_ltz, successful_sources bigint").parquet(out).select(
+        F.col("evaluated_at").cast("timestamp_ntz").alias("evaluated_at"), "successful_sources")
 
 
 @query("j10_problem_runs", """
@@ -363,9 +367,9 @@ def _(r):
 
 
 # --- functions and adapters -----------------------------------------------------------------
-@query("k01_case_folding", "SELECT doc_id, replace(lower(left(text, 200)), 'ß', 'ss') AS folded FROM documents WHERE contains(replace(lower(text), 'ß', 'ss'), 'ss')")
+@query("k01_case_folding", "SELECT doc_id, replace(lower(text), 'ß', 'ss') AS folded FROM documents WHERE contains(replace(lower(text), 'ß', 'ss'), 'ss')")
 def _(r):
-    return r.documents.filter(text.contains_folded(F.col("text"), "ß")).select("doc_id", text.fold(F.left("text", F.lit(200))).alias("folded"))
+    return r.documents.filter(text.contains_folded(F.col("text"), "ß")).select("doc_id", text.fold(F.col("text")).alias("folded"))
 
 
 @query("k02_adapter_union", """
@@ -389,10 +393,10 @@ def _(r):
 
 
 @query("m02_csv_export", r"""
-SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '''=' || left(text, 30) ELSE left(text, 30) END AS cell FROM documents""")
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '''=' || text ELSE text END AS cell FROM documents""")
 def _(r):
     path = shared_dir(r.spark, "export")
-    cell = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), F.left("text", F.lit(30)))).otherwise(F.left("text", F.lit(30)))
+    cell = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), F.col("text"))).otherwise(F.col("text"))
     export.write_csv(r.documents.select("doc_id", cell.alias("cell"), "lang"), path, ["doc_id", "cell"])
     return r.spark.read.schema("doc_id bigint, cell string").option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 

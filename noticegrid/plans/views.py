@@ -123,12 +123,6 @@ class Inputs:
             self._cache[name] = self._load(name)
         return self._cache[name]
 
-    def spread(self, name: str) -> DataFrame:
-        """The table for CPU-heavy row work: redistributed only while its scan has fewer tasks than cores."""
-        df = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
     def _load(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(f"{self.path}/{name}.parquet")

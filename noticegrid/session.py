@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import pathlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -72,15 +73,31 @@ def local_session(cpus: str = "*", app: str = "noticegrid", **conf: str) -> Spar
 def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh path in the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, laptops) is a local folder used.
+    Without that setting only a single-JVM session gets a folder of its own, which goes when it
+    ends; on a cluster each executor would write to its own disk, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = getattr(spark, "_noticegrid_root", None)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = getattr(spark.sparkContext, "_noticegrid_root", None)
         if root is None:
-            root = tempfile.mkdtemp(prefix="spark-")
-            spark._noticegrid_root = root
-    return "/".join([root.rstrip("/"), *parts, uuid.uuid4().hex])
+            root = spark.sparkContext._noticegrid_root = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
+    path = "/".join([root.rstrip("/"), *parts, uuid.uuid4().hex])
+    stages = spark.sparkContext.__dict__.setdefault("_noticegrid_stages", [])
+    stages.append(path)
+    return path
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this application has written, once their results are used."""
+    stages = spark.sparkContext.__dict__.setdefault("_noticegrid_stages", [])
+    count, jvm = len(stages), spark.sparkContext._jvm
+    while stages:
+        path = jvm.org.apache.hadoop.fs.Path(stages.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return count
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -91,30 +108,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan; files count with their real size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_if_small(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
-    """Broadcast only below ``limit`` estimated bytes; otherwise leave the join to AQE."""
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+def previous_in_group(df: DataFrame, key: str, order: list[str], value: str, out: str, *, partitions: int | None = None) -> DataFrame:
+    """``lag(value)`` per key, however large a key is.
 
-
-def previous_in_group(
-    df: DataFrame, key: str, order: list[str], value: str, out: str,
-    *, max_group_rows: int = 2_000_000, partitions: int | None = None,
-) -> DataFrame:
-    """``lag(value)`` per key that does not put a very large key into one task.
-
-    While the largest key is below ``max_group_rows`` this is a plain window. Beyond it, rows are
-    range-partitioned on (key, order), so a hot key spreads over many ranges; each range computes
-    its own lag and only one row per (range, key) takes part in the stitching window. ``order``
-    must be a total order.
+    Rows are range-partitioned on (key, order), so a hot key spreads over many ranges; each range
+    computes its own lag and only one row per (range, key) takes part in the stitching window.
+    ``order`` must be a total order.
     """
-    plain = Window.partitionBy(key).orderBy(*order)
-    if _largest_group(df, key) <= max_group_rows:
-        return df.withColumn(out, F.lag(value).over(plain))
     parts = partitions or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = materialise(
         df.repartitionByRange(parts, key, *order).withColumn("_range", F.spark_partition_id())
@@ -135,18 +135,16 @@ def previous_in_group(
     )
 
 
-def _largest_group(df: DataFrame, key: str) -> int:
-    row = df.groupBy(key).count().agg(F.max("count").alias("n")).first()
-    return row.n or 0
-
-
 def dense_ids(df: DataFrame, key: Column, start: int, out: str = "id", hex_digits: int = 3) -> DataFrame:
     """Consecutive ids from ``start + 1`` in the order of ``key``'s SHA-256, without a global sort.
 
-    ``key`` must be unique. Rows fall into 16**hex_digits even buckets by hash prefix; the bucket
-    counts (a table of that fixed size) give each bucket its offset.
+    ``key`` must be unique. Rows fall into 16**hex_digits even buckets by hash prefix, 65,536 at
+    most; the bucket counts (a table of that fixed size) give each bucket its offset. The rows are
+    staged, so that their plan runs once for the counts and the numbers.
     """
-    hashed = df.withColumn("_h", F.sha2(key.cast("string"), 256)).withColumn("_b", F.substring("_h", 1, hex_digits))
+    if not 1 <= hex_digits <= 4:
+        raise ValueError("hex_digits must be from 1 to 4")
+    hashed = materialise(df).withColumn("_h", F.sha2(key.cast("string"), 256)).withColumn("_b", F.substring("_h", 1, hex_digits))
     counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     # At most 16**hex_digits rows: one window task and one broadcast of proven size.
     offsets = counts.select(

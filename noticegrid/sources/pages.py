@@ -126,7 +126,7 @@ def post_calls(posts: DataFrame, taxonomy: DataFrame, config: dict) -> DataFrame
     labels = F.filter(html.element_texts(body, "p,li,tr"), lambda t: t.rlike("(?i)" + fixed.DEADLINE_LABEL))
     rows = rows.withColumns({
         "reason": F.coalesce(kind_problem, F.col("reason")), "_labels": F.array_join(labels, "\n"),
-        "_text": html.semantic_text(body), "_title": html.clean_html(F.col("title.rendered")),
+        "_text": html.semantic_text(body), "_title": html.unescaped(html.clean_html(F.col("title.rendered"))),
     })
     return rule_record(
         rows, config, title=F.col("_title"), url=F.col("link"), body=F.col("_text"), date_label=F.col("_labels"),

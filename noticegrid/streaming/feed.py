@@ -48,14 +48,13 @@ def silence_windows(runs: DataFrame, hours: int = 36) -> DataFrame:
 
 
 def silence_stream(runs: DataFrame, hours: int = 36, late: str = "1 hour") -> DataFrame:
-    """Streaming form: hourly distinct sources first, then the sliding look-back over those.
+    """Streaming form, exact: one row per look-back window and source, then sources per window.
 
-    ``runs``: (finished_at timestamp, source_id, status). Exact distinct counts are not available
-    over streams, so the second step counts approximately.
+    ``runs``: (finished_at timestamp, source_id, status). A window comes out once the watermark,
+    ``late`` behind the latest run, has passed its end; later windows wait for it.
     """
-    hourly = (
+    by_source = (
         runs.filter("status = 'success'").withWatermark("finished_at", late)
-        .groupBy(F.window("finished_at", "1 hour"), "source_id").agg(F.count(F.lit(1)).alias("runs")))
-    return hourly.groupBy(F.window(F.window_time("window"), f"{hours} hours", "1 hour")).agg(
-        F.approx_count_distinct("source_id").alias("successful_sources")
-    ).select(F.col("window.end").alias("evaluated_at"), "successful_sources")
+        .groupBy(F.window("finished_at", f"{hours} hours", "1 hour"), "source_id").agg(F.count(F.lit(1)).alias("runs")))
+    return by_source.groupBy("window").agg(F.count(F.lit(1)).alias("successful_sources")).select(
+        F.col("window.end").alias("evaluated_at"), "successful_sources")
