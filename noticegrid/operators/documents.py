@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noticegrid.functions import fixed, status
 from noticegrid.functions.codes import response_issue
+from noticegrid.functions.text import canonical_json
 from noticegrid.operators.lookups import affected_notices
 from noticegrid.operators.predicates import in_scope
 from noticegrid.session import dense_ids
@@ -26,17 +27,50 @@ def new_versions(fetched: DataFrame, versions: DataFrame) -> DataFrame:
         F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
 
 
+EXTRACTED = ("text", "extraction_status", "flags", "media_type", "page_count")
+TRANSPORT_FLAG = "source_http_link_retrieved_over_https"
+
+
+def _shared_form(df: DataFrame, column: str):
+    """A field as contents are compared: how a body was fetched is no part of it; null is a value."""
+    value = F.col(column)
+    if column == "flags":
+        value = F.array_join(F.filter(value, lambda f: f != TRANSPORT_FLAG), ",")
+    return F.coalesce(value.cast("string"), F.lit("\x00"))
+
+
+def updated_blobs(blobs: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Archived contents with the extraction of their latest parse; others pass through."""
+    fields = [c for c in EXTRACTED if c in blobs.columns and c in fetched.columns]
+    fresh = fetched.groupBy("sha256").agg(*(F.min(c).alias(f"_{c}") for c in fields), F.lit(True).alias("_seen"))
+    joined = blobs.join(fresh, "sha256", "left")
+    return joined.select(*(F.when(F.col("_seen"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in blobs.columns))
+
+
+def spread_events(events: DataFrame, documents: DataFrame) -> DataFrame:
+    """``events`` with one more row for each further document that carries a shared event's content."""
+    carriers = documents.select(F.col("id").alias("_carrier"), F.col("current_sha256").alias("sha256"))
+    twins = events.filter("shared").join(carriers, "sha256").filter(F.col("_carrier") != F.col("document_id"))
+    rows = twins.withColumn("source_document_id", F.col("document_id")).withColumn("document_id", F.col("_carrier"))
+    own = events.withColumn("source_document_id", F.col("document_id"))
+    return own.unionByName(rows.select(*own.columns))
+
+
 def document_events(documents: DataFrame, fetched: DataFrame, blobs: DataFrame) -> DataFrame:
     """Kind of change per fetched document; documents without a change are left out.
 
-    The content is compared by hash; equal content counts as re-extracted when its stored
-    extraction differs from the new one, and then for every document that carries it.
+    The content is compared by hash; equal content counts as re-extracted when any stored field of
+    its extraction (``EXTRACTED``, as far as both tables have them) differs from the new one. Such an
+    event is ``shared``: it concerns every document that carries the content.
     """
-    stored = blobs.select("sha256", F.col("extraction_status").alias("_blob_status"))
-    rows = fetched.select("document_id", "sha256", F.col("extraction_status").alias("_new_status")).join(stored, "sha256", "left").join(
+    fields = [c for c in EXTRACTED if c in blobs.columns and c in fetched.columns]
+    stored = blobs.select("sha256", F.lit(True).alias("_stored"), F.xxhash64(*(_shared_form(blobs, c) for c in fields)).alias("_blob"))
+    rows = fetched.select(
+        "document_id", "sha256", F.col("extraction_status").alias("_new_status"),
+        F.xxhash64(*(_shared_form(fetched, c) for c in fields)).alias("_new")).join(stored, "sha256", "left").join(
         documents.select(F.col("id").alias("document_id"), "current_sha256", F.col("extraction_status").alias("_old_status")), "document_id")
     same = F.col("current_sha256") == F.col("sha256")
-    content_differs = F.col("_blob_status").isNotNull() & (F.col("_blob_status") != F.col("_new_status"))
+    content_differs = F.coalesce(F.col("_stored") & (F.col("_blob") != F.col("_new")), F.lit(False))
     changed = ~F.coalesce(same, F.lit(False)) | content_differs | (F.col("_old_status") != F.col("_new_status"))
     kind = F.when(F.col("current_sha256").isNull(), "document_added").when(same, "document_reextracted").otherwise("document_updated")
     return rows.filter(changed).select(
@@ -59,18 +93,27 @@ def replace_links(links: DataFrame, parsed: DataFrame) -> DataFrame:
     return joined.select(*keys, *columns)
 
 
-def fan_out(events: DataFrame, notices: DataFrame, bridge: DataFrame, last_id: int, as_of: str) -> tuple[DataFrame, DataFrame]:
+def fan_out(
+    events: DataFrame, notices: DataFrame, bridge: DataFrame, last_id: int, as_of: str, documents: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(version bumps per notice, change rows) for notices that share a changed document.
 
-    A guide shared by very many notices makes one hot key in the bridge join, which AQE splits;
-    nothing is gathered per document. A notice rises by one version for every changed document.
+    With ``documents``, a shared event also reaches the notices of every other document that carries
+    the content. A guide shared by very many notices makes one hot key in the bridge join, which AQE
+    splits; nothing is gathered per document. A notice rises by one version for every event that
+    reaches it, through however many documents.
     """
-    links = bridge.filter("active").select("opportunity_id", "document_id")
-    hits = links.join(events.select("document_id", "kind"), "document_id")
+    links = bridge.filter("active").select("opportunity_id", F.col("document_id").alias("_at"))
+    wide = spread_events(events, documents) if documents is not None else events.withColumn("source_document_id", F.col("document_id"))
+    hits = links.join(wide.withColumnRenamed("document_id", "_at"), "_at").select(
+        "opportunity_id", F.col("source_document_id").alias("document_id"), "kind", "previous_sha256", "sha256").distinct()
     bumps = hits.groupBy("opportunity_id").agg(F.count(F.lit(1)).alias("bumps"))
     rows = hits.join(notices.select(F.col("id").alias("opportunity_id"), "source_id"), "opportunity_id")
     log = dense_ids(
-        rows.withColumn("created_at", F.lit(as_of).cast("timestamp_ntz")),
+        rows.withColumns({
+            "created_at": F.lit(as_of).cast("timestamp_ntz"), "actor": F.lit("document_collector"),
+            "payload_json": canonical_json({c: F.col(c) for c in ("document_id", "previous_sha256", "sha256")}),
+        }),
         F.concat_ws("/", "opportunity_id", "document_id"), last_id)
     return bumps, log
 
@@ -144,5 +187,5 @@ def retry_reset(documents: DataFrame, bridge: DataFrame, notices: DataFrame | No
 
 __all__ = [
     "affected_notices", "apply_outcomes", "bumped", "document_events", "fan_out", "new_blobs", "new_versions",
-    "reextracted", "reextraction_candidates", "replace_links", "retry_reset",
+    "reextracted", "reextraction_candidates", "replace_links", "retry_reset", "spread_events", "updated_blobs",
 ]

@@ -9,10 +9,41 @@ from noticegrid.session import dense_ids
 
 
 def resolve_ids(incoming: DataFrame, items: DataFrame) -> DataFrame:
-    """Notice id per incoming record: a known source item keeps its notice even if its address changed."""
+    """Notice id per incoming record: a known source item keeps its notice even if its address changed.
+
+    With a ``raw_hash``, ``raw_changed`` tells whether a known item's raw form differs.
+    """
     keyed = incoming.withColumn("item_id", F.sha2(F.concat_ws(":", "source_id", "external_id"), 256))
     known = items.select(F.col("id").alias("item_id"), F.col("opportunity_id").alias("_known"), F.col("raw_hash").alias("_old_raw"))
-    return keyed.join(known, "item_id", "left").withColumn("id", F.coalesce("_known", "id")).drop("_known")
+    rows = keyed.join(known, "item_id", "left").withColumn("id", F.coalesce("_known", "id")).drop("_known")
+    if "raw_hash" in rows.columns:
+        rows = rows.withColumn("raw_changed", F.coalesce(F.col("_old_raw") != F.col("raw_hash"), F.lit(False)))
+    return rows
+
+
+def source_items(items: DataFrame, resolved: DataFrame, as_of: str) -> DataFrame:
+    """Source items after a batch: raw hash and last sighting of every item seen, whoever owns its notice.
+
+    ``resolved``: rows of ``resolve_ids`` with ``raw_hash``. A new item points to its record's notice.
+    """
+    stamp = F.lit(as_of).cast("timestamp_ntz")
+    last = resolved.groupBy("item_id").agg(*(F.max_by(c, F.struct("raw_hash", "id")).alias(f"_{c}") for c in ("source_id", "external_id", "id", "raw_hash")))
+    seen = F.col("_raw_hash").isNotNull()
+    joined = items.withColumnRenamed("id", "item_id").join(last, "item_id", "full_outer")
+    return joined.select(
+        F.col("item_id").alias("id"), F.coalesce("source_id", "_source_id").alias("source_id"),
+        F.coalesce("external_id", "_external_id").alias("external_id"), F.coalesce("opportunity_id", "_id").alias("opportunity_id"),
+        F.when(seen, F.col("_raw_hash")).otherwise(F.col("raw_hash")).alias("raw_hash"),
+        F.when(seen, stamp).otherwise(F.col("last_seen_at")).alias("last_seen_at"))
+
+
+def owned(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """One record per notice: its owner's, else that of the first source by name, which a new notice gets."""
+    owner = current.select("id", F.col("source_id").alias("_owner"))
+    rest = [c for c in incoming.columns if c != "id"]
+    foreign = ~F.coalesce(F.col("source_id") == F.col("_owner"), F.lit(False))
+    ranked = incoming.join(owner, "id", "left").withColumn("_rank", F.struct(foreign, "source_id"))
+    return ranked.groupBy("id").agg(F.min_by(F.struct(*rest), "_rank").alias("_r")).select("id", "_r.*")
 
 
 def last_per_notice(incoming: DataFrame, order: str) -> DataFrame:
@@ -25,10 +56,11 @@ def last_per_notice(incoming: DataFrame, order: str) -> DataFrame:
 def upsert(current: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
     """New snapshot, with ``outcome`` created, updated, seen or kept.
 
-    ``incoming``: one row per notice with ``content_hash`` and ``raw_changed``, plus any of the
-    snapshot's columns. Only the owning source changes a notice; another source with the same
+    ``incoming``: one row per notice and source with ``content_hash`` and ``raw_changed``, plus any
+    of the snapshot's columns. Only the owning source changes a notice; another source with the same
     address leaves it as it is. One full outer join; the caller writes it to a new path and swaps.
     """
+    incoming = owned(current, incoming)
     stamp = F.lit(as_of).cast("timestamp_ntz")
     fields = [c for c in current.columns if c in incoming.columns and c != "id"]
     state = [c for c in current.columns if c not in fields and c != "id"]

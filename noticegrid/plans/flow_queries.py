@@ -386,13 +386,17 @@ SELECT id, source_id, title, version, updated_at, 'h' || CAST(id % 3 AS VARCHAR)
 SHARED["ox_incoming"] = """
 SELECT id, CASE WHEN id % 10 = 9 THEN 'src-other' ELSE source_id END AS source_id, upper(title) AS title,
   CASE WHEN id % 6 < 3 THEN 'h' || CAST(id % 3 AS VARCHAR) ELSE 'new' END AS content_hash, id % 6 = 1 AS raw_changed FROM fx_opportunities WHERE id % 4 <> 0"""
+SHARED["ox_foreign"] = "SELECT id, 'a-foreign' AS source_id, 'foreign' AS title, 'hf' AS content_hash, true AS raw_changed FROM fx_opportunities WHERE id % 4 <> 0 AND id % 8 < 4"
+SHARED["ox_owned"] = """
+SELECT id, source_id, title, content_hash, raw_changed FROM (SELECT n.*, ROW_NUMBER() OVER (PARTITION BY n.id ORDER BY COALESCE(n.source_id = c.source_id, false) DESC, n.source_id) AS rn
+  FROM (SELECT * FROM ox_incoming UNION ALL SELECT * FROM ox_foreign) n LEFT JOIN ox_current c ON c.id = n.id) WHERE rn = 1"""
 SHARED["ox_snapshot"] = f"""
 SELECT COALESCE(c.id, n.id) AS id, CASE WHEN ch THEN n.source_id ELSE c.source_id END AS source_id, CASE WHEN ch THEN n.title ELSE c.title END AS title,
   CASE WHEN ch THEN n.content_hash ELSE c.content_hash END AS content_hash,
   CASE WHEN ch THEN COALESCE(c.version, 0) + 1 ELSE c.version END AS version, CASE WHEN ch THEN {STAMP} ELSE c.updated_at END AS updated_at,
   CASE WHEN c.id IS NULL THEN 'created' WHEN ch THEN 'updated' WHEN n.id IS NOT NULL AND n.source_id = c.source_id THEN 'seen' ELSE 'kept' END AS outcome
 FROM (SELECT COALESCE(c.id, n.id) AS k, c.id IS NULL OR (n.id IS NOT NULL AND n.source_id = c.source_id AND (n.content_hash <> c.content_hash OR n.raw_changed)) AS ch
-  FROM ox_current c FULL OUTER JOIN ox_incoming n ON n.id = c.id) d LEFT JOIN ox_current c ON c.id = d.k LEFT JOIN ox_incoming n ON n.id = d.k"""
+  FROM ox_current c FULL OUTER JOIN ox_owned n ON n.id = c.id) d LEFT JOIN ox_current c ON c.id = d.k LEFT JOIN ox_owned n ON n.id = d.k"""
 
 
 def snapshot(r):
@@ -401,7 +405,10 @@ def snapshot(r):
     incoming = r.fx_opportunities.filter("id % 4 <> 0").select(
         "id", F.when(F.col("id") % 10 == 9, "src-other").otherwise(F.col("source_id")).alias("source_id"), F.upper("title").alias("title"),
         F.when(F.col("id") % 6 < 3, F.concat(F.lit("h"), F.col("id") % 3)).otherwise("new").alias("content_hash"), (F.col("id") % 6 == 1).alias("raw_changed"))
-    return upsert.upsert(current, incoming, r.as_of)
+    # Half of the notices are listed by a second source as well.
+    foreign = r.fx_opportunities.filter("id % 4 <> 0 AND id % 8 < 4").select(
+        "id", F.lit("a-foreign").alias("source_id"), F.lit("foreign").alias("title"), F.lit("hf").alias("content_hash"), F.lit(True).alias("raw_changed"))
+    return upsert.upsert(current, incoming.unionByName(foreign), r.as_of)
 
 
 @query("j01_versioned_upsert", "SELECT id, source_id, title, content_hash, version, updated_at, outcome FROM ox_snapshot")
@@ -409,6 +416,23 @@ def _(r):
     return snapshot(r).select("id", "source_id", "title", "content_hash", "version", "updated_at", "outcome")
 
 
+@query("j01_source_items", f"""
+SELECT COALESCE(i.id, n.id) AS id, COALESCE(i.opportunity_id, n.opportunity_id) AS opportunity_id,
+  CASE WHEN n.id IS NULL THEN i.raw_hash ELSE n.raw_hash END AS raw_hash, CASE WHEN n.id IS NULL THEN i.last_seen_at ELSE {STAMP} END AS last_seen_at
+FROM (SELECT sha256(source_id || ':' || external_id) AS id, id AS opportunity_id, sha256(title) AS raw_hash, updated_at AS last_seen_at FROM fx_opportunities WHERE id % 3 <> 0) i
+FULL OUTER JOIN (SELECT sha256(source_id || ':' || external_id) AS id, id + 5000000 AS opportunity_id, sha256(CASE WHEN id % 4 = 0 THEN title ELSE description END) AS raw_hash FROM fx_opportunities WHERE id % 5 <> 0) n ON n.id = i.id""")
+def _(r):
+    key = F.sha2(F.concat_ws(":", "source_id", "external_id"), 256)
+    items = r.fx_opportunities.filter("id % 3 <> 0").select(
+        key.alias("id"), "source_id", "external_id", F.col("id").alias("opportunity_id"), F.sha2("title", 256).alias("raw_hash"), F.col("updated_at").alias("last_seen_at"))
+    # The publisher has moved every page, so unknown items get new notices and known ones keep theirs.
+    incoming = r.fx_opportunities.filter("id % 5 <> 0").select(
+        (F.col("id") + 5000000).alias("id"), "source_id", "external_id",
+        F.sha2(F.when(F.col("id") % 4 == 0, F.col("title")).otherwise(F.col("description")), 256).alias("raw_hash"))
+    rows = upsert.source_items(items, upsert.resolve_ids(incoming, items), r.as_of)
+    return rows.select("id", "opportunity_id", "raw_hash", "last_seen_at")
+
+
 @query("j02_child_replacement", """
 SELECT opportunity_id, kind, value, basis FROM fx_tags WHERE opportunity_id NOT IN (SELECT id FROM ox_snapshot WHERE outcome IN ('created', 'updated'))
 UNION ALL SELECT opportunity_id, kind, upper(value), 'source' FROM fx_tags WHERE opportunity_id IN (SELECT id FROM ox_snapshot WHERE outcome IN ('created', 'updated'))""")
@@ -436,10 +460,16 @@ SHARED["ox_stored"] = """
 SELECT DISTINCT sha256, 'extracted' AS extraction_status FROM fx_texts WHERE doc_id % 2 = 0 OR doc_id % 5 = 0"""
 SHARED["ox_doc_events"] = """
 SELECT f.document_id, CASE WHEN d.current_sha256 IS NULL THEN 'document_added' WHEN d.current_sha256 = f.sha256 THEN 'document_reextracted' ELSE 'document_updated' END AS kind,
-  d.current_sha256 AS previous_sha256, f.sha256 FROM ox_fetched f JOIN ox_current_docs d ON d.id = f.document_id LEFT JOIN ox_stored s ON s.sha256 = f.sha256
+  d.current_sha256 AS previous_sha256, f.sha256, COALESCE(s.extraction_status <> f.extraction_status, false) AS shared FROM ox_fetched f JOIN ox_current_docs d ON d.id = f.document_id LEFT JOIN ox_stored s ON s.sha256 = f.sha256
 WHERE d.current_sha256 IS NULL OR d.current_sha256 <> f.sha256 OR COALESCE(s.extraction_status <> f.extraction_status, false) OR d.extraction_status <> f.extraction_status"""
 
 
+# Notices an event reaches: through its document, and through others with the content if the extraction changed.
+SHARED["ox_reached"] = """
+SELECT DISTINCT od.opportunity_id, e.document_id, e.kind, e.previous_sha256, e.sha256 FROM ox_doc_events e JOIN fx_opportunity_documents od ON od.active AND (
+  od.document_id = e.document_id OR (e.shared AND od.document_id IN (SELECT id FROM ox_current_docs c WHERE c.current_sha256 = e.sha256)))"""
+
+
 def fetched(r):
     wanted = F.when(F.col("id") % 5 == 0, F.col("id")).otherwise(F.col("id") + 3)
     return r.fx_documents.select(F.col("id").alias("document_id"), wanted.alias("doc_id")).join(
@@ -484,18 +514,19 @@ def _(r):
 
 @query("j05_fan_out_versions", f"""
 SELECT o.id, CAST(o.version + COALESCE(b.n, 0) AS INT) AS version, CASE WHEN b.n IS NULL THEN o.updated_at ELSE {STAMP} END AS updated_at FROM fx_opportunities o LEFT JOIN (
-  SELECT opportunity_id, COUNT(*) AS n FROM fx_opportunity_documents od JOIN ox_doc_events e ON e.document_id = od.document_id WHERE od.active GROUP BY opportunity_id) b ON b.opportunity_id = o.id""")
+  SELECT opportunity_id, COUNT(*) AS n FROM ox_reached GROUP BY opportunity_id) b ON b.opportunity_id = o.id""")
 def _(r):
-    bumps, _log = docs.fan_out(events(r), r.fx_opportunities, r.fx_opportunity_documents, 0, r.as_of)
+    bumps, _log = docs.fan_out(events(r), r.fx_opportunities, r.fx_opportunity_documents, 0, r.as_of, current_docs(r))
     return docs.bumped(r.fx_opportunities, bumps, r.as_of).select("id", "version", "updated_at")
 
 
 @query("j05_fan_out_log", """
-SELECT ROW_NUMBER() OVER (ORDER BY sha256(CAST(od.opportunity_id AS VARCHAR) || '/' || CAST(od.document_id AS VARCHAR))) AS id, od.opportunity_id, od.document_id, e.kind, o.source_id
-FROM fx_opportunity_documents od JOIN ox_doc_events e ON e.document_id = od.document_id JOIN fx_opportunities o ON o.id = od.opportunity_id WHERE od.active""")
+SELECT ROW_NUMBER() OVER (ORDER BY sha256(CAST(e.opportunity_id AS VARCHAR) || '/' || CAST(e.document_id AS VARCHAR))) AS id, e.opportunity_id, e.document_id, e.kind, o.source_id,
+  '{"document_id":' || e.document_id || ',"previous_sha256":' || COALESCE('"' || e.previous_sha256 || '"', 'null') || ',"sha256":"' || e.sha256 || '"}' AS payload_json
+FROM ox_reached e JOIN fx_opportunities o ON o.id = e.opportunity_id""")
 def _(r):
-    _bumps, log = docs.fan_out(events(r), r.fx_opportunities, r.fx_opportunity_documents, 0, r.as_of)
-    return log.select("id", "opportunity_id", "document_id", "kind", "source_id")
+    _bumps, log = docs.fan_out(events(r), r.fx_opportunities, r.fx_opportunity_documents, 0, r.as_of, current_docs(r))
+    return log.select("id", "opportunity_id", "document_id", "kind", "source_id", "payload_json")
 
 
 # --- reviews --------------------------------------------------------------------------------
