@@ -95,6 +95,11 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group)
 
 
+def impossible(found: Column) -> Column:
+    """Whether a list of ``dates_in_label`` holds a date that no calendar has, such as 31.2.; such a record is rejected."""
+    return F.coalesce(F.exists(found, lambda d: d["due_on"].isNull()), F.lit(False))
+
+
 def dates_in_label(label: Column, timezone: str) -> Column:
     """Dates of an identified date field, never of arbitrary text.
 

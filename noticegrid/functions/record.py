@@ -111,6 +111,8 @@ def problems(present: set[str]) -> Column:
     for name in ("total_budget", "grant_max", "funding_rate"):
         rule(name, F.col(name) < 0, f"{name}: negative")
     rule("funding_rate", F.col("funding_rate") > 100, "funding_rate: above 100")
+    if "deadlines" in present:
+        rules.append(F.when(dates.impossible(F.col("deadlines")), F.lit("deadlines: a date outside the calendar")))
     if "tags" in present:
         def bad(t):
             return ~t["kind"].isin(*fixed.TAG_KINDS) | ~t["basis"].isin(*fixed.TAG_BASES) | (F.length(t["value"]) > 200)

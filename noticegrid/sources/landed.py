@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticegrid.functions.codes import listed_values
+from noticegrid.session import materialise
+
 LANGS = "struct<fi:string,sv:string,en:string>"
 LISTING = (
     "pageNo int, totalCount int, pageCount int, hakuilmoitukset array<struct<hakuasianAsianumero:string,"
@@ -24,6 +27,8 @@ POST = (
     "id bigint, type string, status string, link string, modified_gmt string, title struct<rendered:string>, "
     "content struct<rendered:string>, status_ids array<int>"
 )
+# As landed: a metadata value is a list or a plain string, kept as JSON text until ``read_search``.
+SEARCH_LINE = SEARCH_DOCUMENT.replace("map<string,array<string>>", "map<string,string>") + ", _corrupt string"
 FAQ_PAGE = (
     "page_no int, checked_at timestamp_ntz, totalResults int, "
     "results array<struct<reference:string,url:string,metadata:map<string,array<string>>>>"
@@ -46,6 +51,15 @@ def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
     return reader.option("mode", "FAILFAST").json(path)
 
 
+def read_search(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejected lines) of landed search responses; an unreadable line costs no other."""
+    lines = materialise(read_json(spark, path, SEARCH_LINE))  # parsed once; rejects alone cannot be read from JSON files
+    documents = lines.filter("_corrupt IS NULL").drop("_corrupt").withColumn("metadata", listed_values(F.col("metadata")))
+    rejected = lines.filter("_corrupt IS NOT NULL").select(
+        F.col("_corrupt").alias("raw"), F.lit("Unreadable search response line").alias("reason"))
+    return documents, rejected
+
+
 def read_html(spark: SparkSession, path: str) -> DataFrame:
     """One row per HTML file."""
     return spark.read.text(path, wholetext=True).select(

@@ -64,6 +64,9 @@ def rule_record(df: DataFrame, config: dict, *, title, url, body, date_label, st
         eligibility_text=eligibility, quality_flags=flags)
 
 
+IMPOSSIBLE_DATE = "Date outside the calendar"
+
+
 # --- WordPress ------------------------------------------------------------------------------
 META = {k: f".single-meta--{k} .single-meta__data" for k in ("program", "start-datetime", "end-datetime", "status")}
 
@@ -88,7 +91,8 @@ def post_records(posts: DataFrame, config: dict) -> DataFrame:
     def meta(key):
         return F.coalesce(F.try_element_at("_meta", F.lit(key)), F.lit(""))
 
-    rows = rows.withColumn("reason", reason).withColumn("_ends", dates.dates_in_label(meta("end-datetime"), ZONE))
+    rows = rows.withColumn("_ends", dates.dates_in_label(meta("end-datetime"), ZONE))
+    rows = rows.withColumn("reason", F.coalesce(reason, F.when(dates.impossible(F.col("_ends")), IMPOSSIBLE_DATE)))
     starts = dates.dates_in_label(meta("start-datetime"), ZONE)
     return record(
         rows, keep=("id", "reason"), external_id=F.col("id").cast("string"), canonical_url=F.col("link"),
@@ -124,8 +128,10 @@ def post_calls(posts: DataFrame, taxonomy: DataFrame, config: dict) -> DataFrame
                           "Duplicate or unsupported WordPress record")
     body = F.col("content.rendered")
     labels = F.filter(html.element_texts(body, "p,li,tr"), lambda t: t.rlike("(?i)" + fixed.DEADLINE_LABEL))
+    rows = rows.withColumn("_labels", F.array_join(labels, "\n"))
+    bad_date = dates.impossible(dates.dates_in_label(F.col("_labels"), config.get("timezone", ZONE)))
     rows = rows.withColumns({
-        "reason": F.coalesce(kind_problem, F.col("reason")), "_labels": F.array_join(labels, "\n"),
+        "reason": F.coalesce(kind_problem, F.col("reason"), F.when(bad_date, IMPOSSIBLE_DATE)),
         "_text": html.semantic_text(body), "_title": html.unescaped(html.clean_html(F.col("title.rendered"))),
     })
     return rule_record(
@@ -152,6 +158,16 @@ def catalogue_cards(pages: DataFrame, config: dict) -> DataFrame:
     return rows.filter(F.col("linked") & (F.length("title") > 0) & F.col("target").isNotNull() & keep).drop("linked")
 
 
+def card_rejects(pages: DataFrame, config: dict) -> DataFrame:
+    """Cards that ``catalogue_cards`` leaves out although they are listed, each with its reason."""
+    found = pages.select("page_id", F.col("url").alias("listing_url"), F.posexplode(html.cards(F.col("html"), config)).alias("_n", "c")).select(
+        "page_id", "listing_url", "c.position", "c.href", "c.title")
+    target = urls.canonical_url(urls.resolve(F.col("href"), F.col("listing_url")))
+    reason = F.when(F.length("href") == 0, "Card without a link").when(target.isNull(), "Card address cannot be used").when(
+        F.length("title") == 0, "Card without a title")
+    return found.withColumn("reason", reason).filter("reason IS NOT NULL")
+
+
 def distinct_cards(cards: DataFrame) -> DataFrame:
     """First card per address; ``conflict`` marks addresses listed with different content.
 
@@ -190,16 +206,30 @@ def main_text(pages: DataFrame, config: dict) -> Column:
     return html.semantic_text(F.col("html"), config.get("selector", "main, article, #content"))
 
 
+def _named_pages(pages: DataFrame, entries: DataFrame) -> DataFrame:
+    wanted = entries.groupBy(urls.canonical_url(F.col("url")).alias("_key")).agg(
+        F.min("title").alias("_named"), F.min("record_kind").alias("_kind"), F.count(F.lit(1)).alias("_n"))
+    wanted = wanted.withColumn("_kind", fail_unless(F.col("_n") == 1, F.col("_kind"), "Duplicate configured scheme URL")).drop("_n")
+    return pages.withColumn("_key", urls.canonical_url(F.col("url"))).join(wanted, "_key")
+
+
+def configured_page_rejects(pages: DataFrame, entries: DataFrame, config: dict) -> DataFrame:
+    """Configured pages without a usable main part, each with its reason."""
+    rows = _named_pages(pages, entries)
+    body = main_text(rows, config)
+    rows = rows.withColumn("_text", body)
+    reason = F.when(F.col("_text").isNull(), "Expected main content selector missing").when(
+        F.length("_text") < MAIN_LENGTH, "Page content too short; possible error or bot challenge")
+    return rows.withColumn("reason", reason).filter("reason IS NOT NULL").select("page_id", "url", "reason")
+
+
 def configured_pages(pages: DataFrame, entries: DataFrame, config: dict) -> DataFrame:
     """Records of the pages that the configuration names, matched on the canonical address.
 
     ``entries`` holds address, optional title and record kind; the page side is reduced by the join
     before any HTML is parsed.
     """
-    wanted = entries.groupBy(urls.canonical_url(F.col("url")).alias("_key")).agg(
-        F.min("title").alias("_named"), F.min("record_kind").alias("_kind"), F.count(F.lit(1)).alias("_n"))
-    wanted = wanted.withColumn("_kind", fail_unless(F.col("_n") == 1, F.col("_kind"), "Duplicate configured scheme URL")).drop("_n")
-    rows = pages.withColumn("_key", urls.canonical_url(F.col("url"))).join(wanted, "_key")
+    rows = _named_pages(pages, entries)
     selectors = {"h1": "h1"}
     for name in ("date_selector", "status_selector", "open_date_selector", "rolling_selector"):
         if config.get(name):
