@@ -26,22 +26,33 @@ def digest(text: Column) -> Column:
 
 # What full case folding does beyond lower case, from the character database: one character for
 # one, and the ligatures and the like that become several.
-_FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x1E960)) if not c.lower() == c.casefold() and c.lower() == c}
+_FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x1E960)) if c.lower() == c != c.casefold()}
 _SINGLE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
 _SEVERAL = {c: f for c, f in _FOLDS.items() if len(f) > 1 and c != "ß"}
 
 
-def fold(text: Column) -> Column:
-    """Full case folding for search: lower case, sharp s as ss, final sigma as sigma, ligatures apart."""
-    lower = F.replace(F.translate(F.lower(text), "".join(_SINGLE), "".join(_SINGLE.values())), F.lit("ß"), F.lit("ss"))
+def _ranges(codes: list[int], gap: int = 64) -> str:
+    """A character class over sorted code points; near ones share a range, so that testing it is quick."""
+    out = [[codes[0], codes[0]]]
+    for c in codes[1:]:
+        if c - out[-1][1] <= gap:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]"
+
 
-    def apart(folded):
-        whole = folded
-        for one, several in _SEVERAL.items():
-            whole = F.replace(whole, F.lit(one), F.lit(several))
-        return F.when(folded.rlike("[" + "".join(_SEVERAL) + "]"), whole).otherwise(folded)  # rare characters
+# Texts without a character of these ranges need no more than lower case.
+_RARE = _ranges([c for c in range(0x100, 0x1E960) if set(chr(c).lower()) & {*_SINGLE, *_SEVERAL} or chr(c) == "Σ"])
 
-    return let(lower, apart)
+
+def fold(text: Column) -> Column:
+    """Full case folding for search: lower case, sharp s as ss, final sigma as sigma, ligatures apart."""
+    lower = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    whole = F.translate(lower, "".join(_SINGLE), "".join(_SINGLE.values()))
+    for one, several in _SEVERAL.items():
+        whole = F.replace(whole, F.lit(one), F.lit(several))
+    return F.when(text.rlike(_RARE), whole).otherwise(lower)
 
 
 def contains_folded(text: Column, needle: str) -> Column:

@@ -22,6 +22,12 @@ def offset_page(view: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame
     return view.orderBy("id").offset(offset).limit(limit)
 
 
+def page_info(view: DataFrame, offset: int, limit: int) -> DataFrame:
+    """One row: ``total`` rows of the filtered view, and the ``next_offset`` if more follow the page."""
+    return view.agg(F.count(F.lit(1)).alias("total")).select(
+        "total", F.when(F.col("total") > offset + limit, F.lit(offset + limit)).cast("bigint").alias("next_offset"))
+
+
 def registry_page(opportunities, sources, reviews, bridge, documents, as_of, narrow, offset=0, limit=100) -> DataFrame:
     """Page of the registry view with coverage computed for the page's notices only.
 

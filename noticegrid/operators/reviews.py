@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from noticegrid.functions import fixed
-from noticegrid.session import materialise
+from noticegrid.functions.text import canonical_json
+from noticegrid.session import dense_ids, materialise
 
 
 def static_kind() -> Column:
@@ -47,6 +48,31 @@ def apply_reviews(attempts: DataFrame, notices: DataFrame, reviews: DataFrame, p
         _settle, f"opportunity_id {key['opportunity_id']}, event_id {key['event_id']}, outcome string, review_version int")
 
 
+def _accepted(outcomes: DataFrame, attempts: DataFrame) -> DataFrame:
+    done = outcomes.filter("outcome = 'accepted'").select("opportunity_id", "event_id", "review_version")
+    return done.join(attempts.select("opportunity_id", "event_id", "eligibility", "source_version"), ["opportunity_id", "event_id"])
+
+
+def review_rows(outcomes: DataFrame, attempts: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Review table after the attempts: of each notice the last accepted one, else what was there."""
+    last = _accepted(outcomes, attempts).groupBy("opportunity_id").agg(
+        F.max("review_version").alias("_version"), F.max_by("eligibility", "review_version").alias("_eligibility"),
+        F.max_by("source_version", "review_version").alias("_source"))
+    fresh = {"eligibility": "_eligibility", "reviewed_source_version": "_source", "version": "_version"}
+    joined = reviews.join(last, "opportunity_id", "full_outer")
+    return joined.select(*(F.coalesce(fresh[c], c).alias(c) if c in fresh else F.col(c) for c in reviews.columns))
+
+
+def review_log(outcomes: DataFrame, attempts: DataFrame, notices: DataFrame, last_id: int, as_of: str) -> DataFrame:
+    """Change-log rows of kind ``reviewed``, one for every accepted attempt."""
+    rows = _accepted(outcomes, attempts).join(notices.select(F.col("id").alias("opportunity_id"), "source_id"), "opportunity_id")
+    payload = canonical_json({c: F.col(c) for c in ("eligibility", "review_version", "source_version")})
+    rows = rows.select(
+        "opportunity_id", "source_id", F.lit("reviewed").alias("kind"), F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
+        payload.alias("payload_json"), "review_version")
+    return dense_ids(rows, F.concat_ws("/", "opportunity_id", "review_version"), last_id)
+
+
 def _entry_versions(ranged: DataFrame) -> DataFrame:
     """Entry version of every (notice, run).
 

@@ -547,7 +547,7 @@ def review_events(r):
         F.when(F.col("event_id") % 4 == 0, "").otherwise("https://example.org/e").alias("evidence_url"))
 
 
-@query("j06_review_outcomes", """
+SHARED["ox_review_outcomes"] = """
 WITH RECURSIVE ev AS (SELECT e.event_id, e.opportunity_id, e.expected_version, o.id IS NULL AS unknown,
     CASE WHEN e.eligibility <> 'unreviewed' AND e.evidence_url = '' THEN 'invalid' WHEN o.version <> e.source_version THEN 'conflict' ELSE 'candidate' END AS kind,
     ROW_NUMBER() OVER (PARTITION BY e.opportunity_id ORDER BY e.arrived_at, e.event_id) AS rn,
@@ -558,10 +558,37 @@ s(opportunity_id, event_id, rn, v, outcome) AS (
   UNION ALL SELECT e.opportunity_id, e.event_id, e.rn, CASE WHEN e.kind = 'candidate' AND e.expected_version = s.v THEN s.v + 1 ELSE s.v END,
     CASE WHEN e.kind = 'invalid' THEN 'invalid' WHEN e.kind = 'candidate' AND e.expected_version = s.v THEN 'accepted' ELSE 'conflict' END
   FROM s JOIN ev e ON e.opportunity_id = s.opportunity_id AND e.rn = s.rn + 1)
-SELECT opportunity_id, event_id, outcome, CAST(v AS INT) AS review_version FROM s""")
+SELECT opportunity_id, event_id, outcome, CAST(v AS INT) AS review_version FROM s"""
+SHARED["ox_accepted"] = """
+SELECT o.opportunity_id, o.event_id, o.review_version, e.eligibility, e.source_version FROM ox_review_outcomes o
+JOIN ox_review_events e ON e.event_id = o.event_id WHERE o.outcome = 'accepted'"""
+
+
+def outcomes(r):
+    return reviews.apply_reviews(review_events(r), r.fx_opportunities, r.fx_reviews)
+
+
+@query("j06_review_outcomes", "SELECT opportunity_id, event_id, outcome, review_version FROM ox_review_outcomes")
+def _(r):
+    return outcomes(r).select("opportunity_id", "event_id", "outcome", "review_version")
+
+
+@query("j06_reviews", """
+SELECT COALESCE(r.opportunity_id, a.opportunity_id) AS opportunity_id, COALESCE(a.eligibility, r.eligibility) AS eligibility,
+  COALESCE(a.source_version, r.reviewed_source_version) AS reviewed_source_version, COALESCE(a.review_version, r.version) AS version
+FROM fx_reviews r FULL OUTER JOIN (SELECT opportunity_id, MAX(review_version) AS review_version, arg_max(eligibility, review_version) AS eligibility, arg_max(source_version, review_version) AS source_version
+  FROM ox_accepted GROUP BY opportunity_id) a ON a.opportunity_id = r.opportunity_id""")
+def _(r):
+    return reviews.review_rows(outcomes(r), review_events(r), r.fx_reviews).select("opportunity_id", "eligibility", "reviewed_source_version", "version")
+
+
+@query("j06_log", f"""
+SELECT ROW_NUMBER() OVER (ORDER BY sha256(a.opportunity_id || '/' || a.review_version)) AS id, a.opportunity_id, o.source_id, 'reviewed' AS kind, {STAMP} AS created_at,
+  '{{"eligibility":"' || a.eligibility || '","review_version":' || a.review_version || ',"source_version":' || a.source_version || '}}' AS payload_json
+FROM ox_accepted a JOIN fx_opportunities o ON o.id = a.opportunity_id""")
 def _(r):
-    return reviews.apply_reviews(review_events(r), r.fx_opportunities, r.fx_reviews).select(
-        "opportunity_id", "event_id", "outcome", "review_version")
+    log = reviews.review_log(outcomes(r), review_events(r), r.fx_opportunities, 0, r.as_of)
+    return log.select("id", "opportunity_id", "source_id", "kind", "created_at", "payload_json")
 
 
 # --- runs, retirement, re-extraction --------------------------------------------------------

@@ -554,6 +554,14 @@ def _(r):
     ).select(*REGISTRY_COLUMNS)
 
 
+@query("g01_page_info", """
+SELECT n AS total, CAST(CASE WHEN n > 140 THEN 140 END AS BIGINT) AS next_offset FROM (
+  SELECT COUNT(*) AS n FROM ox_registry WHERE effective_status IN ('closed', 'open') AND needs_review = 1 AND deadline_on >= DATE '1996-01-01')""")
+def _(r):
+    rows = predicates.filter_notices(view(r).filter(F.col("effective_status").isin("closed", "open")), needs_review=True, deadline_after="1996-01-01")
+    return paging.page_info(rows, 40, 100)
+
+
 @query("g02_change_page", """
 WITH w AS (SELECT MAX(id) - 100 AS m FROM fx_changes),
 p AS (SELECT c.*, COUNT(*) OVER () AS n, ROW_NUMBER() OVER (ORDER BY id) AS rn FROM (SELECT * FROM fx_changes, w WHERE id > 150 AND id <= m ORDER BY id LIMIT 201) c)
