@@ -33,7 +33,8 @@ from noticegrid.session import materialise
 
 COORDINATES = 32
 BLOCK = 500  # classes of one side of a block pair
-CELLS = 64
+CELLS = 256
+ID_CELLS = 1 << 20  # at most so many rows in the broadcast that spares texts a shuffle
 HITS = "aggregate(zip_with(sig_a, sig_b, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)"
 
 
@@ -196,15 +197,30 @@ def meetings(table: pa.Table, num: int, den: int) -> np.ndarray:
         good &= (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num) & (~across[a] | (own[a] != own[b]))
         a, b = a[good], b[good]
         good = np.minimum(cells[a], cells[b]).sum(axis=1, dtype=np.int64) * (num + den) >= num * (n[a] + n[b])
+        good |= (cells[a, 0] < 0) | (cells[b, 0] < 0)
         a, b = cid[a[good]], cid[b[good]]
         out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
 def histogram(items: np.ndarray) -> np.ndarray:
-    """Counts by hash cell; where one would overflow, all are the largest number, which bounds nothing."""
+    """Counts by hash cell; where one would overflow, all are -1, which bounds nothing."""
     counts = np.bincount((items >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS)
-    return np.full(CELLS, 2**15 - 1, np.int16) if counts.max() >= 2**15 - 1 else counts.astype(np.int16)
+    return np.full(CELLS, -1, np.int8) if counts.max() > 127 else counts.astype(np.int8)
+
+
+def cell(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(ID_CELLS))
+
+
+def in_cells(rows: DataFrame, ids: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose key may be (``left_anti``: cannot be) among ``ids``, told by the ids' hash cells.
+
+    There are ``ID_CELLS`` cells at most, so they are broadcast, and texts that no id asks for need no
+    shuffle. With very many ids all cells are taken and every row stays for the exact join.
+    """
+    cells = ids.select(cell(column).alias("_cell")).distinct()
+    return rows.withColumn("_at", cell(column)).join(F.broadcast(cells), F.col("_at") == F.col("_cell"), how).drop("_at")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -214,9 +230,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """
     key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-(2**63)))
     texts = docs.select(key("doc_id").alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(wanted.select(key("min_id").alias("key"), "cid", "digest"), "key").select("cid", "text", "digest")
-    schema = "cid bigint, n bigint, items array<bigint>, histogram array<smallint>"
-    arrow = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64())), ("histogram", pa.list_(pa.int16()))])
+    ids = wanted.select(key("min_id").alias("key"), "cid", "digest")
+    rows = in_cells(texts, ids, "key").join(ids, "key").select("cid", "text", "digest")
+    schema = "cid bigint, n bigint, items array<bigint>, histogram array<tinyint>"
+    arrow = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64())), ("histogram", pa.list_(pa.int8()))])
 
     def run(parts):
         known = shingles.WordHashes()
@@ -284,6 +301,8 @@ def group_representatives(docs: DataFrame, **options) -> DataFrame:
     A row with a null id stays. Where several rows share an id, they stay if one of them does.
     """
     rows = materialise(near_duplicates(docs, **options).select("doc_id", "kept"))
-    gone = rows.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    gone = materialise(rows.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")))
     keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"))
-    return keyed.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
+    sure = in_cells(keyed, gone, "_id", "left_anti")
+    checked = in_cells(keyed, gone, "_id").join(gone, "_id", "left_anti")
+    return sure.select("_row.*").unionByName(checked.select("_row.*"))
