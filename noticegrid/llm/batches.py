@@ -57,32 +57,3 @@ def per_slice(docs: DataFrame, make: Callable[[], Callable[[list, list[str]], di
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return id_and_text(docs).mapInArrow(run, schema)
-
-
-def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """Groups of equal values in the first ``keys`` columns of sorted batches, whole, one table a group.
-
-    Only the group at hand is kept; callers bound the size of a group.
-    """
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = list(zip(*(batch.column(i).to_pylist() for i in range(keys))))
-        start = 0
-        for i, k in enumerate(key):
-            if last is not None and k != last:
-                held.append(batch.slice(start, i - start))
-                if table := _whole(held):
-                    yield table
-                held, start = [], i
-            last = k
-        held.append(batch.slice(start))
-    if table := _whole(held):
-        yield table
-
-
-def _whole(parts: list[pa.RecordBatch]) -> pa.Table | None:
-    parts = [p for p in parts if p.num_rows]
-    return pa.Table.from_batches(parts) if parts else None
