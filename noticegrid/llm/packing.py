@@ -110,8 +110,8 @@ def power_cuts(window: list, size: int):
 
 
 def pack(
-    docs: DataFrame, *, size: int = 4096, end_id: int = 2, shard_docs: int = 2_000, shard_tokens: int = 4_000_000,
-    vocabulary: str | None = None, cache: int = 600_000,
+    docs: DataFrame, *, size: int = 4096, end_id: int = 2, shard_docs: int = 1_000, shard_tokens: int = 2_000_000,
+    vocabulary: str | None = None, cache: int = 250_000,
 ) -> DataFrame:
     """One row per piece of a document in a sequence (see ``SCHEMA``).
 
