@@ -37,6 +37,7 @@ class Vocabulary:
         vocab, merges = stored["model"]["vocab"], stored["model"]["merges"]
         suffix = stored["model"]["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in stored["added_tokens"]}
+        self.top = max(*vocab.values(), *self.special.values(), 0)  # the largest id
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         left = np.array([vocab[a] for a, _ in pairs], np.uint64)

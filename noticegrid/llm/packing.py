@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from noticegrid.llm import batches, bpe
+from noticegrid.session import materialise
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -17,14 +20,55 @@ SCHEMA = (
 NAMES = [part.split()[0] for part in SCHEMA.split(", ")]
 
 
+K1, B = 1.2, 0.75
+
+
+class Corpus(NamedTuple):
+    """What BM25 knows of the whole table: documents of each term, number of documents, mean length."""
+
+    df: np.ndarray
+    count: int
+    mean: float
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, length, k1: float = K1, b: float = B) -> np.ndarray:
+        """BM25 weight of terms that occur ``tf`` times in documents of ``length`` tokens."""
+        df = self.df[term]
+        return np.log1p((self.count - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / self.mean))
+
+    def shared(self) -> np.ndarray:
+        """Inverse document frequency of each term; 0 for a term that no second document holds."""
+        return np.where(self.df > 1, np.log1p((self.count - self.df + 0.5) / (self.df + 0.5)), 0.0)
+
+    def routes(self, ids: np.ndarray, shared: np.ndarray) -> tuple[int, int]:
+        """The two terms of most weight in a document that others hold as well; -1 where there is none."""
+        term, tf = counted(ids)
+        weight = shared[term] * (tf / (tf + K1 * (1 - B + B * len(ids) / self.mean)))
+        out = []
+        for _ in range(2):
+            best = int(weight.argmax())
+            out.append(int(term[best]) if weight[best] > 0 else -1)
+            weight[best] = 0
+        return out[0], out[1]
+
+
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order and how often each occurs; ``np.unique`` takes twice as long on short arrays."""
+    ids = np.sort(ids)
+    fresh = np.empty(len(ids) + 1, bool)
+    fresh[0] = fresh[-1] = True
+    np.not_equal(ids[1:], ids[:-1], out=fresh[1:-1])
+    at = fresh.nonzero()[0]
+    return ids[at[:-1]], at[1:] - at[:-1]
+
+
 class ShardIndex:
-    """A BM25 inverted index of one shard; terms are token ids.
+    """A BM25 inverted index of one shard; terms are token ids, weighed by ``corpus`` or the shard alone.
 
     Terms in more than ``common`` of the shard's documents get no posting list: their weight is next
     to nothing and their lists would hold most of the shard.
     """
 
-    def __init__(self, ids: list[np.ndarray], k1: float = 1.2, b: float = 0.75, common: float = 0.5):
+    def __init__(self, ids: list[np.ndarray], k1: float = K1, b: float = B, common: float = 0.5, corpus: Corpus | None = None):
         sizes = np.array([len(x) for x in ids], np.int64)
         count = len(ids)
         key = np.repeat(np.arange(count, dtype=np.int64), sizes) << 32 | np.concatenate(ids)
@@ -38,9 +82,8 @@ class ShardIndex:
         self._term = term
         order = np.argsort(term, kind="stable")
         self._doc = doc[order]
-        idf = np.log1p((count - df + 0.5) / (df + 0.5))
-        length = sizes / max(1.0, sizes.mean())
-        self._weight = (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[doc])))[order]
+        known = corpus or Corpus(df, count, max(1.0, sizes.mean()))
+        self._weight = known.weights(term, tf, sizes[doc], k1, b)[order]
         self._list = np.searchsorted(term[order], np.arange(len(df) + 1))
         self._count = count
 
@@ -53,13 +96,13 @@ class ShardIndex:
         return np.bincount(self._doc[at], self._weight[at], self._count)
 
 
-def windows(ids: list[np.ndarray], size: int):
+def windows(ids: list[np.ndarray], size: int, corpus: Corpus | None = None):
     """Lists of (document, start, length) that fill ``size`` tokens each; the last may be shorter.
 
     A document that does not fit is cut and its rest seeds the next window. Without such a rest the
     next unused document in order is the seed. Equal scores go to the earlier document.
     """
-    index = ShardIndex(ids)
+    index = ShardIndex(ids, corpus=corpus)
     free = np.ones(len(ids), bool)
     next_seed, rest = 0, None  # rest: (document, start)
     while True:
@@ -109,60 +152,118 @@ def power_cuts(window: list, size: int):
         yield part
 
 
+def tokenised(docs: DataFrame, path: str, end_id: int, cache: int) -> DataFrame:
+    """``doc_id, ids``: the token ids of every row with the end id, as bytes of ``unit(path, end_id)``."""
+    kind, schema = unit(path, end_id), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+    end = np.array([end_id], kind).tobytes()
+
+    def run(parts):
+        vocab = bpe.vocabulary(path)
+        known = bpe.ChunkCache(vocab, cache, lambda ids: ids.astype(kind).tobytes())
+        for doc_ids, texts in batches.slices(parts):
+            lists = [vocab.chunks(t) for t in texts]
+            known.learn(lists)
+            ids = [b"".join(map(known.__getitem__, chunks)) + end for chunks in lists]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+
+    return batches.id_and_text(docs).mapInArrow(run, "doc_id bigint, ids binary")
+
+
+def unit(path: str, end_id: int) -> str:
+    """Two bytes an id where the vocabulary allows it."""
+    return "<u2" if max(bpe.vocabulary(path).top, end_id) < 1 << 16 else "<u4"
+
+
+def corpus_of(tokens: DataFrame, kind: str, top: int) -> Corpus:
+    """Sums over all rows; the driver gets one number a term, at most the vocabulary's size."""
+    schema = pa.schema([("term", pa.int64()), ("n", pa.int64())])
+
+    def run(parts):
+        df, count, total = np.zeros(top + 1, np.int64), 0, 0
+        for batch in parts:
+            for raw in batch.column(0):
+                ids = np.frombuffer(raw.as_buffer(), kind)
+                df[counted(ids)[0]] += 1
+                count, total = count + 1, total + len(ids)
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*term, -1, -2], pa.int64()), pa.array([*df[term], count, total], pa.int64())], schema=schema)
+
+    rows = tokens.select("ids").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = dict(zip(rows.column("term").to_pylist(), rows.column("n").to_pylist()))
+    count, total = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(top + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return Corpus(df, count, max(1.0, total / max(1, count)))
+
+
+def routed(tokens: DataFrame, kind: str, corpus: Corpus) -> DataFrame:
+    """Rows in the order of their two heaviest terms, dealt in even ranges.
+
+    The hash of the id is the last part of the key, so a route that many documents share takes as
+    many ranges as its rows need.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("_first", pa.int64()), ("_second", pa.int64())])
+
+    def run(parts):
+        shared = corpus.shared()
+        for batch in parts:
+            routes = [corpus.routes(np.frombuffer(raw.as_buffer(), kind), shared) for raw in batch.column(1)]
+            columns = [pa.array([r[k] for r in routes], pa.int64()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=schema)
+
+    keys = ["_first", "_second", F.xxhash64("doc_id", "ids")]
+    rows = tokens.mapInArrow(run, "doc_id bigint, ids binary, _first bigint, _second bigint")
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+
+
 def pack(
     docs: DataFrame, *, size: int = 4096, end_id: int = 2, shard_docs: int = 1_000, shard_tokens: int = 2_000_000,
     vocabulary: str | None = None, cache: int = 250_000,
 ) -> DataFrame:
     """One row per piece of a document in a sequence (see ``SCHEMA``).
 
-    Shards are consecutive rows of an input partition, at most ``shard_docs`` documents and about
-    ``shard_tokens`` tokens, so no text is shuffled and any source or group of copies spreads as the
-    input does; order or range-partition the input to bring related documents together. Within a
-    shard every document is indexed and every one is used once. All windows are full but a shard's
-    last one, which is cut into powers of two, so nothing is padded. A null or empty text is its end
-    id alone. Repeated rows and ids are packed each by itself; an empty table gives no row.
+    Document frequencies and the mean length are those of the whole table. Documents are routed by
+    the two terms of most weight they share with others, so those on one subject meet wherever they
+    stand in the input. Shards are consecutive rows of that order, at most ``shard_docs`` documents
+    and about ``shard_tokens`` tokens; neighbours are searched within a shard. Every document is
+    indexed and every one is used once. All windows are full but a shard's last one, which is cut
+    into powers of two, so nothing is padded. A null or empty text is its end id alone. Repeated
+    rows and ids are packed each by itself; an empty table gives no row.
     """
     path = vocabulary or bpe.default_path()
     arrow = pa.schema([(n, pa.int64()) for n in NAMES])
-    end = np.array([end_id], "<u4").tobytes()
+    kind, top = unit(path, end_id), max(bpe.vocabulary(path).top, end_id)
+    tokens = materialise(tokenised(docs, path, end_id, cache))
+    corpus = corpus_of(tokens, kind, top)
 
     def run(parts):
-        vocab = bpe.vocabulary(path)
-        known = bpe.ChunkCache(vocab, cache, as_bytes)
         sequence = TaskContext.get().partitionId() << 40
-        held: list[tuple[int, bytes]] = []
-        tokens = 0
+        held: list[tuple[int, np.ndarray]] = []
+        total = 0
 
         def shard():
             nonlocal sequence
-            raw = [x for _, x in held]
-            ids = [np.frombuffer(x, "<u4").astype(np.int64) for x in raw]
+            ids = [x for _, x in held]
             rows = []
-            for window in windows(ids, size):
+            for window in windows(ids, size, corpus):
                 for part in power_cuts(window, size):
                     offset = 0
                     for doc, start, length in part:
-                        crc = zlib.crc32(memoryview(raw[doc])[4 * start:4 * (start + length)])
+                        crc = zlib.crc32(ids[doc][start:start + length].astype("<u4"))
                         rows.append((held[doc][0], start, length, crc, len(ids[doc]), sequence, offset))
                         offset += length
                     sequence += 1
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=arrow)
 
-        for doc_ids, texts in batches.slices(parts):
-            lists = [vocab.chunks(t) for t in texts]
-            known.learn(lists)
-            for doc_id, chunks in zip(doc_ids, lists):
-                ids = b"".join(map(known.__getitem__, chunks)) + end
-                if held and (len(held) >= shard_docs or tokens + len(ids) // 4 > shard_tokens):
+        for batch in parts:
+            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = np.frombuffer(raw.as_py(), kind).astype(np.int64)
+                if held and (len(held) >= shard_docs or total + len(ids) > shard_tokens):
                     yield shard()
-                    held, tokens = [], 0
+                    held, total = [], 0
                 held.append((doc_id, ids))
-                tokens += len(ids) // 4
+                total += len(ids)
         if held:
             yield shard()
 
-    return batches.id_and_text(docs).mapInArrow(run, SCHEMA)
-
-
-def as_bytes(ids: np.ndarray) -> bytes:
-    return ids.astype("<u4").tobytes()
+    return routed(tokens, kind, corpus).mapInArrow(run, SCHEMA)

@@ -82,6 +82,23 @@ def test_bm25_scores_match_the_formula():
         assert np.allclose(index.scores(seed), want)
 
 
+def test_packing_brings_interleaved_subjects_together(spark):
+    topics = ("river water flood", "court judge verdict", "violin concert opera", "engine piston diesel", "wheat harvest barley")
+    rows = [(i, f"{topics[i % 5]} the and of to in " * 4) for i in range(200)]
+    subjects = defaultdict(set)
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), size=128, shard_docs=40).collect():
+        subjects[r.sequence_id].add(r.doc_id % 5)
+    assert sum(len(s) == 1 for s in subjects.values()) >= 0.8 * len(subjects)
+
+
+def test_corpus_statistics_and_routes(spark):
+    ids = [[3, 3, 5], [3, 7], [3, 7, 7, 9], [3]]
+    tokens = spark.createDataFrame([(i, np.array(x, "<u2").tobytes()) for i, x in enumerate(ids)], "doc_id bigint, ids binary").repartition(3)
+    corpus = packing.corpus_of(tokens, "<u2", 9)
+    assert corpus.df.tolist() == [0, 0, 0, 4, 0, 1, 0, 2, 0, 1] and corpus.count == 4 and corpus.mean == 2.5
+    assert [corpus.routes(np.array(x), corpus.shared()) for x in ids] == [(3, -1), (7, 3), (7, 3), (3, -1)]
+
+
 def test_windows_use_every_document_once_and_prefer_neighbours():
     rng = np.random.default_rng(3)
     docs = [rng.integers(100 * (i % 2), 100 * (i % 2) + 90, 40) for i in range(20)]
