@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticegrid.llm import batches
+from noticegrid.session import materialise
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -19,8 +23,10 @@ KINDS = ("assign", "access", "hex", "net")
 # Candidates: runs of 12 or more characters of this class with a digit among them.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{12,}")
 
-SAMPLE_DOCS = 10_000  # documents whose findings train the network
-SAMPLE_CANDIDATES = 6_000  # candidates of them, at most
+SAMPLE_CANDIDATES = 6_000  # distinct labelled candidates that train the network, at most
+HELD_OUT = 5  # one in so many sets the threshold
+BINS = 256  # steps of a held-out margin's unit
+MEMO = 100_000  # scored windows that a task keeps
 LEFT, BODY, RIGHT = 16, 32, 8  # characters of a window before, in and after a candidate
 RECALL = 0.99
 SCHEMA = (
@@ -44,13 +50,26 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in RUN.finditer(text)]
 
 
-def label_of(text: str, start: int, end: int, spans: list[tuple[int, int, int]]) -> float | None:
+def overlaps(spans: list[tuple[int, int, int]]):
+    """A function of (start, end): whether any of the sorted spans overlaps that range."""
+    starts, ends, last = [s for s, _, _ in spans], [], 0
+    for _, _, end in spans:
+        ends.append(last := max(last, end))
+
+    def found(start: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return before > 0 and ends[before - 1] > start
+
+    return found
+
+
+def label_of(text: str, start: int, end: int, found) -> float | None:
     """1 for a candidate that overlaps a fixed finding, 0 for one of a known harmless shape, else None.
 
     Harmless shapes are mail addresses, numbers with their marks, and words with few digits. What is
     neither teaches nothing; the network decides on it.
     """
-    if any(s < end and start < e for s, _, e in spans):
+    if found(start, end):
         return 1.0
     body = text[start:end]
     digits = sum(map(str.isdigit, body))
@@ -141,23 +160,35 @@ def fit_network(codes: np.ndarray, y: np.ndarray, *, epochs: int = 12, batch: in
     return net
 
 
-def calibrate(margins: np.ndarray, y: np.ndarray, recall: float) -> float:
+def calibrate(margins: np.ndarray, y: np.ndarray, recall: float, weight: np.ndarray | None = None) -> float:
     """The threshold on held-out findings: even odds by the calibrated curve, or lower where that
-    would find less than ``recall`` of the positives; infinite without positives."""
-    found = np.sort(margins[y > 0])
-    if not len(found):
+    would find less than ``recall`` of the positives; infinite without positives. Each margin
+    counts ``weight`` times."""
+    weight = np.ones(len(margins)) if weight is None else weight
+    order = np.argsort(margins, kind="stable")
+    order = order[y[order] > 0]
+    if not len(order):
         return float("inf")
-    return min(float(found[int(np.floor((1 - recall) * len(found)))]), _even_odds(margins, y))
+    upto = np.cumsum(weight[order])
+    lowest = margins[order[np.searchsorted(upto, np.floor((1 - recall) * upto[-1]), side="right")]]
+    return min(float(lowest), _even_odds(margins, y, weight))
 
 
-def _even_odds(margins: np.ndarray, y: np.ndarray, steps: int = 200) -> float:
+def _even_odds(margins: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 200) -> float:
     """The margin at which a logistic curve over the margins, fitted to held-out labels, is one half."""
+    def loss(a, b):
+        z = a * margins + b
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 5e-4 * ((a - 1) ** 2 + b**2)
+
     a, b = 1.0, 0.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a * margins + b, -35, 35)))
-        g, w = p - y, np.maximum(p * (1 - p), 1e-6)
+        g, w = weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6)
         h = np.array([[(w * margins**2).sum() + 1e-3, (w * margins).sum()], [(w * margins).sum(), w.sum() + 1e-3]])
         da, db = np.linalg.solve(h, [(g * margins).sum() + 1e-3 * (a - 1), g.sum() + 1e-3 * b])
+        now = loss(a, b)
+        while loss(a - da, b - db) > now and abs(da) + abs(db) > 1e-9:  # a full step can overshoot
+            da, db = da / 2, db / 2
         a, b = a - da, b - db
         if abs(da) + abs(db) < 1e-9:
             break
@@ -168,20 +199,15 @@ def codes_of(parts: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(parts), np.uint8).reshape(-1, LEFT + BODY + RIGHT).astype(np.int64)
 
 
-def labelled_candidates(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """``window, label``: labelled candidates of the ``sample_docs`` documents least by a hash of the id."""
-    some = (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    )
-
+def labelled_candidates(docs: DataFrame) -> DataFrame:
+    """``window, label``: the labelled candidates of all documents."""
     def make():
         def work(ids, texts):
             out = {"window": [], "label": []}
             for text in texts:
-                spans = base_spans(text)
+                found = overlaps(base_spans(text))
                 for start, end in candidates(text):
-                    label = label_of(text, start, end, spans)
+                    label = label_of(text, start, end, found)
                     if label is not None:
                         out["window"].append(windows(text, start, end)[0])
                         out["label"].append(label)
@@ -189,49 +215,88 @@ def labelled_candidates(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Data
 
         return work
 
-    picked = batches.id_and_text(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text")
-    return batches.per_slice(picked, make, "window binary, label double")
+    return batches.per_slice(docs, make, "window binary, label double")
+
 
+def training_sample(rows: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and labels of at most ``sample`` rows, half of them positive, least by a hash."""
+    parts = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("window"), "window").limit(sample // 2) for k in (1.0, 0.0)]
+    table = reduce(DataFrame.unionByName, parts).toArrow()
+    codes = table.column("window").to_pylist()
+    return codes_of(codes) if codes else np.zeros((0, LEFT + BODY + RIGHT), np.int64), table.column("label").to_numpy()
 
-def train(docs: DataFrame, recall: float = RECALL, sample_docs: int = SAMPLE_DOCS, sample: int = SAMPLE_CANDIDATES):
-    """(network, threshold): four fifths of the distinct labelled candidates fit it, the rest set the threshold."""
+
+def margin_counts(rows: DataFrame, net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(margin, label, number) of all rows, margins cut down to steps of 1 / BINS."""
+    schema = pa.schema([("bin", pa.int64()), ("label", pa.float64()), ("n", pa.int64())])
+
+    def run(parts):
+        for batch in parts:
+            if batch.num_rows:
+                margin = net.margins(codes_of(batch.column(0).to_pylist()))
+                bins = np.floor(np.clip(margin, -200, 200) * BINS).astype(np.int64)
+                key, n = np.unique(np.stack([bins, batch.column(1).to_numpy().astype(np.int64)]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1].astype(float)), pa.array(n)], schema=schema)
+
+    counts = rows.select("window", "label").mapInArrow(run, "bin bigint, label double, n bigint")
+    # At most 400 * BINS steps for each label.
+    table = counts.groupBy("bin", "label").agg(F.sum("n").alias("n")).orderBy("bin", "label").toArrow()
+    return tuple(table.column(c).to_numpy() / k for c, k in (("bin", BINS), ("label", 1), ("n", 1)))
+
+
+def train(docs: DataFrame, recall: float = RECALL, sample: int = SAMPLE_CANDIDATES):
+    """(network, threshold): candidates of all documents are labelled; a bounded number of each label
+    fits the network, and all of the held-out fifth set the threshold. Where one part has no
+    positive, as with very few of them, both use all candidates."""
     # Distinct windows: copies of a document teach nothing more, and order must not depend on partitions.
-    rows = labelled_candidates(docs, sample_docs).groupBy("window").agg(F.max("label").alias("label"))
-    table = rows.orderBy(F.xxhash64("window"), "window").limit(sample).toArrow()
-    y = table.column("label").to_numpy()
-    codes = codes_of(table.column("window").to_pylist()) if len(y) else np.zeros((0, LEFT + BODY + RIGHT), np.int64)
-    test = np.arange(len(y)) % 5 == 0
-    if not (y[~test] > 0).any() or not (y[test] > 0).any():
+    rows = materialise(labelled_candidates(docs).groupBy("window").agg(F.max("label").alias("label")))
+    held = F.pmod(F.xxhash64(F.lit(1), "window"), F.lit(HELD_OUT)) == 0
+    found = rows.filter("label = 1").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(held, 1)).alias("held")).first()
+    if not found.n:
         return None, float("inf")
-    net = fit_network(codes[~test], y[~test])
-    return net, calibrate(net.margins(codes[test]), y[test], recall)
+    apart = 0 < found.held < found.n
+    net = fit_network(*training_sample(rows.filter(~held) if apart else rows, sample))
+    margins, y, n = margin_counts(rows.filter(held) if apart else rows, net)
+    return net, calibrate(margins, y, recall, n)
 
 
-def secrets(docs: DataFrame, *, recall: float = RECALL, sample_docs: int = SAMPLE_DOCS, sample: int = SAMPLE_CANDIDATES) -> DataFrame:
+def secrets(docs: DataFrame, *, recall: float = RECALL, sample: int = SAMPLE_CANDIDATES) -> DataFrame:
     """Findings of every row in its whole text (see ``SCHEMA``).
 
     ``spans`` has the fixed patterns' findings and, as kind ``net``, every other candidate whose best
     window reaches the threshold; candidates that overlap a fixed finding add nothing. Spans are in
-    order of their start, then of kind. A null or empty text has none. Without labelled findings in
-    the sample the network adds none. Repeated rows give a row each; an empty table gives none.
+    order of their start, then of kind. A null or empty text has none. Where the patterns find
+    nothing in the whole table, there is nothing to learn from and the network adds none. Repeated rows give a row each; an empty table gives none.
     """
-    net, threshold = train(docs, recall, sample_docs, sample)
+    net, threshold = train(docs, recall, sample)
 
     def make():
+        memo: dict[bytes, float] = {}
+
+        def margins(parts):
+            if len(memo) > MEMO:
+                memo.clear()
+            new = [w for w in dict.fromkeys(parts) if w not in memo]
+            for at in range(0, len(new), 20_000):
+                some = new[at:at + 20_000]
+                memo.update(zip(some, net.margins(codes_of(some)).tolist()))
+            return np.array([memo[w] for w in parts])
+
         def work(ids, texts):
             base = [base_spans(t) for t in texts]
             own, parts, count = [], [], []
             for i, (text, spans) in enumerate(zip(texts, base)):
                 found = candidates(text)
                 count.append(len(found))
+                hit = overlaps(spans)
                 for start, end in found if net is not None else ():
-                    if not any(s < end and start < e for s, _, e in spans):
+                    if not hit(start, end):
                         pieces = windows(text, start, end)
                         own.append((i, start, end, len(pieces)))
                         parts += pieces
             added = [[] for _ in texts]
             if parts:
-                margin = net.margins(codes_of(parts))
+                margin = margins(parts)
                 starts = np.cumsum([0] + [k for *_, k in own])[:-1]
                 for (i, start, end, _), best in zip(own, np.maximum.reduceat(margin, starts)):
                     if best >= threshold:

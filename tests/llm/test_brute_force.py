@@ -184,6 +184,31 @@ def test_network_adds_what_the_patterns_miss(spark, documents):
     assert sum(rows[d].n_net for d, _ in more) <= 15
 
 
+def test_rare_findings_are_learnt_from_whatever_their_ids(spark):
+    from pyspark.sql import functions as F
+
+    last = {r.id for r in spark.range(13_000).orderBy(F.xxhash64("id").desc()).limit(60).collect()}
+    rows = []
+    for i in range(13_000):
+        h = hashlib.sha1(f"{i}b".encode()).hexdigest()
+        rows.append((i, f"the key token = \"{h[:30]}\" again" if i in last else f"call 10.{i % 250}.{i % 199}.{i % 99}33 today"))
+    rows += [(10**6 + i, f"Bearer {hashlib.sha1(str(i).encode()).hexdigest()[:15]}Z{hashlib.sha1(str(-i).encode()).hexdigest()[:15]}") for i in range(20)]
+    found = {r.doc_id: r.n_net for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(found[10**6 + i] for i in range(20)) >= 15
+    assert sum(found[i] for i in range(13_000)) <= 130
+
+
+def test_weighted_threshold_and_overlaps():
+    rng = np.random.default_rng(4)
+    y = (rng.random(500) < 0.1).astype(float)
+    margins, weight = np.round(rng.normal(4 * y - 2, 2), 1), rng.integers(1, 9, 500)
+    assert np.isclose(secret_scan.calibrate(margins, y, 0.9, weight), secret_scan.calibrate(np.repeat(margins, weight), np.repeat(y, weight), 0.9))
+    spans = sorted((int(a), 0, int(a + n)) for a, n in zip(rng.integers(0, 300, 20), rng.integers(1, 40, 20)))
+    hit = secret_scan.overlaps(spans)
+    for start in range(300):
+        assert hit(start, start + 5) == any(s < start + 5 and start < e for s, _, e in spans)
+
+
 def test_licenses(documents, texts):
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
