@@ -20,8 +20,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a shorter run would fail; a longer one is one match either way
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "net")
-# Candidates: runs of 12 or more characters of this class with a digit among them.
-RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_.=-]{12,}")
+# Candidates: all runs of 12 or more characters of this class.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}")
+# Plain words, also joined by marks: each in one case but for its first letter.
+WORDS = re.compile(r"[+/_.=-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)(?:[+/_.=-]+|\Z))+")
 
 SAMPLE_CANDIDATES = 6_000  # distinct labelled candidates that train the network, at most
 HELD_OUT = 5  # one in so many sets the threshold
@@ -66,15 +68,16 @@ def overlaps(spans: list[tuple[int, int, int]]):
 def label_of(text: str, start: int, end: int, found) -> float | None:
     """1 for a candidate that overlaps a fixed finding, 0 for one of a known harmless shape, else None.
 
-    Harmless shapes are mail addresses, numbers with their marks, and words with few digits. What is
-    neither teaches nothing; the network decides on it.
+    Harmless shapes are mail addresses, numbers with their marks, words with few digits, and plain
+    words without any. What is neither teaches nothing; the network decides on it.
     """
     if found(start, end):
         return 1.0
     body = text[start:end]
     digits = sum(map(str.isdigit, body))
     mail = "@" in text[max(0, start - 1):start] + text[end:end + 1]
-    return 0.0 if mail or not re.search("[A-Za-z]", body) or 6 * digits < len(body) else None
+    plain = 6 * digits < len(body) if digits else WORDS.fullmatch(body)
+    return 0.0 if mail or plain or not re.search("[A-Za-z]", body) else None
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -219,8 +222,13 @@ def labelled_candidates(docs: DataFrame) -> DataFrame:
 
 
 def training_sample(rows: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and labels of at most ``sample`` rows, half of them positive, least by a hash."""
-    parts = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("window"), "window").limit(sample // 2) for k in (1.0, 0.0)]
+    """Codes and labels of at most ``sample`` rows, least by a hash: a quarter each of positives and
+    negatives with and without a digit, as plain words outnumber all others."""
+    digit = F.substring("window", LEFT + 1, BODY).cast("string").rlike("[0-9]")
+    parts = [
+        rows.filter((F.col("label") == k) & (digit if d else ~digit)).orderBy(F.xxhash64("window"), "window").limit(sample // 4)
+        for k in (1.0, 0.0) for d in (True, False)
+    ]
     table = reduce(DataFrame.unionByName, parts).toArrow()
     codes = table.column("window").to_pylist()
     return codes_of(codes) if codes else np.zeros((0, LEFT + BODY + RIGHT), np.int64), table.column("label").to_numpy()

@@ -198,6 +198,20 @@ def test_rare_findings_are_learnt_from_whatever_their_ids(spark):
     assert sum(found[i] for i in range(13_000)) <= 130
 
 
+def test_secrets_without_digits_are_candidates_and_plain_words_are_not_secrets(spark):
+    rng = np.random.default_rng(6)
+    key = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 24))
+    word = lambda: "".join(rng.choice(["con", "ver", "sa", "tion", "al", "in", "ter", "na", "ment", "re"], 6))
+    rows = [(i, f"use token = {key()} or {word()} and {word().title()} today") for i in range(400)]
+    rows += [(1000 + i, f"use {key()} today") for i in range(40)] + [(2000 + i, f"use {word()} today") for i in range(40)]
+    text = rows[0][1]
+    hit = secret_scan.overlaps(secret_scan.base_spans(text))
+    assert 1.0 in [secret_scan.label_of(text, *c, hit) for c in secret_scan.candidates(text)]
+    found = {r.doc_id: r for r in secret_scan.secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(found[1000 + i].n_candidates == 1 for i in range(40))
+    assert sum(found[1000 + i].n_net for i in range(40)) >= 36 and sum(found[2000 + i].n_net for i in range(40)) <= 4
+
+
 def test_weighted_threshold_and_overlaps():
     rng = np.random.default_rng(4)
     y = (rng.random(500) < 0.1).astype(float)
