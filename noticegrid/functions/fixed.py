@@ -108,6 +108,7 @@ CONTENT_KEYS = (
     "topicConditions", "descriptionByte", "caConditions", "caDescription", "description", "beneficiaryAdministration",
 )
 TOPIC_BODY_MISSING = "full_eu_conditions_not_present_in_source_entry"
+FAQ_TEXT_MISSING = "full_faq_question_or_answer_not_published"
 FAQ_BODY_MISSING = "full_faq_question_or_answer_not_published"
 FAQ_DETAIL_URL = "https://api.tech.ec.europa.eu/search-api/prod/rest/document/{}?apiKey=SEDIA_FAQ"
 EXTENSIONS = {

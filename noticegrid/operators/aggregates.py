@@ -180,6 +180,19 @@ def content_gaps(documents: DataFrame) -> DataFrame:
     )
 
 
+def flag_gaps(documents: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Documents by the flags (``flags_json``) of their current content: entries without a published body or answer."""
+    def flagged(parser, flag, name):
+        return count_when((F.col("parser") == parser) & F.col("flags_json").contains(flag)).alias(name)
+
+    contents = documents.select("parser", F.col("current_sha256").alias("sha256")).filter(
+        F.col("parser").isin("eu_source", "eu_faq_source")).join(blobs.select("sha256", "flags_json"), "sha256")
+    return contents.agg(
+        flagged("eu_source", fixed.TOPIC_BODY_MISSING, "eu_entries_without_published_body"),
+        flagged("eu_faq_source", fixed.FAQ_TEXT_MISSING, "faq_entries_without_published_question_or_answer"),
+    )
+
+
 def pending_of_current(notices: DataFrame, bridge: DataFrame, documents: DataFrame) -> DataFrame:
     """Distinct pending in-scope documents of notices that are neither closed nor cancelled."""
     open_ids = notices.filter(~F.col("effective_status").isin("closed", "cancelled")).select(

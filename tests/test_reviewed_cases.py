@@ -27,6 +27,20 @@ def test_links_of_the_chosen_version_alone(spark):
     assert (row.links, row.followed) == (2, 1)
 
 
+def test_flag_counters_read_the_flags_of_the_current_content(spark):
+    from noticegrid.operators import aggregates
+
+    documents = spark.createDataFrame(
+        [(1, "eu_source", "a"), (2, "eu_source", "a"), (3, "eu_source", "b"), (4, "eu_faq_source", "c"), (5, "eu_faq_source", "a"), (6, "eu_source", None), (7, "pdf", "a")],
+        "id bigint, parser string, current_sha256 string")
+    blobs = spark.createDataFrame(
+        [("a", '["x", "full_eu_conditions_not_present_in_source_entry"]'), ("b", None), ("c", '["full_faq_question_or_answer_not_published"]')],
+        "sha256 string, flags_json string")
+    row = aggregates.flag_gaps(documents, blobs).first()
+    assert (row.eu_entries_without_published_body, row.faq_entries_without_published_question_or_answer) == (2, 1)
+    assert tuple(aggregates.flag_gaps(documents.limit(0), blobs).first()) == (0, 0)
+
+
 def test_two_sources_of_one_notice_give_one_row(spark):
     columns = "id string, source_id string, title string, content_hash string, version int, updated_at timestamp_ntz"
     incoming = "id string, source_id string, title string, content_hash string, raw_changed boolean"
