@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticegrid.llm import exact_dedup, license_scan, mixing, near_dup, packing, quality_trees, repetition, secret_scan, token_counts, toxicity
+from noticegrid.llm import (
+    centroids, exact_dedup, license_scan, link_trust, mixing, near_dup, oracles, packing, quality_trees, repetition, secret_scan,
+    token_counts, toxicity, vector_codes,
+)
 from noticegrid.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +125,27 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_clusters"] = oracles.clusters()
+
+
+@query
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judged(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op12_url_filter"] = oracles.judged()
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_vector_codes"] = oracles.compressed()
