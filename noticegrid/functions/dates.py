@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noticegrid.functions import fixed
 from noticegrid.functions.text import let
 from noticegrid.functions.fixed import EN_DATE, FI_DATE, FI_RANGE, ISO_DATE, KNOWN_ZONE, MONTHS
 
@@ -26,6 +27,12 @@ def has_time_without_offset(value: Column) -> Column:
     return (F.length(value) > 10) & parse_time(value).isNull()
 
 
+def unusable(value: Column) -> Column:
+    """Reason to reject a published date or time; null where there is none or it can be read."""
+    day = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}"), F.left(value, F.lit(10)).try_cast("date"))
+    return F.when(F.length(value) > 0, F.when(day.isNull(), fixed.NO_SUCH_DAY).when(has_time_without_offset(value), fixed.NO_OFFSET))
+
+
 def due(value: Column, timezone: str = "UTC") -> Column:
     """Published day, exact time where one was published, the original text and its zone."""
     return F.struct(

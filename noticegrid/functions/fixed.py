@@ -177,3 +177,14 @@ OFFICE_PARTS = {
     "xl/workbook.xml": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
     "ppt/presentation.xml": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
 }
+
+# Reasons of rejected rows and messages of runs.
+NO_IDENTIFIER = "Identifier missing"
+NO_SUCH_DAY = "Date outside the calendar"
+NO_OFFSET = "Timezone missing from timestamp"
+REPEATED_IDENTIFIER = "Identifier repeated in the batch"
+REPEATED_CARD = "Conflicting repeated funder card"
+EMPTY_RUN = "Unexpected empty collection; source must be checked"
+ROWS_REJECTED = "records rejected"
+TOTAL_CHANGED = "Advertised total changed between pages; collect again"
+EMPTY_PAGE = "Page without notices before the last one"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticegrid.functions import codes, dates, html, text
+from noticegrid.functions import codes, dates, fixed, html, text
 from noticegrid.functions.record import record
 from noticegrid.sources.landed import EMBEDDED, fail_unless
 
@@ -22,6 +22,21 @@ def paged_rows(pages: DataFrame) -> DataFrame:
         F.posexplode("hakuilmoitukset").alias("position", "row"))
 
 
+def checked_rows(pages: DataFrame) -> DataFrame:
+    """``paged_rows`` with ``raw`` and ``reason``, and one row that is not ``listed`` for a page without notices.
+
+    A row without an identifier, with a time that has no offset or with a day that no calendar has
+    is rejected. ``last_page`` is the number of pages that the row's page advertised.
+    """
+    rows = pages.select(
+        F.col("pageNo").alias("page"), F.col("totalCount").alias("expected"), F.col("pageCount").alias("last_page"),
+        F.posexplode_outer("hakuilmoitukset").alias("position", "row"))
+    row = F.col("row")
+    reason = F.when(F.coalesce(F.length(row["hakuasianAsianumero"]), F.lit(0)) == 0, fixed.NO_IDENTIFIER).otherwise(
+        F.coalesce(*(dates.unusable(row[c]) for c in ("hakuAlkaaDateTimeUtc", "hakuPaattyyDateTimeUtc"))))
+    return rows.withColumns({"listed": row.isNotNull(), "raw": F.to_json("row"), "reason": reason})
+
+
 def paged_records(rows: DataFrame, as_of: str, strip_html: bool = True) -> DataFrame:
     row = F.col("row")
     start, end = row["hakuAlkaaDateTimeUtc"], row["hakuPaattyyDateTimeUtc"]
@@ -32,7 +47,7 @@ def paged_records(rows: DataFrame, as_of: str, strip_html: bool = True) -> DataF
         F.lit(ZONE).alias("timezone"))
     clean = html.clean_html if strip_html else (lambda c: F.trim(c))
     return record(
-        rows, keep=tuple(c for c in ("page", "position", "expected", "row") if c in rows.columns),
+        rows, keep=tuple(c for c in ("page", "position", "expected", "last_page", "row", "listed", "raw", "reason") if c in rows.columns),
         external_id=row["hakuasianAsianumero"],
         canonical_url=F.concat(F.lit(NOTICE_URL), F.replace(F.url_encode(row["hakuasianAsianumero"]), F.lit("+"), F.lit("%20"))),
         title=clean(text.translated(row["nimi"])), description=clean(text.translated(row["kuvaus"])),
@@ -61,7 +76,14 @@ def embedded_rows(pages: DataFrame) -> DataFrame:
     """One row per embedded notice, with the region and authority names of its own page looked up."""
     return embedded_data(pages).select(
         *[c for c in pages.columns if c != "html"], F.col("data.koodisto").alias("codes"),
-        F.size("notices").alias("expected"), F.explode("notices").alias("row"))
+        F.size("notices").alias("expected"), F.posexplode("notices").alias("position", "row"))
+
+
+def checked_embedded(rows: DataFrame) -> DataFrame:
+    """``embedded_rows`` with ``raw`` and, where start or end cannot be read, the ``reason`` to reject the row."""
+    row = F.col("row")
+    reason = F.coalesce(*(dates.unusable(row["hakuaika"][c]) for c in ("alku", "loppu")))
+    return rows.withColumns({"listed": F.lit(True), "raw": F.to_json("row"), "reason": reason})
 
 
 def embedded_records(rows: DataFrame, strip_html: bool = True) -> DataFrame:

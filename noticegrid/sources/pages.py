@@ -64,18 +64,16 @@ def rule_record(df: DataFrame, config: dict, *, title, url, body, date_label, st
         eligibility_text=eligibility, quality_flags=flags)
 
 
-IMPOSSIBLE_DATE = "Date outside the calendar"
+IMPOSSIBLE_DATE = fixed.NO_SUCH_DAY
 
 
-# --- WordPress ------------------------------------------------------------------------------
-META = {k: f".single-meta--{k} .single-meta__data" for k in ("program", "start-datetime", "end-datetime", "status")}
+def _carried(rows: DataFrame, *names: str) -> tuple[str, ...]:
+    """The provenance columns that ``rows`` has."""
+    return tuple(n for n in names if n in rows.columns)
 
 
-def first_of_each(posts: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(first, repeated) posts per id; a repeated id is rejected, not merged."""
-    firsts = posts.groupBy("id").agg(F.min(F.struct(*order)).alias("_first"))
-    marked = posts.join(firsts, "id").withColumn("_is_first", F.col("_first") == F.struct(*order))
-    return marked.filter("_is_first").drop("_first", "_is_first"), marked.filter("NOT _is_first").drop("_first", "_is_first")
+# --- WordPress ------------------------------------------------------------------------------
+META = {k: f".single-meta--{k} .single-meta__data" for k in ("program", "start-datetime", "end-datetime", "status")}
 
 
 def post_records(posts: DataFrame, config: dict) -> DataFrame:
@@ -95,7 +93,7 @@ def post_records(posts: DataFrame, config: dict) -> DataFrame:
     rows = rows.withColumn("reason", F.coalesce(reason, F.when(dates.impossible(F.col("_ends")), IMPOSSIBLE_DATE)))
     starts = dates.dates_in_label(meta("start-datetime"), ZONE)
     return record(
-        rows, keep=("id", "reason"), external_id=F.col("id").cast("string"), canonical_url=F.col("link"),
+        rows, keep=_carried(rows, "id", "reason", "raw"), external_id=F.col("id").cast("string"), canonical_url=F.col("link"),
         title=F.col("_title"), description=F.col("_text"), funder=F.lit(config["funder"]), programme=meta("program"),
         source_status=codes.status_word(meta("status")), opens_on=F.try_element_at(starts, F.lit(1))["due_on"],
         deadlines=F.col("_ends"), deadline_model=F.when(F.size("_ends") > 0, "single-stage").otherwise("unknown"),
@@ -136,7 +134,7 @@ def post_calls(posts: DataFrame, taxonomy: DataFrame, config: dict) -> DataFrame
     })
     return rule_record(
         rows, config, title=F.col("_title"), url=F.col("link"), body=F.col("_text"), date_label=F.col("_labels"),
-        status_label=F.col("status_word"), level="full", keep=("id", "reason"), external_id=F.col("id").cast("string"))
+        status_label=F.col("status_word"), level="full", keep=_carried(rows, "id", "reason", "raw"), external_id=F.col("id").cast("string"))
 
 
 # --- catalogues -----------------------------------------------------------------------------
@@ -194,7 +192,7 @@ def catalogue_records(cards: DataFrame, config: dict, details: DataFrame | None
     opens = F.try_element_at(starts, F.lit(1))["due_on"] if config.get("open_date_selector") else None
     records = rule_record(
         rows, config, title=F.col("title"), url=F.col("target"), body=body, date_label=F.col("date_label"),
-        status_label=F.col("status_label"), level=level, keep=("conflict", "listings"), opens=opens)
+        status_label=F.col("status_label"), level=level, keep=_carried(rows, "conflict", "listings", "raw"), opens=opens)
     if details is not None:
         missing = F.col("detail_level") == "listing"
         records = records.withColumn("quality_flags", F.when(missing, F.array_append(
@@ -244,7 +242,7 @@ def configured_pages(pages: DataFrame, entries: DataFrame, config: dict) -> Data
     starts = dates.dates_in_label(found("open_date_selector"), config.get("timezone", ZONE))
     return rule_record(
         rows, config, title=F.coalesce("_named", F.nullif(found("h1"), F.lit(""))), url=F.col("_key"), body=F.col("_text"),
-        date_label=found("date_selector"), status_label=found("status_selector"), level="full", keep=("page_id",),
+        date_label=found("date_selector"), status_label=found("status_selector"), level="full", keep=_carried(rows, "page_id", "raw"),
         kind=F.coalesce("_kind", F.lit(config.get("record_kind", "funding_scheme"))),
         opens=F.try_element_at(starts, F.lit(1))["due_on"],
         rolling=found("rolling_selector").rlike(r"(?iu)^jatkuva haku\b"))

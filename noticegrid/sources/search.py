@@ -17,10 +17,9 @@ def split_identities(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     meta = F.col("metadata")
     typed = documents.withColumn("_t", codes.typed_identity(
         codes.first_value(meta, "type"), codes.first_value(meta, "identifier"), codes.first_value(meta, "callccm2Id")))
-    bad_time = F.exists(
-        F.coalesce(F.try_element_at(meta, F.lit("deadlineDate")), F.array().cast("array<string>")),
-        dates.has_time_without_offset)
-    reason = F.coalesce(F.col("_t.problem"), F.when(bad_time, F.lit("Timezone missing from timestamp")))
+    stages = F.coalesce(F.try_element_at(meta, F.lit("deadlineDate")), F.array().cast("array<string>"))
+    bad = F.array_compact(F.transform(F.array_append(stages, F.left(codes.first_value(meta, "startDate"), F.lit(10))), dates.unusable))
+    reason = F.coalesce(F.col("_t.problem"), F.try_element_at(bad, F.lit(1)))
     typed = typed.withColumn("reason", reason)
     accepted = typed.filter("reason IS NULL").withColumns(
         {"topic": F.col("_t.external_id"), "programme": F.col("_t.programme")}).drop("_t", "reason")
