@@ -55,21 +55,22 @@ def last_tag_wins(tags: Column) -> Column:
 
 def enrich(records: DataFrame) -> DataFrame:
     """Rule tags, effective deadline with expiry, and derived quality flags."""
-    last = dates.last_stage(F.col("deadlines"))
-    rows = records.withColumn("_last", last)
+    # Staged as columns: what is used several times, or inside a lambda, is evaluated once.
+    rows = records.withColumns({"_last": dates.last_stage(F.col("deadlines")), "_rules": rule_tags(F.col("title"), F.col("description"))})
+    rows = rows.withColumn("_tags", F.concat("tags", "_rules"))
     given = F.col("_last").isNotNull()
     zone_issue = given & F.col("_last.due_at").isNull() & ~dates.known_zone(F.col("_last.timezone"))
     flags = F.when(zone_issue, F.array_append("quality_flags", F.lit("deadline_timezone_needs_review"))).otherwise(
         F.col("quality_flags"))
     rows = rows.withColumns({
-        "tags": last_tag_wins(F.concat("tags", rule_tags(F.col("title"), F.col("description")))),
+        "tags": last_tag_wins(F.col("_tags")),
         "deadline_on": F.when(given, F.col("_last.due_on")).otherwise(F.col("deadline_on")),
         "deadline_at": F.when(given, F.col("_last.due_at")).otherwise(F.col("deadline_at")),
         "deadline_expires_at": F.when(
             given, dates.expires_at(F.col("_last.due_on"), F.col("_last.due_at"), F.col("_last.timezone"))
         ).otherwise(F.col("deadline_expires_at")),
         "quality_flags": flags,
-    }).drop("_last")
+    }).drop("_last", "_rules", "_tags")
     return rows.withColumn("quality_flags", text.quality_flags(
         F.col("quality_flags"), F.col("eligibility_text"), F.col("deadline_on"), F.col("deadline_model")))
 

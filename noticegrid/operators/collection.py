@@ -48,8 +48,8 @@ def staged_batch(batch: Batch, source_id: str) -> tuple[DataFrame, dict]:
     Each row has its record with derived fields, hashes and identity, its place in the batch and, if
     it is rejected, the ``reason``. Validation adds to the reasons of the adapter.
     """
-    order = batch.order or [F.monotonically_increasing_id()]
-    rows = identified(enrich(batch.rows)).withColumn("seq", F.struct(*order))
+    # Equal rows have places of their own as well; the table is staged, so they keep them.
+    rows = identified(enrich(batch.rows)).withColumn("seq", F.struct(*batch.order, F.monotonically_increasing_id().alias("_n")))
     found = problems(set(FIELDS))
     rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.size(found) > 0, F.array_join(found, "; "))))
     item = digest(F.concat(F.lit(source_id + ":"), F.col("external_id")))
@@ -164,8 +164,9 @@ def collect(store: Store, source_id: str, landed: DataFrame | None, config: dict
         batch = read_source(config["adapter"], landed, config)
         rows, measured = staged_batch(batch, source_id)
         expected, warnings, problem = batch.judge(measured)
-    except PySparkException as error:
-        expected, warnings, problem = None, [], f"{type(error).__name__}: {error.getMessage() or error.getErrorClass() or ''}"[:1200]
+    except (PySparkException, ValueError) as error:
+        told = error.getMessage() or error.getCondition() if isinstance(error, PySparkException) else str(error)
+        expected, warnings, problem = None, [], f"{type(error).__name__}: {told}"[:1200]
     seen, rejected, changed = measured.get("seen", 0), measured.get("rejected", 0), 0
     tables = {}
     if rows is not None and rejected:

@@ -1,7 +1,7 @@
 """Importing this module registers every query."""
 
 from noticegrid.plans import (  # noqa: F401
-    flow_queries, normalise_queries, registry_queries, source_queries,
+    collection_queries, flow_queries, normalise_queries, registry_queries, source_queries,
 )
 from noticegrid.plans.registry import QUERIES, oracles
 

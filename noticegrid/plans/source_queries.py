@@ -59,12 +59,14 @@ def _(r):
 
 
 # --- A02 ------------------------------------------------------------------------------------
-def embedded_pages(r):
+def embedded_pages(r, start=None, end=None):
     """HTML pages with a percent-encoded payload of about 100 notices and their code lists."""
+    start = F.col("opens_on").cast("string") if start is None else start
+    end = F.col("deadline_on").cast("string") if end is None else end
     row = F.struct(
         F.col("id").cast("string").alias("id"),
         F.element_at(F.array(*map(F.lit, ("avoin", "tulossa", "paattynyt", "muu"))), (F.col("id") % 4).cast("int") + 1).alias("tila"),
-        F.struct(F.col("opens_on").cast("string").alias("alku"), F.col("deadline_on").cast("string").alias("loppu")).alias("hakuaika"),
+        F.struct(start.alias("alku"), end.alias("loppu")).alias("hakuaika"),
         F.col("title").alias("otsikko"), F.concat(F.col("description"), F.lit(" + 100% ääkköset")).alias("kuvaus"), F.lit("EAKR").alias("rahasto"),
         (F.col("id") % 3).cast("string").alias("viranomainen"), F.lit("ALUE").alias("alue"),
         F.array((F.col("id") % 5).cast("string")).alias("maakunnat"),

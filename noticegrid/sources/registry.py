@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticegrid.functions import fixed
-from noticegrid.functions.record import FIELDS
+from noticegrid.functions.record import FIELDS, payload
 from noticegrid.functions.text import digest
+from noticegrid.sources import config as settings
 from noticegrid.sources import listing, pages, search
 
 
@@ -47,9 +48,9 @@ class Batch:
 
 def shaped(rows: DataFrame) -> DataFrame:
     """Rows of any adapter with the columns of a batch; missing ones are null, listed is true."""
-    rows = rows if "listed" in rows.columns else rows.withColumn("listed", F.lit(True))
+    listed = F.coalesce("listed", F.lit(True)) if "listed" in rows.columns else F.lit(True)
     rows = rows if "reason" in rows.columns else rows.withColumn("reason", F.lit(None).cast("string"))
-    return rows.withColumn("raw", F.coalesce("raw", F.lit("{}")))
+    return rows.withColumns({"listed": listed, "raw": F.coalesce("raw", F.lit("{}"))})
 
 
 def rejects(rows: DataFrame, *evidence: str) -> DataFrame:
@@ -141,3 +142,9 @@ def _configured(landed, config):
     rows = pages.configured_pages(landed.withColumn("raw", F.to_json(F.struct("url", F.sha2("html", 256).alias("html_sha256")))), config["entries"], config)
     unusable = rejects(pages.configured_page_rejects(landed, config["entries"], config), "page_id", "url")
     return Batch(shaped(rows.unionByName(unusable, allowMissingColumns=True)), [F.col("external_id"), digest(F.col("raw"))])
+
+
+@adapter("expert_import")
+def _import(landed, config):
+    """All lines or none: one that is malformed or invalid stops the import with a ``ValueError``."""
+    return Batch(shaped(settings.import_records(landed).withColumn("raw", payload())), [F.col("external_id")])
