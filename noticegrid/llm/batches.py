@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,18 @@ def slices(batches: Iterable[pa.RecordBatch], chars: int = SLICE_CHARS, rows: in
             start += len(texts)
 
 
+def arrow_slices(batches: Iterable[pa.RecordBatch], chars: int = SLICE_CHARS) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) as Arrow arrays of about ``chars`` bytes; a longer text is a slice of its own."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            done = size[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(size, done + chars, side="right")))
+            yield batch.column(0).slice(start, end - start), batch.column(1).slice(start, end - start)
+            start = end
+
+
 def text_slices(texts: Iterable[str], chars: int = SLICE_CHARS, rows: int = 1_000) -> Iterator[list[str]]:
     """The texts of one batch in lists of at most ``rows`` texts and about ``chars`` characters."""
     out, size = [], 0

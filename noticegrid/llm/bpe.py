@@ -5,13 +5,19 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 NONE = np.int32(2**31 - 1)
 # White space as the vocabulary's own pattern knows it; str.split() also splits at \x1c-\x1f.
 SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 ODD_SPLITS = "\x1c\x1d\x1e\x1f"
+# The same class beyond ASCII, and as a whole, as Arrow's expressions write it.
+WIDE_SPACES = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ARROW_SPACES = rf"(?:[\t-\r ]|{WIDE_SPACES})+"
 
 
 def _category_class(letter: str, below: int) -> str:
@@ -60,7 +66,7 @@ class Vocabulary:
             inner[byte], last[byte] = vocab[mark], vocab[mark + suffix]
         self._inner, self._last = inner, last
         alpha, digit = _category_class("L", self.LATIN), _category_class("N", self.LATIN)
-        self._cut = re.compile(f"[{alpha}]+|[{digit}]|'(?:s|t|re|ve|m|ll|d)|[^{alpha}{digit}]+")
+        self._cut = re.compile(f"[{alpha}]+|[{digit}]|\n|'(?:s|t|re|ve|m|ll|d)|[^\n{alpha}{digit}]+")
         self._other = re.compile(f"[^\\x00-\\u{self.LATIN - 1:04x}]")
         self._split = re.compile(f"[^{SPACES}]+")
 
@@ -70,14 +76,25 @@ class Vocabulary:
             return self._split.findall(text)
         return text.split()
 
+    @staticmethod
+    def lowered(text: str) -> str:
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).lower()
+
+    def beyond_latin(self, lower: str) -> bool:
+        return self._other.search(lower) is not None
+
+    def cut(self, lower: str) -> list[str]:
+        """Pre-tokens of lowered text without white space but line breaks, which are pre-tokens of their own."""
+        return self._cut.findall(lower)
+
     def words(self, chunk: str) -> list[bytes]:
         """Pre-tokens of a chunk without special strings, in UTF-8."""
-        lower = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).lower()
+        lower = self.lowered(chunk)
         if self._other.search(lower):
             normal = self._library.normalizer.normalize_str(chunk)
             shown = self._library.pre_tokenizer.pre_tokenize_str(normal)
             return [bytes(map(self._letters.__getitem__, marks)) for marks, _ in shown]
-        return [w.encode() for w in self._cut.findall(lower)]
+        return [w.encode() for w in self.cut(lower)]
 
     def encode(self, chunks: list[str]) -> list[np.ndarray]:
         """Symbol ids of each chunk; chunks are merged together, all pre-tokens at once."""
@@ -184,20 +201,119 @@ class Vocabulary:
         return rank
 
 
-class ChunkCache(dict):
-    """Chunks met before in this worker process; emptied when it reaches ``limit`` entries."""
+def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct chunks, their number at every place, first place of each text and the end) of a batch.
 
-    def __init__(self, vocabulary: Vocabulary, limit: int, value):
-        super().__init__()
-        self._vocabulary, self._limit, self._value = vocabulary, limit, value
+    Texts are cut and compared in Arrow's buffers; only distinct chunks become Python strings. An
+    empty chunk, as before leading white space, has no symbols.
+    """
+    wide = pc.any(pc.match_substring_regex(texts, pattern=WIDE_SPACES)).as_py()
+    lists = pc.split_pattern_regex(texts, pattern=ARROW_SPACES) if wide else pc.ascii_split_whitespace(texts)
+    found = lists.flatten().dictionary_encode()
+    names, offsets = found.dictionary, lists.offsets.to_numpy()
+    # One string cut by Python is several times quicker than as many Arrow strings taken one by one.
+    whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), "\n")[0].as_py()
+    return whole.split("\n") if len(names) else [], found.indices.to_numpy(), offsets - offsets[0]
+
+
+def gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs ``flat[first:first + size]`` one after the other."""
+    ends = np.cumsum(size)
+    return flat[np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Held:
+    """Symbols of keys met before, all in one array; when more than ``limit`` keys are held, the half
+    used last stays. What one call asks for is held whatever the limit."""
+
+    def __init__(self, limit: int, make):
+        self._limit, self._make, self._now, self._filled = max(2, limit), make, 0, 0
+        self._row: dict[str, int] = {}
+        self.ids, self.first, self.size, self._used = (np.zeros(1, t) for t in (np.int32, np.int64, np.int64, np.int64))
+
+    def rows(self, keys: list[str]) -> np.ndarray:
+        """Row of each key in ``first`` and ``size``; valid until the next call. ``make`` gives (symbols, sizes) of new keys."""
+        self._now += 1
+        if len(self._row) > self._limit:
+            self._forget()
+        # One look-up a key: in a large dictionary each is a walk through memory.
+        rows = np.fromiter(map(self._row.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            start = len(self._row)
+            wanted = [keys[i] for i in missing.tolist()]
+            new = dict.fromkeys(wanted)
+            flat, size = self._make(list(new))
+            new = dict(zip(new, range(start, start + len(new))))
+            self._row.update(new)
+            rows[missing] = np.fromiter(map(new.__getitem__, wanted), np.int64, len(wanted))
+            self.ids = _room(self.ids, self._filled, flat)
+            self.first = _room(self.first, start, self._filled + np.cumsum(size) - size)
+            self.size = _room(self.size, start, size)
+            self._used = _room(self._used, start, np.zeros(len(new), np.int64))
+            self._filled += len(flat)
+        self._used[rows] = self._now
+        return rows
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(-self._used[: len(self._row)], kind="stable")[: self._limit // 2])
+        at = np.full(len(self._row), -1, np.int64)
+        at[keep] = np.arange(len(keep))
+        self._row = {w: n for w, n in zip(self._row, at.tolist()) if n >= 0}
+        self.ids = gathered(self.ids, self.first[keep], self.size[keep])
+        self.size, self._used = self.size[keep], self._used[keep]
+        self.first, self._filled = np.cumsum(self.size) - self.size, len(self.ids)
+
+
+class ChunkCache:
+    """Symbols of chunks and of pre-tokens met before in this worker process, at most ``limit`` of each.
+
+    A new chunk is cut into pre-tokens, all new ones in one pass, and only new pre-tokens are merged.
+    """
 
-    def learn(self, lists: list[list[str]]) -> None:
-        """After this, all chunks of ``lists`` have an entry."""
-        if len(self) > self._limit:
-            self.clear()
-        new = [c for c in set().union(*lists) if c not in self]
-        if new:
-            self.update(zip(new, map(self._value, self._vocabulary.encode(new))))
+    def __init__(self, vocabulary: Vocabulary, limit: int):
+        self._vocabulary = vocabulary
+        self._chunks = Held(limit, self._cut)
+        self._words = Held(limit, lambda words: vocabulary.merge([w.encode() for w in words]))
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(symbols, first, size): one array of symbols, and where those of each chunk lie."""
+        rows, held = self._chunks.rows(chunks), self._chunks
+        return held.ids, held.first[rows], held.size[rows]
+
+    def _cut(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        vocab = self._vocabulary
+        lower, odd = vocab.lowered("\n".join(chunks)), []
+        if "<" in lower or vocab.beyond_latin(lower):
+            odd = [i for i, c in enumerate(chunks) if "<" in c or vocab.beyond_latin(vocab.lowered(c))]
+            plain = list(chunks)
+            for i in odd:
+                plain[i] = ""
+            lower = vocab.lowered("\n".join(plain))
+        words = vocab.cut(lower)
+        rows = self._words.rows(words)
+        between = np.fromiter(map("\n".__eq__, words), bool, len(words))  # chunks
+        each = np.where(between, 0, self._words.size[rows])
+        ids = gathered(self._words.ids, self._words.first[rows], each)
+        ends, breaks = np.concatenate([[0], np.cumsum(each)]), np.flatnonzero(between)
+        size = np.diff(np.concatenate([[0], ends[breaks], ends[-1:]]))
+        if not odd:
+            return ids, size
+        first = np.cumsum(size) - size
+        found = vocab.encode([chunks[i] for i in odd])
+        size[odd] = [len(x) for x in found]
+        first[odd] = len(ids) + np.cumsum(size[odd]) - size[odd]
+        return gathered(np.concatenate([ids, *found]), first, size), size
+
+
+def _room(held: np.ndarray, filled: int, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` from place ``filled`` on; it grows by doubling."""
+    if filled + len(more) > len(held):
+        grown = np.zeros(2 * (filled + len(more)), held.dtype)
+        grown[:filled] = held[:filled]
+        held = grown
+    held[filled:filled + len(more)] = more
+    return held
 
 
 _LOADED: dict[str, Vocabulary] = {}

@@ -152,21 +152,42 @@ def power_cuts(window: list, size: int):
         yield part
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int, cache: int) -> DataFrame:
-    """``doc_id, ids``: the token ids of every row with the end id, as bytes of ``unit(path, end_id)``."""
-    kind, schema = unit(path, end_id), pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-    end = np.array([end_id], kind).tobytes()
+def tokenised(docs: DataFrame, path: str, end_id: int, cache: int, top: int) -> DataFrame:
+    """``doc_id, ids, term, n``: the token ids of every row with the end id, as bytes of ``unit(path, end_id)``.
+
+    Rows with a ``term`` are what a task knows of the corpus: in how many of its documents a term
+    stands, under -1 the number of its documents and under -2 that of their tokens.
+    """
+    kind = unit(path, end_id)
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("term", pa.int64()), ("n", pa.int64())])
 
     def run(parts):
         vocab = bpe.vocabulary(path)
-        known = bpe.ChunkCache(vocab, cache, lambda ids: ids.astype(kind).tobytes())
-        for doc_ids, texts in batches.slices(parts):
-            lists = [vocab.chunks(t) for t in texts]
-            known.learn(lists)
-            ids = [b"".join(map(known.__getitem__, chunks)) + end for chunks in lists]
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
+        known = bpe.ChunkCache(vocab, cache)
+        df, count, total = np.zeros(top + 1, np.int64), 0, 0
+        for doc_ids, texts in batches.arrow_slices(parts):
+            rows = joined(*bpe.split(texts), known, kind, end_id)
+            for ids in rows:
+                df[counted(ids)[0]] += 1
+            count, total = count + len(rows), total + sum(map(len, rows))
+            nothing = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array([x.tobytes() for x in rows], pa.binary()), nothing, nothing], schema=schema)
+        term = np.flatnonzero(df)
+        if count:
+            numbers = [pa.array(np.concatenate([term, [-1, -2]])), pa.array(np.concatenate([df[term], [count, total]]))]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(term) + 2, pa.int64()), pa.nulls(len(term) + 2, pa.binary()), *numbers], schema=schema)
+
+    return batches.id_and_text(docs).mapInArrow(run, "doc_id bigint, ids binary, term bigint, n bigint")
+
 
-    return batches.id_and_text(docs).mapInArrow(run, "doc_id bigint, ids binary")
+def joined(chunks: list[str], place: np.ndarray, starts: np.ndarray, known: bpe.ChunkCache, kind: str, end_id: int) -> list[np.ndarray]:
+    """The ids of each text with the end id: the chunks' ids gathered at every place at once."""
+    ids, first, size = known.encode(chunks)
+    each = size[place]
+    flat = bpe.gathered(ids.astype(kind), first[place], each)
+    bounds = np.concatenate([[0], np.cumsum(each)])[starts]
+    end = np.array([end_id], kind)
+    return [np.concatenate([flat[a:b], end]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
 def unit(path: str, end_id: int) -> str:
@@ -174,21 +195,9 @@ def unit(path: str, end_id: int) -> str:
     return "<u2" if max(bpe.vocabulary(path).top, end_id) < 1 << 16 else "<u4"
 
 
-def corpus_of(tokens: DataFrame, kind: str, top: int) -> Corpus:
-    """Sums over all rows; the driver gets one number a term, at most the vocabulary's size."""
-    schema = pa.schema([("term", pa.int64()), ("n", pa.int64())])
-
-    def run(parts):
-        df, count, total = np.zeros(top + 1, np.int64), 0, 0
-        for batch in parts:
-            for raw in batch.column(0):
-                ids = np.frombuffer(raw.as_buffer(), kind)
-                df[counted(ids)[0]] += 1
-                count, total = count + 1, total + len(ids)
-        term = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array([*term, -1, -2], pa.int64()), pa.array([*df[term], count, total], pa.int64())], schema=schema)
-
-    rows = tokens.select("ids").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+def corpus_of(tokens: DataFrame, top: int) -> Corpus:
+    """Sums over the tasks; the driver gets one number a term, at most the vocabulary's size."""
+    rows = tokens.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     found = dict(zip(rows.column("term").to_pylist(), rows.column("n").to_pylist()))
     count, total = found.pop(-1, 0), found.pop(-2, 0)
     df = np.zeros(top + 1, np.int64)
@@ -218,7 +227,7 @@ def routed(tokens: DataFrame, kind: str, corpus: Corpus) -> DataFrame:
 
 def pack(
     docs: DataFrame, *, size: int = 4096, end_id: int = 2, shard_docs: int = 1_000, shard_tokens: int = 2_000_000,
-    vocabulary: str | None = None, cache: int = 250_000,
+    vocabulary: str | None = None, cache: int = 500_000,
 ) -> DataFrame:
     """One row per piece of a document in a sequence (see ``SCHEMA``).
 
@@ -233,8 +242,9 @@ def pack(
     path = vocabulary or bpe.default_path()
     arrow = pa.schema([(n, pa.int64()) for n in NAMES])
     kind, top = unit(path, end_id), max(bpe.vocabulary(path).top, end_id)
-    tokens = materialise(tokenised(docs, path, end_id, cache))
-    corpus = corpus_of(tokens, kind, top)
+    tokens = materialise(tokenised(docs, path, end_id, cache, top))
+    corpus = corpus_of(tokens, top)
+    tokens = tokens.filter("term IS NULL").select("doc_id", "ids")
 
     def run(parts):
         sequence = TaskContext.get().partitionId() << 40

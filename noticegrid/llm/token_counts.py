@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from noticegrid.llm import batches, bpe
@@ -17,20 +20,16 @@ def token_counts(docs: DataFrame, *, limit: int = 2048, vocabulary: str | None =
     each give a row; an empty table gives none. ``cache`` bounds the chunks a worker remembers.
     """
     path = vocabulary or bpe.default_path()
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
-    def make():
+    def run(parts):
         vocab = bpe.vocabulary(path)
-        known = bpe.ChunkCache(vocab, cache, len)
-
-        def work(ids, texts):
-            lists = [vocab.chunks(t) for t in texts]
-            known.learn(lists)
-            counts = [sum(map(known.__getitem__, chunks)) for chunks in lists]
-            return {
-                "doc_id": ids, "n_bytes": [len(t.encode("utf-8", "surrogatepass")) for t in texts],
-                "n_tokens": counts, "over_limit": [n > limit for n in counts],
-            }
-
-        return work
-
-    return batches.per_slice(docs, make, SCHEMA)
+        known = bpe.ChunkCache(vocab, cache)
+        for doc_ids, texts in batches.arrow_slices(parts):
+            chunks, place, starts = bpe.split(texts)
+            sums = np.concatenate([[0], np.cumsum(known.encode(chunks)[2][place])])
+            counts = sums[starts[1:]] - sums[starts[:-1]]
+            columns = [doc_ids, pc.binary_length(texts).cast(pa.int64()), pa.array(counts), pa.array(counts > limit)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return batches.id_and_text(docs).mapInArrow(run, SCHEMA)
