@@ -7,14 +7,13 @@ Documents with equal shingle sets are one class. Each class posts itself under e
 * skip: a class with fewer pairs that anyone else has cannot reach that number and leaves;
 * prefix: of a class with m shared pairs the m - least_matches + 1 rarest are enough to meet every
   partner, which leaves the pairs of common passages out;
-* count: agreements of the signatures are counted where a class meets the pivot of a bucket, the
-  class whose pairs are shared most, and those at the threshold are confirmed on the full sets.
-
-The confirmed links contract to components, so the meetings within a bucket are never spelled out.
-What is left is an exact pass over the full sets of the remaining classes: shingles are ordered from
-rare to common, the same skip and prefix rules hold for them, and only meetings of different
-components whose places in the order still allow the similarity are confirmed. A bucket is compared
-block against block.
+* count: where two classes meet, the agreements of their signatures are counted, once for each two.
+
+First every class is compared with the pivot of its buckets, the class whose pairs are shared most;
+the confirmed links make components. Then each bucket that holds several components is compared in
+blocks of bounded size, never a component with itself. Classes that reach the count there meet once
+more with their full sets, and each block gives a spanning forest of the links that the sets confirm,
+so no bucket ever yields more rows than it has classes.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ from noticegrid.llm.components import components
 from noticegrid.session import materialise
 
 COORDINATES = 32
-BLOCK = 500  # classes of one side of a block pair
-CELLS = 256
+BLOCK = 250  # classes of one side of a block pair
+COLUMNS = 4096  # shingles that a block counts in common at once
 ID_CELLS = 1 << 20  # at most so many rows in the broadcast that spares texts a shuffle
 HITS = "aggregate(zip_with(sig_a, sig_b, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)"
 
@@ -106,43 +105,50 @@ def pivot_pairs(posted: DataFrame, classes: DataFrame, matches: int, num: int, d
     return chosen.select("a", F.explode(F.array("first.b", "best.b")).alias("b")).filter("b is not null").distinct()
 
 
-def set_postings(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``item, cid, n, rest``: prefixes of the full sets, from rare to common shingles.
-
-    ``rest`` counts the shingles from this one on. Two sets that first meet at a shingle have at most
-    the smaller rest in common, and a similar pair meets in both prefixes.
-    """
-    items = sets.select("cid", "n", F.explode("items").alias("item"))
-    shared = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    own = Window.partitionBy("cid")  # the shingles of one text
-    ranked = items.join(shared, "item").withColumns({
-        "shared": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("df", "item")),
-    })
-    rest = F.col("shared") - F.col("rank") + 1
-    return ranked.select("item", "cid", "n", rest.alias("rest")).filter(F.col("rest") * den >= F.col("n") * num)
-
-
-def block_pairs(posted: DataFrame, sets: DataFrame, labels: DataFrame, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """``a, b``: meetings of different components under ``item`` that may be similar.
+def dealt(posted: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """``token, i, j, own, cid, comp``: every class of a bucket once for each pair of blocks it is part of.
 
-    A bucket of m classes is ceil(m / block) blocks; each pair of blocks is compared by itself.
+    A component of more than ``block`` classes has blocks of its own, which do not meet each other;
+    the others share blocks by a hash of the component. Buckets of one component meet nobody.
     """
-    labelled = posted.join(labels, posted["cid"] == labels["id"], "left").select("item", "cid", "n", "rest", F.coalesce("component", "cid").alias("comp"))
-    mixed = labelled.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
-    left = labelled.join(mixed.select("item", "m"), "item").join(sets.select("cid", "histogram"), "cid")
-    blocks = left.withColumn("nb", F.ceil(F.col("m") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
-    dealt = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "item", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "comp", "n", "rest", "histogram",
+    labelled = posted.join(labels, posted["cid"] == labels["id"], "left").select("token", "cid", F.coalesce("component", "cid").alias("comp"))
+    counts = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
+    large = F.col("m") > block
+    whole = counts.groupBy("token").agg(
+        F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.coalesce(F.sum(F.when(~large, F.col("m"))), F.lit(0)).alias("small"),
+        F.collect_list(F.when(large, F.struct("comp", F.ceil(F.col("m") / block).cast("int").alias("n")))).alias("large"),
+    ).filter("lo <> hi")
+    one = lambda comp, n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(comp.alias("c"), k.alias("k")))
+    shared = F.ceil(F.col("small") / block).cast("int")
+    blocks = F.concat(
+        F.when(shared > 0, one(F.lit(-1).cast("bigint"), shared)).otherwise(F.array().cast("array<struct<c:bigint,k:int>>")),
+        F.flatten(F.transform("large", lambda x: one(x["comp"], x["n"]))),
     )
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    mixed = whole.select("token", shared.alias("shared"), "large", blocks.alias("blocks"))
+    rows = labelled.join(mixed, "token")
+    own_large = F.try_element_at(F.filter("large", lambda x: x["comp"] == F.col("comp")), F.lit(1))
+    mine = F.when(own_large.isNull(), F.struct(F.lit(-1).cast("bigint").alias("c"), F.pmod(F.xxhash64("comp"), F.col("shared")).cast("int").alias("k"))).otherwise(
+        F.struct(F.col("comp").alias("c"), F.pmod(F.xxhash64("cid"), own_large["n"]).cast("int").alias("k")))
+    placed = rows.withColumn("mine", mine).withColumn("own", (F.array_position("blocks", F.col("mine")) - 1).cast("int"))
+    meets = F.col("other")["c"].eqNullSafe(F.lit(-1)) | (F.col("other")["c"] != F.col("mine.c"))
+    spread = placed.select("token", "cid", "comp", "mine", "own", F.posexplode("blocks").alias("at", "other")).filter(meets)
+    return spread.select("token", F.least("own", "at").alias("i"), F.greatest("own", "at").alias("j"), "own", "cid", "comp")
+
+
+def candidates(posted: DataFrame, classes: DataFrame, labels: DataFrame, matches: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """``token, i, j, own, cid, comp`` of the classes that reach the count with another component of their block pair."""
+    prefix = posted.groupBy("cid").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")).alias("prefix"))
+    facts = classes.select("cid", "n", "sig").join(prefix, "cid")
+    rows = dealt(posted, labels, block).join(facts, "cid").select("token", "i", "j", "own", "cid", "comp", "n", "prefix", "sig")
+    schema = "token bigint, i int, j int, own int, cid bigint, comp bigint"
 
-    def compare(parts):
+    def run(parts):
         for table in whole_groups(parts):
-            found = meetings(table, num, den)
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], schema=arrow)
+            found = reaching(table, matches, num, den)
+            if found.any():
+                yield from table.select(list(range(6))).filter(pa.array(found)).to_batches()
 
-    return dealt.repartition("item", "i", "j").sortWithinPartitions("item", "i", "j").mapInArrow(compare, "a bigint, b bigint").distinct()
+    return rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, schema)
 
 
 def whole_groups(parts, rows: int = 20_000):
@@ -166,7 +172,7 @@ def whole_groups(parts, rows: int = 20_000):
 
 
 def group_starts(table: pa.Table) -> np.ndarray:
-    keys = [table.column(c).to_numpy() for c in ("item", "i", "j")]
+    keys = [table.column(c).to_numpy() for c in ("token", "i", "j")]
     fresh = np.ones(table.num_rows, bool)
     fresh[1:] = False
     for key in keys:
@@ -174,39 +180,97 @@ def group_starts(table: pa.Table) -> np.ndarray:
     return fresh
 
 
-def meetings(table: pa.Table, num: int, den: int) -> np.ndarray:
-    """Distinct pairs of a table of whole groups: row r meets row r + d of its group, one d after the other.
+def reaching(table: pa.Table, matches: int, num: int, den: int) -> np.ndarray:
+    """Which rows of a table of whole groups reach ``matches`` agreements with a row of another component.
 
-    Two bounds on what a pair has in common must allow the similarity: the smaller rest, and the sum
-    over hash cells of the smaller count.
+    Row r meets row r + d of its group, one d after the other. Two classes that share several
+    buckets count in the one of their lowest common coordinate.
     """
     group = np.cumsum(group_starts(table))
-    cid, comp, n, rest, own = (table.column(c).to_numpy() for c in ("cid", "comp", "n", "rest", "own"))
+    cid, comp, n, own, prefix = (table.column(c).to_numpy() for c in ("cid", "comp", "n", "own", "prefix"))
+    coordinate = table.column("token").to_numpy() >> 32
     across = table.column("i").to_numpy() != table.column("j").to_numpy()
-    cells = table.column("histogram").combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
-    out = []
+    sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
+    bits = (prefix[:, None] >> np.arange(sig.shape[1])) & 1 == 1
+    out = np.zeros(len(cid), bool)
     rows, d = np.arange(len(cid)), 0
     while True:
         d += 1
         rows = rows[rows + d < len(cid)]
         rows = rows[group[rows] == group[rows + d]]
         if not len(rows):
-            break
-        a, b = rows, rows + d
-        good = (comp[a] != comp[b]) & (np.minimum(rest[a], rest[b]) * (num + den) >= num * (n[a] + n[b]))
-        good &= (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num) & (~across[a] | (own[a] != own[b]))
-        a, b = a[good], b[good]
-        good = np.minimum(cells[a], cells[b]).sum(axis=1, dtype=np.int64) * (num + den) >= num * (n[a] + n[b])
-        good |= (cells[a, 0] < 0) | (cells[b, 0] < 0)
-        a, b = cid[a[good]], cid[b[good]]
-        out.append(np.column_stack([np.minimum(a, b), np.maximum(a, b)]))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-
+            return out
+        for a in np.array_split(rows, len(rows) // 20_000 + 1):
+            b = a + d
+            good = (comp[a] != comp[b]) & (~across[a] | (own[a] != own[b]))
+            good &= np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num
+            a, b = a[good], b[good]
+            equal = sig[a] == sig[b]
+            good = equal.sum(axis=1) >= matches
+            good &= (equal & bits[a] & bits[b]).argmax(axis=1) == coordinate[a]
+            out[a[good]] = out[b[good]] = True
+
+
+def forests(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b``: for each (token, i, j) of ``candidates`` a spanning forest of the links that the full sets confirm."""
+    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-def histogram(items: np.ndarray) -> np.ndarray:
-    """Counts by hash cell; where one would overflow, all are -1, which bounds nothing."""
-    counts = np.bincount((items >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS)
-    return np.full(CELLS, -1, np.int8) if counts.max() > 127 else counts.astype(np.int8)
+    def run(parts):
+        for table in whole_groups(parts, 500):
+            bounds = [*np.flatnonzero(group_starts(table)).tolist(), table.num_rows]
+            cid, comp = table.column("cid").to_numpy(), table.column("comp").to_numpy()
+            items = table.column("items").combine_chunks()
+            values, offsets = items.values.to_numpy(), items.offsets.to_numpy()
+            links = []
+            for start, end in zip(bounds[:-1], bounds[1:]):
+                found = [values[offsets[r]:offsets[r + 1]] for r in range(start, end)]
+                links += [(cid[start + a], cid[start + b]) for a, b in forest(found, comp[start:end].tolist(), num, den)]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], schema=arrow)
+
+    whole = rows.join(sets.select("cid", "items"), "cid")
+    return whole.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a bigint, b bigint")
+
+
+def forest(sets: list[np.ndarray], comp: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Links between different components, as few as join all that are linked."""
+    root = {c: c for c in comp}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    size = np.array([len(s) for s in sets], np.int64)
+    common = in_common(sets)
+    similar = np.triu(common * (num + den) >= num * (size[:, None] + size), 1)
+    out = []
+    for a, b in zip(*(x.tolist() for x in similar.nonzero())):
+        one, two = find(comp[a]), find(comp[b])
+        if one != two:
+            root[max(one, two)] = min(one, two)
+            out.append((a, b))
+    return out
+
+
+def in_common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many items each two sets have in common, exactly; items are counted some thousand at a time."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = held[column] > 1  # an item of one set is in common with none
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.int64)
+    at = 0
+    while at < len(column):
+        end = int(np.searchsorted(column, column[at] + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)  # counts below 2**24 are exact
+        part[row[at:end], column[at:end] - column[at]] = 1
+        total += (part @ part.T).astype(np.int64)
+        at = end
+    return total
 
 
 def cell(column: str):
@@ -224,16 +288,13 @@ def in_cells(rows: DataFrame, ids: DataFrame, column: str, how: str = "left_semi
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``cid, n, items, histogram`` of the classes in ``wanted`` (``cid, min_id, digest``), from one text of each.
-
-    The histogram counts the items of each of ``CELLS`` hash cells.
-    """
+    """``cid, n, items`` of the classes in ``wanted`` (``cid, min_id, digest``), from one text of each."""
     key = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-(2**63)))
     texts = docs.select(key("doc_id").alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = wanted.select(key("min_id").alias("key"), "cid", "digest")
     rows = in_cells(texts, ids, "key").join(ids, "key").select("cid", "text", "digest")
-    schema = "cid bigint, n bigint, items array<bigint>, histogram array<tinyint>"
-    arrow = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64())), ("histogram", pa.list_(pa.int8()))])
+    schema = "cid bigint, n bigint, items array<bigint>"
+    arrow = pa.schema([("cid", pa.int64()), ("n", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(parts):
         known = shingles.WordHashes()
@@ -244,7 +305,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 for text in texts:
                     found = shingles.shingle_set(text, size, known)
                     if shingles.digest(found) == digests[row]:  # ids may repeat
-                        kept.append((ids[row], len(found), found.view(np.int64), histogram(found)))
+                        kept.append((ids[row], len(found), found.view(np.int64)))
                     row += 1
                 if kept:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept), arrow.types)], schema=arrow)
@@ -281,7 +342,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, coo
     able = materialise(classes.join(posted.select("cid").distinct(), "cid", "left_semi"))
     sets = materialise(full_sets(docs, able, shingle))
     links = materialise(confirmed(pivot_pairs(posted, able, matches, num, den), sets, num, den))
-    more = materialise(confirmed(block_pairs(set_postings(sets, num, den), sets, components(links), num, den), sets, num, den))
+    rest = materialise(candidates(posted, able, components(links), matches, num, den))
+    more = materialise(forests(rest, sets, num, den))
     labels = components(links.union(more))
     reach = labels.join(classes, labels["id"] == classes["cid"]).groupBy("component").agg(F.min("min_id").alias("component_id"))
     linked = labels.join(reach, "component").select(F.col("id").alias("cid"), "component_id")
