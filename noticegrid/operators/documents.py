@@ -10,14 +10,26 @@ from noticegrid.functions.codes import response_issue
 from noticegrid.functions.text import canonical_json
 from noticegrid.operators.lookups import affected_notices
 from noticegrid.operators.predicates import in_scope
-from noticegrid.session import dense_ids
+from noticegrid.session import dense_ids, materialise, previous_in_group
+from noticegrid.sources.landed import fail_unless
+
+
+def fetch_order(fetched: DataFrame):
+    """Place of a fetched body in its batch: when it came, then its document, then its content."""
+    at = F.col("fetched_at") if "fetched_at" in fetched.columns else F.lit(None).cast("timestamp_ntz")
+    return F.struct(at.alias("fetched_at"), F.col("document_id").alias("document_id"), F.col("sha256").alias("sha256"))
+
+
+def last_parses(fetched: DataFrame, fields: list[str]) -> DataFrame:
+    """The last parse of each content, as a whole: ``sha256, _p``."""
+    return fetched.groupBy("sha256").agg(F.max_by(F.struct(*fields), fetch_order(fetched)).alias("_p"))
 
 
 def new_blobs(fetched: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Contents not archived yet, one row each however many documents carry them."""
-    rest = [c for c in ("text", "media_type", "extraction_status", "byte_count", "page_count") if c in fetched.columns]
-    unique = fetched.groupBy("sha256").agg(*(F.min(c).alias(c) for c in rest))
-    return unique.join(blobs.select("sha256"), "sha256", "left_anti")
+    """Contents not archived yet, one row each however many documents carry them; the last parse stays."""
+    rest = [c for c in (*EXTRACTED, "byte_count") if c in fetched.columns]
+    unseen = fetched.join(blobs.select("sha256"), "sha256", "left_anti")
+    return last_parses(unseen, rest).select("sha256", "_p.*")
 
 
 def new_versions(fetched: DataFrame, versions: DataFrame) -> DataFrame:
@@ -27,6 +39,13 @@ def new_versions(fetched: DataFrame, versions: DataFrame) -> DataFrame:
         F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
 
 
+def unmodified(documents: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Sightings of the stored content by answers that it has not changed: ``document_id, sha256, fetched_at``."""
+    same = outcomes.filter("kind = 'not_modified'").select(F.col("document_id").alias("id"), "fetched_at")
+    return documents.filter("current_sha256 IS NOT NULL").join(same, "id").select(
+        F.col("id").alias("document_id"), F.col("current_sha256").alias("sha256"), "fetched_at")
+
+
 EXTRACTED = ("text", "extraction_status", "flags", "media_type", "page_count")
 TRANSPORT_FLAG = "source_http_link_retrieved_over_https"
 
@@ -42,39 +61,82 @@ def _shared_form(df: DataFrame, column: str):
 def updated_blobs(blobs: DataFrame, fetched: DataFrame) -> DataFrame:
     """Archived contents with the extraction of their latest parse; others pass through."""
     fields = [c for c in EXTRACTED if c in blobs.columns and c in fetched.columns]
-    fresh = fetched.groupBy("sha256").agg(*(F.min(c).alias(f"_{c}") for c in fields), F.lit(True).alias("_seen"))
-    joined = blobs.join(fresh, "sha256", "left")
-    return joined.select(*(F.when(F.col("_seen"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in blobs.columns))
+    joined = blobs.join(last_parses(fetched, fields), "sha256", "left")
+    return joined.select(*(F.when(F.col("_p").isNotNull(), F.col(f"_p.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in blobs.columns))
 
 
-def spread_events(events: DataFrame, documents: DataFrame) -> DataFrame:
-    """``events`` with one more row for each further document that carries a shared event's content."""
-    carriers = documents.select(F.col("id").alias("_carrier"), F.col("current_sha256").alias("sha256"))
-    twins = events.filter("shared").join(carriers, "sha256").filter(F.col("_carrier") != F.col("document_id"))
-    rows = twins.withColumn("source_document_id", F.col("document_id")).withColumn("document_id", F.col("_carrier"))
-    own = events.withColumn("source_document_id", F.col("document_id"))
-    return own.unionByName(rows.select(*own.columns))
+def fetch_steps(documents: DataFrame, fetched: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Every fetched body in the order of the batch, with what it found and what it left.
+
+    A content's parse is compared with the parse before it: the last one of the batch, else the
+    stored one, on every field of ``EXTRACTED`` that both tables have. A document is compared with
+    its fetch before, else with its stored state; a status that another document's parse has given
+    the content in between counts. ``moved_at`` is the document's next fetch. Hot contents and
+    documents are split by ranges (``previous_in_group``).
+    """
+    fields = [c for c in EXTRACTED if c in blobs.columns and c in fetched.columns]
+    url, final = F.col("url"), F.col("final_url") if "final_url" in fetched.columns else F.lit(None).cast("string")
+    media = F.col("media_type") if "media_type" in fetched.columns else F.lit(None).cast("string")
+    rows = fetched.select(
+        "document_id", "sha256", fetch_order(fetched).alias("at"), F.col("extraction_status").alias("status"),
+        F.xxhash64(*(_shared_form(fetched, c) for c in fields)).alias("parse"), final.alias("final_url"), media.alias("media_type"))
+    held = documents.select(
+        F.col("id").alias("document_id"), F.col("url") if "url" in documents.columns else F.lit(None).cast("string").alias("url"),
+        F.col("current_sha256").alias("stored_sha"), F.col("extraction_status").alias("stored_status"))
+    stored = blobs.select("sha256", F.xxhash64(*(_shared_form(blobs, c) for c in fields)).alias("stored_parse"))
+    rows = rows.join(held, "document_id").join(stored, "sha256", "left")
+    rows = rows.withColumn("issue", response_issue(url, F.col("media_type"), F.coalesce("final_url", url)).isNotNull()).drop("media_type", "final_url")
+    by_content = previous_in_group(rows.withColumn("_is", F.struct("parse", "status")), "sha256", ["at"], "_is", "parse_before").drop("_is")
+    by_both = previous_in_group(by_content.withColumn("_is", F.struct("sha256", "issue", "at")), "document_id", ["at"], "_is", "fetch_before").drop("_is")
+    nexts = by_both.filter("fetch_before IS NOT NULL").select("document_id", F.col("fetch_before.at").alias("at"), F.col("at").alias("moved_at"))
+    return by_both.join(nexts, ["document_id", "at"], "left")
 
 
 def document_events(documents: DataFrame, fetched: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Kind of change per fetched document; documents without a change are left out.
+    return document_flow(documents, fetched, blobs)[0]
+
+
+def document_flow(documents: DataFrame, fetched: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, steps): kind of change per fetched body, without those that change nothing, and all ``fetch_steps``.
 
-    The content is compared by hash; equal content counts as re-extracted when any stored field of
-    its extraction (``EXTRACTED``, as far as both tables have them) differs from the new one. Such an
-    event is ``shared``: it concerns every document that carries the content.
+    The content is compared by hash; equal content counts as re-extracted when its extraction differs
+    from the one before it (``fetch_steps``). Such an event is ``shared``: it concerns every document
+    that carries the content at that moment. Equal parses in a row give one event. Both tables are
+    staged; ``step`` numbers the events.
     """
-    fields = [c for c in EXTRACTED if c in blobs.columns and c in fetched.columns]
-    stored = blobs.select("sha256", F.lit(True).alias("_stored"), F.xxhash64(*(_shared_form(blobs, c) for c in fields)).alias("_blob"))
-    rows = fetched.select(
-        "document_id", "sha256", F.col("extraction_status").alias("_new_status"),
-        F.xxhash64(*(_shared_form(fetched, c) for c in fields)).alias("_new")).join(stored, "sha256", "left").join(
-        documents.select(F.col("id").alias("document_id"), "current_sha256", F.col("extraction_status").alias("_old_status")), "document_id")
-    same = F.col("current_sha256") == F.col("sha256")
-    content_differs = F.coalesce(F.col("_stored") & (F.col("_blob") != F.col("_new")), F.lit(False))
-    changed = ~F.coalesce(same, F.lit(False)) | content_differs | (F.col("_old_status") != F.col("_new_status"))
-    kind = F.when(F.col("current_sha256").isNull(), "document_added").when(same, "document_reextracted").otherwise("document_updated")
-    return rows.filter(changed).select(
-        "document_id", kind.alias("kind"), F.col("current_sha256").alias("previous_sha256"), "sha256", content_differs.alias("shared"))
+    steps = materialise(fetch_steps(documents, fetched, blobs))
+    old_sha = F.coalesce("fetch_before.sha256", "stored_sha")
+    before = F.coalesce("parse_before.parse", "stored_parse")
+    shared = F.coalesce(before != F.col("parse"), F.lit(False))
+    given = F.col("parse_before").isNotNull() & ~F.coalesce(F.col("parse_before.parse") == F.col("stored_parse"), F.lit(False))
+    old_status = F.when(F.col("fetch_before.issue"), "unreadable").when(given, F.col("parse_before.status")).when(
+        F.col("fetch_before").isNotNull(), F.coalesce("parse_before.status", "status")).otherwise(F.col("stored_status"))
+    new_status = F.when(F.col("issue"), "unreadable").otherwise(F.col("status"))
+    same = F.coalesce(old_sha == F.col("sha256"), F.lit(False))
+    kind = F.when(old_sha.isNull(), "document_added").when(same, "document_reextracted").otherwise("document_updated")
+    changed = ~same | shared | (old_status != new_status)
+    events = materialise(steps.filter(changed).select(
+        "document_id", kind.alias("kind"), old_sha.alias("previous_sha256"), "sha256", shared.alias("shared"), "url",
+        new_status.alias("extraction_status"), "at", F.col("fetch_before").isNotNull().alias("again"), F.monotonically_increasing_id().alias("step")))
+    return events, steps
+
+
+def carriers(documents: DataFrame, steps: DataFrame) -> DataFrame:
+    """``document_id, sha256, since, until``: which content each document carries, and between which fetches."""
+    first = steps.groupBy("document_id").agg(F.min("at").alias("until"))
+    at = steps.schema["at"].dataType
+    held = documents.filter("current_sha256 IS NOT NULL").select(F.col("id").alias("document_id"), F.col("current_sha256").alias("sha256"))
+    stored = held.join(first, "document_id", "left").select("document_id", "sha256", F.lit(None).cast(at).alias("since"), "until")
+    return stored.unionByName(steps.select("document_id", "sha256", F.col("at").alias("since"), F.col("moved_at").alias("until")))
+
+
+def spread_events(events: DataFrame, carried: DataFrame) -> DataFrame:
+    """``step, _at``: each event with its document, a shared one also with all that carry its content then."""
+    others = carried.select(F.col("document_id").alias("_at"), "sha256", "since", "until")
+    now = F.col("at")
+    twins = events.filter("shared").join(others, "sha256").filter(
+        (F.col("since").isNull() | (F.col("since") < now)) & (F.col("until").isNull() | (F.col("until") > now)))
+    return events.select("step", F.col("document_id").alias("_at")).unionByName(twins.select("step", "_at"))
 
 
 def replace_links(links: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -94,28 +156,29 @@ def replace_links(links: DataFrame, parsed: DataFrame) -> DataFrame:
 
 
 def fan_out(
-    events: DataFrame, notices: DataFrame, bridge: DataFrame, last_id: int, as_of: str, documents: DataFrame | None = None,
+    events: DataFrame, notices: DataFrame, bridge: DataFrame, last_id: int, as_of: str, documents: DataFrame | None = None, steps: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(version bumps per notice, change rows) for notices that share a changed document.
 
     With ``documents``, a shared event also reaches the notices of every other document that carries
-    the content. A guide shared by very many notices makes one hot key in the bridge join, which AQE
-    splits; nothing is gathered per document. A notice rises by one version for every event that
-    reaches it, through however many documents.
+    the content; ``steps`` (``fetch_steps``) tell who carries it at that moment, without them the
+    stored state counts. A guide shared by very many notices makes one hot key in the bridge join,
+    which AQE splits; nothing is gathered per document. A notice rises by one version for every event
+    that reaches it, through however many documents.
     """
     links = bridge.filter("active").select("opportunity_id", F.col("document_id").alias("_at"))
-    wide = spread_events(events, documents) if documents is not None else events.withColumn("source_document_id", F.col("document_id"))
-    hits = links.join(wide.withColumnRenamed("document_id", "_at"), "_at").select(
-        "opportunity_id", F.col("source_document_id").alias("document_id"), "kind", "previous_sha256", "sha256").distinct()
+    spread = events.select("step", F.col("document_id").alias("_at"))
+    if documents is not None:
+        steps = events.withColumn("moved_at", F.lit(None).cast(events.schema["at"].dataType)).limit(0) if steps is None else steps
+        spread = spread_events(events, carriers(documents, steps))
+    hits = links.join(spread, "_at").select("opportunity_id", "step").distinct()
     bumps = hits.groupBy("opportunity_id").agg(F.count(F.lit(1)).alias("bumps"))
-    rows = hits.join(notices.select(F.col("id").alias("opportunity_id"), "source_id"), "opportunity_id")
+    rows = hits.join(events, "step").join(notices.select(F.col("id").alias("opportunity_id"), "source_id"), "opportunity_id")
+    told = canonical_json({c: F.col(c) for c in ("document_id", "url", "previous_sha256", "sha256", "extraction_status")})
     log = dense_ids(
-        rows.withColumns({
-            "created_at": F.lit(as_of).cast("timestamp_ntz"), "actor": F.lit("document_collector"),
-            "payload_json": canonical_json({c: F.col(c) for c in ("document_id", "previous_sha256", "sha256")}),
-        }),
-        F.concat_ws("/", "opportunity_id", "document_id"), last_id)
-    return bumps, log
+        rows.withColumns({"created_at": F.lit(as_of).cast("timestamp_ntz"), "actor": F.lit("document_collector"), "payload_json": told}),
+        F.concat_ws("/", "opportunity_id", "document_id", F.when(F.col("again"), F.to_json("at"))), last_id)
+    return bumps, log.drop("at", "again", "step", "shared", "url", "extraction_status")
 
 
 def bumped(notices: DataFrame, bumps: DataFrame, as_of: str) -> DataFrame:
@@ -147,28 +210,51 @@ def reextracted(documents: DataFrame, extraction: DataFrame) -> DataFrame:
         F.when(issue, "unreadable").otherwise(F.coalesce("_status", "extraction_status"))).drop("_status").select(*documents.columns)
 
 
+OUTCOME = {
+    "kind": "string", "fetched_at": "timestamp_ntz", "retry_at": "timestamp_ntz", "attempted": "boolean", "blocked": "boolean",
+    "http_status": "int", "error_text": "string", "media_type": "string", "final_url": "string",
+}
+
+
 def apply_outcomes(documents: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Document state after landed fetch outcomes.
+    """Document state after landed fetch outcomes, in the columns that ``documents`` has.
 
     ``outcomes``: (document_id, kind, fetched_at, retry_at, attempted, blocked, http_status,
-    error_text, media_type, final_url) with kind deferred, error, not_modified or body.
+    error_text, media_type, final_url) with kind deferred, error, not_modified or body. An answer
+    that nothing was modified is judged by the stored content's ``media_type`` and the stored
+    ``final_url``, not by what that answer says of itself; without a stored content it is an error.
     """
-    joined = documents.join(outcomes.withColumnRenamed("document_id", "id"), "id", "left")
-    kind, at = F.col("kind"), F.col("fetched_at")
-    success = kind.isin("not_modified", "body")
-    issue = F.when(success, response_issue(F.col("url"), F.col("media_type"), F.col("final_url")))
-    counted = F.when(kind == "deferred", F.coalesce("attempted", F.lit(False))).otherwise(kind.isNotNull())
+    given = outcomes.select(F.col("document_id").alias("id"), *(
+        (F.col(c) if c in outcomes.columns else F.lit(None)).cast(t).alias(f"_o_{c}") for c, t in OUTCOME.items()))
+    joined = documents.join(given, "id", "left")
+    new = lambda c: F.col(f"_o_{c}")
+    old = lambda c: F.col(c) if c in documents.columns else F.lit(None).cast("string")
+    kind, at = new("kind"), new("fetched_at")
+    if "current_sha256" in documents.columns:
+        kind = fail_unless(~F.coalesce((kind == "not_modified") & F.col("current_sha256").isNull(), F.lit(False)), kind, "Not modified, but no content is stored")
+    body, success = kind == "body", kind.isin("not_modified", "body")
+    media = F.when(body, new("media_type")).otherwise(old("media_type"))
+    final = F.when(body, F.coalesce(new("final_url"), F.col("url"))).otherwise(old("final_url"))
+    issue = F.when(success, response_issue(F.col("url"), media, final))
+    counted = F.when(kind == "deferred", F.coalesce(new("attempted"), F.lit(False))).otherwise(kind.isNotNull())
     state = F.when(kind == "deferred", "pending").when(
-        kind == "error", F.when(F.col("blocked"), "blocked").otherwise("failed")).when(success, "fetched").otherwise(F.col("state"))
+        kind == "error", F.when(new("blocked"), "blocked").otherwise("failed")).when(success, "fetched").otherwise(F.col("state"))
+    answer = F.when(kind == "deferred", F.when(counted, 429)).when(kind == "not_modified", 304).when(body, 200)
     columns = {
         "state": state,
-        "error": F.when(success, issue).when(kind.isNotNull(), F.col("error_text")).otherwise(F.col("error")),
-        "next_check_at": F.when(kind == "deferred", F.col("retry_at")).when(
+        "error": F.when(success, issue).when(kind.isNotNull(), new("error_text")).otherwise(F.col("error")),
+        "next_check_at": F.when(kind == "deferred", new("retry_at")).when(
             kind.isNotNull(), status.next_daily_check(at)).otherwise(F.col("next_check_at")),
         "checked_at": F.when(counted, at).otherwise(F.col("checked_at")),
         "attempts": F.col("attempts") + F.when(counted, 1).otherwise(0),
         "extraction_status": F.when(issue.isNotNull(), "unreadable").otherwise(F.col("extraction_status")),
     }
+    if "http_status" in documents.columns:
+        columns["http_status"] = F.when(kind == "error", new("http_status")).otherwise(F.coalesce(answer, F.col("http_status")))
+    if "last_success_at" in documents.columns:
+        columns["last_success_at"] = F.when(success, at).otherwise(F.col("last_success_at"))
+    if "final_url" in documents.columns:
+        columns["final_url"] = F.when(body, final).otherwise(F.col("final_url"))
     # Staged so that no expression reads a column already replaced.
     staged = joined.withColumns({f"_{c}": v for c, v in columns.items()})
     return staged.select(*(F.col(f"_{c}").alias(c) if c in columns else F.col(c) for c in documents.columns))
@@ -186,6 +272,6 @@ def retry_reset(documents: DataFrame, bridge: DataFrame, notices: DataFrame | No
 
 
 __all__ = [
-    "affected_notices", "apply_outcomes", "bumped", "document_events", "fan_out", "new_blobs", "new_versions",
-    "reextracted", "reextraction_candidates", "replace_links", "retry_reset", "spread_events", "updated_blobs",
+    "affected_notices", "apply_outcomes", "bumped", "carriers", "document_events", "fan_out", "fetch_steps", "new_blobs", "new_versions",
+    "reextracted", "reextraction_candidates", "replace_links", "retry_reset", "spread_events", "unmodified", "updated_blobs",
 ]

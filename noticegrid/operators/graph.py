@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from noticegrid.functions import fixed, urls
 from noticegrid.functions.codes import lookup
-from noticegrid.session import materialise
+from noticegrid.session import bucketed, materialise
 
 DEPTH_LIMIT, DOCUMENT_LIMIT = "depth_limit", "document_limit"
 
@@ -38,9 +38,9 @@ def reach(roots: DataFrame, links: DataFrame, max_depth: int = 4, max_documents:
 
     A document one level below ``max_depth`` is recorded as ``depth_limit`` and not expanded. Beyond
     ``max_documents`` one further document per notice is recorded as ``document_limit``; None is no
-    limit. Each level is
-    one join with the links and one shuffle by notice, and is written out, so that neither lineage
-    nor lost executors repeat earlier levels. The work per notice is bounded: it keeps at most
+    limit. Each level is one join with the links and one shuffle by notice, and is written out, so
+    that neither lineage nor lost executors repeat earlier levels. With a limit, that shuffle takes
+    the notice's earlier rows along, at most ``max_documents`` + 1 of them. The work per notice is bounded: it keeps at most
     ``max_documents`` + 1 rows, and of a document's links only the leading ones can matter.
     """
     if max_documents is None:
@@ -61,34 +61,53 @@ def reach(roots: DataFrame, links: DataFrame, max_depth: int = 4, max_documents:
     return _union(levels)
 
 
+CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
 def _reach_all(roots: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:
     """``reach`` without a limit on documents: a level shuffles only its own new rows.
 
-    Positions count a notice's documents level by level; a level's offset is the largest so far.
+    Every level is a table in buckets by notice. The new rows come into the same buckets by the one
+    shuffle of a level; dedupe, anti joins with the levels before, and positions then stay within
+    them. Positions count a notice's documents level by level; a level's offset is the largest so far.
     """
+    spark = roots.sparkSession
+    before = spark.conf.get(CO_PARTITION)
+    # Joins on (notice, document) may then use tables that are in buckets by notice alone.
+    spark.conf.set(CO_PARTITION, "false")
+    try:
+        return _union(_levels(roots, links, max_depth))
+    finally:
+        spark.conf.set(CO_PARTITION, before)
+
+
+def _levels(roots: DataFrame, links: DataFrame, max_depth: int) -> list[DataFrame]:
     keys = ["opportunity_id", "document_id"]
+    buckets = int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = materialise(links.groupBy("document_id", "target_id").agg(F.min("role").alias("role")))
     none = F.lit(None)
     order = Window.partitionBy("opportunity_id")
-    level = materialise(roots.select(*keys).distinct().select(
+    level = roots.select(*keys).repartition(buckets, "opportunity_id").distinct().select(
         *keys, F.lit(0).alias("depth"), none.cast(links.schema["document_id"].dataType).alias("parent_id"),
         F.lit("call_content").alias("role"), none.cast("string").alias("limitation"),
-        F.row_number().over(order.orderBy("document_id")).alias("position")))
-    levels = [level]
+        F.row_number().over(order.orderBy("document_id")).alias("position"))
+    levels = [bucketed(level, "opportunity_id", buckets, *keys)]
     for depth in range(1, max_depth + 2):
-        # Several parents of a document become one row before the shuffle; the earliest parent wins.
-        new = _steps(level, links).groupBy(*keys).agg(F.min(F.struct("place", "parent_id", "role")).alias("b"))
-        new = new.join(_union(levels).select(*keys), keys, "left_anti")
+        steps = _steps(levels[-1], links).repartition(buckets, "opportunity_id")
+        # Of several parents of a document the earliest wins.
+        new = steps.groupBy(*keys).agg(F.min(F.struct("place", "parent_id", "role")).alias("b"))
+        for known in levels:
+            new = new.join(known.select(*keys), keys, "left_anti")
         ends = levels[-1].groupBy("opportunity_id").agg(F.max("position").alias("_end"))
         ranked = new.join(ends, "opportunity_id").withColumn("n", F.row_number().over(order.orderBy("b.place", "document_id")))
         limitation = F.lit(DEPTH_LIMIT) if depth > max_depth else none.cast("string")
-        level = materialise(ranked.select(
+        level = bucketed(ranked.select(
             *keys, F.lit(depth).alias("depth"), F.col("b.parent_id").alias("parent_id"), F.col("b.role").alias("role"),
-            limitation.alias("limitation"), (F.col("_end") + F.col("n")).alias("position")))
+            limitation.alias("limitation"), (F.col("_end") + F.col("n")).cast("int").alias("position")), "opportunity_id", buckets, *keys)
         if not level.head(1):
             break
         levels.append(level)
-    return _union(levels)
+    return levels
 
 
 def _leading_links(links: DataFrame, count: int) -> DataFrame:

@@ -28,8 +28,8 @@ def apply_reviews(attempts: DataFrame, notices: DataFrame, reviews: DataFrame, p
     which then rises by one. Turns depend on each other, but only through that one number: a run of
     attempts maps an entry version to an exit version. Attempts are range-partitioned by (notice,
     arrival), so that one notice may spread over many tasks; each task reports that map for its
-    runs, a small window over the runs gives every run its entry version, and a second pass settles
-    the attempts. No notice is gathered anywhere.
+    runs, joins over its rows give every run its entry version, and a second pass settles the
+    attempts. No notice is gathered anywhere.
     """
     spark = attempts.sparkSession
     parts = partitions or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -77,8 +77,8 @@ def _entry_versions(ranged: DataFrame) -> DataFrame:
     """Entry version of every (notice, run).
 
     Within a run the exit version is the entry version plus the length of the chain of expected
-    versions it meets in order. Only runs after a notice's first need the map, and a notice has one
-    run per partition it spans.
+    versions it meets in order. Only runs of notices that span several need the map of entries to
+    exits; its rows are joined as they are (``_visited``), never gathered.
     """
     runs = ranged.groupBy("opportunity_id", "run").agg(F.min("start").alias("start"))
     span = runs.groupBy("opportunity_id").agg(F.count(F.lit(1)).alias("_spans"))
@@ -87,15 +87,40 @@ def _entry_versions(ranged: DataFrame) -> DataFrame:
     candidates = ranged.join(split, "opportunity_id", "left_semi").filter("kind = 'candidate'").repartition(
         "opportunity_id", "run").sortWithinPartitions("opportunity_id", "run", "arrived_at", "event_id")
     key = dict(ranged.dtypes)["opportunity_id"]
-    maps = candidates.mapInPandas(_exit_map, f"opportunity_id {key}, run int, entry int, exit int")
-    jumps = maps.groupBy("opportunity_id", "run").agg(F.map_from_entries(F.collect_list(F.struct("entry", "exit"))).alias("jump"))
-    ordered = runs.join(split, "opportunity_id", "left_semi").join(jumps, ["opportunity_id", "run"], "left")
+    maps = materialise(candidates.mapInPandas(_exit_map, f"opportunity_id {key}, run int, entry int, exit int"))
+    ordered = materialise(runs.join(split, "opportunity_id", "left_semi"))
+    exits = _visited(maps, ordered.groupBy("opportunity_id").agg(F.min("start").alias("start")))
     # One row per run: at most one per partition for a notice.
     before = Window.partitionBy("opportunity_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    folded = ordered.withColumn("_earlier", F.collect_list(F.coalesce("jump", F.create_map().cast("map<int,int>"))).over(before))
-    entry = F.aggregate(
-        "_earlier", F.col("start"), lambda v, m: F.coalesce(F.try_element_at(m, v), v))
-    return single.unionByName(folded.select("opportunity_id", "run", entry.alias("entry")))
+    entry = F.coalesce(F.last("exit", ignorenulls=True).over(before), F.col("start"))
+    return single.unionByName(ordered.join(exits, ["opportunity_id", "run"], "left").select("opportunity_id", "run", entry.alias("entry")))
+
+
+def _visited(maps: DataFrame, starts: DataFrame) -> DataFrame:
+    """``opportunity_id, run, exit`` of the runs that change a notice's version on its way from ``start``.
+
+    A row of a map is a place: the run where a notice arrives with that entry. From it the way leads
+    to the next run that has the exit as an entry; all others leave it as it is. The places on the
+    way from the start are found by pointer doubling, so n runs take about log2(n) joins.
+    """
+    place = ["opportunity_id", "run", "entry"]
+    none = F.lit(None).cast("int")
+    here = maps.select("opportunity_id", F.col("entry").alias("version"), "run", F.col("run").alias("_at"), none.alias("entry"), F.lit(0).alias("_asks"))
+    leaving = maps.select("opportunity_id", F.col("exit").alias("version"), "run", none.alias("_at"), "entry", F.lit(1).alias("_asks"))
+    starting = starts.select("opportunity_id", F.col("start").alias("version"), F.lit(-1).alias("run"), none.alias("_at"), none.alias("entry"), F.lit(1).alias("_asks"))
+    # Per notice and version at most two rows a run.
+    later = Window.partitionBy("opportunity_id", "version").orderBy("run", "_asks").rowsBetween(1, Window.unboundedFollowing)
+    found = here.unionByName(leaving).unionByName(starting).withColumn("next_run", F.first("_at", ignorenulls=True).over(later))
+    asked = materialise(found.filter("_asks = 1 AND next_run IS NOT NULL").select("opportunity_id", "run", "entry", "next_run", F.col("version").alias("next_entry")))
+    reached = asked.filter("run = -1").select("opportunity_id", F.col("next_run").alias("run"), F.col("next_entry").alias("entry"))
+    jumps = asked.filter("run >= 0")
+    while jumps.head(1):
+        onward = reached.join(jumps, place).select("opportunity_id", F.col("next_run").alias("run"), F.col("next_entry").alias("entry"))
+        reached = materialise(reached.unionByName(onward))
+        second = jumps.select("opportunity_id", F.col("run").alias("next_run"), F.col("entry").alias("next_entry"), F.col("next_run").alias("_run"), F.col("next_entry").alias("_entry"))
+        jumps = materialise(jumps.join(second, ["opportunity_id", "next_run", "next_entry"]).select(
+            *place, F.col("_run").alias("next_run"), F.col("_entry").alias("next_entry")))
+    return reached.join(maps, place).select("opportunity_id", "run", "exit")
 
 
 def _runs(batches, columns):

@@ -458,16 +458,25 @@ SELECT d.id AS document_id, t.sha256, CASE WHEN d.id % 11 = 0 THEN 'partial_text
 FROM fx_documents d JOIN fx_texts t ON t.doc_id = CASE WHEN d.id % 5 = 0 THEN d.id ELSE d.id + 3 END"""
 SHARED["ox_stored"] = """
 SELECT DISTINCT sha256, 'extracted' AS extraction_status FROM fx_texts WHERE doc_id % 2 = 0 OR doc_id % 5 = 0"""
+# Bodies come in the order of their documents; a content's parse before is the last one of the batch, else the stored one.
+SHARED["ox_doc_steps"] = """
+SELECT f.*, d.url, d.current_sha256, d.extraction_status AS stored_status, s.extraction_status AS stored_parse,
+  LAG(f.extraction_status) OVER (PARTITION BY f.sha256 ORDER BY f.document_id) AS batch_parse
+FROM ox_fetched f JOIN ox_current_docs d ON d.id = f.document_id LEFT JOIN ox_stored s ON s.sha256 = f.sha256"""
 SHARED["ox_doc_events"] = """
-SELECT f.document_id, CASE WHEN d.current_sha256 IS NULL THEN 'document_added' WHEN d.current_sha256 = f.sha256 THEN 'document_reextracted' ELSE 'document_updated' END AS kind,
-  d.current_sha256 AS previous_sha256, f.sha256, COALESCE(s.extraction_status <> f.extraction_status, false) AS shared FROM ox_fetched f JOIN ox_current_docs d ON d.id = f.document_id LEFT JOIN ox_stored s ON s.sha256 = f.sha256
-WHERE d.current_sha256 IS NULL OR d.current_sha256 <> f.sha256 OR COALESCE(s.extraction_status <> f.extraction_status, false) OR d.extraction_status <> f.extraction_status"""
+SELECT * FROM (SELECT *, CASE WHEN current_sha256 IS NULL THEN 'document_added' WHEN current_sha256 = sha256 THEN 'document_reextracted' ELSE 'document_updated' END AS kind,
+    current_sha256 AS previous_sha256, COALESCE(COALESCE(batch_parse, stored_parse) <> extraction_status, false) AS shared,
+    CASE WHEN batch_parse IS NOT NULL AND (stored_parse IS NULL OR batch_parse <> stored_parse) THEN batch_parse ELSE stored_status END AS old_status FROM ox_doc_steps)
+WHERE current_sha256 IS NULL OR current_sha256 <> sha256 OR shared OR old_status <> extraction_status"""
 
 
-# Notices an event reaches: through its document, and through others with the content if the extraction changed.
+# Notices an event reaches: through its document, and through all that carry the content at that moment if the extraction changed.
+SHARED["ox_carriers"] = """
+SELECT c.id, c.current_sha256 AS sha256, -1 AS since, COALESCE(f.document_id, 1000000000) AS until FROM ox_current_docs c LEFT JOIN ox_fetched f ON f.document_id = c.id
+UNION ALL SELECT document_id, sha256, document_id, 1000000000 FROM ox_fetched"""
 SHARED["ox_reached"] = """
-SELECT DISTINCT od.opportunity_id, e.document_id, e.kind, e.previous_sha256, e.sha256 FROM ox_doc_events e JOIN fx_opportunity_documents od ON od.active AND (
-  od.document_id = e.document_id OR (e.shared AND od.document_id IN (SELECT id FROM ox_current_docs c WHERE c.current_sha256 = e.sha256)))"""
+SELECT DISTINCT od.opportunity_id, e.document_id, e.kind, e.previous_sha256, e.sha256, e.url, e.extraction_status FROM ox_doc_events e JOIN fx_opportunity_documents od ON od.active AND (
+  od.document_id = e.document_id OR (e.shared AND od.document_id IN (SELECT id FROM ox_carriers c WHERE c.sha256 = e.sha256 AND c.since < e.document_id AND c.until > e.document_id)))"""
 
 
 def fetched(r):
@@ -481,8 +490,12 @@ def stored(r):
     return r.fx_texts.filter("doc_id % 2 = 0 OR doc_id % 5 = 0").select("sha256", F.lit("extracted").alias("extraction_status")).distinct()
 
 
+def flow(r):
+    return docs.document_flow(current_docs(r), fetched(r).drop("text"), stored(r))
+
+
 def events(r):
-    return docs.document_events(current_docs(r), fetched(r).drop("text"), stored(r))
+    return flow(r)[0]
 
 
 @query("j04_document_events", "SELECT document_id, kind, previous_sha256, sha256 FROM ox_doc_events")
@@ -491,11 +504,34 @@ def _(r):
 
 
 @query("j04_new_blobs", """
-SELECT DISTINCT sha256, MIN(extraction_status) OVER (PARTITION BY sha256) AS extraction_status FROM ox_fetched WHERE sha256 NOT IN (SELECT sha256 FROM ox_stored)""")
+SELECT sha256, arg_max(extraction_status, document_id) AS extraction_status FROM ox_fetched WHERE sha256 NOT IN (SELECT sha256 FROM ox_stored) GROUP BY sha256""")
 def _(r):
     return docs.new_blobs(fetched(r), stored(r)).select("sha256", "extraction_status")
 
 
+@query("j04_updated_blobs", """
+SELECT s.sha256, COALESCE(f.extraction_status, s.extraction_status) AS extraction_status FROM ox_stored s
+LEFT JOIN (SELECT sha256, arg_max(extraction_status, document_id) AS extraction_status FROM ox_fetched GROUP BY sha256) f ON f.sha256 = s.sha256""")
+def _(r):
+    return docs.updated_blobs(stored(r), fetched(r)).select("sha256", "extraction_status")
+
+
+@query("j04_versions", f"""
+SELECT document_id, sha256, MIN(seen_at) AS first_seen_at, MAX(seen_at) AS last_seen_at FROM (
+  SELECT id AS document_id, current_sha256 AS sha256, TIMESTAMP '1998-06-27 00:00:00' AS seen_at FROM fx_contents WHERE current_sha256 IS NOT NULL
+  UNION ALL SELECT document_id, sha256, {STAMP} FROM ox_fetched WHERE document_id % 4 <> 0
+  UNION ALL SELECT id, current_sha256, {STAMP} FROM fx_contents WHERE id % 4 = 0 AND current_sha256 IS NOT NULL) GROUP BY document_id, sha256""")
+def _(r):
+    # Every fourth document answers that nothing was modified; the others send a body.
+    then, now = (F.lit(at).cast("timestamp_ntz") for at in ("1998-06-27 00:00:00", r.as_of))
+    documents = current_docs(r)
+    versions = documents.filter("current_sha256 IS NOT NULL").select(
+        F.col("id").alias("document_id"), F.col("current_sha256").alias("sha256"), then.alias("first_seen_at"), then.alias("last_seen_at"))
+    same = documents.filter("id % 4 = 0").select(F.col("id").alias("document_id"), F.lit("not_modified").alias("kind"), now.alias("fetched_at"))
+    bodies = fetched(r).filter("document_id % 4 <> 0").select("document_id", "sha256", now.alias("fetched_at"))
+    return docs.new_versions(bodies.unionByName(docs.unmodified(documents, same)), versions)
+
+
 @query("j04_link_replacement", """
 SELECT document_id, CAST(target_id AS VARCHAR) AS target_url, MAX(role) AS role,
   CASE WHEN document_id % 3 = 0 THEN role_count > 0 AND target_id % 2 = 0 ELSE BOOL_OR(follow) END AS follow
@@ -516,16 +552,18 @@ def _(r):
 SELECT o.id, CAST(o.version + COALESCE(b.n, 0) AS INT) AS version, CASE WHEN b.n IS NULL THEN o.updated_at ELSE {STAMP} END AS updated_at FROM fx_opportunities o LEFT JOIN (
   SELECT opportunity_id, COUNT(*) AS n FROM ox_reached GROUP BY opportunity_id) b ON b.opportunity_id = o.id""")
 def _(r):
-    bumps, _log = docs.fan_out(events(r), r.fx_opportunities, r.fx_opportunity_documents, 0, r.as_of, current_docs(r))
+    found, steps = flow(r)
+    bumps, _log = docs.fan_out(found, r.fx_opportunities, r.fx_opportunity_documents, 0, r.as_of, current_docs(r), steps)
     return docs.bumped(r.fx_opportunities, bumps, r.as_of).select("id", "version", "updated_at")
 
 
 @query("j05_fan_out_log", """
 SELECT ROW_NUMBER() OVER (ORDER BY sha256(CAST(e.opportunity_id AS VARCHAR) || '/' || CAST(e.document_id AS VARCHAR))) AS id, e.opportunity_id, e.document_id, e.kind, o.source_id,
-  '{"document_id":' || e.document_id || ',"previous_sha256":' || COALESCE('"' || e.previous_sha256 || '"', 'null') || ',"sha256":"' || e.sha256 || '"}' AS payload_json
+  '{"document_id":' || e.document_id || ',"extraction_status":"' || e.extraction_status || '","previous_sha256":' || COALESCE('"' || e.previous_sha256 || '"', 'null') || ',"sha256":"' || e.sha256 || '","url":"' || e.url || '"}' AS payload_json
 FROM ox_reached e JOIN fx_opportunities o ON o.id = e.opportunity_id""")
 def _(r):
-    _bumps, log = docs.fan_out(events(r), r.fx_opportunities, r.fx_opportunity_documents, 0, r.as_of, current_docs(r))
+    found, steps = flow(r)
+    _bumps, log = docs.fan_out(found, r.fx_opportunities, r.fx_opportunity_documents, 0, r.as_of, current_docs(r), steps)
     return log.select("id", "opportunity_id", "document_id", "kind", "source_id", "payload_json")
 
 
@@ -639,25 +677,30 @@ def _(r):
 
 @query("j14_fetch_outcomes", """
 SELECT id, CASE id % 5 WHEN 0 THEN 'pending' WHEN 1 THEN CASE WHEN id % 2 = 0 THEN 'blocked' ELSE 'failed' END WHEN 4 THEN state ELSE 'fetched' END AS state,
-  CASE id % 5 WHEN 0 THEN 'RATE_LIMIT|https://h.example.org|1998-07-02' WHEN 1 THEN 'TimeoutError' WHEN 4 THEN error WHEN 3 THEN 'DOCUMENT_DOWNLOAD_RETURNED_HTML' END AS error,
+  CASE id % 5 WHEN 0 THEN 'RATE_LIMIT|https://h.example.org|1998-07-02' WHEN 1 THEN 'TimeoutError' WHEN 4 THEN error WHEN 3 THEN 'DOCUMENT_DOWNLOAD_RETURNED_HTML'
+    ELSE CASE WHEN id % 3 = 0 THEN 'DOCUMENT_DOWNLOAD_RETURNED_HTML' END END AS error,
   CASE id % 5 WHEN 0 THEN TIMESTAMP '1998-07-02 05:00:00' WHEN 4 THEN next_check_at ELSE TIMESTAMP '1998-07-02 00:00:00' END AS next_check_at,
   CASE WHEN id % 5 = 0 THEN CASE WHEN id % 2 = 0 THEN 3 ELSE 2 END WHEN id % 5 = 4 THEN 2 ELSE 3 END AS attempts,
   CASE WHEN id % 5 = 4 OR (id % 5 = 0 AND id % 2 = 1) THEN checked_at ELSE TIMESTAMP '1998-07-01 10:00:00' END AS checked_at,
-  CASE WHEN id % 5 = 3 THEN 'unreadable' ELSE extraction_status END AS extraction_status FROM fx_documents""")
-def _(r):
-    k, even = F.col("id") % 5, F.col("id") % 2 == 0
-    documents = r.fx_documents.withColumn("attempts", F.lit(2)).withColumn(
-        "url", F.when(k == 3, F.concat("url", F.lit("/guide.pdf"))).otherwise(F.col("url")))
+  CASE WHEN id % 5 = 3 OR (id % 5 = 2 AND id % 3 = 0) THEN 'unreadable' ELSE extraction_status END AS extraction_status,
+  CASE id % 5 WHEN 0 THEN CASE WHEN id % 2 = 0 THEN 429 END WHEN 1 THEN 503 WHEN 2 THEN 304 WHEN 3 THEN 200 END AS http_status,
+  CASE WHEN id % 5 IN (2, 3) THEN TIMESTAMP '1998-07-01 10:00:00' ELSE TIMESTAMP '1998-06-01 00:00:00' END AS last_success_at FROM fx_documents""")
+def _(r):
+    k, even, html = F.col("id") % 5, F.col("id") % 2 == 0, (F.col("id") % 5 == 2) & (F.col("id") % 3 == 0)
+    documents = r.fx_documents.withColumns({
+        "attempts": F.lit(2), "url": F.when((k == 3) | html, F.concat("url", F.lit("/guide.pdf"))).otherwise(F.col("url")),
+        "media_type": F.when(html, "text/html").otherwise("application/pdf"), "http_status": F.lit(None).cast("int"),
+        "last_success_at": F.lit("1998-06-01 00:00:00").cast("timestamp_ntz"), "final_url": F.lit(None).cast("string")})
     outcomes = r.fx_documents.filter(k != 4).select(
         F.col("id").alias("document_id"),
         F.when(k == 0, "deferred").when(k == 1, "error").when(k == 2, "not_modified").otherwise("body").alias("kind"),
         F.lit("1998-07-01 10:00:00").cast("timestamp_ntz").alias("fetched_at"), F.lit("1998-07-02 05:00:00").cast("timestamp_ntz").alias("retry_at"),
-        even.alias("attempted"), even.alias("blocked"),
+        even.alias("attempted"), even.alias("blocked"), F.when(k == 1, 503).alias("http_status"),
         F.when(k == 0, "RATE_LIMIT|https://h.example.org|1998-07-02").otherwise("TimeoutError").alias("error_text"),
-        F.when(k == 3, "text/html").otherwise("application/pdf").alias("media_type"), F.col("url").alias("final_url"))
-    # The outcome's media type is the fetched one; the document keeps its own column.
-    return docs.apply_outcomes(documents.drop("media_type"), outcomes).select(
-        "id", "state", "error", "next_check_at", "attempts", "checked_at", "extraction_status")
+        # An answer that nothing was modified says nothing of the type; the stored content's counts.
+        F.when(k == 3, "text/html").alias("media_type"), F.col("url").alias("final_url"))
+    return docs.apply_outcomes(documents, outcomes).select(
+        "id", "state", "error", "next_check_at", "attempts", "checked_at", "extraction_status", "http_status", "last_success_at")
 
 
 @query("j15_retry_reset", """

@@ -94,6 +94,9 @@ def clear_stages(spark: SparkSession) -> int:
     """Delete the intermediate tables that this application has written, once their results are used."""
     stages = spark.sparkContext.__dict__.setdefault("_noticegrid_stages", [])
     count, jvm = len(stages), spark.sparkContext._jvm
+    tables = spark.sparkContext.__dict__.setdefault("_noticegrid_tables", [])
+    while tables:
+        spark.sql(f"DROP TABLE IF EXISTS {tables.pop()}")
     while stages:
         path = jvm.org.apache.hadoop.fs.Path(stages.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -108,6 +111,20 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, *order: str) -> DataFrame:
+    """``df`` as a staged table in ``buckets`` by a hash of ``key``, which joins on ``key`` need not shuffle.
+
+    Rows that are already in ``buckets`` partitions by that key become one file a bucket. The name in
+    the session's catalog only tells Spark of the buckets; ``clear_stages`` drops it with the files.
+    """
+    spark = df.sparkSession
+    name = f"noticegrid_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("path", shared_dir(spark, "stage")).bucketBy(buckets, key)
+    (writer.sortBy(*order) if order else writer).saveAsTable(name)
+    spark.sparkContext.__dict__.setdefault("_noticegrid_tables", []).append(name)
+    return spark.table(name)
+
+
 def previous_in_group(df: DataFrame, key: str, order: list[str], value: str, out: str, *, partitions: int | None = None) -> DataFrame:
     """``lag(value)`` per key, however large a key is.
 

@@ -74,7 +74,8 @@ def test_reextraction_reaches_every_carrier(spark):
     notices = spark.createDataFrame([("n1", "s"), ("n2", "s")], "id string, source_id string")
     bumps, log = docs.fan_out(events, notices, bridge, 0, T1, documents)
     assert {(r.opportunity_id, r.bumps) for r in bumps.collect()} == {("n1", 1), ("n2", 1)}
-    assert {r.payload_json for r in log.collect()} == {'{"document_id":1,"previous_sha256":"c","sha256":"c"}'}
+    payload = '{"document_id":1,"extraction_status":"extracted","previous_sha256":"c","sha256":"c","url":null}'
+    assert {r.payload_json for r in log.collect()} == {payload}
     assert docs.updated_blobs(blobs, fetched).first().text == "better text"
 
 
