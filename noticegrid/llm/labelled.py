@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticegrid.llm.batches import id_and_text
+from noticegrid.llm.leading import leading
+from noticegrid.session import materialise
 
 SAMPLE_ROWS = 20_000
 
@@ -23,10 +25,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows:
     of an id the mean decides. The ids are ``rows`` at most, so they may be broadcast; an id that
     repeats in ``docs`` gives several rows.
     """
-    known = (
+    known = materialise(
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("double").alias("label"))
         .filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & learn)
         .groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("double").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     )
-    return id_and_text(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+    chosen = leading(known, F.xxhash64("doc_id"), rows, [F.xxhash64("doc_id"), F.col("doc_id")])
+    return id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")

@@ -1,9 +1,12 @@
 """Boosted trees and the factorization machine; held-out accuracy of both classifiers."""
 
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from noticegrid.llm import factors, mixing, queries, trees
+from noticegrid.llm import factors, labelled, mixing, quality_trees, queries, toxicity, trees
 
 
 def walk(model, t, row):
@@ -56,6 +59,30 @@ def test_held_out_accuracy(spark, name, label, least):
     assert len(rows) > 300 and np.mean([r[0] == r[1] for r in rows]) >= least
 
 
+@pytest.mark.parametrize("score,label,modulus,kept_out,limit", [(toxicity.toxicity, "toxic", 5, 0, 0.5), (quality_trees.quality, "quality", 4, 2, 0.7)])
+def test_scored_rows_and_labels_kept_out(spark, documents, data, score, label, modulus, kept_out, limit):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    rows = score(documents, labels).collect()
+    assert len(rows) == documents.count()
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == kept_out)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= limit)
+    # Other labels of held-out ids change no score; other labels of the rest do.
+    out = F.crc32(F.col("doc_id").cast("string")) % modulus == kept_out
+    before = {r.doc_id: r.score for r in rows}
+    turned = lambda where: labels.withColumn(label, F.when(where, 1 - F.col(label)).otherwise(F.col(label)))
+    assert {r.doc_id: r.score for r in score(documents, turned(out)).collect()} == before
+    assert {r.doc_id: r.score for r in score(documents, turned(~out)).collect()} != before
+
+
+def test_samples_are_the_least_hashes(spark):
+    docs = spark.range(40_000).selectExpr("id as doc_id", "cast(id as string) as text").repartition(9)
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    got = {r.doc_id for r in labelled.sample(docs, labels, "quality", F.lit(True), rows=50).collect()}
+    want = {r.doc_id for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(50).collect()}
+    assert got == want
+
+
 def test_mixing_meets_entropy_and_budget(spark):
     rows = [(i, " ".join(["w"] * (i % 7 + 1)), f"s{0 if i % 10 else 1 + i % 3}") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
