@@ -188,3 +188,6 @@ EMPTY_RUN = "Unexpected empty collection; source must be checked"
 ROWS_REJECTED = "records rejected"
 TOTAL_CHANGED = "Advertised total changed between pages; collect again"
 EMPTY_PAGE = "Page without notices before the last one"
+
+# Prefix of the flag for an address that cannot be used.
+MALFORMED_URL = "malformed_source_url:"

@@ -20,7 +20,7 @@ def policy_links(parts: DataFrame, links: str = "links", base: str = "url", *key
     """One row per usable link: target, label, role and follow.
 
     Pictures count only when they show information such as a calendar, and are then required.
-    Links to the document itself and malformed addresses are left out.
+    Links to the document itself and malformed addresses are left out; ``marked_malformed`` tells of the latter.
     """
     own = urls.document_url(F.col(base))
     # Addresses are resolved inside the array: a filter on a column made after the explode would be
@@ -46,10 +46,22 @@ def one_per_target(links: DataFrame, *keys: str) -> DataFrame:
         *keys, "target_url", "_l.*")
 
 
-def malformed_flags(links: Column, base: Column) -> Column:
-    """Flags for http addresses that cannot be used."""
-    bad = F.filter(links, lambda li: F.trim(li["href"]).rlike("^https?://") & urls.document_url(li["href"], base).isNull())
-    return F.transform(bad, lambda li: F.concat(F.lit("malformed_source_url:"), F.left(li["href"], F.lit(300))))
+def marked_malformed(parts: DataFrame, links: str = "links", base: str = "url", flag_length: int = 300) -> DataFrame:
+    """``status`` and ``flags`` of documents after their links: an http address that cannot be used is a flag.
+
+    The text is partial where that address is a file's, its label speaks of conditions, or it is a
+    picture that shows information; other pictures do not count. A flag holds at most
+    ``flag_length`` characters of the address.
+    """
+    wanted = lambda li: ~li["image"] | F.concat_ws(" ", li["label"], li["href"]).rlike(fixed.INFORMATION)
+    unusable = lambda li: F.trim(li["href"]).rlike("^https?://") & urls.document_url(li["href"], F.col(base)).isNull()
+    bad = F.filter(links, lambda li: wanted(li) & unusable(li))
+    weighty = lambda li: li["image"] | li["href"].rlike(fixed.DOCUMENT_URL) | link_label(li).rlike(fixed.RELEVANT)
+    flags = F.transform(bad, lambda li: F.concat(F.lit(fixed.MALFORMED_URL), F.left(li["href"], F.lit(flag_length))))
+    return parts.withColumn("_bad", bad).withColumns({
+        "flags": F.concat("flags", F.when(F.size("_bad") > 0, flags).otherwise(F.array().cast("array<string>"))),
+        "status": F.when(F.exists("_bad", weighty), "partial_text").otherwise(F.col("status")),
+    }).drop("_bad")
 
 
 def _incomplete(part: Column, flag: str) -> dict[str, Column]:

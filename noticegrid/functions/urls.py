@@ -22,13 +22,17 @@ def _authority(url: Column) -> Column:
     return F.regexp_extract(url, _URL, 2)
 
 
+# A host in brackets is an IPv6 address or names its own version; brackets stand nowhere else.
+_HOST = r"^(?:[^\[\]]*|\[(?:(?=[^\]]*:[^\]]*:)[0-9A-Fa-f:.]+(?:%[^\[\]]+)?|[vV][0-9A-Fa-f]+\.[^\[\]]+)\](?::[^\[\]]*)?)$"
+
+
 def is_public(url: Column) -> Column:
-    """http(s), a host, and no credentials."""
+    """http(s), a host that can be one, and no credentials."""
     authority = _authority(url)
     return (
         F.coalesce(_scheme(url).isin("http", "https"), F.lit(False))
         & (F.length(F.regexp_replace(authority, r":\d*$", "")) > 0)
-        & ~authority.contains("@")
+        & authority.rlike(_HOST) & ~authority.contains("@")
     )
 
 

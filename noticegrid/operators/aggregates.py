@@ -39,9 +39,10 @@ FACETS = (
 
 
 def facets(view: DataFrame, tags: DataFrame) -> DataFrame:
-    """Distinct (facet, value) rows: one unpivot over the view, plus tags and collapsed funders."""
+    """Distinct (facet, value) rows: one unpivot over the view's combinations, plus tags and collapsed funders."""
     pairs = F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in FACETS))
-    columns = view.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+    # Combinations are few where facets are; they combine before the shuffle and before the unpivot.
+    columns = view.select(*FACETS).distinct().select(F.explode(pairs).alias("p")).select("p.*").distinct()
     tag_values = tags.filter(F.col("kind").isin("theme", "region")).select(F.col("kind").alias("facet"), "value").distinct()
     funders = (
         view.filter(F.col("funder") != "").groupBy(fold(F.col("funder")).alias("_k"))

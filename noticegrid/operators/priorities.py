@@ -74,6 +74,11 @@ MEASURES = {
 }
 
 
+def members(notices: DataFrame, groups: list[dict]) -> DataFrame:
+    """The notices of any group."""
+    return notices.filter(reduce(Column.__or__, (group_predicate(g) for g in groups)))
+
+
 def directory(view: DataFrame, groups: list[dict], measures: dict | None = None) -> DataFrame:
     """Counts of every group in one scan.
 
@@ -82,8 +87,7 @@ def directory(view: DataFrame, groups: list[dict], measures: dict | None = None)
     """
     measures = measures or MEASURES
     # Reaches the notice scan through the view's outer joins, so other notices are not joined at all.
-    member = reduce(Column.__or__, (group_predicate(g) for g in groups))
-    flags = view.filter(member).select(
+    flags = members(view, groups).select(
         F.explode(membership_array(groups)).alias("priority_id"),
         *(F.coalesce(cond(), F.lit(False)).alias(name) for name, cond in measures.items()),
     )

@@ -346,6 +346,21 @@ def _(r):
     return rows.groupBy("page_id", "target_url").agg(F.count(F.lit(1)).alias("links"))
 
 
+@query("b36_malformed_links", """
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'malformed_source_url:http://[bad/form.pdf' WHEN 2 THEN 'malformed_source_url:http://[bad/,malformed_source_url:http://]x/' ELSE '' END AS flags,
+  CASE page_id % 4 WHEN 0 THEN 'partial_text' ELSE 'extracted' END AS status, CASE page_id % 4 WHEN 1 THEN 'https://ok.example.org:99999/a' WHEN 3 THEN 'http://[2001:db8::1]/a.pdf' ELSE '' END AS targets FROM pages""")
+def _(r):
+    k = F.col("page_id") % 4
+    body = F.when(k == 0, '<a href="http://[bad/form.pdf">Form</a>').when(k == 1, '<a href="https://ok.example.org:99999/a">Port</a>').when(
+        k == 2, '<a href="http://[bad/">Us</a><img src="http://[bad/logo.png" alt="Logo"><a href="http://]x/">Them</a>').otherwise('<a href="http://[2001:db8::1]/a.pdf">Six</a>')
+    page = F.concat(F.lit("<html><body><main><p>"), "page_id", F.lit("</p>"), body, F.lit("</main></body></html>"))
+    parts = r.pages.select("page_id", "url", html.document_part(page).alias("p")).select(
+        "page_id", "url", "p.links", F.lit("extracted").alias("status"), F.array().cast("array<string>").alias("flags"))
+    marked = links.marked_malformed(parts).select("page_id", F.array_join("flags", ",").alias("flags"), "status")
+    found = links.policy_links(parts, "links", "url", "page_id").groupBy("page_id").agg(F.min("target_url").alias("targets"))
+    return marked.join(found, "page_id", "left").select("page_id", "flags", "status", F.coalesce("targets", F.lit("")).alias("targets"))
+
+
 @query("b37_json_lines", """
 SELECT event_id, 'k: ' || json_extract_string(props, '$.k') || chr(10) || 'tags[0]: ' || event_type || chr(10) || 'more.deep: true' AS text FROM events""")
 def _(r):

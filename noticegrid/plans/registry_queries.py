@@ -374,8 +374,10 @@ SELECT {i} AS priority_id, '{GROUP_NAMES[i]}' AS priority_name, COUNT(*) AS reco
 
 @query("e03_priority_directory", _DIRECTORY_SQL)
 def _(r):
-    coverage = registry.document_coverage(r.fx_opportunity_documents, r.fx_documents)
-    return priorities.directory(registry.with_coverage(base(r), coverage), GROUPS)
+    wanted = priorities.members(base(r), GROUPS)
+    # Documents of other notices are not counted.
+    coverage = registry.coverage_of(wanted, r.fx_opportunity_documents, r.fx_documents)
+    return priorities.directory(registry.with_coverage(wanted, coverage), GROUPS)
 
 
 @query("e03_priority_source_issues", f"""
