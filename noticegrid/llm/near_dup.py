@@ -31,7 +31,7 @@ from noticegrid.llm.components import components
 from noticegrid.session import materialise
 
 COORDINATES = 32
-BLOCK = 250  # classes of one side of a block pair
+BLOCK = 600  # classes of one side of a block pair
 COLUMNS = 4096  # shingles that a block counts in common at once
 ID_CELLS = 1 << 20  # at most so many rows in the broadcast that spares texts a shuffle
 HITS = "aggregate(zip_with(sig_a, sig_b, (x, y) -> if(x = y, 1, 0)), 0, (s, x) -> s + x)"

@@ -19,8 +19,8 @@ def test_two_components_in_a_bucket_of_twenty_thousand_classes(spark, labels_of)
     posted = spark.range(20_000).selectExpr("7L as token", "id as cid", "1L as central")
     labels = labels_of([(0, 0)]).unionByName(spark.range(1, 19_999).selectExpr("id", "0L as component"))
     rows = near_dup.dealt(posted, labels, near_dup.BLOCK)
-    # Every class of the large component once, the other class once for each of its 80 blocks and once for its own.
-    assert rows.count() == 19_999 + 80 + 1
+    # Every class of the large component once, the other class once for each of its 34 blocks and once for its own.
+    assert rows.count() == 19_999 + 34 + 1
     assert near_dup.dealt(posted.filter("cid < 19999"), labels, near_dup.BLOCK).count() == 0
 
 
