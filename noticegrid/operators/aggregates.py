@@ -210,6 +210,75 @@ def one_row(*counters: DataFrame) -> DataFrame:
     return stacked.agg(*(F.max(c).alias(c) for c in stacked.columns))
 
 
+def _section_of(sets: dict[str, list[str]], columns: list[str]) -> Column:
+    """The section that a row's grouping id stands for; a column outside a set has its bit on, the first column the highest."""
+    bits = {c: 1 << (len(columns) - 1 - i) for i, c in enumerate(columns)}
+    named = {name: sum(b for c, b in bits.items() if c not in keys) for name, keys in sets.items()}
+    found = None
+    for name, number in named.items():
+        found = F.when(F.col("_gid") == number, name) if found is None else found.when(F.col("_gid") == number, name)
+    return found
+
+
+def _grouped(rows: DataFrame, sets: dict[str, list[str]], **measures) -> DataFrame:
+    """All sections of one relation in one scan: ``section``, the grouping columns, ``n`` and further measures."""
+    columns = list(dict.fromkeys(c for keys in sets.values() for c in keys))
+    grouped = rows.groupingSets([[F.col(c) for c in keys] for keys in sets.values()], *columns).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("_gid"), *(m.alias(name) for name, m in measures.items()))
+    return grouped.withColumn("section", _section_of(sets, columns))
+
+
+def notice_sections(notices: DataFrame) -> DataFrame:
+    """``section, key, n`` over notices: by source, status, kind and content state, all, and distinct funders."""
+    rows = notices.select("source_id", "effective_status", "record_kind", "content_state", F.nullif(fold(F.col("funder")), F.lit("")).alias("_funder"))
+    sets = {"by_source": ["source_id"], "by_status": ["effective_status"], "by_record_kind": ["record_kind"],
+            "call_coverage": ["content_state"], "funder_names": ["_funder"], "opportunities": []}
+    names = F.col("section") == "funder_names"
+    key = F.coalesce(*(F.col(c) for c in ("source_id", "effective_status", "record_kind", "content_state")), F.lit("all"))
+    n = F.when(names, F.col("_funder").isNotNull().cast("bigint")).otherwise(F.col("n"))
+    return _grouped(rows, sets).groupBy("section", F.when(names, "all").otherwise(key).alias("key")).agg(F.sum(n).alias("n"))
+
+
+def document_sections(documents: DataFrame) -> DataFrame:
+    """``section, key, n`` over documents: states, parsers, extraction, formats of originals, and error classes."""
+    fetched, error = F.col("state") == "fetched", F.col("error")
+    gaps = {
+        "attachment_urls_returning_html": error == fixed.DOWNLOAD_RETURNED_HTML,
+        "details_redirecting_to_front_pages": error == fixed.REDIRECTED_TO_FRONT,
+        "rate_limit_deferred_documents": (F.col("state") == "pending") & error.startswith("RATE_LIMIT|"),
+    }
+    sets = {"documents": ["state"], "documents_by_parser_state": ["parser", "state"], "text_extraction": ["extraction_status"], "formats": ["media_type"], "gaps": []}
+    grouped = _grouped(
+        documents, sets, **{k: count_when(c) for k, c in gaps.items()}, originals=count_when(fetched),
+        original_bytes=F.sum(F.when(fetched, F.col("byte_count"))), pages=F.sum(F.when(fetched, F.col("page_count"))))
+
+    def row(section, key, n):
+        return F.struct(F.lit(section).alias("section") if isinstance(section, str) else section.alias("section"), key.alias("key"), n.cast("bigint").alias("n"))
+
+    counts = F.array(row(F.col("section"), F.coalesce(F.concat_ws("/", "parser", "state", "extraction_status")), F.col("n")))
+    formats = F.when(F.col("originals") > 0, F.array(*(row(f"document_formats.{m}", F.col("media_type"), F.col(m)) for m in ("originals", "original_bytes", "pages"))))
+    missing = F.array(*(row("source_content_gaps", F.lit(g), F.col(g)) for g in gaps))
+    rows = F.when(F.col("section") == "formats", formats).when(F.col("section") == "gaps", missing).otherwise(counts)
+    return grouped.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def source_sections(sources: DataFrame) -> DataFrame:
+    """``section, key, n`` over sources: how many, how many structured, and those whose last run did not succeed."""
+    counted = sources.agg(F.count(F.lit(1)).alias("all"), count_when(F.col("collection_level") == "structured").alias("structured")).select(
+        F.explode(F.array(
+            F.struct(F.lit("source_count").alias("section"), F.lit("all").alias("key"), F.col("all").alias("n")),
+            F.struct(F.lit("structured_sources").alias("section"), F.lit("all").alias("key"), F.col("structured").alias("n")))).alias("r")).select("r.*")
+    issues = sources.filter(F.col("enabled") & (F.col("health") != "success")).select(
+        F.lit("source_issues").alias("section"), F.col("id").alias("key"), F.lit(1).cast("bigint").alias("n"))
+    return counted.unionByName(issues)
+
+
+def counters(row: DataFrame, section: str) -> DataFrame:
+    """The columns of a one-row table as ``section, key, n``."""
+    pairs = F.array(*(F.struct(F.lit(section).alias("section"), F.lit(c).alias("key"), F.col(c).cast("bigint").alias("n")) for c in row.columns))
+    return row.select(F.explode(pairs).alias("r")).select("r.*")
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     parts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n") for name, t in tables.items()]
     result = parts[0]

@@ -55,6 +55,20 @@ def document_version(documents: DataFrame, versions: DataFrame, blobs: DataFrame
     return chosen.join(blobs, "sha256").join(counted, "id").join(edges, ["id", "sha256"], "left").fillna(0, ["links", "followed"])
 
 
+def version_history(documents: DataFrame, versions: DataFrame, document) -> DataFrame:
+    """All versions of one document with their sightings, and which of them is current."""
+    current = documents.filter(F.col("id") == document).select(F.col("id").alias("document_id"), "current_sha256")
+    return versions.filter(F.col("document_id") == document).join(current, "document_id").withColumn(
+        "is_current", F.col("sha256").eqNullSafe(F.col("current_sha256"))).drop("current_sha256")
+
+
+def version_links(documents: DataFrame, versions: DataFrame, links: DataFrame, document, sha256=None) -> DataFrame:
+    """Link rows of one version of one document, the current one unless ``sha256`` names another of its history."""
+    chosen = version_history(documents, versions, document).filter(F.col("sha256") == sha256 if sha256 else F.col("is_current"))
+    own = links.filter(F.col("document_id") == document)
+    return own.join(chosen.select("document_id", F.col("sha256").alias("source_sha256")), ["document_id", "source_sha256"], "left_semi")
+
+
 def current_links(links: DataFrame, documents: DataFrame) -> DataFrame:
     """Followed links of the documents' current versions only."""
     current = documents.select(F.col("id").alias("document_id"), F.col("current_sha256").alias("source_sha256"))

@@ -38,11 +38,14 @@ def source_items(items: DataFrame, resolved: DataFrame, as_of: str) -> DataFrame
 
 
 def owned(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """One record per notice: its owner's, else that of the first source by name, which a new notice gets."""
+    """One record per notice: its owner's, else that of the first source by name, which a new notice gets.
+
+    Of several records of one source that with the least hash, so partitions never decide.
+    """
     owner = current.select("id", F.col("source_id").alias("_owner"))
     rest = [c for c in incoming.columns if c != "id"]
     foreign = ~F.coalesce(F.col("source_id") == F.col("_owner"), F.lit(False))
-    ranked = incoming.join(owner, "id", "left").withColumn("_rank", F.struct(foreign, "source_id"))
+    ranked = incoming.join(owner, "id", "left").withColumn("_rank", F.struct(foreign, "source_id", "content_hash"))
     return ranked.groupBy("id").agg(F.min_by(F.struct(*rest), "_rank").alias("_r")).select("id", "_r.*")
 
 
@@ -53,14 +56,15 @@ def last_per_notice(incoming: DataFrame, order: str) -> DataFrame:
         "id", "source_id", "_r.*")
 
 
-def upsert(current: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
+def upsert(current: DataFrame, incoming: DataFrame, as_of: str, order: str | None = None) -> DataFrame:
     """New snapshot, with ``outcome`` created, updated, seen or kept.
 
-    ``incoming``: one row per notice and source with ``content_hash`` and ``raw_changed``, plus any
-    of the snapshot's columns. Only the owning source changes a notice; another source with the same
+    ``incoming``: rows of notices and sources with ``content_hash`` and ``raw_changed``, plus any
+    of the snapshot's columns. Of several rows of one notice and source the last by ``order`` counts
+    (``collection`` takes them one after the other instead). Only the owning source changes a notice; another source with the same
     address leaves it as it is. One full outer join; the caller writes it to a new path and swaps.
     """
-    incoming = owned(current, incoming)
+    incoming = owned(current, incoming if order is None else last_per_notice(incoming, order))
     stamp = F.lit(as_of).cast("timestamp_ntz")
     fields = [c for c in current.columns if c in incoming.columns and c != "id"]
     state = [c for c in current.columns if c not in fields and c != "id"]

@@ -144,14 +144,37 @@ SELECT d.id, d.current_sha256 AS sha256, b.copies, (SELECT COUNT(*) FROM fx_link
   (SELECT COUNT(*) FROM fx_links l, v WHERE l.document_id = v.id AND l.role <> 'attachment' AND l.follow) AS followed, CAST(1 AS BIGINT) AS versions
 FROM ox_current_docs d JOIN v ON v.id = d.id JOIN fx_blobs b ON b.sha256 = d.current_sha256""")
 def _(r):
+    current, versions, linked, key = versioned(r)
+    return lookups.document_version(current, versions, r.fx_blobs, linked, key).select(
+        "id", "sha256", "copies", "links", "followed", "versions")
+
+
+def versioned(r):
+    """Documents, their versions, links by version, and the first document that has a content."""
     current = current_docs(r)
-    key = current.filter("current_sha256 IS NOT NULL").agg(F.min("id").alias("k")).first().k
-    versions = current.filter("current_sha256 IS NOT NULL").select(F.col("id").alias("document_id"), F.col("current_sha256").alias("sha256"))
+    held = current.filter("current_sha256 IS NOT NULL")
+    versions = held.select(F.col("id").alias("document_id"), F.col("current_sha256").alias("sha256"))
     # Attachments were linked by an earlier version only.
-    links = r.fx_links.join(versions, "document_id").withColumn(
+    linked = r.fx_links.join(versions, "document_id").withColumn(
         "source_sha256", F.when(F.col("role") == "attachment", "earlier").otherwise(F.col("sha256"))).drop("sha256")
-    return lookups.document_version(current, versions, r.fx_blobs, links, key).select(
-        "id", "sha256", "copies", "links", "followed", "versions")
+    return current, versions, linked, held.agg(F.min("id")).scalar()
+
+
+@query("d18_version_history", """
+WITH v AS (SELECT MIN(id) AS id FROM ox_current_docs WHERE current_sha256 IS NOT NULL)
+SELECT d.id AS document_id, d.current_sha256 AS sha256, true AS is_current FROM ox_current_docs d JOIN v ON v.id = d.id UNION ALL SELECT id, 'earlier', false FROM v""")
+def _(r):
+    current, versions, _linked, key = versioned(r)
+    earlier = versions.select("document_id", F.lit("earlier").alias("sha256"))
+    return lookups.version_history(current, versions.unionByName(earlier), key).select("document_id", "sha256", "is_current")
+
+
+@query("d18_version_links", """
+WITH v AS (SELECT MIN(id) AS id FROM ox_current_docs WHERE current_sha256 IS NOT NULL)
+SELECT l.document_id, l.target_id, l.role, l.follow FROM fx_links l JOIN v ON v.id = l.document_id WHERE l.role <> 'attachment'""")
+def _(r):
+    current, versions, linked, key = versioned(r)
+    return lookups.version_links(current, versions, linked, key).select("document_id", "target_id", "role", "follow")
 
 
 # --- ordered groups -------------------------------------------------------------------------

@@ -449,10 +449,24 @@ SELECT (SELECT COUNT(DISTINCT d.id) FROM fx_documents d JOIN fx_opportunity_docu
     WHERE od.active AND od.limitation IS NULL AND d.state = 'pending' AND o.effective_status NOT IN ('closed', 'cancelled')) AS current_or_unknown_pending_documents,
   COUNT(*) FILTER (WHERE error = 'DOCUMENT_DOWNLOAD_RETURNED_HTML') AS attachment_urls_returning_html,
   COUNT(*) FILTER (WHERE error = 'DETAIL_REDIRECTED_TO_FRONT_PAGE') AS details_redirecting_to_front_pages,
-  COUNT(*) FILTER (WHERE state = 'pending' AND error LIKE 'RATE_LIMIT|%') AS rate_limit_deferred_documents FROM fx_documents""")
+  COUNT(*) FILTER (WHERE state = 'pending' AND error LIKE 'RATE_LIMIT|%') AS rate_limit_deferred_documents,
+  (SELECT COUNT(*) FROM ox_flagged WHERE parser = 'eu_source' AND first_doc_id % 3 = 0) AS eu_entries_without_published_body,
+  (SELECT COUNT(*) FROM ox_flagged WHERE parser = 'eu_faq_source' AND first_doc_id % 4 = 1) AS faq_entries_without_published_question_or_answer FROM fx_documents""")
 def _(r):
     pending = agg.pending_of_current(base(r), r.fx_opportunity_documents, r.fx_documents)
-    return agg.one_row(agg.content_gaps(r.fx_documents), pending)
+    return agg.one_row(agg.content_gaps(r.fx_documents), pending, agg.flag_gaps(*flagged_contents(r)))
+
+
+SHARED["ox_flagged"] = """
+SELECT CASE WHEN c.id % 2 = 0 THEN 'eu_source' ELSE 'eu_faq_source' END AS parser, b.first_doc_id FROM fx_contents c JOIN fx_blobs b ON b.sha256 = c.current_sha256"""
+
+
+def flagged_contents(r):
+    """Documents of two parsers, and contents of which a third and a fourth carry the flags of missing bodies."""
+    documents = r.fx_contents.withColumn("parser", F.when(F.col("id") % 2 == 0, "eu_source").otherwise("eu_faq_source"))
+    k = F.col("first_doc_id")
+    flags = F.array_compact(F.array(F.when(k % 3 == 0, fixed.TOPIC_BODY_MISSING), F.when(k % 4 == 1, fixed.FAQ_TEXT_MISSING)))
+    return documents, r.fx_blobs.withColumn("flags_json", F.to_json(flags))
 
 
 @query("e13_table_counts", " UNION ALL ".join(

@@ -9,7 +9,7 @@ from noticegrid.functions import record as rec
 from noticegrid.operators import aggregates as agg
 from noticegrid.operators import lookups, priorities, reconcile, registry
 from noticegrid.plans.registry import SHARED, query
-from noticegrid.plans.registry_queries import GROUPS, GROUP_SQL, base, view
+from noticegrid.plans.registry_queries import GROUPS, GROUP_SQL, base, flagged_contents, view
 from noticegrid.plans.views import AS_OF
 from noticegrid.session import shared_dir
 from noticegrid.sinks import export
@@ -455,18 +455,63 @@ def _(r):
     return r.spark.read.schema("opportunity_id bigint, priority_id int").json(path)
 
 
-@query("m08_delivery_metrics", """
+METRIC_TABLES = ("fx_sources", "fx_opportunities", "fx_documents", "fx_tags", "fx_changes", "fx_blobs")
+
+
+def delivery_sections(r):
+    """All sections of a delivery; each relation is scanned once for the counts that are its own."""
+    coverage = registry.document_coverage(r.fx_opportunity_documents, r.fx_documents)
+    notices = registry.with_coverage(base(r), coverage)
+    documents = r.fx_documents.withColumn("page_count", F.expr("byte_count div 500"))
+    faq_notices = r.fx_opportunity_documents.filter("active AND role = 'faq_keyword_match'").select("opportunity_id").distinct()
+    pending = agg.pending_of_current(base(r), r.fx_opportunity_documents, r.fx_documents)
+    raw = stored_items(r).agg(F.sum(F.json_array_length(F.get_json_object("raw_json", "$.documents"))).alias("all"))
+    tables = agg.table_counts({t: getattr(r, t) for t in METRIC_TABLES}).select(
+        F.lit("table_counts").alias("section"), F.col("table_name").alias("key"), "n")
+    return [
+        agg.notice_sections(notices), agg.document_sections(documents), agg.source_sections(agg.source_health(r.fx_sources, r.as_of)),
+        agg.counters(pending, "source_content_gaps"), agg.counters(agg.flag_gaps(*flagged_contents(r)), "source_content_gaps"),
+        agg.counters(faq_notices.agg(F.count(F.lit(1)).alias("all")), "opportunities_with_faq"), agg.counters(raw, "raw_documents"), tables,
+    ]
+
+
+SHARED["ox_metrics"] = f"""
 SELECT 'by_source' AS section, source_id AS key, COUNT(*) AS n FROM fx_opportunities GROUP BY source_id UNION ALL SELECT 'by_status', effective_status, COUNT(*) FROM ox_status GROUP BY effective_status
 UNION ALL SELECT 'by_record_kind', record_kind, COUNT(*) FROM fx_opportunities GROUP BY record_kind UNION ALL SELECT 'text_extraction', extraction_status, COUNT(*) FROM fx_documents GROUP BY extraction_status
-UNION ALL SELECT 'funder_names', 'all', COUNT(DISTINCT lower(funder)) FROM fx_opportunities WHERE funder <> ''""")
-def _(r):
-    def by(df, key):
-        return df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    notices = base(r)
-    funders = agg.funder_directory(notices).agg(F.count(F.lit(1)).alias("n")).select(F.lit("all").alias("key"), "n")
-    return export.delivery_metrics({
-        "by_source": by(notices, "source_id"), "by_status": by(notices, "effective_status"), "by_record_kind": by(notices, "record_kind"),
-        "text_extraction": by(r.fx_documents, "extraction_status"), "funder_names": funders})
+UNION ALL SELECT 'funder_names', 'all', COUNT(DISTINCT lower(funder)) FROM fx_opportunities WHERE funder <> '' UNION ALL SELECT 'opportunities', 'all', COUNT(*) FROM fx_opportunities
+UNION ALL SELECT 'call_coverage', content_state, COUNT(*) FROM ox_registry GROUP BY content_state UNION ALL SELECT 'documents', state, COUNT(*) FROM fx_documents GROUP BY state
+UNION ALL SELECT 'documents_by_parser_state', parser || '/' || state, COUNT(*) FROM fx_documents GROUP BY parser, state
+UNION ALL SELECT 'document_formats.originals', media_type, COUNT(*) FROM fx_documents WHERE state = 'fetched' GROUP BY media_type
+UNION ALL SELECT 'document_formats.original_bytes', media_type, SUM(byte_count) FROM fx_documents WHERE state = 'fetched' GROUP BY media_type
+UNION ALL SELECT 'document_formats.pages', media_type, SUM(byte_count // 500) FROM fx_documents WHERE state = 'fetched' GROUP BY media_type
+UNION ALL SELECT 'source_content_gaps', 'attachment_urls_returning_html', COUNT(*) FILTER (WHERE error = 'DOCUMENT_DOWNLOAD_RETURNED_HTML') FROM fx_documents
+UNION ALL SELECT 'source_content_gaps', 'details_redirecting_to_front_pages', COUNT(*) FILTER (WHERE error = 'DETAIL_REDIRECTED_TO_FRONT_PAGE') FROM fx_documents
+UNION ALL SELECT 'source_content_gaps', 'rate_limit_deferred_documents', COUNT(*) FILTER (WHERE state = 'pending' AND error LIKE 'RATE_LIMIT|%') FROM fx_documents
+UNION ALL SELECT 'source_content_gaps', 'current_or_unknown_pending_documents', COUNT(DISTINCT d.id) FROM fx_documents d JOIN fx_opportunity_documents od ON od.document_id = d.id
+  JOIN ox_status o ON o.id = od.opportunity_id WHERE od.active AND od.limitation IS NULL AND d.state = 'pending' AND o.effective_status NOT IN ('closed', 'cancelled')
+UNION ALL SELECT 'source_content_gaps', 'eu_entries_without_published_body', COUNT(*) FROM ox_flagged WHERE parser = 'eu_source' AND first_doc_id % 3 = 0
+UNION ALL SELECT 'source_content_gaps', 'faq_entries_without_published_question_or_answer', COUNT(*) FROM ox_flagged WHERE parser = 'eu_faq_source' AND first_doc_id % 4 = 1
+UNION ALL SELECT 'source_count', 'all', COUNT(*) FROM fx_sources UNION ALL SELECT 'structured_sources', 'all', COUNT(*) FILTER (WHERE adapter NOT IN ('page_watch', 'manual')) FROM fx_sources
+UNION ALL SELECT 'source_issues', id, 1 FROM fx_sources WHERE enabled AND health <> 'success'
+UNION ALL SELECT 'opportunities_with_faq', 'all', COUNT(DISTINCT opportunity_id) FROM fx_opportunity_documents WHERE active AND role = 'faq_keyword_match'
+UNION ALL SELECT 'raw_documents', 'all', COUNT(*) FROM events
+""" + "".join(f"UNION ALL SELECT 'table_counts', '{t}', COUNT(*) FROM {t}\n" for t in METRIC_TABLES)
+
+
+@query("m08_delivery_metrics", "SELECT section, key, CAST(n AS BIGINT) AS n FROM ox_metrics")
+def _(r):
+    whole = delivery_sections(r)
+    rows = whole[0]
+    for more in whole[1:]:
+        rows = rows.unionByName(more)
+    return rows.select("section", "key", F.col("n").cast("bigint").alias("n"))
+
+
+@query("m08_metrics_json", f"""
+SELECT '{{"as_of_utc":"{AS_OF}",' || string_agg('"' || section || '":' || body, ',' ORDER BY section) || '}}' AS metrics_json FROM (
+  SELECT section, CASE WHEN MIN(key) = 'all' THEN CAST(MAX(n) AS BIGINT)::VARCHAR ELSE '{{' || string_agg('"' || key || '":' || CAST(n AS BIGINT)::VARCHAR, ',' ORDER BY key) || '}}' END AS body FROM ox_metrics GROUP BY section)""")
+def _(r):
+    return export.delivery_metrics(delivery_sections(r), r.as_of)
 
 
 @query("m09_transfer", """

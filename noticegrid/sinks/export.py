@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -205,10 +208,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
 
-def delivery_metrics(parts: dict[str, DataFrame]) -> DataFrame:
-    """Grouped counts of a delivery as one long table (section, key, n), small enough to print."""
-    result = None
-    for section, df in parts.items():
-        rows = df.select(F.lit(section).alias("section"), F.col("key").cast("string").alias("key"), F.col("n").cast("bigint").alias("n"))
-        result = rows if result is None else result.unionByName(rows)
-    return result
+def delivery_metrics(sections: list[DataFrame], as_of: str) -> DataFrame:
+    """One row ``metrics_json``: every section an object of counts; a section with the key ``all`` alone is one number."""
+    rows = reduce(lambda a, b: a.unionByName(b), sections)
+    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n"))))  # keys of one section: sources, states, formats
+    by_section = rows.groupBy("section").agg(F.to_json(pairs).alias("many"), F.max("n").alias("one"), (F.min("key") == "all").alias("single"))
+    body = F.when(F.col("single"), F.col("one").cast("string")).otherwise(F.col("many"))
+    line = F.concat(F.lit('"'), F.col("section"), F.lit('":'), body)
+    head = F.lit('{"as_of_utc":' + json.dumps(as_of) + ",")
+    return by_section.agg(F.concat(head, F.array_join(F.array_sort(F.collect_list(line)), ","), F.lit("}")).alias("metrics_json"))

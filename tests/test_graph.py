@@ -75,3 +75,53 @@ def test_removed_links_become_inactive_history(spark):
     assert rows[1].active and rows[1].is_root
     assert not rows[2].active and rows[2].first_seen_at == dt.datetime(2024, 1, 2)
     assert rows[5].active and rows[5].role == "attachment" and rows[5].first_seen_at == dt.datetime(2024, 2, 1)
+
+
+def whole_walk(roots, edges, max_depth):
+    """(depth, parent, role, position) of every document, by a queue in order of reach; ``edges``: document -> {target: roles}."""
+    out = {}
+    for notice in {n for n, _ in roots}:
+        start = sorted({d for n, d in roots if n == notice})
+        found = {d: (0, None, "call_content", i + 1) for i, d in enumerate(start)}
+        queue = deque(start)
+        while queue:
+            parent = queue.popleft()
+            depth = found[parent][0]
+            if depth > max_depth:
+                continue
+            for target in sorted(edges.get(parent, ())):
+                if target not in found:
+                    found[target] = (depth + 1, parent, min(edges[parent][target]), len(found) + 1)
+                    queue.append(target)
+        out.update({(notice, d): row for d, row in found.items()})
+    return out
+
+
+@pytest.mark.parametrize("seed,max_depth,cap", [(1, 4, None), (2, 2, None), (3, 3, 1000), (4, 0, None)])
+def test_parents_roles_and_positions(spark, seed, max_depth, cap):
+    rnd = random.Random(seed)
+    edges = {d: {rnd.randrange(80): [rnd.choice("abc") for _ in range(rnd.randrange(1, 3))] for _ in range(rnd.randrange(5))} for d in range(80)}
+    edges[7] = {t: ["hub"] for t in range(80)}
+    roots = {(n, rnd.randrange(80)) for n in range(15) for _ in range(rnd.randrange(1, 4))}
+    r = spark.createDataFrame(sorted(roots), "opportunity_id bigint, document_id bigint").repartition(5)
+    e = spark.createDataFrame([(d, t, role) for d, ts in edges.items() for t, roles in ts.items() for role in roles], "document_id bigint, target_id bigint, role string")
+    got = {(x.opportunity_id, x.document_id): (x.depth, x.parent_id, x.role, x.position) for x in graph.reach(r, e, max_depth, cap).collect()}
+    assert got == whole_walk(roots, edges, max_depth)
+
+
+def test_levels_before_are_not_shuffled_again(spark):
+    """The plan of a level has one exchange of its own rows by notice; the tables of earlier levels are read in their buckets."""
+    edges = [(d, (d * 7 + k) % 50, "reference") for d in range(50) for k in (1, 2)]
+    r = spark.createDataFrame([(n, n % 50) for n in range(200)], "opportunity_id bigint, document_id bigint")
+    e = spark.createDataFrame(edges, "document_id bigint, target_id bigint, role string")
+    spark.conf.set(graph.CO_PARTITION, "false")
+    try:
+        levels = graph._levels(r, e, 1)
+        keys = ["opportunity_id", "document_id"]
+        steps = graph._steps(levels[-1], e).repartition(8, "opportunity_id").groupBy(*keys).count()
+        for known in levels:
+            steps = steps.join(known.select(*keys).hint("merge"), keys, "left_anti")
+        plan = steps._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(graph.CO_PARTITION, "true")
+    assert plan.count("Exchange hashpartitioning(opportunity_id") == 1 and plan.count("Bucketed: true") >= len(levels)

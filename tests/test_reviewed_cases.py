@@ -169,3 +169,13 @@ def test_stages_can_be_cleared(spark):
     assert rows.count() == 5 and clear_stages(spark) == 1
     with pytest.raises(ValueError):
         dense_ids(spark.range(3), F.col("id"), 0, "n", hex_digits=6)
+
+
+def test_the_last_record_of_a_source_wins_whatever_the_partitions(spark):
+    current = spark.createDataFrame([], "id bigint, source_id string, title string, content_hash string, version int, updated_at timestamp_ntz")
+    rows = spark.createDataFrame(
+        [(1, "s", f"T{i}", f"h{9 - i}", False, i) for i in range(8)] + [(1, "t", "other", "h", False, 99)],
+        "id bigint, source_id string, title string, content_hash string, raw_changed boolean, place int")
+    for parts in (1, 3, 8):
+        assert [r.title for r in upsert.upsert(current, rows.repartition(parts, "place"), T1, "place").collect()] == ["T7"]
+        assert [r.title for r in upsert.upsert(current, rows.repartition(parts, "place"), T1).collect()] == ["T7"]  # the least hash
