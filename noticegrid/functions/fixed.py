@@ -191,3 +191,7 @@ EMPTY_PAGE = "Page without notices before the last one"
 
 # Prefix of the flag for an address that cannot be used.
 MALFORMED_URL = "malformed_source_url:"
+
+# Who writes change rows of the FAQ catalogue, and why an association goes.
+FAQ_ACTOR = "faq_collector"
+FAQ_UNLINKED = "FAQ keyword no longer published"

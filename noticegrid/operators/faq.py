@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticegrid.functions import fixed
+from noticegrid.functions.text import canonical_json
 from noticegrid.operators.reconcile import same_rows
 from noticegrid.session import dense_ids
 
@@ -36,6 +38,12 @@ def may_retire(manifest_topics: DataFrame, topics: DataFrame, warnings: int) ->
     return warnings == 0 and same_rows(a, b)
 
 
+def retired(bridge: DataFrame, notices: DataFrame, stale: DataFrame, manifest_topics: DataFrame, topics: DataFrame, warnings: int, last_id: int, as_of: str):
+    """``retire`` behind its gate: an incomplete refresh leaves bridge and notices alone and writes no log."""
+    allowed = may_retire(manifest_topics, topics, warnings)
+    return retire(bridge, notices, stale if allowed else stale.limit(0), last_id, as_of)
+
+
 def retire(bridge: DataFrame, notices: DataFrame, stale: DataFrame, last_id: int, as_of: str):
     """(bridge, version bumps, change rows) with the stale associations switched off; history stays."""
     keys = ["opportunity_id", "document_id"]
@@ -44,5 +52,7 @@ def retire(bridge: DataFrame, notices: DataFrame, stale: DataFrame, last_id: int
     new_bridge = marked.withColumn("is_root", F.col("is_root") & ~off).withColumn("active", F.col("active") & ~off).drop("_stale")
     bumps = stale.groupBy("opportunity_id").agg(F.count(F.lit(1)).alias("bumps"))
     log = stale.join(notices.select(F.col("id").alias("opportunity_id"), "source_id"), "opportunity_id").select(
-        *keys, "source_id", F.lit("document_unlinked").alias("kind"), F.lit(as_of).cast("timestamp_ntz").alias("created_at"))
+        *keys, "source_id", F.lit("document_unlinked").alias("kind"), F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
+        F.lit(fixed.FAQ_ACTOR).alias("actor"),
+        canonical_json({"document_id": F.col("document_id"), "reason": F.lit(fixed.FAQ_UNLINKED)}).alias("payload_json"))
     return new_bridge, bumps, dense_ids(log, F.concat_ws("/", *keys), last_id)

@@ -46,10 +46,10 @@ def listed_pages(rows):
         F.col("external_id").alias("hakuasianAsianumero"), text("title").alias("nimi"), text("description").alias("kuvaus"),
         F.col("start").alias("hakuAlkaaDateTimeUtc"), F.col("end").alias("hakuPaattyyDateTimeUtc"),
         F.struct(text("funder").alias("nimi")).alias("vastuullinenJarjestajaOrganisaatio"))
-    total = rows.agg(F.count(F.lit(1)).cast("int").alias("totalCount"))
+    total = rows.agg(F.count(F.lit(1)).cast("int")).scalar()
     grouped = rows.groupBy((F.floor(F.col("id") / 100) + F.col("_base")).cast("int").alias("pageNo")).agg(F.collect_list(row).alias("hakuilmoitukset"))
-    whole = F.struct("pageNo", "totalCount", F.lit(1).alias("pageCount"), "hakuilmoitukset")
-    return grouped.join(F.broadcast(total)).select(F.to_json(whole).alias("body"))  # the total is one row
+    whole = F.struct("pageNo", total.alias("totalCount"), F.lit(1).alias("pageCount"), "hakuilmoitukset")
+    return grouped.select(F.to_json(whole).alias("body"))
 
 
 def listing_of(r, bodies):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from noticegrid.functions import fixed
 from noticegrid.operators import aggregates as agg
 from noticegrid.operators import documents as docs
 from noticegrid.operators import faq, graph, lookups, ordered, quality, reconcile, registry, reviews, upsert
@@ -668,26 +669,38 @@ def _(r):
         "source_id", "seen", "changed", "rejected", F.coalesce("expected", F.lit(0)).alias("expected"), "status", "last_success_at")
 
 
+def retirement(r, manifest):
+    """Bridge, bumps and log after a refresh whose manifest names the topics ``manifest``."""
+    matches = faq.keyword_matches(faq_entries(r), r.fx_opportunities)
+    bridge = faq_bridge(r, matches)
+    return faq.retired(bridge, r.fx_opportunities, faq.stale_matches(bridge, matches), manifest, r.fx_opportunities, 0, 0, r.as_of)
+
+
+def manifest_topics(r):
+    """The topics as the snapshot's manifest spells them: in upper case, some twice."""
+    named = r.fx_opportunities.select(F.upper("external_id").alias("topic_id"))
+    return named.unionByName(r.fx_opportunities.filter("id % 3 = 0").select(F.col("external_id").alias("topic_id")))
+
+
 @query("j12_retired_associations", """
 SELECT b.opportunity_id, b.document_id, m.opportunity_id IS NOT NULL AS active FROM ox_faq_bridge b
 LEFT JOIN ox_faq_matches m ON m.opportunity_id = b.opportunity_id AND m.document_id = b.document_id""")
 def _(r):
-    matches = faq.keyword_matches(faq_entries(r), r.fx_opportunities)
-    bridge = faq_bridge(r, matches)
-    if not faq.may_retire(r.fx_opportunities.select(F.col("external_id").alias("topic_id")), r.fx_opportunities, 0):
-        return bridge.select("opportunity_id", "document_id", "active")
-    new_bridge, _bumps, _log = faq.retire(bridge, r.fx_opportunities, faq.stale_matches(bridge, matches), 0, r.as_of)
-    return new_bridge.select("opportunity_id", "document_id", "active")
+    return retirement(r, manifest_topics(r))[0].select("opportunity_id", "document_id", "active")
+
+
+@query("j12_gated_retirement", "SELECT opportunity_id, document_id, true AS active FROM ox_faq_bridge")
+def _(r):
+    # A manifest without every fifth topic is not a complete refresh, so nothing is retired.
+    return retirement(r, r.fx_opportunities.filter("id % 5 <> 0").select(F.col("external_id").alias("topic_id")))[0].select("opportunity_id", "document_id", "active")
 
 
-@query("j12_unlink_log", """
-SELECT ROW_NUMBER() OVER (ORDER BY sha256(CAST(b.opportunity_id AS VARCHAR) || '/' || CAST(b.document_id AS VARCHAR))) AS id, b.opportunity_id, b.document_id, 'document_unlinked' AS kind
+@query("j12_unlink_log", f"""
+SELECT ROW_NUMBER() OVER (ORDER BY sha256(CAST(b.opportunity_id AS VARCHAR) || '/' || CAST(b.document_id AS VARCHAR))) AS id, b.opportunity_id, b.document_id, 'document_unlinked' AS kind,
+  '{fixed.FAQ_ACTOR}' AS actor, '{{"document_id":' || b.document_id || ',"reason":"{fixed.FAQ_UNLINKED}"}}' AS payload_json
 FROM ox_faq_bridge b LEFT JOIN ox_faq_matches m ON m.opportunity_id = b.opportunity_id AND m.document_id = b.document_id WHERE m.opportunity_id IS NULL""")
 def _(r):
-    matches = faq.keyword_matches(faq_entries(r), r.fx_opportunities)
-    bridge = faq_bridge(r, matches)
-    _bridge, _bumps, log = faq.retire(bridge, r.fx_opportunities, faq.stale_matches(bridge, matches), 0, r.as_of)
-    return log.select("id", "opportunity_id", "document_id", "kind")
+    return retirement(r, manifest_topics(r))[2].select("id", "opportunity_id", "document_id", "kind", "actor", "payload_json")
 
 
 @query("j13_reextraction", """

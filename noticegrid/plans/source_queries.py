@@ -284,6 +284,14 @@ def _(r):
     return conf.faq_entries(read).select("reference", "url", "question", F.array_join("keywords", ",").alias("keywords"), "page_no")
 
 
+@query("a10_faq_manifest", "SELECT COUNT(*) AS entries, COUNT(*) AS expected, true AS complete FROM part")
+def _(r):
+    # The snapshot's manifest is landed beside its pages, which list some entries twice.
+    manifest = r.part.agg(F.count(F.lit(1)).alias("unique_entries")).select(F.to_json(F.struct("unique_entries")).alias("body"))
+    read = landed.read_json(r.spark, landed_lines(r, faq_pages(r)), landed.FAQ_PAGE)
+    return conf.manifest_check(conf.faq_entries(read), landed.read_json(r.spark, landed_lines(r, manifest), "unique_entries bigint"))
+
+
 @query("a11_synced_sources", """
 SELECT 'src-' || CAST(r_regionkey AS VARCHAR) AS id, CASE WHEN r_regionkey = 4 THEN r_name ELSE 'New ' || r_name END AS name,
   CASE WHEN r_regionkey = 4 THEN 'manual' ELSE 'catalogue' END AS adapter, CASE r_regionkey WHEN 1 THEN 'partial' WHEN 2 THEN 'failed' ELSE 'success' END AS health FROM region

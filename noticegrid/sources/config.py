@@ -76,9 +76,11 @@ def faq_entries(pages: DataFrame) -> DataFrame:
         F.min_by(F.struct(*rest), F.struct("page_no", "position")).alias("_e")).select("reference", "_e.*")
 
 
-def check_manifest(entries: DataFrame, expected: int) -> int:
-    """Number of unique entries, which must equal the manifest's."""
-    count = entries.count()
-    if count != expected:
-        raise ValueError("FAQ snapshot count does not match manifest")
-    return count
+def manifest_check(entries: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One row: unique ``entries``, what the snapshot's manifest (``unique_entries``) has, and whether they agree.
+
+    Only a complete snapshot may retire associations (``faq.may_retire``); a missing manifest is none.
+    """
+    expected = manifest.agg(F.max("unique_entries")).scalar()
+    return entries.agg(F.count(F.lit(1)).alias("entries")).withColumn("expected", expected).withColumn(
+        "complete", F.coalesce(F.col("entries") == F.col("expected"), F.lit(False)))

@@ -60,12 +60,6 @@ def read_search(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return documents, rejected
 
 
-def read_html(spark: SparkSession, path: str) -> DataFrame:
-    """One row per HTML file."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("html"))
-
-
 def fail_unless(condition: Column, value: Column, message: str) -> Column:
     """``value`` where the condition holds; otherwise the job stops with the message."""
     return F.when(condition, value).otherwise(F.raise_error(F.lit(message)))
