@@ -6,6 +6,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from noticegrid.llm import (
@@ -38,6 +39,23 @@ def test_merging_on_hard_texts(library):
         assert got == library.encode(text, add_special_tokens=False).ids, ascii(text)
 
 
+@pytest.mark.parametrize("limit", [40, 100_000])
+def test_held_symbols_on_hard_texts(library, limit):
+    """Texts cut in Arrow's buffers, with a cache that forgets all the time and one that never does."""
+    vocab = bpe.vocabulary(bpe.default_path())
+    known, rng = bpe.ChunkCache(vocab, limit), np.random.default_rng(5)
+    pool = [chr(c) for c in [*range(1, 0x300), *range(0x370, 0x600), 0x1C89, 0x2028, 0x3000, 0xAC00, 0x10400, 0x1F600, 0x105C0]]
+    pool += ["<|endoftext|>", "<|startoftext|>", "'s", "'LL", " ", " ", " ", "\n", "aaaa", "\u0301", "word", "Word,"]
+    wide = ["".join(rng.choice(pool, rng.integers(0, 40))) for _ in range(1500)]
+    plain = ["", " ", "\n\t", "a<|endoftext|>b", "aaaa" * 300, *("".join(rng.choice([c for c in pool if c.isascii()], rng.integers(0, 40))) for _ in range(1500))]
+    for texts in [wide[i:i + 100] for i in range(0, 1500, 100)] + [plain[i:i + 100] for i in range(0, 1500, 100)]:
+        chunks, place, starts = bpe.split(pa.array(texts))
+        ids, first, size = known.encode(chunks)
+        for text, a, b in zip(texts, starts[:-1], starts[1:]):
+            got = bpe.gathered(ids, first[place[a:b]], size[place[a:b]]).tolist()
+            assert got == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_packing(documents, texts, library):
     rows = packing.pack(documents).collect()
     ids = {d: np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4") for d, t in texts.items()}
