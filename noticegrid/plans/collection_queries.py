@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from noticegrid.functions import fixed
 from noticegrid.operators import collection
 from noticegrid.plans.registry import SHARED, query
-from noticegrid.plans.source_queries import CATALOGUE, embedded_pages, iso, landed_lines, posts, search_documents
+from noticegrid.plans.source_queries import CATALOGUE, PAGE_LINES, embedded_pages, iso, landed_lines, posts, search_documents
 from noticegrid.plans.views import AS_OF
 from noticegrid.session import shared_dir
 from noticegrid.sources import landed
@@ -53,7 +53,7 @@ def listed_pages(rows):
 
 
 def listing_of(r, bodies):
-    return landed.read_json(r.spark, landed_lines(r, bodies), landed.LISTING)
+    return landed.read_json(r.spark, landed_lines(r, bodies, lines=PAGE_LINES), landed.LISTING)
 
 
 def collected(r):
@@ -131,7 +131,7 @@ FROM fx_opportunities WHERE id % 41 = 0 OR id % 43 = 0""")
 def _(r):
     start = F.when(F.col("id") % 41 == 0, "1998-02-30").otherwise(F.col("opens_on").cast("string"))
     end = F.when(F.col("id") % 43 == 0, "1998-08-01T12:00:00").otherwise(F.col("deadline_on").cast("string"))
-    read = r.spark.read.text(landed_lines(r, embedded_pages(r, start, end), "html")).withColumnRenamed("value", "html")
+    read = r.spark.read.text(landed_lines(r, embedded_pages(r, start, end), "html", PAGE_LINES)).withColumnRenamed("value", "html")
     return rejected_rows(adapters.read_source("embedded_listing", read, {})).select("external_id", "reason")
 
 

@@ -18,10 +18,16 @@ from noticegrid.sources import landed, listing, pages, registry as adapters, sea
 from noticegrid.streaming import feed, watch
 
 
-def landed_lines(r, df, column="body"):
-    """Write derived response bodies as text files, one body per line, and give their folder."""
+PAGE_LINES = 500  # bodies in a file where each lists about 100 notices
+
+
+def landed_lines(r, df, column="body", lines=20_000):
+    """Write derived response bodies as text files, one body per line, and give their folder.
+
+    Compressed text cannot be split, so no file has more than ``lines`` bodies.
+    """
     path = shared_dir(r.spark, "landed")
-    df.select(column).write.text(path)
+    df.select(column).write.option("maxRecordsPerFile", lines).text(path, compression="gzip")
     return path
 
 
@@ -52,7 +58,7 @@ SELECT external_id, floor(id / 100)::INT AS page, title, description, funder,
   CASE WHEN deadline_at < TIMESTAMP '{AS_OF}' THEN 'closed' WHEN opens_on + 1 > DATE '{AS_OF[:10]}' THEN 'forthcoming' WHEN source_status = 'rolling' THEN 'rolling' ELSE 'open' END AS source_status
 FROM fx_opportunities""")
 def _(r):
-    read = landed.read_json(r.spark, landed_lines(r, listing_pages(r)), landed.LISTING)
+    read = landed.read_json(r.spark, landed_lines(r, listing_pages(r), lines=PAGE_LINES), landed.LISTING)
     rows = listing.paged_records(listing.paged_rows(read), r.as_of)
     first = F.try_element_at("deadlines", F.lit(1))
     return rows.select("external_id", "page", "title", "description", "funder", "opens_on", first["due_on"].alias("due_on"), first["due_at"].alias("due_at"), "source_status")
@@ -89,7 +95,7 @@ SELECT CAST(id AS VARCHAR) AS external_id, title, description || ' + 100% ääkk
   CASE id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'forthcoming' WHEN 2 THEN 'closed' ELSE 'unknown' END AS source_status,
   CAST(1000 + id % 900 + 100 + 0.5 AS DOUBLE) AS total_budget, opens_on, deadline_on AS due_on FROM fx_opportunities""")
 def _(r):
-    read = r.spark.read.text(landed_lines(r, embedded_pages(r), "html")).withColumnRenamed("value", "html")
+    read = r.spark.read.text(landed_lines(r, embedded_pages(r), "html", PAGE_LINES)).withColumnRenamed("value", "html")
     rows = listing.embedded_records(listing.embedded_rows(read))
     return rows.select(
         "external_id", "title", "description", "funder", "geographic_scope", F.element_at("tags", 1)["value"].alias("region"), "source_status",
@@ -280,7 +286,7 @@ def faq_pages(r):
 SELECT 'FAQ-' || CAST(p_partkey AS VARCHAR) AS reference, 'https://faq.example.org/' || CAST(p_partkey AS VARCHAR) AS url, p_name AS question,
   'TOPIC-' || CAST(p_partkey AS VARCHAR) || ',' || upper(p_brand) AS keywords, CAST(p_partkey // 50 AS INT) AS page_no FROM part""")
 def _(r):
-    read = landed.read_json(r.spark, landed_lines(r, faq_pages(r)), landed.FAQ_PAGE)
+    read = landed.read_json(r.spark, landed_lines(r, faq_pages(r), lines=PAGE_LINES), landed.FAQ_PAGE)
     return conf.faq_entries(read).select("reference", "url", "question", F.array_join("keywords", ",").alias("keywords"), "page_no")
 
 
@@ -288,7 +294,7 @@ def _(r):
 def _(r):
     # The snapshot's manifest is landed beside its pages, which list some entries twice.
     manifest = r.part.agg(F.count(F.lit(1)).alias("unique_entries")).select(F.to_json(F.struct("unique_entries")).alias("body"))
-    read = landed.read_json(r.spark, landed_lines(r, faq_pages(r)), landed.FAQ_PAGE)
+    read = landed.read_json(r.spark, landed_lines(r, faq_pages(r), lines=PAGE_LINES), landed.FAQ_PAGE)
     return conf.manifest_check(conf.faq_entries(read), landed.read_json(r.spark, landed_lines(r, manifest), "unique_entries bigint"))
 
 

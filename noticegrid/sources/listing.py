@@ -73,10 +73,14 @@ def embedded_data(pages: DataFrame) -> DataFrame:
 
 
 def embedded_rows(pages: DataFrame) -> DataFrame:
-    """One row per embedded notice, with the region and authority names of its own page looked up."""
+    """One row per embedded notice, with the region and authority names of its own page looked up.
+
+    No page is without notices here. The outer form says so to Spark, which else filters the pages on
+    it first and for that parses every payload again.
+    """
     return embedded_data(pages).select(
         *[c for c in pages.columns if c != "html"], F.col("data.koodisto").alias("codes"),
-        F.size("notices").alias("expected"), F.posexplode("notices").alias("position", "row"))
+        F.size("notices").alias("expected"), F.posexplode_outer("notices").alias("position", "row"))
 
 
 def checked_embedded(rows: DataFrame) -> DataFrame:

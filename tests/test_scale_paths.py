@@ -1,5 +1,6 @@
 """The paths taken for keys too large for one task give the same answers."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -93,3 +94,24 @@ def test_filters_and_columns_reach_the_scan(spark, inputs):
 def test_capped_rank_is_limited_before_the_shuffle(inputs):
     plan = ordered.capped_documents(inputs.fx_opportunity_documents, 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 1
+
+
+def test_landed_bodies_are_compressed_in_bounded_files(spark, inputs):
+    import glob
+
+    from noticegrid.plans.source_queries import landed_lines
+
+    bodies = spark.range(0, 50, 1, 1).select(F.repeat(F.lit("%22title%22"), F.lit(1000)).alias("body"))
+    path = landed_lines(inputs, bodies, lines=20)
+    files = glob.glob(path + "/*.txt.gz")
+    assert len(files) == 3  # 20, 20 and 10 bodies
+    assert sum(map(os.path.getsize, files)) < 50 * 11_000 / 20
+    assert sorted(r.value for r in spark.read.text(path).collect()) == ["%22title%22" * 1000] * 50
+
+
+def test_embedded_payload_is_parsed_once(spark):
+    from noticegrid.sources import listing
+
+    pages = spark.createDataFrame([("<html>",)], "html string")
+    plan = listing.embedded_rows(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
