@@ -53,15 +53,15 @@ def staged_batch(batch: Batch, source_id: str) -> tuple[DataFrame, dict]:
     found = problems(set(FIELDS))
     rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.size(found) > 0, F.array_join(found, "; "))))
     item = digest(F.concat(F.lit(source_id + ":"), F.col("external_id")))
-    rows = rows.withColumns({"payload_json": payload(), "raw_hash": digest(F.col("raw")), "item_id": item})
-    rows = rows.withColumn("content_hash", digest(F.col("payload_json")))
+    # The log writes the payload again from the fields; only its hash is staged.
+    rows = rows.withColumns({"raw_hash": digest(F.col("raw")), "item_id": item, "content_hash": digest(payload())})
     observed = Observation()
     rows = rows.observe(
         observed, F.count_if(F.col("listed") & F.col("reason").isNull()).alias("seen"),
         F.count_if(F.col("listed") & F.col("reason").isNotNull()).alias("rejected"), *(c.alias(n) for n, c in batch.measures.items()),
     )
-    kept = ["listed", "reason", "raw", "seq", "id", "item_id", "content_hash", "raw_hash", "payload_json", *FIELDS]
-    staged = materialise(rows.select(*kept)).filter("listed").drop("listed")
+    kept = ["listed", "reason", "raw", "seq", "id", "item_id", "content_hash", "raw_hash", *FIELDS]
+    staged = materialise(rows.select(*kept), "zstd").filter("listed").drop("listed")
     measured = dict(observed.get)
     return without_repeats(staged, measured) if batch.unique else (staged, measured)
 
@@ -92,14 +92,18 @@ def transitions(rows: DataFrame, current: DataFrame, items: DataFrame, source_id
     narrow = narrow.withColumn("id", F.coalesce("_known", "_first")).drop("_known", "_first")
     held = current.select("id", F.col("source_id").alias("_owner"), F.col("content_hash").alias("_content"))
     narrow = narrow.join(held, "id", "left")
-    by_notice = previous_in_group(narrow.withColumn("_is", F.struct("content_hash")), "id", ["seq"], "_is", "_content_before")
-    by_item = previous_in_group(by_notice.withColumn("_is", F.struct("raw_hash")), "item_id", ["seq"], "_is", "_raw_before")
+    by_notice = previous_in_group(narrow, "id", ["seq"], "content_hash", "_content_before")
+    # Each pass stages its rows, so the second one takes only what the first has not settled.
     new = F.col("_owner").isNull() & F.col("_content_before").isNull()
-    content = F.coalesce("_content_before.content_hash", "_content")
-    raw = F.coalesce("_raw_before.raw_hash", "_raw")
-    changed = new | (content != F.col("content_hash")) | F.coalesce(raw != F.col("raw_hash"), F.lit(False))
+    content = F.coalesce("_content_before", "_content")
     own = F.coalesce(F.col("_owner") == source_id, F.lit(True))
-    return by_item.select("id", "item_id", "seq", own.alias("own"), F.when(own & changed, F.when(new, "created").otherwise("updated")).alias("kind"))
+    settled = by_notice.select(
+        "id", "item_id", "seq", "raw_hash", "_raw", own.alias("own"), new.alias("_new"), (new | (content != F.col("content_hash"))).alias("_changed"))
+    by_item = previous_in_group(settled, "item_id", ["seq"], "raw_hash", "_raw_before")
+    raw = F.coalesce("_raw_before", "_raw")
+    changed = F.col("_changed") | F.coalesce(raw != F.col("raw_hash"), F.lit(False))
+    kind = F.when(F.col("own") & changed, F.when(F.col("_new"), "created").otherwise("updated"))
+    return by_item.select("id", "item_id", "seq", "own", kind.alias("kind"))
 
 
 def next_snapshot(current: DataFrame, rows: DataFrame, steps: DataFrame, source_id: str, as_of: str) -> DataFrame:
@@ -205,12 +209,14 @@ def apply_rows(store: Store, base: dict, rows: DataFrame, source_id: str, as_of:
     changed_ids = moved.select("id").distinct()
     for name, fresh in children(last).items():
         tables[name] = store.write(name, replace_children(store.table(name, base), fresh, changed_ids))
-    log = moved.join(rows.select("item_id", "seq", "payload_json", F.col("raw").alias("raw_json")), ["item_id", "seq"]).select(
-        F.col("id").alias("opportunity_id"), F.lit(source_id).alias("source_id"), "kind", F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
-        "payload_json", "raw_json", F.to_json("seq").alias("_seq"))
     highest = store.table("changes", base).agg(F.max("id").alias("id")).first().id or 0
-    numbered = dense_ids(log, F.concat_ws("/", "opportunity_id", "_seq"), highest).drop("_seq")
-    tables["changes"] = store.appended("changes", numbered, base)
+    # Numbered before the wide columns come in, so that they are written once.
+    steps_moved = moved.select(F.col("id").alias("opportunity_id"), "item_id", "seq", "kind")
+    numbered = dense_ids(steps_moved, F.concat_ws("/", "opportunity_id", F.to_json("seq")), highest)
+    log = numbered.join(rows.drop("id"), ["item_id", "seq"]).withColumns({"payload_json": payload(), "raw_json": F.col("raw")}).select(
+        "opportunity_id", F.lit(source_id).alias("source_id"), "kind", F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
+        "payload_json", "raw_json", "id")
+    tables["changes"] = store.appended("changes", log, base)
     return tables, moved.count()
 
 

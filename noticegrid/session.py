@@ -103,11 +103,11 @@ def clear_stages(spark: SparkSession) -> int:
     return count
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Cut lineage through a Parquet table in the shared folder, so it survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, "stage")
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -134,7 +134,7 @@ def previous_in_group(df: DataFrame, key: str, order: list[str], value: str, out
     """
     parts = partitions or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranged = materialise(
-        df.repartitionByRange(parts, key, *order).withColumn("_range", F.spark_partition_id())
+        df.repartitionByRange(parts, key, *order).withColumn("_range", F.spark_partition_id()), "zstd"
     )
     last = (
         ranged.groupBy(key, "_range")
@@ -161,7 +161,7 @@ def dense_ids(df: DataFrame, key: Column, start: int, out: str = "id", hex_digit
     """
     if not 1 <= hex_digits <= 4:
         raise ValueError("hex_digits must be from 1 to 4")
-    hashed = materialise(df).withColumn("_h", F.sha2(key.cast("string"), 256)).withColumn("_b", F.substring("_h", 1, hex_digits))
+    hashed = materialise(df, "zstd").withColumn("_h", F.sha2(key.cast("string"), 256)).withColumn("_b", F.substring("_h", 1, hex_digits))
     counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     # At most 16**hex_digits rows: one window task and one broadcast of proven size.
     offsets = counts.select(

@@ -55,7 +55,7 @@ class Store:
     def write(self, name: str, rows: DataFrame) -> dict:
         """Put rows into a folder of their own; no reader sees them before ``commit``."""
         path = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
-        rows.write.mode("errorifexists").parquet(path)
+        rows.write.mode("errorifexists").parquet(path, compression="zstd")
         return {"schema": rows.schema.jsonValue(), "paths": [path]}
 
     def appended(self, name: str, rows: DataFrame, manifest: dict) -> dict:

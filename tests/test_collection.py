@@ -149,3 +149,20 @@ def test_writers_from_one_version_conflict_and_long_tables_are_merged(spark, sto
     assert len(store.manifest()["tables"]["runs"]["paths"]) == 2
     wide = {**base, "tables": {**base["tables"], "runs": {**more, "paths": more["paths"] * (SEGMENTS // 2)}}}
     assert len(store.appended("runs", store.table("runs", base), wide)["paths"]) == 1
+
+
+def test_wide_columns_are_staged_once(spark, store):
+    import glob
+    import os
+
+    before = len(spark.sparkContext.__dict__.get("_noticegrid_stages", []))
+    run(store, spark, "r1", [row("a"), row("b"), row("a", title="Other")])
+    folders = [p for p in spark.sparkContext._noticegrid_stages[before:] if "/stage/" in p and os.path.isdir(p)]
+    wide = [p for p in folders if {"raw", "raw_json", "payload_json"} & set(spark.read.parquet(p).columns)]
+    assert len(wide) == 1 and "payload_json" not in spark.read.parquet(wide[0]).columns
+    assert glob.glob(wide[0] + "/*.zstd.parquet")
+    # The payload that the log writes from the staged fields is the one that was hashed.
+    log = store.table("changes").select("id", F.col("opportunity_id"), F.sha2("payload_json", 256).alias("h"))
+    held = store.table("opportunities").select(F.col("id").alias("opportunity_id"), "content_hash")
+    assert {r.h == r.content_hash for r in log.join(held, "opportunity_id").collect()} == {True}
+    assert sorted(r.id for r in log.collect()) == [1, 2]
