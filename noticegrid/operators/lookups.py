@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticegrid.operators.registry import with_contents
+
 
 def code_labels(rows: DataFrame, codes: DataFrame, code: str, label: str, out: str) -> DataFrame:
     """Label of a code, or the code itself where the list has none."""
@@ -16,11 +18,9 @@ def code_labels(rows: DataFrame, codes: DataFrame, code: str, label: str, out: s
 def notice_document_export(notices: DataFrame, bridge: DataFrame, documents: DataFrame, blobs: DataFrame) -> DataFrame:
     """Notices with their active documents and contents; notices without documents stay."""
     active = bridge.filter("active").select("opportunity_id", "document_id", "depth", "role", "limitation")
-    docs = documents.withColumnRenamed("id", "document_id")
-    return (
-        notices.select(F.col("id").alias("opportunity_id"), "title")
-        .join(active, "opportunity_id", "left").join(docs, "document_id", "left")
-        .join(blobs.withColumnRenamed("sha256", "current_sha256"), "current_sha256", "left"))
+    docs = with_contents(documents.withColumnRenamed("id", "document_id"), blobs.withColumnRenamed("sha256", "current_sha256"))
+    # Notices come last: those without documents have no document to look up.
+    return notices.select(F.col("id").alias("opportunity_id"), "title").join(active.join(docs, "document_id", "left"), "opportunity_id", "left")
 
 
 def tags_on_notices(notices: DataFrame, tags: DataFrame) -> DataFrame:
