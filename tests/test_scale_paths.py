@@ -115,3 +115,35 @@ def test_embedded_payload_is_parsed_once(spark):
     pages = spark.createDataFrame([("<html>",)], "html string")
     plan = listing.embedded_rows(pages)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_views_do_not_shuffle_orders_by_a_remainder(spark, data):
+    from noticegrid.plans.views import Inputs
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        for name in ("fx_opportunities", "fx_tags"):
+            plan = getattr(Inputs(spark, data), name)._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "hashpartitioning((o_orderkey" not in plan
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_documents_without_content_meet_no_content_join(spark):
+    from noticegrid.operators import lookups, registry
+
+    documents = spark.createDataFrame([(1, "a", "u1"), (2, None, "u2"), (3, None, "u3"), (4, "x", "u4")], "id bigint, current_sha256 string, url string")
+    blobs = spark.createDataFrame([("a", 5), ("b", 1)], "sha256 string, copies bigint")
+    bridge = spark.createDataFrame(
+        [(7, 1, True), (7, 2, True), (8, 3, True), (8, 4, False)], "opportunity_id bigint, document_id bigint, active boolean").selectExpr("*", "1 AS depth", "'r' AS role", "null AS limitation")
+    notices = spark.createDataFrame([(7, "t"), (8, "t"), (9, "t")], "id bigint, title string")
+    rows = lookups.notice_document_export(notices, bridge, documents, blobs)
+    got = rows.select("opportunity_id", "document_id", "url", "current_sha256", "copies").collect()
+    assert {tuple(r) for r in got} == {(7, 1, "u1", "a", 5), (7, 2, "u2", None, None), (8, 3, "u3", None, None), (9, None, None, None, None)}
+    detail = registry.document_detail(bridge, documents, blobs)
+    assert {(r.document_id, r.copies) for r in detail.collect()} == {(1, 5), (2, None), (3, None), (4, None)}
+    # Contents are joined with the documents that have one, not with the bridge.
+    for df in (rows, detail):
+        assert "isnotnull(current_sha256" in df._jdf.queryExecution().optimizedPlan().toString()
