@@ -157,12 +157,15 @@ def dense_ids(df: DataFrame, key: Column, start: int, out: str = "id", hex_digit
 
     ``key`` must be unique. Rows fall into 16**hex_digits even buckets by hash prefix, 65,536 at
     most; the bucket counts (a table of that fixed size) give each bucket its offset. The rows are
-    staged, so that their plan runs once for the counts and the numbers.
+    shuffled once, with the hash as bytes, and staged with their rank and without it.
     """
     if not 1 <= hex_digits <= 4:
         raise ValueError("hex_digits must be from 1 to 4")
-    hashed = materialise(df, "zstd").withColumn("_h", F.sha2(key.cast("string"), 256)).withColumn("_b", F.substring("_h", 1, hex_digits))
-    counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    digest = F.sha2(key.cast("string"), 256)
+    hashed = df.withColumns({"_h": F.unhex(digest), "_b": F.conv(F.substring(digest, 1, hex_digits), 16, 10).cast("int")})
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h"))
+    ranked = materialise(hashed.withColumn("_rn", rank).drop("_h"), "zstd")
+    counts = ranked.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     # At most 16**hex_digits rows: one window task and one broadcast of proven size.
     offsets = counts.select(
         "_b",
@@ -171,10 +174,8 @@ def dense_ids(df: DataFrame, key: Column, start: int, out: str = "id", hex_digit
             F.lit(0),
         ).alias("_off"),
     )
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h"))
     return (
-        hashed.withColumn("_rn", rank)
-        .join(F.broadcast(offsets), "_b")
+        ranked.join(F.broadcast(offsets), "_b")
         .withColumn(out, (F.lit(start) + F.col("_off") + F.col("_rn")).cast("bigint"))
-        .drop("_h", "_b", "_rn", "_off")
+        .drop("_b", "_rn", "_off")
     )
