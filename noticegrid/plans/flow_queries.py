@@ -577,7 +577,7 @@ SELECT o.id, CAST(o.version + COALESCE(b.n, 0) AS INT) AS version, CASE WHEN b.n
   SELECT opportunity_id, COUNT(*) AS n FROM ox_reached GROUP BY opportunity_id) b ON b.opportunity_id = o.id""")
 def _(r):
     found, steps = flow(r)
-    bumps, _log = docs.fan_out(found, r.fx_opportunities, r.fx_opportunity_documents, 0, r.as_of, current_docs(r), steps)
+    bumps = docs.notice_bumps(docs.reached_notices(found, r.fx_opportunity_documents, current_docs(r), steps))
     return docs.bumped(r.fx_opportunities, bumps, r.as_of).select("id", "version", "updated_at")
 
 
