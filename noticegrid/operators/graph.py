@@ -49,10 +49,11 @@ def reach(roots: DataFrame, links: DataFrame, max_depth: int = 4, max_documents:
     placed = materialise(_placed_roots(roots, links, max_documents))
     full = placed.filter(F.col("position") > max_documents).select("opportunity_id").distinct()
     start = placed.join(full, "opportunity_id", "left_anti")
+    parts = _partitions(placed, max_documents)
     levels, frontier = [placed, _markers_of_full(placed.join(full, "opportunity_id", "left_semi"), links)], start
     seen = [start]
     for depth in range(1, max_depth + 2):
-        level = materialise(_next_level(frontier, links, _union(seen), depth, max_depth, max_documents))
+        level = materialise(_next_level(frontier, links, _union(seen), depth, max_depth, max_documents, parts))
         if not level.head(1):
             break
         levels.append(level)
@@ -84,25 +85,30 @@ def _reach_all(roots: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:
 def _levels(roots: DataFrame, links: DataFrame, max_depth: int) -> list[DataFrame]:
     keys = ["opportunity_id", "document_id"]
     buckets = int(roots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = materialise(links.groupBy("document_id", "target_id").agg(F.min("role").alias("role")))
+    by_parent = links.select(F.col("document_id").alias("parent_id"), "target_id", "role").repartition(buckets, "parent_id")
+    links = bucketed(by_parent.groupBy("parent_id", "target_id").agg(F.min("role").alias("role")), "parent_id", buckets, "parent_id")
+    packed, place, role = _packing(links)
     none = F.lit(None)
     order = Window.partitionBy("opportunity_id")
     level = roots.select(*keys).repartition(buckets, "opportunity_id").distinct().select(
-        *keys, F.lit(0).alias("depth"), none.cast(links.schema["document_id"].dataType).alias("parent_id"),
+        *keys, F.lit(0).alias("depth"), none.cast(links.schema["parent_id"].dataType).alias("parent_id"),
         F.lit("call_content").alias("role"), none.cast("string").alias("limitation"),
         F.row_number().over(order.orderBy("document_id")).alias("position"))
     levels = [bucketed(level, "opportunity_id", buckets, *keys)]
     for depth in range(1, max_depth + 2):
-        steps = _steps(levels[-1], links).repartition(buckets, "opportunity_id")
-        # Of several parents of a document the earliest wins.
-        new = steps.groupBy(*keys).agg(F.min(F.struct("place", "parent_id", "role")).alias("b"))
+        front = levels[-1].select("opportunity_id", F.col("document_id").alias("parent_id"), F.col("position").alias("place"))
+        steps = front.join(links, "parent_id").select("opportunity_id", F.col("target_id").alias("document_id"), packed.alias("way"))
+        # Of several parents of a document the earliest wins; its id comes back from its place.
+        new = steps.repartition(buckets, "opportunity_id").groupBy(*keys).agg(F.min("way").alias("way"))
         for known in levels:
             new = new.join(known.select(*keys), keys, "left_anti")
         ends = levels[-1].groupBy("opportunity_id").agg(F.max("position").alias("_end"))
-        ranked = new.join(ends, "opportunity_id").withColumn("n", F.row_number().over(order.orderBy("b.place", "document_id")))
+        parents = levels[-1].select("opportunity_id", F.col("position").alias("place"), F.col("document_id").alias("parent_id"))
+        ranked = new.join(ends, "opportunity_id").withColumn("n", F.row_number().over(order.orderBy(place, "document_id"))).withColumn("place", place)
+        ranked = ranked.join(parents, ["opportunity_id", "place"])
         limitation = F.lit(DEPTH_LIMIT) if depth > max_depth else none.cast("string")
         level = bucketed(ranked.select(
-            *keys, F.lit(depth).alias("depth"), F.col("b.parent_id").alias("parent_id"), F.col("b.role").alias("role"),
+            *keys, F.lit(depth).alias("depth"), "parent_id", role.alias("role"),
             limitation.alias("limitation"), (F.col("_end") + F.col("n")).cast("int").alias("position")), "opportunity_id", buckets, *keys)
         if not level.head(1):
             break
@@ -110,6 +116,26 @@ def _levels(roots: DataFrame, links: DataFrame, max_depth: int) -> list[DataFram
     return levels
 
 
+ROLE_BITS = 10
+
+
+def _packing(links: DataFrame) -> tuple[Column, Column, Column]:
+    """(``way`` of a step, the parent's place in it, the link's role in it).
+
+    A way is one number where there are few roles, so that a step is shuffled as three numbers;
+    otherwise it holds the role itself. Either form is ordered by place; a place has one parent.
+    """
+    most = 2**ROLE_BITS - 1
+    names = sorted(r.role for r in links.filter("role IS NOT NULL").select("role").distinct().limit(most + 1).collect())
+    if len(names) > most:
+        return F.struct("place", "role"), F.col("way.place"), F.col("way.role")
+    known = F.array(*map(F.lit, names)).cast("array<string>")
+    code = F.coalesce(F.array_position(known, F.col("role")), F.lit(0))
+    way = F.shiftleft(F.col("place").cast("bigint"), ROLE_BITS) + code
+    number = F.col("way").bitwiseAND(F.lit(most)).cast("int")
+    return way, F.shiftright("way", ROLE_BITS).cast("int"), F.when(number > 0, F.get(known, number - 1))
+
+
 def _leading_links(links: DataFrame, count: int) -> DataFrame:
     """First ``count`` distinct targets per document, in target order.
 
@@ -121,6 +147,15 @@ def _leading_links(links: DataFrame, count: int) -> DataFrame:
     return distinct.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= count).drop("_n")
 
 
+ROWS_A_TASK = 1_000_000
+
+
+def _partitions(placed: DataFrame, max_documents: int, rows: int = ROWS_A_TASK) -> int:
+    """Partitions by notice in which a task holds about ``rows`` kept rows, however many notices there are."""
+    most = placed.select("opportunity_id").distinct().count() * (max_documents + 1)
+    return max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // rows))
+
+
 def _placed_roots(roots: DataFrame, links: DataFrame, max_documents: int) -> DataFrame:
     """Roots in document order. Only positions up to the cap matter, so later roots share one place."""
     keys = ["opportunity_id", "document_id"]
@@ -156,13 +191,13 @@ def _union(levels: list[DataFrame]) -> DataFrame:
     return result
 
 
-def _next_level(frontier, links, seen, depth, max_depth, max_documents) -> DataFrame:
+def _next_level(frontier, links, seen, depth, max_depth, max_documents, parts) -> DataFrame:
     new = _steps(frontier, links).withColumn("fresh", F.lit(1)).withColumn("marked", F.lit(False))
     old = seen.select(
         "opportunity_id", "document_id", "parent_id", F.col("position").alias("place"), "role", F.lit(0).alias("fresh"),
         F.coalesce(F.col("limitation") == DOCUMENT_LIMIT, F.lit(False)).alias("marked"))
     # Partitioned by notice once: the dedupe and both windows below need no further shuffle.
-    rows = new.unionByName(old).repartition("opportunity_id")
+    rows = new.unionByName(old).repartition(parts, "opportunity_id")
     # A seen document stays seen; of several parents the earliest wins, then the smallest role.
     best = rows.groupBy("opportunity_id", "document_id").agg(
         F.min(F.struct("fresh", "place", "parent_id", "role")).alias("b"), F.max("marked").alias("marked"))

@@ -119,7 +119,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, *order: str) -> DataFrame:
     """
     spark = df.sparkSession
     name = f"noticegrid_{uuid.uuid4().hex}"
-    writer = df.write.format("parquet").option("path", shared_dir(spark, "stage")).bucketBy(buckets, key)
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", shared_dir(spark, "stage")).bucketBy(buckets, key)
     (writer.sortBy(*order) if order else writer).saveAsTable(name)
     spark.sparkContext.__dict__.setdefault("_noticegrid_tables", []).append(name)
     return spark.table(name)

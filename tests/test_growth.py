@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from noticegrid.operators import documents as docs
+from noticegrid.operators import graph
 from noticegrid.session import dense_ids
 
 AT = "2026-09-10 06:00:00"
@@ -51,3 +52,24 @@ def test_ids_follow_the_hash_order(spark):
     want = spark.range(500).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")).orderBy("h").collect()
     assert [r.n for r in sorted(rows, key=lambda r: r.id)] == [r.id for r in want]
     assert sorted(r.id for r in rows) == list(range(41, 541))
+
+
+def test_steps_of_a_level_are_three_numbers(spark):
+    links = spark.createDataFrame([(1, 2, "b"), (1, 3, "a"), (2, 4, None), (3, 4, "c"), (4, 1, "a")], "document_id bigint, target_id bigint, role string")
+    roots = spark.createDataFrame([(7, 1), (8, 3), (8, 2)], "opportunity_id bigint, document_id bigint")
+    want = {
+        (7, 1, 0, None, "call_content", None, 1), (7, 2, 1, 1, "b", None, 2), (7, 3, 1, 1, "a", None, 3), (7, 4, 2, 2, None, None, 4),
+        (8, 2, 0, None, "call_content", None, 1), (8, 3, 0, None, "call_content", None, 2), (8, 4, 1, 2, None, None, 3), (8, 1, 2, 4, "a", None, 4)}
+    columns = ["opportunity_id", "document_id", "depth", "parent_id", "role", "limitation", "position"]
+    named = spark.createDataFrame([(i, i + 1, f"r{i:05d}") for i in range(100, 1300)], links.schema)  # more roles than a way has numbers for
+    for more in (links, links.unionByName(named)):
+        got = graph.reach(roots, more, 4, None)
+        assert {tuple(r) for r in got.select(*columns).collect()} == want
+    packed, _place, _role = graph._packing(links)
+    assert links.withColumn("place", F.lit(3)).select(packed.alias("w")).schema["w"].dataType.typeName() == "long"
+
+
+def test_capped_levels_get_partitions_by_their_notices(spark):
+    placed = spark.range(5000).select(F.col("id").alias("opportunity_id"))
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert graph._partitions(placed, 10) == few and graph._partitions(placed, 10, rows=1000) == 55
