@@ -12,14 +12,18 @@ from noticegrid.functions.fixed import EN_DATE, FI_DATE, FI_RANGE, ISO_DATE, KNO
 
 def parse_time(value: Column) -> Column:
     """Date-only text gives null; a longer text must carry an offset, and is returned in naive UTC."""
-    text = F.regexp_replace(value, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    text = F.regexp_replace(text, "Z$", "+00:00")
-    offset = r"([+-])(\d{2}):(\d{2})(?::\d{2})?$"
-    minutes = F.regexp_extract(text, offset, 2).try_cast("int") * 60 + F.regexp_extract(text, offset, 3).try_cast("int")
-    sign = F.when(F.regexp_extract(text, offset, 1) == "-", -1).otherwise(1)
-    local = F.regexp_replace(text, offset, "").try_cast("timestamp_ntz")
-    utc = (local - F.make_dt_interval(mins=minutes * sign)).cast("timestamp_ntz")
-    return F.when(value.isNotNull() & (F.length(value) > 10) & text.rlike(r"[T ].*" + offset), utc)
+    offset = r"[+-]\d{2}:\d{2}(?::\d{2})?$"
+
+    def shifted(text, tail):
+        minutes = F.substring(tail, 2, 2).try_cast("int") * 60 + F.substring(tail, 5, 2).try_cast("int")
+        sign = F.when(tail.startswith("-"), -1).otherwise(1)
+        local = F.regexp_replace(text, offset, "").try_cast("timestamp_ntz")
+        return F.when(text.rlike(r"[T ].*" + offset), (local - F.make_dt_interval(mins=minutes * sign)).cast("timestamp_ntz"))
+
+    # Each text is rewritten and searched once, whatever is read from it.
+    plain = F.regexp_replace(F.regexp_replace(value, r"([+-]\d{2})(\d{2})$", "$1:$2"), "Z$", "+00:00")
+    utc = let(plain, lambda text: let(F.regexp_extract(text, offset, 0), lambda tail: shifted(text, tail)))
+    return F.when(F.length(value) > 10, utc)
 
 
 def has_time_without_offset(value: Column) -> Column:
@@ -53,9 +57,9 @@ def local_day(instant: Column, zone: str = "Europe/Helsinki") -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), instant).cast("date")
 
 
-def published_day(value: Column, zone: str = "Europe/Helsinki") -> Column:
-    """Local day of an exact time, else the published day itself."""
-    return F.coalesce(local_day(parse_time(value), zone), F.left(value, F.lit(10)).try_cast("date"))
+def published_day(value: Column, zone: str = "Europe/Helsinki", at: Column | None = None) -> Column:
+    """Local day of an exact time, else the published day itself. ``at`` is the time if it is parsed already."""
+    return F.coalesce(local_day(parse_time(value) if at is None else at, zone), F.left(value, F.lit(10)).try_cast("date"))
 
 
 def known_zone(zone: Column) -> Column:

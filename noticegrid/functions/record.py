@@ -86,7 +86,7 @@ def payload(columns: tuple[str, ...] = PAYLOAD) -> Column:
 def identified(records: DataFrame) -> DataFrame:
     """Canonical address and the stable id that follows from it."""
     return records.withColumn("canonical_url", urls.canonical_url(F.col("canonical_url"))).withColumn(
-        "id", urls.notice_id(F.col("canonical_url")))
+        "id", urls.canonical_id(F.col("canonical_url")))
 
 
 def problems(present: set[str]) -> Column:

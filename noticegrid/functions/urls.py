@@ -28,9 +28,12 @@ _HOST = r"^(?:[^\[\]]*|\[(?:(?=[^\]]*:[^\]]*:)[0-9A-Fa-f:.]+(?:%[^\[\]]+)?|[vV][
 
 def is_public(url: Column) -> Column:
     """http(s), a host that can be one, and no credentials."""
-    authority = _authority(url)
+    return _public(_scheme(url), _authority(url))
+
+
+def _public(scheme: Column, authority: Column) -> Column:
     return (
-        F.coalesce(_scheme(url).isin("http", "https"), F.lit(False))
+        F.coalesce(scheme.isin("http", "https"), F.lit(False))
         & (F.length(F.regexp_replace(authority, r":\d*$", "")) > 0)
         & authority.rlike(_HOST) & ~authority.contains("@")
     )
@@ -41,9 +44,9 @@ def _form_encode(text: Column) -> Column:
     return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def _pairs(url: Column) -> Column:
-    """Decoded (key, value) pairs of the query, in published order."""
-    raw = F.filter(F.split(F.regexp_extract(url, _URL, 4), "&"), lambda p: F.length(p) > 0)
+def _pairs(query: Column) -> Column:
+    """Decoded (key, value) pairs of a query, in published order."""
+    raw = F.filter(F.split(query, "&"), lambda p: F.length(p) > 0)
     def decode(text):
         return F.coalesce(F.try_url_decode(text), text)
 
@@ -64,20 +67,35 @@ def _join_query(pairs: Column) -> Column:
 
 def canonical_url(url: Column) -> Column:
     """Identity URL; null where the address is not a public http(s) URL."""
-    path = F.rtrim(F.regexp_extract(url, _URL, 3), F.lit("/"))
-    pairs = F.filter(_pairs(url), lambda p: ~F.lower(p["k"]).startswith("utm_") & (F.length(p["v"]) > 0))
-    return F.when(
-        is_public(url),
-        F.concat(
-            _scheme(url), F.lit("://"), F.lower(_authority(url)),
-            F.when(F.length(path) > 0, path).otherwise(F.lit("/")), _join_query(F.array_sort(pairs)),
-        ),
-    )
+    def form(u):
+        path = F.rtrim(u["path"], F.lit("/"))
+        pairs = F.filter(_pairs(u["query"]), lambda p: ~F.lower(p["k"]).startswith("utm_") & (F.length(p["v"]) > 0))
+        query = F.when(F.length(u["query"]) > 0, _join_query(F.array_sort(pairs))).otherwise(F.lit(""))
+        return F.when(
+            _public(u["scheme"], u["authority"]),
+            F.concat(
+                u["scheme"], F.lit("://"), F.lower(u["authority"]),
+                F.when(F.length(path) > 0, path).otherwise(F.lit("/")), query,
+            ),
+        )
+
+    # The address is taken apart once, whatever is made of its parts.
+    return let(url, lambda u: let(F.struct(
+        _scheme(u).alias("scheme"), _authority(u).alias("authority"),
+        F.regexp_extract(u, _URL, 3).alias("path"), F.regexp_extract(u, _URL, 4).alias("query")), form))
 
 
 def notice_id(url: Column) -> Column:
     """UUIDv5 of the canonical URL in the URL namespace."""
-    hashed = F.sha1(F.concat(F.unhex(F.lit(NAMESPACE_URL)), F.encode(canonical_url(url), "UTF-8")))
+    return canonical_id(canonical_url(url))
+
+
+def canonical_id(canonical: Column) -> Column:
+    """``notice_id`` of an address that is canonical already."""
+    return let(F.sha1(F.concat(F.unhex(F.lit(NAMESPACE_URL)), F.encode(canonical, "UTF-8"))), _uuid)
+
+
+def _uuid(hashed: Column) -> Column:
     variant = F.substring(F.lit("89ab"), 1, 4)
     nibble = F.conv(F.substring(hashed, 17, 1), 16, 10).cast("int") % 4
     return F.concat_ws(
@@ -128,7 +146,7 @@ def document_url(href: Column, base: Column | None = None) -> Column:
 def _document_form(url: Column) -> Column:
     path = F.regexp_extract(url, _URL, 3)
     pairs = F.filter(
-        _pairs(url), lambda p: ~F.lower(p["k"]).startswith("utm_") & ~F.lower(p["k"]).isin(*TRACKING)
+        _pairs(F.regexp_extract(url, _URL, 4)), lambda p: ~F.lower(p["k"]).startswith("utm_") & ~F.lower(p["k"]).isin(*TRACKING)
     )
     return F.when(
         is_public(url) & (F.length(url) <= 2048),

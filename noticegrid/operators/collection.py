@@ -51,7 +51,7 @@ def staged_batch(batch: Batch, source_id: str) -> tuple[DataFrame, dict]:
     # Equal rows have places of their own as well; the table is staged, so they keep them.
     rows = identified(enrich(batch.rows)).withColumn("seq", F.struct(*batch.order, F.monotonically_increasing_id().alias("_n")))
     found = problems(set(FIELDS))
-    rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.size(found) > 0, F.array_join(found, "; "))))
+    rows = rows.withColumn("reason", F.coalesce("reason", F.nullif(F.array_join(found, "; "), F.lit(""))))
     item = digest(F.concat(F.lit(source_id + ":"), F.col("external_id")))
     # The log writes the payload again from the fields; only its hash is staged.
     rows = rows.withColumns({"raw_hash": digest(F.col("raw")), "item_id": item, "content_hash": digest(payload())})

@@ -41,9 +41,12 @@ def paged_records(rows: DataFrame, as_of: str, strip_html: bool = True) -> DataF
     row = F.col("row")
     start, end = row["hakuAlkaaDateTimeUtc"], row["hakuPaattyyDateTimeUtc"]
     rolling = F.coalesce(row["hakuTyyppi"] == "Jatkuva", F.lit(False))
-    opens, ends_at = dates.published_day(start, ZONE), dates.parse_time(end)
+    # Staged as columns: what is used several times is parsed once.
+    rows = rows.withColumns({"_starts": dates.parse_time(start), "_ends": dates.parse_time(end)})
+    rows = rows.withColumn("_opens", dates.published_day(start, ZONE, F.col("_starts")))
+    opens, ends_at = F.col("_opens"), F.col("_ends")
     due = F.struct(
-        dates.published_day(end, ZONE).alias("due_on"), ends_at.alias("due_at"), end.alias("original"),
+        dates.published_day(end, ZONE, ends_at).alias("due_on"), ends_at.alias("due_at"), end.alias("original"),
         F.lit(ZONE).alias("timezone"))
     clean = html.clean_html if strip_html else (lambda c: F.trim(c))
     return record(
