@@ -125,12 +125,13 @@ def post_calls(posts: DataFrame, taxonomy: DataFrame, config: dict) -> DataFrame
     kind_problem = F.when((F.col("type") != config["post_type"]) | (F.col("status") != "publish"),
                           "Duplicate or unsupported WordPress record")
     body = F.col("content.rendered")
-    labels = F.filter(html.element_texts(body, "p,li,tr"), lambda t: t.rlike("(?i)" + fixed.DEADLINE_LABEL))
+    rows = rows.withColumn("_body", html.labelled_text(body, "p,li,tr"))
+    labels = F.filter("_body.labels", lambda t: t.rlike("(?i)" + fixed.DEADLINE_LABEL))
     rows = rows.withColumn("_labels", F.array_join(labels, "\n"))
     bad_date = dates.impossible(dates.dates_in_label(F.col("_labels"), config.get("timezone", ZONE)))
     rows = rows.withColumns({
         "reason": F.coalesce(kind_problem, F.col("reason"), F.when(bad_date, IMPOSSIBLE_DATE)),
-        "_text": html.semantic_text(body), "_title": html.unescaped(html.clean_html(F.col("title.rendered"))),
+        "_text": F.col("_body.text"), "_title": html.unescaped(html.clean_html(F.col("title.rendered"))),
     })
     return rule_record(
         rows, config, title=F.col("_title"), url=F.col("link"), body=F.col("_text"), date_label=F.col("_labels"),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from noticegrid.functions import dates, html, urls
 from noticegrid.operators import documents as docs
 from noticegrid.operators import graph
 from noticegrid.session import dense_ids
@@ -73,3 +74,21 @@ def test_capped_levels_get_partitions_by_their_notices(spark):
     placed = spark.range(5000).select(F.col("id").alias("opportunity_id"))
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert graph._partitions(placed, 10) == few and graph._partitions(placed, 10, rows=1000) == 55
+
+
+def test_times_and_posts_are_parsed_once(spark):
+    df = spark.createDataFrame([("2026-09-10T06:00:00+0300", "<p>Deadline <b>1 June</b></p><nav><p>x</p></nav>")], "t string, h string")
+    plan = df.select(dates.parse_time(F.col("t")).alias("v"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") <= 3
+    got = df.select(html.labelled_text(F.col("h"), "p,li,tr").alias("b"), html.element_texts(F.col("h"), "p,li,tr").alias("labels"),
+                    html.semantic_text(F.col("h")).alias("text"), dates.parse_time(F.col("t")).cast("string").alias("t")).first()
+    assert (got.b.labels, got.b.text) == (got.labels, got.text) and got.t == "2026-09-10 03:00:00"
+
+
+def test_canonical_addresses_keep_their_ids(spark):
+    urls_ = ["HTTPS://E.org/a//?b=2&a=%31&utm_x=1#f", "https://e.org", "https://e.org/?x=a+b&y=%zz&=v", "ftp://e.org/", None, "https://u@e.org/"]
+    rows = spark.createDataFrame([(u,) for u in urls_], "u string").select(
+        urls.canonical_url(F.col("u")).alias("c"), urls.notice_id(F.col("u")).alias("i"), urls.canonical_id(urls.canonical_url(F.col("u"))).alias("j")).select(
+        "*", urls.canonical_url(F.col("c")).alias("cc")).collect()
+    assert rows[0].c == "https://e.org/a?a=1&b=2" and all(r.c == r.cc and r.i == r.j for r in rows)
+    assert [r.c is None for r in rows] == [False, False, False, True, True, True]
