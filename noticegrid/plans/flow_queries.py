@@ -676,6 +676,14 @@ def retirement(r, manifest):
     return faq.retired(bridge, r.fx_opportunities, faq.stale_matches(bridge, matches), manifest, r.fx_opportunities, 0, 0, r.as_of)
 
 
+def retired_bridge(r, manifest):
+    """The bridge alone; the log that goes with it is not numbered for it."""
+    matches = faq.keyword_matches(faq_entries(r), r.fx_opportunities)
+    bridge = faq_bridge(r, matches)
+    stale = faq.allowed_stale(faq.stale_matches(bridge, matches), manifest, r.fx_opportunities, 0)
+    return faq.switched_off(bridge, stale).select("opportunity_id", "document_id", "active")
+
+
 def manifest_topics(r):
     """The topics as the snapshot's manifest spells them: in upper case, some twice."""
     named = r.fx_opportunities.select(F.upper("external_id").alias("topic_id"))
@@ -686,13 +694,13 @@ def manifest_topics(r):
 SELECT b.opportunity_id, b.document_id, m.opportunity_id IS NOT NULL AS active FROM ox_faq_bridge b
 LEFT JOIN ox_faq_matches m ON m.opportunity_id = b.opportunity_id AND m.document_id = b.document_id""")
 def _(r):
-    return retirement(r, manifest_topics(r))[0].select("opportunity_id", "document_id", "active")
+    return retired_bridge(r, manifest_topics(r))
 
 
 @query("j12_gated_retirement", "SELECT opportunity_id, document_id, true AS active FROM ox_faq_bridge")
 def _(r):
     # A manifest without every fifth topic is not a complete refresh, so nothing is retired.
-    return retirement(r, r.fx_opportunities.filter("id % 5 <> 0").select(F.col("external_id").alias("topic_id")))[0].select("opportunity_id", "document_id", "active")
+    return retired_bridge(r, r.fx_opportunities.filter("id % 5 <> 0").select(F.col("external_id").alias("topic_id")))
 
 
 @query("j12_unlink_log", f"""

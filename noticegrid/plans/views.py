@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticegrid.session import prepare
+from noticegrid.session import prepare_registry
 
 AS_OF = "1998-07-01 00:00:00"
 
@@ -115,7 +115,7 @@ class Inputs:
     """Lazy DataFrames over one scale-factor folder; attribute access by table or view name."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = prepare(spark), path.rstrip("/")
+        self.spark, self.path = prepare_registry(spark), path.rstrip("/")
         self.as_of = AS_OF
         self._cache: dict[str, DataFrame] = {}
 

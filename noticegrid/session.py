@@ -26,6 +26,13 @@ SQL_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
+# Settings of registry queries where the session names none of its own.
+REGISTRY_CONF = {
+    # Columns of few values take 10 to 30 times their room in a file once they are rows, and a table that is
+    # broadcast passes through the driver as rows. So this multiple of a file is held against Spark's limit.
+    "spark.sql.sources.fileCompressionFactor": "20.0",
+}
+
 
 def ship(spark: SparkSession) -> None:
     """Give the workers this package as a zip that Spark itself distributes, once an application."""
@@ -52,6 +59,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def prepare_registry(spark: SparkSession) -> SparkSession:
+    """``prepare`` for queries over the registry's tables; what the session has set itself stays."""
+    for key, value in REGISTRY_CONF.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return prepare(spark)
+
+
 def local_session(cpus: str = "*", app: str = "noticegrid", **conf: str) -> SparkSession:
     """A single-JVM session for tests and the bench; clusters bring their own."""
     cores = os.cpu_count() if cpus == "*" else int(cpus)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from noticegrid.functions import dates, html, urls
 from noticegrid.operators import documents as docs
-from noticegrid.operators import graph
+from noticegrid.operators import faq, graph
 from noticegrid.session import dense_ids
 
 AT = "2026-09-10 06:00:00"
@@ -92,3 +92,29 @@ def test_canonical_addresses_keep_their_ids(spark):
         "*", urls.canonical_url(F.col("c")).alias("cc")).collect()
     assert rows[0].c == "https://e.org/a?a=1&b=2" and all(r.c == r.cc and r.i == r.j for r in rows)
     assert [r.c is None for r in rows] == [False, False, False, True, True, True]
+
+
+def test_a_well_packed_table_is_not_broadcast(spark, tmp_path):
+    """A file of repeated values is far smaller than its rows, which would pass through the driver."""
+    from noticegrid.plans.views import Inputs
+
+    n = 2_000_000
+    spark.range(0, n, 1, 1).selectExpr("id AS c_custkey", "0 AS c_nationkey", "'M' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(0, n, 1, 1).selectExpr("id AS o_orderkey", "id AS o_custkey", "repeat(cast(id AS string), 5) AS o").write.parquet(f"{tmp_path}/orders.parquet")
+    r = Inputs(spark, str(tmp_path))
+    plan = r.orders.join(r.customer, r.orders.o_custkey == r.customer.c_custkey)._jdf.queryExecution()
+    assert plan.optimizedPlan().children().apply(1).stats().sizeInBytes() > 10 * n
+    assert "Broadcast" not in plan.executedPlan().toString()
+
+
+def test_a_retired_bridge_alone_stages_nothing(spark):
+    notices = spark.createDataFrame([(10, "TOPIC-1", "s"), (11, "Topic-2", "s")], "id bigint, external_id string, source_id string")
+    entries = spark.createDataFrame([(1, [" topic-1 ", "", "TOPIC-1"]), (2, ["", None])], "document_id bigint, keywords array<string>")
+    matches = faq.keyword_matches(entries, notices)
+    bridge = spark.createDataFrame([(10, 1, True, True, faq.ROLE), (11, 2, True, True, faq.ROLE)],
+                                   "opportunity_id bigint, document_id bigint, is_root boolean, active boolean, role string")
+    topics, before = notices.selectExpr("lower(external_id) AS topic_id"), len(staged(spark))
+    for warnings, want in ((0, {(10, True), (11, False)}), (1, {(10, True), (11, True)})):
+        stale = faq.allowed_stale(faq.stale_matches(bridge, matches), topics, notices, warnings)
+        assert {(r.opportunity_id, r.active) for r in faq.switched_off(bridge, stale).collect()} == want
+    assert len(staged(spark)) == before
