@@ -53,8 +53,10 @@ def read_json(spark: SparkSession, path: str, schema: str, multi_line: bool = Fa
 
 def read_search(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(documents, rejected lines) of landed search responses; an unreadable line costs no other."""
-    lines = materialise(read_json(spark, path, SEARCH_LINE))  # parsed once; rejects alone cannot be read from JSON files
-    documents = lines.filter("_corrupt IS NULL").drop("_corrupt").withColumn("metadata", listed_values(F.col("metadata")))
+    # Parsed once, with lists as metadata: rejects alone cannot be read from JSON files, and behind the stage
+    # each filter and field of the documents would parse all values again.
+    lines = materialise(read_json(spark, path, SEARCH_LINE).withColumn("metadata", listed_values(F.col("metadata"))), "zstd")
+    documents = lines.filter("_corrupt IS NULL").drop("_corrupt")
     rejected = lines.filter("_corrupt IS NOT NULL").select(
         F.col("_corrupt").alias("raw"), F.lit("Unreadable search response line").alias("reason"))
     return documents, rejected

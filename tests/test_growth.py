@@ -6,6 +6,7 @@ from noticegrid.functions import dates, html, urls
 from noticegrid.operators import documents as docs
 from noticegrid.operators import faq, graph
 from noticegrid.session import dense_ids
+from noticegrid.sources import landed, search
 
 AT = "2026-09-10 06:00:00"
 
@@ -118,3 +119,18 @@ def test_a_retired_bridge_alone_stages_nothing(spark):
         stale = faq.allowed_stale(faq.stale_matches(bridge, matches), topics, notices, warnings)
         assert {(r.opportunity_id, r.active) for r in faq.switched_off(bridge, stale).collect()} == want
     assert len(staged(spark)) == before
+
+
+def test_metadata_values_are_parsed_before_the_stage(spark, tmp_path):
+    """Behind it, each condition and field of the documents parsed every value again."""
+    lines = ['{"reference": "1", "metadata": {"type": ["1"], "identifier": "T-1", "deadlineDate": null}}',
+             '{"reference": "2", "metadata": {"type": "8", "callccm2Id": ["7", "9"]}}', '{"reference": "cut']
+    (tmp_path / "lines.txt").write_text("\n".join(lines))
+    documents, rejected = landed.read_search(spark, str(tmp_path))
+    accepted, _ = search.split_identities(documents)
+    preferred = search.preferred_variants(accepted)
+    assert "from_json(" not in preferred._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.topic, r.reference) for r in preferred.collect()} == {("T-1", "1"), ("cascade:7", "2")}
+    assert {r.reference: r.metadata for r in documents.collect()} == {
+        "1": {"type": ["1"], "identifier": ["T-1"], "deadlineDate": [None]}, "2": {"type": ["8"], "callccm2Id": ["7", "9"]}}
+    assert [r.raw for r in rejected.collect()] == [lines[2]]
