@@ -31,6 +31,9 @@ REGISTRY_CONF = {
     # Columns of few values take 10 to 30 times their room in a file once they are rows, and a table that is
     # broadcast passes through the driver as rows. So this multiple of a file is held against Spark's limit.
     "spark.sql.sources.fileCompressionFactor": "20.0",
+    # A task that sums or sorts holds its partition's rows as such; these bound it, whatever the input.
+    "spark.sql.files.maxPartitionBytes": "32m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
 
 

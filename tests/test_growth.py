@@ -134,3 +134,15 @@ def test_metadata_values_are_parsed_before_the_stage(spark, tmp_path):
     assert {r.reference: r.metadata for r in documents.collect()} == {
         "1": {"type": ["1"], "identifier": ["T-1"], "deadlineDate": [None]}, "2": {"type": ["8"], "callccm2Id": ["7", "9"]}}
     assert [r.raw for r in rejected.collect()] == [lines[2]]
+
+
+def test_tasks_of_registry_queries_are_bounded(spark, data):
+    from noticegrid.plans.views import Inputs
+
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+    session.conf.set("spark.sql.shuffle.partitions", "64")
+    Inputs(session, data)
+    assert session.conf.get("spark.sql.files.maxPartitionBytes") == "8m"  # the session's own setting stays
+    rows = session.range(3_000_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k")).repartition("k")
+    assert rows.rdd.getNumPartitions() >= 11  # about 200 MB in parts of 16; by the number of cores they would be 8
