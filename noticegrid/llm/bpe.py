@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -201,19 +203,34 @@ class Vocabulary:
         return rank
 
 
-def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(distinct chunks, their number at every place, first place of each text and the end) of a batch.
+def chunked(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """(chunks at every place, first place of each text and the end) of a batch.
 
-    Texts are cut and compared in Arrow's buffers; only distinct chunks become Python strings. An
-    empty chunk, as before leading white space, has no symbols.
+    Texts are cut and compared in Arrow's buffers. An empty chunk, as before leading white space, has
+    no symbols.
     """
     wide = pc.any(pc.match_substring_regex(texts, pattern=WIDE_SPACES)).as_py()
     lists = pc.split_pattern_regex(texts, pattern=ARROW_SPACES) if wide else pc.ascii_split_whitespace(texts)
-    found = lists.flatten().dictionary_encode()
-    names, offsets = found.dictionary, lists.offsets.to_numpy()
-    # One string cut by Python is several times quicker than as many Arrow strings taken one by one.
+    offsets = lists.offsets.to_numpy()
+    return lists.flatten().dictionary_encode(), offsets - offsets[0]
+
+
+def strings(names: pa.Array) -> list[str]:
+    """Chunks as Python strings: one string cut by Python is several times quicker than as many taken one by one."""
     whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), "\n")[0].as_py()
-    return whole.split("\n") if len(names) else [], found.indices.to_numpy(), offsets - offsets[0]
+    return whole.split("\n") if len(names) else []
+
+
+def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct chunks, their number at every place, first place of each text and the end) of a batch."""
+    found, starts = chunked(texts)
+    return strings(found.dictionary), found.indices.to_numpy(), starts
+
+
+def unified(parts: list[pa.DictionaryArray]) -> tuple[pa.Array, list[np.ndarray]]:
+    """Distinct strings of all parts, and their numbers at the places of each part."""
+    whole = pa.chunked_array(parts).unify_dictionaries()
+    return whole.chunk(0).dictionary, [part.indices.to_numpy() for part in whole.chunks]
 
 
 def gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -282,28 +299,93 @@ class ChunkCache:
         return held.ids, held.first[rows], held.size[rows]
 
     def _cut(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        vocab = self._vocabulary
-        lower, odd = vocab.lowered("\n".join(chunks)), []
-        if "<" in lower or vocab.beyond_latin(lower):
-            odd = [i for i, c in enumerate(chunks) if "<" in c or vocab.beyond_latin(vocab.lowered(c))]
-            plain = list(chunks)
-            for i in odd:
-                plain[i] = ""
-            lower = vocab.lowered("\n".join(plain))
-        words = vocab.cut(lower)
-        rows = self._words.rows(words)
-        between = np.fromiter(map("\n".__eq__, words), bool, len(words))  # chunks
-        each = np.where(between, 0, self._words.size[rows])
-        ids = gathered(self._words.ids, self._words.first[rows], each)
-        ends, breaks = np.concatenate([[0], np.cumsum(each)]), np.flatnonzero(between)
-        size = np.diff(np.concatenate([[0], ends[breaks], ends[-1:]]))
-        if not odd:
-            return ids, size
-        first = np.cumsum(size) - size
-        found = vocab.encode([chunks[i] for i in odd])
-        size[odd] = [len(x) for x in found]
-        first[odd] = len(ids) + np.cumsum(size[odd]) - size[odd]
-        return gathered(np.concatenate([ids, *found]), first, size), size
+        words, odd = cut_chunks(self._vocabulary, chunks)
+        rows, held = self._words.rows(words), self._words
+        between = np.fromiter(map("\n".__eq__, words), bool, len(words))
+        return laid(held.ids, held.first[rows], held.size[rows], between, odd)
+
+
+class Odd(NamedTuple):
+    """Chunks that are encoded by themselves: their numbers, symbols one after the other, and sizes."""
+
+    chunks: list[int]
+    ids: np.ndarray
+    size: np.ndarray
+
+
+def cut_chunks(vocabulary: Vocabulary, chunks: list[str]) -> tuple[list[str], Odd]:
+    """Pre-tokens of all chunks with a line break between chunks; special strings and letters beyond Latin apart."""
+    lower, odd = vocabulary.lowered("\n".join(chunks)), []
+    if "<" in lower or vocabulary.beyond_latin(lower):
+        odd = [i for i, c in enumerate(chunks) if "<" in c or vocabulary.beyond_latin(vocabulary.lowered(c))]
+        plain = list(chunks)
+        for i in odd:
+            plain[i] = ""
+        lower = vocabulary.lowered("\n".join(plain))
+    found = vocabulary.encode([chunks[i] for i in odd]) if odd else []
+    flat = np.concatenate([np.zeros(0, np.int32), *found])
+    return vocabulary.cut(lower), Odd(odd, flat, np.fromiter(map(len, found), np.int64, len(found)))
+
+
+def laid(ids: np.ndarray, first: np.ndarray, size: np.ndarray, between: np.ndarray, odd: Odd) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, sizes) of chunks whose pre-tokens lie at ``first`` and ``size``; ``between`` marks the line breaks."""
+    each = np.where(between, 0, size)
+    flat = gathered(ids, first, each)
+    ends, breaks = np.concatenate([[0], np.cumsum(each)]), np.flatnonzero(between)
+    total = np.diff(np.concatenate([[0], ends[breaks], ends[-1:]]))
+    if not odd.chunks:
+        return flat, total
+    start = np.cumsum(total) - total
+    total[odd.chunks] = odd.size
+    start[odd.chunks] = len(flat) + np.cumsum(odd.size) - odd.size
+    return gathered(np.concatenate([flat, odd.ids]), start, total), total
+
+
+def encode_once(vocabulary: Vocabulary, chunks: pa.Array, piece: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, first, size) of distinct chunks; each distinct pre-token among them is merged once.
+
+    At most ``piece`` chunks are Python strings at a time.
+    """
+    cuts, odds = [], []
+    for at in range(0, len(chunks), piece):
+        words, odd = cut_chunks(vocabulary, strings(chunks.slice(at, piece)))
+        cuts.append(pa.array(words, pa.string()).dictionary_encode())
+        odds.append(odd)
+    if not cuts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    names, places = unified(cuts)
+    line = pc.index(names, "\n").as_py()
+    merged = [vocabulary.merge([w.encode() for w in names.slice(at, piece // 2).to_pylist()]) for at in range(0, len(names), piece // 2)]
+    ids = np.concatenate([np.zeros(0, np.int32), *(x for x, _ in merged)])
+    size = np.concatenate([np.zeros(0, np.int64), *(n for _, n in merged)])
+    first = np.cumsum(size) - size
+    done = [laid(ids, first[rows], size[rows], rows == line, odd) for rows, odd in zip(places, odds)]
+    sizes = np.concatenate([n for _, n in done])
+    return np.concatenate([x for x, _ in done]), np.cumsum(sizes) - sizes, sizes
+
+
+def encoded(slices: Iterable[tuple[pa.Array, pa.Array]], vocabulary: Vocabulary, chars: int) -> Iterator[tuple]:
+    """(row ids, chunk numbers at every place, first places, symbols of the chunks as in ``encode_once``) of each slice.
+
+    Slices of about ``chars`` bytes of text are taken together, so that a chunk they share is encoded once;
+    of their texts only the chunks' numbers and the distinct chunks are held.
+    """
+    held, total = [], 0
+
+    def group():
+        names, places = unified([found for _, found, _ in held])
+        symbols = encode_once(vocabulary, names)
+        for (row_ids, _, starts), place in zip(held, places):
+            yield row_ids, place, starts, symbols
+
+    for row_ids, texts in slices:
+        held.append((row_ids, *chunked(texts)))
+        total += pc.sum(pc.binary_length(texts)).as_py() or 0
+        if total >= chars:
+            yield from group()
+            held, total = [], 0
+    if held:
+        yield from group()
 
 
 def _room(held: np.ndarray, filled: int, more: np.ndarray) -> np.ndarray:

@@ -53,7 +53,7 @@ class Corpus(NamedTuple):
 
 def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values in order and how often each occurs; ``np.unique`` takes twice as long on short arrays."""
-    ids = np.sort(ids)
+    ids = np.sort(ids, kind="stable")  # by digits, for two bytes an id
     fresh = np.empty(len(ids) + 1, bool)
     fresh[0] = fresh[-1] = True
     np.not_equal(ids[1:], ids[:-1], out=fresh[1:-1])
@@ -152,39 +152,51 @@ def power_cuts(window: list, size: int):
         yield part
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int, cache: int, top: int) -> DataFrame:
+class Tally:
+    """What a task knows of the corpus: in how many of its documents a term stands, their number and tokens."""
+
+    SCHEMA = "term bigint, n bigint"
+
+    def __init__(self, top: int):
+        self._df, self._count, self._total = np.zeros(top + 1, np.int64), 0, 0
+
+    def add(self, ids: np.ndarray) -> None:
+        self._df[counted(ids)[0]] += 1
+        self._count, self._total = self._count + 1, self._total + len(ids)
+
+    def columns(self) -> list[pa.Array]:
+        """Terms and their numbers; under -1 the number of documents and under -2 that of their tokens."""
+        term = np.flatnonzero(self._df)
+        return [pa.array(np.concatenate([term, [-1, -2]])), pa.array(np.concatenate([self._df[term], [self._count, self._total]]))]
+
+
+def tokenised(docs: DataFrame, path: str, end_id: int, group_chars: int, top: int) -> DataFrame:
     """``doc_id, ids, term, n``: the token ids of every row with the end id, as bytes of ``unit(path, end_id)``.
 
-    Rows with a ``term`` are what a task knows of the corpus: in how many of its documents a term
-    stands, under -1 the number of its documents and under -2 that of their tokens.
+    Rows with a ``term`` are the ``Tally`` of a task.
     """
     kind = unit(path, end_id)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("term", pa.int64()), ("n", pa.int64())])
 
     def run(parts):
-        vocab = bpe.vocabulary(path)
-        known = bpe.ChunkCache(vocab, cache)
-        df, count, total = np.zeros(top + 1, np.int64), 0, 0
-        for doc_ids, texts in batches.arrow_slices(parts):
-            rows = joined(*bpe.split(texts), known, kind, end_id)
+        tally = Tally(top)
+        for doc_ids, place, starts, symbols in bpe.encoded(batches.arrow_slices(parts), bpe.vocabulary(path), group_chars):
+            rows = joined(place, starts, *symbols, kind, end_id)
             for ids in rows:
-                df[counted(ids)[0]] += 1
-            count, total = count + len(rows), total + sum(map(len, rows))
+                tally.add(ids)
             nothing = pa.nulls(len(rows), pa.int64())
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array([x.tobytes() for x in rows], pa.binary()), nothing, nothing], schema=schema)
-        term = np.flatnonzero(df)
-        if count:
-            numbers = [pa.array(np.concatenate([term, [-1, -2]])), pa.array(np.concatenate([df[term], [count, total]]))]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(term) + 2, pa.int64()), pa.nulls(len(term) + 2, pa.binary()), *numbers], schema=schema)
+        columns = tally.columns()
+        nothing = [pa.nulls(len(columns[0]), f.type) for f in (schema.field("doc_id"), schema.field("ids"))]
+        yield pa.RecordBatch.from_arrays([*nothing, *columns], schema=schema)
 
-    return batches.id_and_text(docs).mapInArrow(run, "doc_id bigint, ids binary, term bigint, n bigint")
+    return batches.id_and_text(docs).mapInArrow(run, f"doc_id bigint, ids binary, {Tally.SCHEMA}")
 
 
-def joined(chunks: list[str], place: np.ndarray, starts: np.ndarray, known: bpe.ChunkCache, kind: str, end_id: int) -> list[np.ndarray]:
+def joined(place: np.ndarray, starts: np.ndarray, ids: np.ndarray, first: np.ndarray, size: np.ndarray, kind: str, end_id: int) -> list[np.ndarray]:
     """The ids of each text with the end id: the chunks' ids gathered at every place at once."""
-    ids, first, size = known.encode(chunks)
     each = size[place]
-    flat = bpe.gathered(ids.astype(kind), first[place], each)
+    flat = bpe.gathered(ids, first[place], each).astype(kind)
     bounds = np.concatenate([[0], np.cumsum(each)])[starts]
     end = np.array([end_id], kind)
     return [np.concatenate([flat[a:b], end]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
@@ -195,9 +207,23 @@ def unit(path: str, end_id: int) -> str:
     return "<u2" if max(bpe.vocabulary(path).top, end_id) < 1 << 16 else "<u4"
 
 
-def corpus_of(tokens: DataFrame, top: int) -> Corpus:
-    """Sums over the tasks; the driver gets one number a term, at most the vocabulary's size."""
-    rows = tokens.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+def corpus_of(tokens: DataFrame, kind: str, top: int) -> Corpus:
+    """Sums over the tasks; the driver gets one number a term, at most the vocabulary's size.
+
+    ``tokens`` with a ``term`` bring their counts along (see ``tokenised``); others are counted here.
+    """
+    schema = pa.schema([("term", pa.int64()), ("n", pa.int64())])
+
+    def run(parts):
+        tally = Tally(top)
+        for batch in parts:
+            for raw in batch.column(0):
+                tally.add(np.frombuffer(raw.as_buffer(), kind))
+        yield pa.RecordBatch.from_arrays(tally.columns(), schema=schema)
+
+    known = "term" in tokens.columns
+    counts = tokens.filter("term IS NOT NULL") if known else tokens.select("ids").mapInArrow(run, Tally.SCHEMA)
+    rows = counts.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     found = dict(zip(rows.column("term").to_pylist(), rows.column("n").to_pylist()))
     count, total = found.pop(-1, 0), found.pop(-2, 0)
     df = np.zeros(top + 1, np.int64)
@@ -227,7 +253,7 @@ def routed(tokens: DataFrame, kind: str, corpus: Corpus) -> DataFrame:
 
 def pack(
     docs: DataFrame, *, size: int = 4096, end_id: int = 2, shard_docs: int = 1_000, shard_tokens: int = 2_000_000,
-    vocabulary: str | None = None, cache: int = 500_000,
+    vocabulary: str | None = None, group_chars: int = 64_000_000,
 ) -> DataFrame:
     """One row per piece of a document in a sequence (see ``SCHEMA``).
 
@@ -237,13 +263,14 @@ def pack(
     and about ``shard_tokens`` tokens; neighbours are searched within a shard. Every document is
     indexed and every one is used once. All windows are full but a shard's last one, which is cut
     into powers of two, so nothing is padded. A null or empty text is its end id alone. Repeated
-    rows and ids are packed each by itself; an empty table gives no row.
+    rows and ids are packed each by itself; an empty table gives no row. A task encodes the distinct
+    chunks of about ``group_chars`` bytes of text together.
     """
     path = vocabulary or bpe.default_path()
     arrow = pa.schema([(n, pa.int64()) for n in NAMES])
     kind, top = unit(path, end_id), max(bpe.vocabulary(path).top, end_id)
-    tokens = materialise(tokenised(docs, path, end_id, cache, top))
-    corpus = corpus_of(tokens, top)
+    tokens = materialise(tokenised(docs, path, end_id, group_chars, top))
+    corpus = corpus_of(tokens, kind, top)
     tokens = tokens.filter("term IS NULL").select("doc_id", "ids")
 
     def run(parts):
