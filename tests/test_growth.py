@@ -146,3 +146,26 @@ def test_tasks_of_registry_queries_are_bounded(spark, data):
     assert session.conf.get("spark.sql.files.maxPartitionBytes") == "8m"  # the session's own setting stays
     rows = session.range(3_000_000).select(F.sha2(F.col("id").cast("string"), 256).alias("k")).repartition("k")
     assert rows.rdd.getNumPartitions() >= 11  # about 200 MB in parts of 16; by the number of cores they would be 8
+
+
+def test_a_transfer_broadcasts_no_customers(spark, data, tmp_path):
+    """Of the views that it copies only nations and the few parts below the divisor pass through the driver."""
+    import re
+
+    from noticegrid.plans.catalog import QUERIES
+    from noticegrid.plans.views import Inputs
+
+    n = 400_000
+    for table in ("region", "nation", "part", "events"):
+        spark.read.parquet(f"{data}/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    spark.range(0, n, 1, 1).selectExpr("id AS c_custkey", "id % 25 AS c_nationkey", "'MACHINERY' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(0, n, 1, 1).selectExpr(
+        "id AS o_orderkey", f"(id * 7919) % {n} AS o_custkey", "'F' AS o_orderstatus", "id / 7.0D AS o_totalprice", "'1-URGENT' AS o_orderpriority",
+        "TIMESTAMP_NTZ '1996-01-01 00:00:00' + CAST(id % 900 AS INT) * INTERVAL '1' DAY AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    r = Inputs(spark, str(tmp_path))
+    for view in (r.fx_opportunities, r.fx_tags):
+        plan = view._jdf.queryExecution().executedPlan().toString()
+        sent = {re.search(r"[a-z]_(?:cust|nation|part|order)key", part)[0] for part in plan.split("BroadcastExchange")[1:]}
+        assert sent <= {"n_nationkey", "p_partkey"}
+    rows = QUERIES["m09_transfer"](spark, str(tmp_path)).collect()
+    assert {tuple(x) for x in rows} == {(t, True) for t in ("sources", "opportunities", "tags", "changes")}
