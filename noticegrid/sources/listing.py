@@ -79,11 +79,12 @@ def embedded_rows(pages: DataFrame) -> DataFrame:
     """One row per embedded notice, with the region and authority names of its own page looked up.
 
     No page is without notices here. The outer form says so to Spark, which else filters the pages on
-    it first and for that parses every payload again.
+    it first and for that parses every payload again. What a notice keeps of its page is taken out
+    before, as a row would carry the whole payload on.
     """
-    return embedded_data(pages).select(
-        *[c for c in pages.columns if c != "html"], F.col("data.koodisto").alias("codes"),
-        F.size("notices").alias("expected"), F.posexplode_outer("notices").alias("position", "row"))
+    kept = [c for c in pages.columns if c != "html"]
+    paged = embedded_data(pages).select(*kept, F.col("data.koodisto").alias("codes"), F.size("notices").alias("expected"), "notices")
+    return paged.select(*kept, "codes", "expected", F.posexplode_outer("notices").alias("position", "row"))
 
 
 def checked_embedded(rows: DataFrame) -> DataFrame:
@@ -95,18 +96,22 @@ def checked_embedded(rows: DataFrame) -> DataFrame:
 
 def embedded_records(rows: DataFrame, strip_html: bool = True) -> DataFrame:
     row, tables = F.col("row"), F.col("codes")
-    areas = F.transform(
-        F.coalesce(row["maakunnat"], F.array().cast("array<string>")),
-        lambda c: F.coalesce(F.try_element_at(tables["maakunta"], c)["fi"], c))
+    # Staged as columns: the names are looked up once, and rows go to Python without the code lists.
+    keep = tuple(c for c in rows.columns if c != "codes")
     authority = F.coalesce(row["viranomainen"], F.lit(""))
-    funder = F.coalesce(F.try_element_at(tables["viranomainen"], authority)["fi"], authority)
+    rows = rows.select(
+        *keep, F.coalesce(F.try_element_at(tables["viranomainen"], authority)["fi"], authority).alias("_funder"),
+        F.transform(
+            F.coalesce(row["maakunnat"], F.array().cast("array<string>")),
+            lambda c: F.coalesce(F.try_element_at(tables["maakunta"], c)["fi"], c)).alias("_areas"))
+    areas = F.col("_areas")
     end, rolling = row["hakuaika"]["loppu"], F.coalesce(row["jatkuvaHaku"], F.lit(False))
     amount = codes.amount(row["kokonaistuki"])
     body = F.coalesce(row["kuvaus"], F.lit(""))
     return record(
-        rows, keep=tuple(c for c in rows.columns if c != "codes"),
+        rows, keep=keep,
         external_id=row["id"], canonical_url=F.concat(F.lit(EMBEDDED_URL), row["id"]), title=row["otsikko"],
-        description=html.clean_html(body) if strip_html else F.trim(body), funder=funder,
+        description=html.clean_html(body) if strip_html else F.trim(body), funder=F.col("_funder"),
         programme=F.coalesce(row["rahasto"], F.lit("EURA 2021")),
         source_status=F.when(rolling, "rolling").otherwise(codes.lookup(row["tila"], codes.fixed.PORTAL_STATUS, "unknown")),
         opens_on=row["hakuaika"]["alku"].try_cast("date"),

@@ -6,7 +6,7 @@ from noticegrid.functions import dates, html, urls
 from noticegrid.operators import documents as docs
 from noticegrid.operators import faq, graph
 from noticegrid.session import dense_ids
-from noticegrid.sources import landed, search
+from noticegrid.sources import landed, listing, search
 
 AT = "2026-09-10 06:00:00"
 
@@ -169,3 +169,17 @@ def test_a_transfer_broadcasts_no_customers(spark, data, tmp_path):
         assert sent <= {"n_nationkey", "p_partkey"}
     rows = QUERIES["m09_transfer"](spark, str(tmp_path)).collect()
     assert {tuple(x) for x in rows} == {(t, True) for t in ("sources", "opportunities", "tags", "changes")}
+
+
+def test_a_listed_notice_does_not_carry_its_page(spark):
+    """Rows wait for Python on disk; with its page's payload each row is as large as the page."""
+    page = ('{"preRenderData": {"hankehaku": [{"id": "1", "otsikko": "One", "kuvaus": "<b>x</b>", "viranomainen": "7", "maakunnat": ["3", "4"]}, {"id": "2", "otsikko": "Two"}],'
+            ' "koodisto": {"maakunta": {"3": {"fi": "Pirkanmaa"}}, "viranomainen": {"7": {"fi": "Keskus"}}}}}')
+    pages = spark.createDataFrame([(page,)], "body string").select(
+        F.concat(F.lit("<script>"), F.replace(F.url_encode("body"), F.lit("+"), F.lit("%20")), F.lit("</script>")).alias("html"))
+    read = listing.embedded_rows(pages)
+    rows = listing.embedded_records(listing.checked_embedded(read))
+    above = rows._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "Python" in above and "data#" not in above and "notices#" not in above and "codes#" not in above.split("ArrowEvalPython")[0]
+    got = {r.external_id: (r.expected, r.funder, [t.value for t in r.tags], r.geographic_scope) for r in rows.collect()}
+    assert got == {"1": (2, "Keskus", ["Pirkanmaa", "4"], "pirkanmaa"), "2": (2, "", [], "unknown")}
