@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from noticegrid.llm import batches, shingles
 from noticegrid.llm.components import components
-from noticegrid.session import materialise
+from noticegrid.session import by_shuffle, materialise
 
 COORDINATES = 32
 BLOCK = 600  # classes of one side of a block pair
@@ -77,7 +77,7 @@ def postings(classes: DataFrame, matches: int) -> DataFrame:
     )
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = Window.partitionBy("cid")  # at most one row a coordinate
-    ranked = tokens.join(shared, "token").withColumns({
+    ranked = tokens.join(by_shuffle(shared), "token").withColumns({
         "m": F.count(F.lit(1)).over(own), "central": F.sum("df").over(own), "rank": F.row_number().over(own.orderBy("df", "token")),
     })
     return ranked.filter(F.col("rank") <= F.col("m") - matches + 1).select("cid", "token", "central")
@@ -92,12 +92,12 @@ def pivot_pairs(posted: DataFrame, classes: DataFrame, matches: int, num: int, d
     """``a, b``: for each class the pivots worth confirming, two at most."""
     rank = F.struct("central", (-F.col("cid")).alias("minus"))
     pivots = posted.groupBy("token").agg(F.max(rank).alias("pivot"))
-    met = posted.join(pivots, "token").select(
+    met = posted.join(by_shuffle(pivots), "token").select(
         F.col("cid").alias("a"), (-F.col("pivot.minus")).alias("b"), F.col("pivot.central").alias("central")
     ).filter("a <> b").distinct()
     one = classes.select(F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     two = classes.select(F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-    counted = met.join(one, "a").join(two, "b").filter(near_sizes("n_a", "n_b", num, den)).withColumn("hits", F.expr(HITS)).filter(F.col("hits") >= matches)
+    counted = met.join(by_shuffle(one), "a").join(by_shuffle(two), "b").filter(near_sizes("n_a", "n_b", num, den)).withColumn("hits", F.expr(HITS)).filter(F.col("hits") >= matches)
     likely = F.col("hits") * den >= num * F.size("sig_a")
     chosen = counted.groupBy("a").agg(
         F.max(F.when(likely, F.struct("central", "b"))).alias("first"), F.max(F.struct("hits", "b")).alias("best")
@@ -125,7 +125,7 @@ def dealt(posted: DataFrame, labels: DataFrame, block: int) -> DataFrame:
         F.flatten(F.transform("large", lambda x: one(x["comp"], x["n"]))),
     )
     mixed = whole.select("token", shared.alias("shared"), "large", blocks.alias("blocks"))
-    rows = labelled.join(mixed, "token")
+    rows = labelled.join(by_shuffle(mixed), "token")
     own_large = F.try_element_at(F.filter("large", lambda x: x["comp"] == F.col("comp")), F.lit(1))
     mine = F.when(own_large.isNull(), F.struct(F.lit(-1).cast("bigint").alias("c"), F.pmod(F.xxhash64("comp"), F.col("shared")).cast("int").alias("k"))).otherwise(
         F.struct(F.col("comp").alias("c"), F.pmod(F.xxhash64("cid"), own_large["n"]).cast("int").alias("k")))
@@ -138,8 +138,8 @@ def dealt(posted: DataFrame, labels: DataFrame, block: int) -> DataFrame:
 def candidates(posted: DataFrame, classes: DataFrame, labels: DataFrame, matches: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """``token, i, j, own, cid, comp`` of the classes that reach the count with another component of their block pair."""
     prefix = posted.groupBy("cid").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(token, 32) as int))")).alias("prefix"))
-    facts = classes.select("cid", "n", "sig").join(prefix, "cid")
-    rows = dealt(posted, labels, block).join(facts, "cid").select("token", "i", "j", "own", "cid", "comp", "n", "prefix", "sig")
+    facts = classes.select("cid", "n", "sig").join(by_shuffle(prefix), "cid")
+    rows = dealt(posted, labels, block).join(by_shuffle(facts), "cid").select("token", "i", "j", "own", "cid", "comp", "n", "prefix", "sig")
     schema = "token bigint, i int, j int, own int, cid bigint, comp bigint"
 
     def run(parts):

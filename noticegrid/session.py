@@ -129,6 +129,15 @@ def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` for a join that shuffles it, where it grows with the input but Spark takes it for small.
+
+    Spark counts an array as one element, so rows after an explode, or with arrays, are many times as large
+    as it holds against the limit for a broadcast.
+    """
+    return df.hint("merge")
+
+
 def bucketed(df: DataFrame, key: str, buckets: int, *order: str) -> DataFrame:
     """``df`` as a staged table in ``buckets`` by a hash of ``key``, which joins on ``key`` need not shuffle.
 

@@ -101,3 +101,21 @@ def test_a_large_group_whose_members_miss_their_pivot_is_joined(spark):
     frame = spark.createDataFrame(texts, "doc_id bigint, text string")
     got = near_dup.near_duplicates(frame, shingle=3, percent=85).collect()
     assert {r.component_id for r in got} == {0} and [r.doc_id for r in got if r.kept] == [0]
+
+
+def test_no_signatures_pass_through_the_driver(spark):
+    """Spark counts a signature as one number, so its exploded rows were broadcast at 32 times that size."""
+    from pyspark.sql import functions as F
+
+    from noticegrid.session import materialise
+
+    classes = materialise(spark.range(300).select(
+        F.col("id").alias("cid"), F.col("id").alias("min_id"), F.lit(5).cast("bigint").alias("n"),
+        F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: (F.pmod(F.xxhash64(k, F.col("id") % 100), F.lit(2**31))).cast("int")).alias("sig")))
+    posted = near_dup.postings(classes, 16)
+    staged = materialise(posted)
+    assert staged.groupBy("cid").count().filter("count = 17").count() == 300
+    pairs = near_dup.pivot_pairs(staged, classes, 16, 85, 100)
+    for df in (posted, pairs):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a % 100, r.b % 100) for r in pairs.collect()} == {(i, i) for i in range(100)}
