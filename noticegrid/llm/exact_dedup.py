@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticegrid.session import materialise
+from noticegrid.session import by_shuffle, materialise
 
 SHARD_KEYS = 50_000
 TASK_ROWS = 20_000
@@ -202,7 +202,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, *, shard_keys
         (F.col("doc_id").eqNullSafe(F.col("found_id")) if own else F.lit(False)).alias("kept"),
     )
     rest = found.filter(~F.col("member")).select("doc_id", "text_sha256", "n_chars")
-    others = rest.join(groups(rest), "text_sha256").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    others = rest.join(by_shuffle(groups(rest)), "text_sha256").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
     order = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     return members.select(*order).unionByName(others.select(*order))
 

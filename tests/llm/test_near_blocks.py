@@ -119,3 +119,14 @@ def test_no_signatures_pass_through_the_driver(spark):
     for df in (posted, pairs):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert {(r.a % 100, r.b % 100) for r in pairs.collect()} == {(i, i) for i in range(100)}
+
+
+def test_no_digests_pass_through_the_driver(spark):
+    """A digest is 64 characters, of which Spark counts 20."""
+    from noticegrid.llm import exact_dedup
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c"), (4, None)], "doc_id bigint, text string")
+    found = exact_dedup.exact_dedup(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in found.collect()} == {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True), (4, 4, 1, True)}
