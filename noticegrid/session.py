@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import pathlib
 import re
@@ -129,6 +130,24 @@ def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def short_lived_shuffles(spark: SparkSession):
+    """Within it, an action's shuffle files go when it ends and not when the driver's memory is next cleared.
+
+    For steps that write their results and never run the same DataFrame again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def by_shuffle(df: DataFrame) -> DataFrame:
     """``df`` for a join that shuffles it, where it grows with the input but Spark takes it for small.
 

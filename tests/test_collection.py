@@ -166,3 +166,23 @@ def test_wide_columns_are_staged_once(spark, store):
     held = store.table("opportunities").select(F.col("id").alias("opportunity_id"), "content_hash")
     assert {r.h == r.content_hash for r in log.join(held, "opportunity_id").collect()} == {True}
     assert sorted(r.id for r in log.collect()) == [1, 2]
+
+
+def test_a_run_leaves_no_shuffle_files_and_orders_only_shared_notices(spark, store):
+    """Shuffles of finished steps filled the disk; records alone in their notice were ranged and staged twice."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for name in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in name}
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before, stages = spark.conf.get(key, None), shuffled(), len(spark.sparkContext._noticegrid_stages)
+    got = run(store, spark, "r1", [row("a"), row("b"), row("a", title="Other"), row("c", hakuPaattyyDateTimeUtc="2026-02-31"), row("c")])
+    assert (got["seen"], got["changed"], got["rejected"]) == (2, 2, 3)
+    assert not shuffled() - before and spark.conf.get(key, None) == setting
+    tables = [spark.read.parquet(p).columns for p in spark.sparkContext._noticegrid_stages[stages:] if "/stage/" in p]
+    assert tables and not any("_range" in columns for columns in tables)
+    # A repeated row is told by its number, so rejects and usable rows need no join of wide rows by their place.
+    assert sum("external_id" in columns for columns in tables) == 1
+    items = {r.external_id: (len(r.id), json.loads(r.raw_json)["nimi"]["fi"]) for r in store.table("source_items").collect()}
+    assert items == {"a": (64, "Round"), "b": (64, "Round")}
